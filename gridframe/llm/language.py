@@ -217,7 +217,9 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     """Count words by language over a bounded sample of documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
     ids = usable.select(F.col("doc_id").cast("long").alias("s_id"), F.col("lang").cast("string").alias("s_lang")).withColumn("h", F.xxhash64("s_id"))
-    ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("s_lang").orderBy("h", "s_id"))).where(F.col("n") <= max_docs)
+    # a language may hold most rows: its smallest hashes are found in 64 parts, then among those
+    parts = ids.withColumn("n", F.row_number().over(Window.partitionBy("s_lang", F.pmod("h", F.lit(64))).orderBy("h", "s_id"))).where(F.col("n") <= max_docs)
+    ranked = parts.withColumn("n", F.row_number().over(Window.partitionBy("s_lang").orderBy("h", "s_id"))).where(F.col("n") <= max_docs)
     sample = F.broadcast(ranked.orderBy("n", "h").limit(MAX_SAMPLE).select("s_id", "s_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
