@@ -143,7 +143,7 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 #: A word of letters that have no combining forms, then signs: both are tokens of their own.
 SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([^\w\s]*)")
 #: Texts that are not lowered and cut beforehand: letters with combining forms or odd case, special tokens.
-ODD = re.compile(r"[^\x00-\u024F]|\u0130|<\|")
+ODD = re.compile(r"[^\x00-\u012F\u0131-\u024F]")
 STOP = re.compile(r"(?<=[a-z\u00E0-\u00F6\u00F8-\u00FF])([.,])(?=[ \n]|\Z)")
 
 
@@ -190,13 +190,13 @@ class WordEncoder:
                 self.known[word] = np.asarray(found.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        texts = [t if ODD.search(t) else STOP.sub(r" \1", t.lower()) for t in texts]
+        texts = [t if "<|" in t or not t.isascii() and ODD.search(t) else STOP.sub(r" \1", t.lower()) for t in texts]
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MAX_WORDS:
             self.known = {"": b""}
         known = self.known
         split, plain, rest = {}, set(), []
-        for word in {w for p in parts for w in p if w not in known}:
+        for word in set().union(*parts).difference(known):
             if match := SIMPLE.fullmatch(word):
                 split[word] = pair = match[1].lower(), match[2]
                 plain.update(x for x in pair if x not in known)
