@@ -135,7 +135,7 @@ class LanguageModel:
             self.forget()
         parts = [t.split() for t in texts]
         known = self.known
-        self.learn({w for p in parts for w in p if w not in known})
+        self.learn(set().union(*parts).difference(known))
         return [np.fromiter(map(known.__getitem__, p), np.int32, len(p)) for p in parts]
 
     def paths(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
