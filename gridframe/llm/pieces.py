@@ -38,7 +38,10 @@ NONE = float("-inf")
 #: Characters of a chunk.
 CHUNK_CHARS = 32_768
 #: Stretches a worker remembers before it starts anew.
-MAX_STRETCHES = 500_000
+MAX_STRETCHES = 400_000
+
+#: A stop after a letter at a word's end; no piece holds the two together.
+STOP = re.compile(rf"(?<=[^\W\d_])([.,])(?=[{BLANK}\n]|\Z)")
 
 _MODELS: dict[str, "PieceModel"] = {}
 
@@ -82,13 +85,22 @@ class PieceModel:
         self.unknown_id = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.unknown = min(s for _, s in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Score of each piece, and no score for what only begins one
+        self.starts = {p[:k]: NONE for p in self.pieces for k in range(1, len(p) + 1)}
+        self.starts.update((p, float(score)) for p, (_, score) in self.pieces.items())
         self.kind = "<u2" if len(self.raw) <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
         self.dummy = model.normalizer_spec.add_dummy_prefix
         #: Whether no piece has a blank after another sign, and none holds a line end
         self.cuts = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.pieces)
-        self.found: dict[str, tuple[float, bytes]] = {}
+        letter = re.compile(r"[^\W\d_][.,]")
+        self.stops = self.cuts and not any(letter.search(p) for p in self.pieces)
+        self.coded = {p: np.asarray([i], self.kind).tobytes() for p, (i, _) in self.pieces.items()}
+        #: Score of each id; an unknown character's is on its first byte
+        self.scores = np.zeros(len(self.raw))
+        self.scores[[i for i, _ in self.pieces.values()]] = [score for _, score in self.pieces.values()]
+        self.scores[[i for b, i in self.byte_ids.items() if b & 0xC0 != 0x80] + [self.unknown_id]] = self.unknown
+        self.found: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         return (BLANK if self.dummy and text else "") + text.replace(" ", BLANK)
@@ -99,58 +111,60 @@ class PieceModel:
             return [normal] if normal else []
         if BLANK + BLANK in normal:
             return re.findall(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n", normal)
+        if self.stops:
+            normal = STOP.sub(r" \1", normal)
         return [x for x in normal.replace(BLANK, " " + BLANK).replace("\n", " \n ").split(" ") if x]
 
     def forward(self, s: str, start: int, end: int) -> tuple[list[float], list[int]]:
         """Best sums from ``start`` to each place, pieces starting before ``end``; and where the last piece starts."""
         best, back = [NONE] * (len(s) + 1), [0] * (len(s) + 1)
         best[start] = 0.0
-        pieces, starts, size = self.pieces, self.starts, len(s)
+        score_of, size = self.starts.get, len(s)
         for i in range(start, end):
             here = best[i]
             if here == NONE:
                 continue
             covered, k = False, i + 1
-            while k <= size and (piece := s[i:k]) in starts:
-                if piece in pieces:
+            while k <= size and (score := score_of(s[i:k])) is not None:
+                if score != NONE:
                     covered |= k == i + 1
-                    if (value := here + pieces[piece][1]) > best[k]:
-                        best[k], back[k] = value, i
+                    if here + score > best[k]:
+                        best[k], back[k] = here + score, i
                 k += 1
-            if not covered and (value := here + self.unknown) > best[i + 1]:
-                best[i + 1], back[i + 1] = value, i
+            if not covered and here + self.unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + self.unknown, i
         return best, back
 
-    def ids_of(self, piece: str) -> list[int]:
-        if piece in self.pieces:
-            return [self.pieces[piece][0]]
-        data = piece.encode("utf-8", "surrogatepass")
-        return [self.byte_ids.get(b, self.unknown_id) for b in data]
+    def code(self, piece: str) -> bytes:
+        """Ids of a piece, or of a character that none covers."""
+        if piece not in self.coded:
+            data = piece.encode("utf-8", "surrogatepass")
+            ids = [self.byte_ids[b] for b in data] if len(self.byte_ids) == 256 else [self.unknown_id]
+            return np.asarray(ids, self.kind).tobytes()
+        return self.coded[piece]
 
     def trace(self, s: str, start: int, end: int, back: list[int]) -> bytes:
-        spans = []
+        out = []
         while end > start:
-            spans.append((back[end], end))
+            out.append(self.code(s[back[end] : end]))
             end = back[end]
-        return np.asarray([i for a, b in reversed(spans) for i in self.ids_of(s[a:b])], self.kind).tobytes()
-
-    def stretch(self, s: str) -> tuple[float, bytes]:
-        best, back = self.forward(s, 0, len(s))
-        return best[-1], self.trace(s, 0, len(s), back)
+        return b"".join(reversed(out))
 
     def remember(self, stretches: list[str]) -> None:
         if len(self.found) > MAX_STRETCHES:
             self.found = {}
-        for s in set(stretches):
-            if s not in self.found:
-                self.found[s] = self.stretch(s)
+        for s in set(stretches).difference(self.found):
+            self.found[s] = self.trace(s, 0, len(s), self.forward(s, 0, len(s))[1])
 
-    def encode(self, normal: str) -> tuple[float, bytes]:
-        """Sum and ids of a text of one chunk."""
+    def encode(self, normal: str) -> bytes:
+        """Ids of a text of one chunk."""
         parts = self.stretches(normal)
         self.remember(parts)
-        got = [self.found[p] for p in parts]
-        return sum(g[0] for g in got), b"".join([g[1] for g in got])
+        return b"".join(map(self.found.__getitem__, parts))
+
+    def score(self, ids: bytes) -> float:
+        """Sum of the scores of a segmentation."""
+        return float(self.scores[np.frombuffer(ids, self.kind)].sum())
 
     # A chunk is (body, ahead): pieces that start in body may end in ahead.
 
@@ -176,7 +190,7 @@ class PieceModel:
                 row = best[size : size + reach]
                 out[i, : len(row)] = row
             return out
-        middle = self.encode(body[first:last])[0]
+        middle = self.score(self.encode(body[first:last]))
         tail, _ = self.forward(text[last:], 0, size - last)
         tail = tail[size - last : size - last + reach]
         for i in range(min(reach, first + 1)):
@@ -195,7 +209,7 @@ class PieceModel:
             return self.trace(text, start, size + end, back)
         _, head = self.forward(body[:first], start, first)
         _, tail = self.forward(text[last:], 0, size - last)
-        return self.trace(body[:first], start, first, head) + self.encode(body[first:last])[1] + self.trace(text[last:], 0, size - last + end, tail)
+        return self.trace(body[:first], start, first, head) + self.encode(body[first:last]) + self.trace(text[last:], 0, size - last + end, tail)
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
@@ -222,13 +236,14 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     rows = text_rows(docs, id_col, text_col)
     size = F.length("text")
 
-    def short(batch: pa.RecordBatch) -> dict:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        texts = batch.column("text").to_pylist()
-        coded = [m.encode(m.normal(t)) for t in texts]
-        return {"doc_id": batch.column("id"), "n_tokens": [len(c[1]) // m.width for c in coded], "ids": [c[1] for c in coded], "score": [float(c[0]) for c in coded], "n_chunks": pa.array([1] * len(texts), pa.int32()), "text": batch.column("text")}
+        for whole in batches:
+            for batch in slices(whole):
+                coded = [m.encode(m.normal(t)) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "n_tokens": [len(c) // m.width for c in coded], "ids": pa.array(coded, pa.binary()), "score": [m.score(c) for c in coded], "n_chunks": pa.array([1] * len(coded), pa.int32()), "text": batch.column("text")})
 
-    small = map_batches(rows.where(size < chunk_chars), short, CODED)
+    small = rows.where(size < chunk_chars).mapInArrow(short, CODED)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -297,18 +312,17 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (as unsigned 32-bit ids), score, n_chunks, round_trip."""
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        ids = batch.column("ids").to_pylist()
-        texts = batch.column("text").to_pylist()
-        return {
-            "doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), "n_chunks": batch.column("n_chunks"), "score": batch.column("score"),
-            "ids_crc32": [zlib.crc32(np.frombuffer(x, m.kind).astype("<u4").tobytes()) for x in ids],
-            "round_trip": [m.decode(x) == t for x, t in zip(ids, texts)],
-        }
+        for whole in batches:
+            for batch in slices(whole):
+                ids = batch.column("ids").to_pylist()
+                same = [m.decode(x) == t for x, t in zip(ids, batch.column("text").to_pylist())]
+                sums = [zlib.crc32(np.frombuffer(x, m.kind).astype("<u4").tobytes()) for x in ids]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), "ids_crc32": pa.array(sums, pa.int64()), "score": batch.column("score"), "n_chunks": batch.column("n_chunks"), "round_trip": pa.array(same, pa.bool_())})
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, score double, n_chunks int, round_trip boolean"
-    return map_batches(encode(docs, path, chunk_chars), run, schema)
+    return encode(docs, path, chunk_chars).mapInArrow(run, schema)
 
 
 def piece_path() -> str:
