@@ -38,7 +38,7 @@ NONE = float("-inf")
 #: Characters of a chunk.
 CHUNK_CHARS = 32_768
 #: Stretches a worker remembers before it starts anew.
-MAX_STRETCHES = 400_000
+MAX_STRETCHES = 250_000
 
 #: A stop after a letter at a word's end; no piece holds the two together.
 STOP = re.compile(rf"(?<=[^\W\d_])([.,])(?=[{BLANK}\n]|\Z)")
