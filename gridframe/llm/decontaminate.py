@@ -39,7 +39,7 @@ MIN_WORDS = 6
 MIN_COVERAGE = 0.5
 #: Benchmark windows of a pass.
 BLOCK_WINDOWS = 500_000
-MAX_WORDS = 700_000
+MAX_WORDS = 300_000
 
 #: Words for numbers, units and common given names (fixed values).
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())

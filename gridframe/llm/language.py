@@ -35,7 +35,7 @@ MAX_SAMPLE = 50_000
 SWITCH = 7.0
 #: Posteriors below this do not count against a language, so one odd word decides nothing.
 FLOOR = -9.0
-MAX_WORDS = 700_000
+MAX_WORDS = 250_000
 ORDER = 3
 
 #: Script ranges (fixed values): name, first and last code point.
@@ -249,6 +249,7 @@ def predict(docs: DataFrame, fitted: LanguageModel) -> DataFrame:
             for batch in slices(whole):
                 got = sent.value.predict(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "held_out": batch.column("held_out"), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
+        sent.value.forget()  # an idle worker keeps no words
 
     return text_rows(docs).withColumn("held_out", held_out("id", 4, 2)).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -268,7 +269,8 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in sent.value.predict(texts)]))
+                yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in sent.value.predict(texts)], pa.bool_()))
+        sent.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
