@@ -67,7 +67,7 @@ def held_out(id_col: str, modulus: int, remainder: int):
     return F.crc32(F.col(id_col).cast("string")) % modulus == remainder
 
 
-def slices(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds few bytes of text (a single row may hold more)."""
     per_row = max(1, batch.nbytes // max(1, batch.num_rows))
     step = max(1, max_bytes // per_row)

@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ NONE = float("-inf")
 CHUNK_CHARS = 32_768
 #: Stretches a worker remembers before it starts anew.
 MAX_STRETCHES = 250_000
+#: And those it keeps when a task ends, first learned and so most common.
+KEPT_STRETCHES = 50_000
 
 #: A stop after a letter at a word's end; no piece holds the two together.
 STOP = re.compile(rf"(?<=[^\W\d_])([.,])(?=[{BLANK}\n]|\Z)")
@@ -156,6 +159,10 @@ class PieceModel:
         for s in set(stretches).difference(self.found):
             self.found[s] = self.trace(s, 0, len(s), self.forward(s, 0, len(s))[1])
 
+    def rest(self) -> None:
+        """Forget all but the stretches learned first."""
+        self.found = dict(islice(self.found.items(), KEPT_STRETCHES))
+
     def encode(self, normal: str) -> bytes:
         """Ids of a text of one chunk."""
         parts = self.stretches(normal)
@@ -226,9 +233,23 @@ def model(path: str) -> PieceModel:
 CODED = "doc_id long, n_tokens long, ids binary, score double, n_chunks int, text string"
 
 
-def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def full_rows(m: PieceModel, doc_ids: pa.Array, ids: list[bytes], scores: list[float], n_chunks: list[int], texts: list[str]) -> pa.RecordBatch:
+    """Rows of ``encode``."""
+    return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "n_tokens": [len(i) // m.width for i in ids], "ids": pa.array(ids, pa.binary()), "score": scores, "n_chunks": pa.array(n_chunks, pa.int32()), "text": pa.array(texts, pa.string())})
+
+
+def digest_rows(m: PieceModel, doc_ids: pa.Array, ids: list[bytes], scores: list[float], n_chunks: list[int], texts: list[str]) -> pa.RecordBatch:
+    """Rows of ``digest``."""
+    same = [m.decode(x) == t for x, t in zip(ids, texts)]
+    sums = [zlib.crc32(np.frombuffer(x, m.kind).astype("<u4").tobytes()) for x in ids]
+    return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "n_tokens": [len(i) // m.width for i in ids], "ids_crc32": pa.array(sums, pa.int64()), "score": scores, "n_chunks": pa.array(n_chunks, pa.int32()), "round_trip": pa.array(same, pa.bool_())})
+
+
+def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text", rows_of: Callable[..., pa.RecordBatch] = full_rows, schema: str = CODED) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (little-endian), score, n_chunks, text.
 
+    ``rows_of`` and ``schema`` turn the coded texts into other rows where they are made.
+
     Texts of one chunk are coded where they are read. Chunks of giant texts are
     dealt out one by one; only their matrices, far smaller than the text, meet by
     document.
@@ -240,10 +261,12 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
         m = model(path)
         for whole in batches:
             for batch in slices(whole):
-                coded = [m.encode(m.normal(t)) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "n_tokens": [len(c) // m.width for c in coded], "ids": pa.array(coded, pa.binary()), "score": [m.score(c) for c in coded], "n_chunks": pa.array([1] * len(coded), pa.int32()), "text": batch.column("text")})
+                texts = batch.column("text").to_pylist()
+                coded = [m.encode(m.normal(t)) for t in texts]
+                yield rows_of(m, batch.column("id"), coded, [m.score(c) for c in coded], [1] * len(coded), texts)
+        m.rest()
 
-    small = rows.where(size < chunk_chars).mapInArrow(short, CODED)
+    small = rows.where(size < chunk_chars).mapInArrow(short, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -285,14 +308,17 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     parts = map_batches(joined, traced, "row string, id long, chunk int, total double, body string, ids binary")
     whole = parts.groupBy("row").agg(F.first("id").alias("id"), F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("chunk", "ids", "body"))).alias("parts"))
 
-    def glue(batch: pa.RecordBatch) -> dict:
+    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        parts = batch.column("parts").to_pylist()
-        ids = [b"".join(p["ids"] for p in x) for x in parts]
-        texts = ["".join(p["body"] for p in x)[1 if m.dummy else 0 :].replace(BLANK, " ") for x in parts]
-        return {"doc_id": batch.column("id"), "n_tokens": [len(i) // m.width for i in ids], "ids": ids, "score": batch.column("total"), "n_chunks": pa.array([len(x) for x in parts], pa.int32()), "text": texts}
+        for whole in batches:
+            for batch in slices(whole):
+                parts = batch.column("parts").to_pylist()
+                ids = [b"".join([p["ids"] for p in x]) for x in parts]
+                texts = ["".join([p["body"] for p in x])[1 if m.dummy else 0 :].replace(BLANK, " ") for x in parts]
+                yield rows_of(m, batch.column("id"), ids, batch.column("total").to_pylist(), [len(x) for x in parts], texts)
+        m.rest()
 
-    return small.unionByName(map_batches(whole, glue, CODED))
+    return small.unionByName(whole.mapInArrow(glue, schema))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -311,18 +337,8 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (as unsigned 32-bit ids), score, n_chunks, round_trip."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for whole in batches:
-            for batch in slices(whole):
-                ids = batch.column("ids").to_pylist()
-                same = [m.decode(x) == t for x, t in zip(ids, batch.column("text").to_pylist())]
-                sums = [zlib.crc32(np.frombuffer(x, m.kind).astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), "ids_crc32": pa.array(sums, pa.int64()), "score": batch.column("score"), "n_chunks": batch.column("n_chunks"), "round_trip": pa.array(same, pa.bool_())})
-
     schema = "doc_id long, n_tokens long, ids_crc32 long, score double, n_chunks int, round_trip boolean"
-    return encode(docs, path, chunk_chars).mapInArrow(run, schema)
+    return encode(docs, path, chunk_chars, rows_of=digest_rows, schema=schema)
 
 
 def piece_path() -> str:
