@@ -140,8 +140,8 @@ class Shard:
 # ---------------------------------------------------------------- encoding
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
-#: A word of letters that have no combining forms, then signs: both are tokens of their own.
-SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([^\w\s]*)")
+#: A word of letters that have no combining forms, then ASCII signs: both are tokens of their own.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-^`{-~]*)")
 #: Texts that are not lowered and cut beforehand: letters with combining forms or odd case, special tokens.
 ODD = re.compile(r"[^\x00-\u012F\u0131-\u024F]")
 STOP = re.compile(r"(?<=[a-z\u00E0-\u00F6\u00F8-\u00FF])([.,])(?=[ \n]|\Z)")
