@@ -1,0 +1,306 @@
+"""Operators against brute force, libraries, round trips and held-out accuracy."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from gridframe.llm import decontaminate, html_text, language, licenses, line_dedup, nearest, pieces, quality, queries, simhash, token_ids
+from gridframe.llm.common import read_table
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(name, same_as_sql):
+    same_as_sql(queries.QUERIES[name], queries.ORACLES[name])
+
+
+# ------------------------------------------------------------ 1, 6: held-out accuracy
+
+
+@pytest.fixture(scope="module")
+def larger():
+    return "/root/testdata/sf0.01"
+
+
+def test_quality_held_out(spark, larger):
+    got = quality.query(spark, larger).join(read_table(spark, larger, "labels"), "doc_id").where("held_out").select("predicted", "quality", "score").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.95
+    good, bad = got.score[got.quality == 1], got.score[got.quality == 0]
+    assert good.mean() > bad.mean() + 0.5
+
+
+def test_language_held_out(spark, larger):
+    docs = read_table(spark, larger, "documents")
+    got = language.query(spark, larger).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.97
+
+
+def test_language_spans(spark, larger):
+    docs = read_table(spark, larger, "documents")
+    model = language.fit(docs)
+    german, spanish = (docs.where(f"lang = '{k}' and n_chars between 200 and 2000").first()["text"].split()[:30] for k in ("de", "es"))
+    spans = model.spans(" ".join(german + spanish))
+    assert [s[2] for s in spans] == ["de", "es"] and abs(spans[0][1] - 30) <= 2
+
+
+def test_viterbi_is_best_path(spark):
+    rng = np.random.default_rng(3)
+    table = np.log(rng.dirichlet(np.ones(3), 40))
+    table[0] = 0
+    ids = rng.integers(1, 40, (7, 1))
+    got = language.LanguageModel.viterbi(table, ids, np.array([7]))[:, 0]
+    import itertools
+
+    def cost(path):
+        return sum(table[i, k] for i, k in zip(ids[:, 0], path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+
+    assert abs(cost(got) - max(map(cost, itertools.product(range(3), repeat=7)))) < 1e-9
+
+
+# ------------------------------------------------------------ 2: pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="home">
+<header><h1>Site</h1></header><nav><ul><li><a>Home</a></li></ul></nav><div class="cookie-notice">Accept</div><!-- <p>x</p> -->
+<article><h1>Head&amp;line</h1><p>First <b>bold</b>
+ text&nbsp;&#233;<br>next<p>Second<ul><li>one<li>two</ul><aside>See also</aside><div class="ad">Buy</div><form><input><button>Go</button></form><p class='x'>Last &lt;tag&gt;</p>
+<section class="comments"><p>Nice!</p></section></article><div id="sidebar"><p>Side</p></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_blocks():
+    content, loose = html_text.blocks(PAGE)
+    assert content == ["Head&line", "First bold text é next", "Second", "one", "two", "Last <tag>"]
+    assert loose == []
+
+
+def test_html_suffixes(spark):
+    notice = "Subscribe today for all the news from our friendly team"
+    own = {k: " ".join(f"word{k * j}x" for j in range(3, 15)) + f" page {k}" for k in range(5)}
+    rows = [(k, f"http://h.example/{k}", f"<body><div>{notice}</div><p>{own[k]}</p><p>{notice}</p></body>") for k in range(5)]
+    rows += [(9, "http://other.example/1", f"<body><p>{notice}</p></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == own[k] for k in range(5))
+    assert got[9] == notice
+
+
+# ------------------------------------------------------------ 3: token shards
+
+
+@pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 2, 3, 1000, 1_000_000], list(range(0, 5000, 3)), [7] * 700 + [10**12]])
+def test_elias_fano(values):
+    low_bits, low, high = token_ids.ef_encode(np.array(values, dtype=np.uint64))
+    ef = token_ids.EliasFano(len(values), low_bits, low, high)
+    assert ef.all().tolist() == values == [ef.select(i) for i in range(len(values))]
+    assert len(low) + len(high) <= len(values) * (2 + low_bits) // 8 + 2 + (values[-1] >> low_bits if values else 0) // 8
+
+
+def test_shards(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    docs = read_table(spark, sf_dir, "documents")
+    tok = Tokenizer.from_file(token_ids.word_bpe_path())
+    want, start = [], 0
+    for doc_id, text in sorted((r["doc_id"], r["text"] or "") for r in docs.collect()):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    shards = token_ids.write_shards(docs, token_ids.word_bpe_path(), partitions=3, shard_ids=5000)
+    assert sorted(map(tuple, token_ids.read_documents(shards).collect())) == want
+    shard = token_ids.Shard(shards.orderBy("part", "seq").first()["shard_bytes"])
+    assert len(shard.document(2)) == want[2][2] and shard.offsets(2)[0] == want[2][1]
+
+
+def test_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_ids.word_bpe_path())
+    enc = token_ids.encoder(token_ids.word_bpe_path())
+    texts = ["Hello, World. don't WE'LL it's", "É́ é H̱ İstanbul ΣΑΣ ς ﬁ", "<|endoftext|> x<|EndOfText|> <|startoftext|>a", "a,b. c., d.) (e. f),g 3.5, 2,000. x_y.", "tab\tnew\nline\r\n\x0b\x1c nbsp x　y", "中文。 ok, Ñandú. ÇA. ß.", ""]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("aB cé,.'s\ńΣ<|%3_") for _ in range(60)) for _ in range(300)]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, enc.kind).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+# ------------------------------------------------------------ 4: leaks
+
+ITEM = "Natalia sold 48 clips to her friends in April and then she sold half as many clips in May for 3 km"
+
+
+def test_leaks(spark):
+    swapped = ITEM.replace("Natalia", "Robert").replace("48", "96").replace("3 km", "7 miles")
+    broken = "Robert sold 48 clips to her friends in June and then she sold half as many clips in Karl for 3 km"
+    docs = [(1, "Before it. " + ITEM + " After."), (2, "Intro text. " + swapped.upper().lower()), (3, "Once more. " + swapped), (4, "nothing of the kind is in here at all, only words"), (5, ITEM.split(" her ")[0]), (6, broken)]
+    got = {r["doc_id"]: r for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()}
+    assert {1, 3} <= set(got) and not {4, 5} & set(got)
+    assert got[1]["n_exchanged"] == 0 and got[3]["n_exchanged"] >= 2 and got[1]["item_id"] == 7
+
+
+def test_leaks_in_tables(spark, larger):
+    """Every document that holds an item word for word is found."""
+    words = lambda t: " ".join((t or "").lower().split())
+    items = [words(r["text"]) for r in read_table(spark, larger, "benchmark").collect()]
+    want = {r["doc_id"] for r in read_table(spark, larger, "documents").collect() if any(i in words(r["text"]) for i in items)}
+    got = {r["doc_id"] for r in decontaminate.query(spark, larger).collect()}
+    assert want <= got and len(got - want) <= 0.1 * len(got)
+
+
+# ------------------------------------------------------------ 5, 7
+
+
+def test_line_runs(spark):
+    short = [x * 2 for x in ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz", "aa", "bb", "cc", "dd", "ee", "ff", "gg"]]
+    long = "a line that is certainly longer than fifty characters in all"
+    rows = [(1, "\n".join([*short, long])), (2, "\n".join(["own", *short, "end"])), (3, f"x\n{long}\ny"), (4, "abab\ncdcd")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own\nend", 3: "x\ny", 4: "abab\ncdcd"}
+
+
+def test_license_rules(spark):
+    sentences = {k: s for k, s in licenses.SENTENCES.items()}
+    text = f"Intro.\n{sentences[11]}:\nCopyright me.\n{sentences[12].upper()};\n{sentences[13]}.\nThen. Released under the MIT License. More."
+    got = [(r["license"], r["n_sentences"]) for r in licenses.scan(spark.createDataFrame([(1, text), (2, "no licence here")], "doc_id long, text string")).orderBy("first_sentence").collect()]
+    assert got == [("BSD-2-Clause", 3), ("MIT", 1)]
+
+
+def test_license_anchors():
+    import re
+
+    assert all(re.search(licenses.ANCHORS, s) for s in licenses.SENTENCES.values())
+    assert all(i in licenses.SENTENCES for _, ids in licenses.RULES for i in ids)
+
+
+# ------------------------------------------------------------ 8: SimHash
+
+
+def brute_fingerprint(text, words=4):
+    import xxhash
+
+    parts = [w for w in "".join(c.lower() if c.isascii() else c for c in text).translate({k: " " for k in range(9, 14)}).split(" ") if w]
+    if not parts:
+        return 0
+    grams = [" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").collect()
+    texts = [r["text"] or "" for r in rows[:40]] + ["", "One", "a b c d", "Ä É x\ty", "x " * 700]
+    assert [simhash.fingerprint(t) for t in texts] == [brute_fingerprint(t) for t in texts]
+
+
+def brute_components(pairs):
+    ids = [i for i, _ in pairs]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, fa) in enumerate(pairs):
+        for b, fb in pairs[k + 1 :]:
+            if (fa ^ fb).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_components(spark, larger):
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.query(spark, larger).collect()}
+    want = brute_components(sorted((i, fp) for i, (fp, _) in got.items()))
+    assert {i: c for i, (_, c) in got.items()} == want
+
+
+def test_links_of_clusters():
+    """Runs of every size give the same components as all pairs."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) % 2**64 for b in base for _ in range(90)})
+    signed = np.array(fps, np.uint64).view(np.int64)
+    a, b = simhash.run_links(np.zeros(len(signed), np.int64), signed, 4)
+    edges = list(zip(a.tolist(), b.tolist()))
+    want = brute_components([(int(s), int(f)) for s, f in zip(signed, fps)])
+    root = {int(s): int(s) for s in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+    assert groups({k: find(k) for k in root}) == groups(want)
+
+
+# ------------------------------------------------------------ 9: pieces
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.model(pieces.piece_path())
+
+
+def test_pieces_are_best(model):
+    """The library's unigram search over the same pieces and scores finds no better sum."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    with open(pieces.piece_path(), "rb") as file:
+        m.ParseFromString(file.read())
+    m.trainer_spec.model_type = 1
+    library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    for word in ["thingonhe", "Ciónmenteueó", "unbelievable,", "heißt", "aaaaaaaaaaaaaaaaa", "x.y(z);", "a b c", "don't stop"]:
+        want = sum(m.pieces[i].score for i in library.encode(word))
+        assert abs(model.score(model.encode(model.normal(word))) - want) < 1e-3
+
+
+@pytest.mark.parametrize("chunk", [7, 16, 33, 100])
+def test_chunks(model, chunk):
+    texts = ["the " * 60, "a" * 150, "  a   b\n\n c ", "日本語のテキスト" * 20, "\n\n\n", "Thingonhe, ciónmente.\nQue ñ" * 9, "x" * 16 + " " * 40 + "y"]
+    for text in texts:
+        normal = model.normal(text)
+        cut = [(normal[k : k + chunk], normal[k + chunk : k + chunk + model.longest]) for k in range(0, len(normal), chunk)]
+        states, total = pieces.boundaries([model.transfer(*c) for c in cut])
+        ids = b"".join(model.backtrace(*c, states[k], states[k + 1]) for k, c in enumerate(cut))
+        assert total == model.score(ids) == model.score(model.encode(normal))
+        assert model.decode(ids) == text
+
+
+def test_scan_is_associative():
+    rng = np.random.default_rng(1)
+    mats = [rng.normal(size=(4, 4)) for _ in range(9)]
+    left = mats[0]
+    for m, p in zip(mats[1:], pieces.prefixes(mats)[1:]):
+        left = pieces.combine(left, m)
+        assert np.allclose(left, p)
+
+
+def test_round_trip(spark, sf_dir, model):
+    docs = read_table(spark, sf_dir, "documents")
+    small = {r["doc_id"]: r for r in pieces.digest(docs, pieces.piece_path()).collect()}
+    cut = {r["doc_id"]: r for r in pieces.digest(docs, pieces.piece_path(), chunk_chars=500).collect()}
+    assert all(r["round_trip"] for r in [*small.values(), *cut.values()]) and max(r["n_chunks"] for r in cut.values()) > 1
+    assert {i: r["score"] for i, r in small.items()} == {i: r["score"] for i, r in cut.items()}
+    coded = pieces.decode(pieces.encode(docs, pieces.piece_path()), pieces.piece_path())
+    assert coded.where("decoded <> text").isEmpty()
+
+
+# ------------------------------------------------------------ 10: nearest
+
+
+def test_pivot_search():
+    rng = np.random.default_rng(4)
+    rows = np.floor(256 * rng.normal(size=(3000, 8)))
+    rows[100:160] = rows[7]
+    ids = rng.permutation(3000)
+    queries_ = rows[:40]
+    finder = nearest.PivotSearch(ids[:40], queries_, nearest.pick_pivots(queries_, 8), 5)
+    for (query_id, got_ids, got_scores), q in zip(finder.best(ids, rows), queries_):
+        s = (rows @ q).astype(int)
+        want = sorted((-x, i) for x, i in zip(s.tolist(), ids.tolist()) if i != query_id)[:5]
+        assert list(zip((-got_scores).tolist(), got_ids.tolist())) == want
