@@ -7,12 +7,13 @@ Only names that occur more than once go on, which leaves the repeated part of th
 suffix array; the groups of a level are its longest-common-prefix intervals, counted
 by partial aggregation, so a line on every page is no hot key.
 
-A block of 2^k lines with at least ``min_chars`` characters (each line counting one
-more for its end) that also occurs at an earlier place - by document id, then line -
-is a later copy, and its lines are deleted. Blocks that overlap cover maximal repeated
-runs of any length. A block both of whose halves reach ``min_chars`` marks no line that
-they don't, and a block of ``min_chars`` lines always does, so doubling ends after
-log2(min_chars) levels whatever the length of the runs.
+A run of whole lines with at least ``min_chars`` characters (each line counting one
+more for its end) that also occurs at an earlier place - by document id, then line - is
+a later copy, and its lines are deleted. Every such run is covered by runs that are
+just long enough, counted from their first line or from their last: single lines,
+blocks of 2^k lines, or two overlapping blocks of 2^k lines, whose pair of names names
+the run between two levels. A run just long enough has at most ``min_chars`` lines, so
+doubling ends after log2(min_chars) levels whatever the length of the copies.
 
 Line ids and names are 96 bits of two independent hashes. DataFrame functions only.
 
@@ -54,27 +55,54 @@ def repeated(blocks: DataFrame) -> DataFrame:
 def doubled(blocks: DataFrame, size: int) -> DataFrame:
     """Blocks of ``2 * size`` lines from repeated blocks of ``size``."""
     after = Window.partitionBy("id", "row").orderBy("line").rangeBetween(size, size)
-    pairs = blocks.select("id", "row", "line", "weight", "h1", "h2", F.first(F.struct("h1", "h2", "weight")).over(after).alias("b")).where(F.col("b").isNotNull())
-    return pairs.select("id", "row", "line", (F.col("weight") + F.col("b.weight")).alias("weight"), F.xxhash64("h1", "b.h1").alias("h1"), F.hash("h2", "b.h2").alias("h2"), F.least("weight", "b.weight").alias("lighter"))
+    pairs = blocks.select("id", "row", "line", "weight", "h1", "h2", "before", F.first(F.struct("h1", "h2", "weight")).over(after).alias("b")).where(F.col("b").isNotNull())
+    return pairs.select("id", "row", "line", "before", (F.col("weight") + F.col("b.weight")).alias("weight"), F.xxhash64("h1", "b.h1").alias("h1"), F.hash("h2", "b.h2").alias("h2"), F.least("weight", "b.weight").alias("lighter"))
+
+
+def spans_between(blocks: DataFrame, size: int, min_chars: int) -> DataFrame:
+    """Runs of ``size + 1`` to ``2 * size - 1`` lines that are just long enough, as pairs of blocks of ``size``.
+
+    Forward runs start at a block that is too short alone and end as soon as they are
+    long enough; backward runs end at such a block and start as late as they can.
+    """
+    doc = Window.partitionBy("id", "row").orderBy("line")
+    block = F.struct("line", "before", "weight", "h1", "h2")
+    near = blocks.select("id", "row", "line", "before", "weight", "h1", "h2", F.collect_list(block).over(doc.rangeBetween(1, size - 1)).alias("next"), F.collect_list(block).over(doc.rangeBetween(1 - size, -1)).alias("last")).where(F.col("weight") < min_chars)
+    end = F.col("before") + F.col("weight")
+    ahead = F.filter("next", lambda x: x["before"] + x["weight"] - F.col("before") >= min_chars)
+    behind = F.filter("last", lambda x: end - x["before"] >= min_chars)
+    forward = near.select("id", "row", F.col("line").alias("from"), block.alias("a"), F.array_min(F.transform(ahead, lambda x: F.struct(x["line"].alias("line"), x["h1"].alias("h1"), x["h2"].alias("h2")))).alias("b")).where("b is not null")
+    backward = near.select("id", "row", F.array_max(F.transform(behind, lambda x: F.struct(x["line"].alias("line"), x["h1"].alias("h1"), x["h2"].alias("h2")))).alias("a"), block.alias("b")).where("a is not null")
+    runs = forward.select("id", "row", F.col("from").alias("line"), "a.h1", "a.h2", F.col("b.h1").alias("g1"), F.col("b.h2").alias("g2"), (F.col("b.line") - F.col("from") + size).alias("size"))
+    runs = runs.union(backward.select("id", "row", "a.line", "a.h1", "a.h2", F.col("b.h1").alias("g1"), F.col("b.h2").alias("g2"), (F.col("b.line") - F.col("a.line") + size).alias("size")))
+    return runs.select("id", "row", "line", "size", F.xxhash64("h1", "g1", "size").alias("h1"), F.hash("h2", "g2", "size").alias("h2"))
 
 
 def later_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, row, gone): the sorted line numbers of each document that are later copies."""
-    level, marks = 0, []
-    blocks = lines_of(docs).withColumn("lighter", F.lit(0))
+    size, marks, spans = 1, [], []
+    found = materialize(repeated(lines_of(docs)), "line-blocks-1")
+    before = Window.partitionBy("id", "row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = found.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0))).withColumn("lighter", F.lit(0))
     while True:
-        size = 1 << level
-        found = materialize(repeated(blocks), f"line-blocks-{level}")
-        copies = found.where(F.col("later") & (F.col("weight") >= min_chars) & (F.col("lighter") < min_chars))
-        marks.append(copies.select("id", "row", F.explode(F.sequence("line", F.col("line") + F.lit(size - 1))).alias("line")))
-        if size >= min_chars or found.isEmpty():
+        copies = blocks.where(F.col("later") & (F.col("weight") >= min_chars) & (F.col("lighter") < min_chars))
+        marks.append(copies.select("id", "row", "line", F.lit(size).alias("size")))
+        if size > 1:
+            spans.append(spans_between(blocks, size, min_chars))
+        if 2 * size > min_chars or blocks.where(F.col("weight") < min_chars).isEmpty():
             break
-        blocks = doubled(found, size)
-        level += 1
+        blocks = materialize(repeated(doubled(blocks, size)), f"line-blocks-{2 * size}")
+        size *= 2
+    if spans:
+        between = spans[0]
+        for more in spans[1:]:
+            between = between.union(more)
+        marks.append(repeated(materialize(between.distinct(), "line-spans")).where("later").select("id", "row", "line", "size"))
     gone = marks[0]
     for more in marks[1:]:
         gone = gone.union(more)
-    return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    lines = gone.select("id", "row", F.explode(F.sequence("line", F.col("line") + F.col("size") - 1)).alias("line"))
+    return lines.groupBy("id", "row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -101,7 +129,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", F.col("__n_removed").alias("n_removed"))
 
 
-#: All blocks of 1 to 64 lines, compared as lists.
+#: All runs of 1 to MIN_CHARS lines, compared as lists: longer ones hold shorter ones that are long enough.
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t
@@ -110,10 +138,10 @@ WITH lines AS (
 b{k} AS (
   SELECT doc_id, line, min(doc_id * 1000000 + line) OVER (PARTITION BY b) AS first
   FROM (SELECT doc_id, line, list(t) OVER w AS b, sum(length(t) + 1) OVER w AS weight FROM lines
-        WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {2**k - 1} FOLLOWING))
-  WHERE len(b) = {2**k} AND weight >= {MIN_CHARS}),""" for k in range(7)) + """
+        WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING))
+  WHERE len(b) = {k} AND weight >= {MIN_CHARS}),""" for k in range(1, MIN_CHARS + 1)) + """
 gone AS (""" + " UNION ".join(f"""
-  SELECT doc_id, unnest(range(line, line + {2**k})) AS line FROM b{k} WHERE doc_id * 1000000 + line > first""" for k in range(7)) + """)
+  SELECT doc_id, unnest(range(line, line + {k})) AS line FROM b{k} WHERE doc_id * 1000000 + line > first""" for k in range(1, MIN_CHARS + 1)) + """)
 SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.text = '' THEN d.text ELSE coalesce(k.text, '') END AS text,
        coalesce(g.n, 0)::int AS n_removed
 FROM documents d

@@ -149,11 +149,34 @@ def test_leaks_in_tables(spark, larger):
 
 
 def test_line_runs(spark):
-    short = [x * 2 for x in ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz", "aa", "bb", "cc", "dd", "ee", "ff", "gg"]]
+    short = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz", "aa", "bb", "cc", "dd", "ee", "ff", "gg"]
     long = "a line that is certainly longer than fifty characters in all"
-    rows = [(1, "\n".join([*short, long])), (2, "\n".join(["own", *short, "end"])), (3, f"x\n{long}\ny"), (4, "abab\ncdcd")]
+    rows = [(1, "\n".join([*short, long])), (2, "\n".join(["own", *short, "end"])), (3, f"x\n{long}\ny"), (4, "ab\ncd")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "own\nend", 3: "x\ny", 4: "abab\ncdcd"}
+    assert got == {1: rows[0][1], 2: "own\nend", 3: "x\ny", 4: "ab\ncd"}
+
+
+def brute_runs(rows, min_chars):
+    """Lines in any run, of any length, that is long enough and has an earlier copy."""
+    texts = {i: t.split("\n") for i, t in rows}
+    seen, gone = {}, set()
+    for i in sorted(texts):
+        for a in range(len(texts[i])):
+            for b in range(a + 1, len(texts[i]) + 1):
+                run = tuple(texts[i][a:b])
+                if sum(map(len, run)) + len(run) >= min_chars and seen.setdefault(run, (i, a)) < (i, a):
+                    gone.update((i, k) for k in range(a, b))
+    return {i: "\n".join(x for k, x in enumerate(lines) if (i, k) not in gone) for i, lines in texts.items()}
+
+
+@pytest.mark.parametrize("min_chars", [5, 12, 50])
+def test_line_runs_brute(spark, min_chars):
+    rng = random.Random(min_chars)
+    rows = [(i, "\n".join(rng.choice(["", "a", "bb", "ccc", "d" * 7, "e" * 13, f"own{i}"]) for _ in range(rng.randrange(1, 25)))) for i in range(40)]
+    rows += [(i + 100, t + "\n" + rows[3][1]) for i, t in rows[:8]]
+    rows = [(i, t) for i, t in rows if t]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars).collect()}
+    assert got == brute_runs(rows, min_chars)
 
 
 def test_license_rules(spark):
