@@ -46,8 +46,13 @@ def place() -> Column:
 
 
 def repeated(blocks: DataFrame) -> DataFrame:
-    """Blocks whose name occurs more than once, and whether an earlier one does."""
+    """Blocks whose name occurs more than once, and whether an earlier one does.
+
+    The names are a table of their own, so that the join back reads two shuffles and
+    adaptive execution can split a name that many blocks have.
+    """
     groups = blocks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
+    groups = materialize(groups, "line-names")
     met = blocks.join(groups, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     return met.withColumn("later", place() > F.col("first")).drop("g1", "g2", "first")
 
