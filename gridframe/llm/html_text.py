@@ -173,7 +173,7 @@ def unique_runs(loose: DataFrame, min_tokens: int, min_pages: int) -> DataFrame:
     long_enough = tokens.where(F.size("words") >= min_tokens)
     suffixes = long_enough.join(pages, F.col("row") == F.col("p_row")).select("row", "host", "page", "block", F.explode(heads).alias("s")).select("row", "host", "page", "block", "s.at", "s.head")
     intervals = suffixes.groupBy("host", "head", "page").agg(F.lit(1).alias("one")).groupBy("host", "head").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    intervals = intervals.select(F.col("host").alias("i_host"), F.col("head").alias("i_head"))
+    intervals = materialize(intervals.select(F.col("host").alias("i_host"), F.col("head").alias("i_head")), "page-intervals")
     covered = suffixes.join(intervals, (F.col("host") == F.col("i_host")) & (F.col("head") == F.col("i_head"))).groupBy("row", "block").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     covered = covered.select(F.col("row").alias("c_row"), F.col("block").alias("c_block"), F.size(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + min_tokens - 1))))).alias("n"))
     kept = tokens.join(covered, (F.col("row") == F.col("c_row")) & (F.col("block") == F.col("c_block")), "left").where(2 * F.coalesce("n", F.lit(0)) <= F.size("words"))
@@ -186,6 +186,8 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = M
     parsed = materialize(parse(pages).withColumn("row", F.uuid()), "pages")
     settled = parsed.where(F.col("settled").isNotNull()).select("page_id", "url", F.col("settled").alias("text"))
     loose = parsed.where(F.col("settled").isNull())
+    if loose.isEmpty():
+        return settled.withColumn("n_chars", F.length("text").cast("long"))
     runs = unique_runs(loose.select("row", "host", "loose"), min_tokens, min_pages)
     decided = loose.join(runs, F.col("row") == F.col("k_row"), "left").select("page_id", "url", F.coalesce("kept", F.lit("")).alias("text"))
     return settled.union(decided).withColumn("n_chars", F.length("text").cast("long"))

@@ -182,8 +182,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprint-classes")
     roots = connected_components(links(classes.select("fp"), distance), "fingerprint-roots")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = rooted.join(least.withColumnRenamed("root", "least_root"), F.col("root") == F.col("least_root")).select(F.col("fp").alias("class_fp"), "component")
+    # a table of its own, so that the join back can be split where a component is large
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component")).withColumnRenamed("root", "least_root"), "fingerprint-components")
+    named = rooted.join(least, F.col("root") == F.col("least_root")).select(F.col("fp").alias("class_fp"), "component")
     return rows.join(named, F.col("fp") == F.col("class_fp")).select("id", "fp", "component")
 
 
