@@ -7,7 +7,7 @@ mixed text. The language with most letters on the path is predicted; its score i
 that share times the mean posterior of its words.
 
 Fitting sees at most ``MAX_DOCS`` documents of a language (those with the smallest
-hash of their id) and ``MAX_SAMPLE`` in all, a documented bound; prediction sees
+hashes of their id in each of 64 parts) and ``MAX_SAMPLE`` in all, a documented bound; prediction sees
 every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read_table, slices, text_rows
 
-MAX_DOCS = 600
+MAX_DOCS = 640
+#: Parts of a language's ids from which equal numbers are taken.
+PARTS = 64
 MAX_SAMPLE = 50_000
 #: Cost in nats of changing language between two words.
 SWITCH = 7.0
@@ -217,10 +219,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     """Count words by language over a bounded sample of documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
     ids = usable.select(F.col("doc_id").cast("long").alias("s_id"), F.col("lang").cast("string").alias("s_lang")).withColumn("h", F.xxhash64("s_id"))
-    # a language may hold most rows: its smallest hashes are found in 64 parts, then among those
-    parts = ids.withColumn("n", F.row_number().over(Window.partitionBy("s_lang", F.pmod("h", F.lit(64))).orderBy("h", "s_id"))).where(F.col("n") <= max_docs)
-    ranked = parts.withColumn("n", F.row_number().over(Window.partitionBy("s_lang").orderBy("h", "s_id"))).where(F.col("n") <= max_docs)
-    sample = F.broadcast(ranked.orderBy("n", "h").limit(MAX_SAMPLE).select("s_id", "s_lang"))
+    # a language may hold most rows: the smallest hashes of each of 64 parts of it
+    own = Window.partitionBy("s_lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "s_id")
+    ranked = ids.withColumn("n", F.row_number().over(own)).where(F.col("n") <= max(1, max_docs // PARTS))
+    sample = F.broadcast(ranked.orderBy("n", "h").limit(MAX_SAMPLE).select("s_id", "s_lang"))  # two columns of MAX_SAMPLE rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
