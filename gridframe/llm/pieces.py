@@ -39,9 +39,9 @@ NONE = float("-inf")
 #: Characters of a chunk.
 CHUNK_CHARS = 32_768
 #: Stretches a worker remembers before it starts anew.
-MAX_STRETCHES = 250_000
+MAX_STRETCHES = 300_000
 #: And those it keeps when a task ends, first learned and so most common.
-KEPT_STRETCHES = 50_000
+KEPT_STRETCHES = 120_000
 
 #: A stop after a letter at a word's end; no piece holds the two together.
 STOP = re.compile(rf"(?<=[^\W\d_])([.,])(?=[{BLANK}\n]|\Z)")
