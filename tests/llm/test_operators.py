@@ -30,6 +30,13 @@ def test_quality_held_out(spark, larger):
     assert good.mean() > bad.mean() + 0.5
 
 
+def test_quality_reads_whole_texts():
+    rng = random.Random(3)
+    start = "".join(rng.choices("abcdefgh ", k=1 << 16))
+    plain, varied = "a" * (1 << 18), "".join(rng.choices("abcdefgh ", k=1 << 18))
+    assert quality.features(start + plain)[-2] < quality.features(start + varied)[-2] / 2
+
+
 def test_language_held_out(spark, larger):
     docs = read_table(spark, larger, "documents")
     got = language.query(spark, larger).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
