@@ -41,6 +41,8 @@ HEAD = struct.Struct("<4sBBHQQQ")
 SHARD_IDS = 4_000_000
 #: Words a worker remembers before it starts anew.
 MAX_WORDS = 800_000
+#: Shards whose bases (three numbers each) are broadcast; beyond, they meet by a shuffle.
+MAX_BROADCAST = 100_000
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -256,31 +258,37 @@ def write_shards(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     return materialize(encode_shards(docs, tokenizer, **options), "token-shards")
 
 
-def with_base(shards: DataFrame) -> DataFrame:
-    """Adds ``base``: ids in all shards before. Two levels, so no window spans the table."""
+def bases(shards: DataFrame) -> DataFrame:
+    """(b_part, b_seq, base): ids in all shards before. Two levels, so no window spans the table."""
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row for each range partition of the write, a number fixed by the session
     earlier = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     offsets = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("own"))
-    offsets = offsets.join(earlier, F.col("part") == F.col("p")).select(F.col("part").alias("b_part"), F.col("seq").alias("b_seq"), (F.col("own") + F.col("before")).alias("base"))
-    offsets = F.broadcast(offsets)  # three numbers a shard of about 8 MB: a millionth of the data
-    return shards.join(offsets, (F.col("part") == F.col("b_part")) & (F.col("seq") == F.col("b_seq"))).select("base", "shard_bytes")
+    return offsets.join(earlier, F.col("part") == F.col("p")).select(F.col("part").alias("b_part"), F.col("seq").alias("b_seq"), (F.col("own") + F.col("before")).alias("base"))
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32."""
+def read_documents(shards: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32.
+
+    A shard's base joins the few numbers of its documents, never its bytes: by
+    broadcast up to ``max_broadcast`` shards, by a shuffle of those numbers beyond.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data in zip(batch.column("base").to_pylist(), batch.column("shard_bytes")):
+            for part, seq, data in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("shard_bytes")):
                 shard = Shard(data.as_py())
                 ends = shard.ends.all()
                 starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 sums = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.doc_ids), "start": pa.array(starts + base, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(ends), pa.int32()), "seq": pa.array([seq] * len(ends), pa.int32()), "doc_id": pa.array(shard.doc_ids), "own": pa.array(starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
-    return with_base(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = shards.select("part", "seq", "shard_bytes").mapInArrow(run, "part int, seq int, doc_id long, own long, n_tokens long, ids_crc32 long")
+    base = bases(shards)
+    base = F.broadcast(base) if shards.count() <= max_broadcast else base.hint("merge")
+    met = found.join(base, (F.col("part") == F.col("b_part")) & (F.col("seq") == F.col("b_seq")))
+    return met.select("doc_id", (F.col("own") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def word_bpe_path() -> str:

@@ -113,6 +113,7 @@ def test_shards(spark, sf_dir):
         start += len(ids)
     shards = token_ids.write_shards(docs, token_ids.word_bpe_path(), partitions=3, shard_ids=5000)
     assert sorted(map(tuple, token_ids.read_documents(shards).collect())) == want
+    assert sorted(map(tuple, token_ids.read_documents(shards, max_broadcast=0).collect())) == want
     shard = token_ids.Shard(shards.orderBy("part", "seq").first()["shard_bytes"])
     assert len(shard.document(2)) == want[2][2] and shard.offsets(2)[0] == want[2][1]
 
