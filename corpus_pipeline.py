@@ -1,9 +1,10 @@
 """Corpus pipeline: five stages over ``documents``, each kept as a table.
 
 Language ID drops texts without an identified language; line dedup deletes later
-copies of lines; SimHash keeps the first document of each near-duplicate component;
-decontamination drops documents that hold a benchmark item; SentencePiece gives each
-document that is left its ids and proves that they decode to its text.
+copies of lines; of each component of near copies (similarity 0.8 by five-word
+shingles) the first document stays; decontamination drops documents that hold a
+benchmark item; SentencePiece gives each document that is left its ids and proves
+that they decode to its text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import decontaminate, language, line_dedup, pieces, simhash
+from gridframe.llm import decontaminate, language, line_dedup, near_copies, pieces
 from gridframe.llm.common import materialize, read_table
 
 
@@ -28,10 +29,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
-    found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    """The document with the smallest id of each component of similarity 0.8 or more, by five-word shingles."""
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).where("doc_id is not null"), "near-rows")
+    found = near_copies.near_copies(keyed.select(F.col("__row").alias("row"), "text"))
+    ids = keyed.select("__row", F.col("doc_id").alias("__id"))
+    found = materialize(found.join(ids, F.col("row") == F.col("__row")).select("__id", "root"), "near-found")
+    keep = found.groupBy("root").agg(F.min("__id").alias("__kept_id")).select("__kept_id").distinct()
+    return keyed.join(keep, keyed["doc_id"] == F.col("__kept_id"), "left_semi").drop("__row")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

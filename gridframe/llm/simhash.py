@@ -33,22 +33,26 @@ from .components import connected_components
 LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """SimHash of the word shingles' XXH64 (seed 42)."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle; of all words if they are fewer; 0 without words."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(1, np.uint64)
     joined = b" ".join(parts)
     h = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return h(joined, 42)
+        return np.array([h(joined, 42)], np.uint64)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())), np.uint64, len(parts) - words + 1)
-    return majority(hashes)
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())), np.uint64, len(parts) - words + 1)
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """SimHash of the word shingles' XXH64 (seed 42)."""
+    return majority(shingles(text, words))
 
 
 def majority(hashes: np.ndarray) -> int:
