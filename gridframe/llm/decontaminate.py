@@ -1,12 +1,15 @@
 """Benchmark decontamination by canonical templates.
 
 Words become templates: a number is a typed placeholder (with its unit, if one
-follows), a run of names is another, every other word is itself in lower case. Windows
-of template words are hashed; windows of documents meet those of benchmark items in a
-hash join. Windows on one diagonal (place in the document less place in the item) form
-an alignment, in which slots must be consistent: a value of the item stands for one
-value of the document throughout. So a question whose numbers and names were exchanged
-is found, and a text that only shares the template by chance is not.
+follows), a run of names is another, every other word is itself in lower case. A
+capitalised word at a sentence's start is read as a word, and also as a name if it is
+one elsewhere in its text. Windows of template words are hashed; windows of documents
+meet those of benchmark items in a hash join. Windows on neighbouring diagonals (place
+in the document less place in the item, differing by up to half of the item's windows)
+form an alignment, in which slots must be consistent: a value of the item stands for
+one value of the document throughout. So a question whose numbers and names were
+exchanged is found, also with words inserted or left out, and a text that only shares
+the template by chance is not.
 
 A document is contaminated by an item if a consistent alignment has at least
 ``min_coverage`` of the item's windows. The benchmark is the stated query set; it is
@@ -89,8 +92,13 @@ class Templates:
         self.value.append(value)
         return len(self.kind) - 1
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, hash, slot?, entry of the word) of each template word, in order."""
+    def readings(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text number, hash, slot?, entry of the word, place in the text, promoted?) of each template word, in order.
+
+        The first reading takes unknown words at a sentence's start as plain words. If some of
+        them are names elsewhere in their text, more often than they are lower-case words, a
+        second reading of those texts has them as names; places are those of the first.
+        """
         if len(self.known) > MAX_WORDS:
             self.forget()
         parts = [t.split() for t in texts]
@@ -102,21 +110,58 @@ class Templates:
         text = np.repeat(np.arange(len(texts)), sizes)
         text, entry = text[entry > 0], entry[entry > 0]
         if not len(entry):
-            return text, np.zeros(0, np.uint64), np.zeros(0, bool), entry
-        kind = np.array(self.kind, np.int8)[entry]
+            return [(text, np.zeros(0, np.uint64), np.zeros(0, bool), entry, text, np.zeros(0, bool))]
+        raw = np.array(self.kind, np.int8)[entry]
         ends = np.array(self.ends)[entry]
         before = np.concatenate(([False], (text[1:] == text[:-1])))  # the text goes on
         after_end = np.concatenate(([True], ends[:-1])) | ~before
-        kind = np.where(kind == CAPITAL, np.where(after_end, PLAIN, NAME), kind)
+        first = (raw == CAPITAL) & after_end
+        kind = np.where(raw == CAPITAL, np.where(after_end, PLAIN, NAME), raw)
+        lower = np.array(self.hash, np.uint64)[entry]
+        keep, hashes = self.template(kind, lower, before, np.zeros(len(kind), bool))
+        index = np.cumsum(keep) - 1
+        place = index - index[np.flatnonzero(~before)][text_runs(before)]
+        slots = (kind == NUM) | (kind == NAME)
+        out = [(text[keep], hashes[keep], slots[keep], entry[keep], place[keep], np.zeros(int(keep.sum()), bool))]
+        promoted = first & self.names_elsewhere(text, lower, raw, first)
+        if promoted.any():
+            some = np.isin(text, np.unique(text[promoted]))
+            kind = np.where(promoted, NAME, kind)[some]
+            keep, hashes = self.template(kind, lower[some], before[some], promoted[some])
+            slots = (kind == NUM) | (kind == NAME)
+            out.append((text[some][keep], hashes[keep], slots[keep], entry[some][keep], place[some][keep], promoted[some][keep]))
+        return out
+
+    @staticmethod
+    def template(kind: np.ndarray, lower: np.ndarray, before: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(kept?, hash) of each word; a word in ``apart`` starts a sentence and does not join the name before."""
         last = np.concatenate(([PLAIN], kind[:-1]))
         unit_after = (kind == UNIT) & before & (last == NUM)
-        name_after = (kind == NAME) & before & (last == NAME)
-        kind = np.where((kind == UNIT) & ~unit_after, PLAIN, kind)
-        keep = ~(unit_after | name_after)
-        hashes = np.array(self.hash, np.uint64)[entry]
+        name_after = (kind == NAME) & before & (last == NAME) & ~apart
+        hashes = lower.copy()
         for k, h in SLOT.items():
-            hashes[kind == k] = h
-        return text[keep], hashes[keep], ((kind == NUM) | (kind == NAME))[keep], entry[keep]
+            if k != UNIT:
+                hashes[kind == k] = h
+        return ~(unit_after | name_after), hashes
+
+    @staticmethod
+    def names_elsewhere(text: np.ndarray, lower: np.ndarray, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """True for words that are capitals inside sentences of their text more often than lower-case words."""
+        key = lower ^ (text.astype(np.uint64) + np.uint64(1)) * BASE
+        inside = (raw == CAPITAL) & ~first
+        asked = np.intersect1d(key[first], key[inside])
+        if not len(asked):
+            return np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+        met = asked[at] == key
+        names = np.bincount(at[met & inside], minlength=len(asked))
+        words = np.bincount(at[met & (raw == PLAIN)], minlength=len(asked))
+        return met & (names > words)[at]
+
+
+def text_runs(before: np.ndarray) -> np.ndarray:
+    """Number of the run, of words of one text, that each word is in."""
+    return np.cumsum(~before) - 1
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -137,49 +182,82 @@ class Benchmark:
         templates = Templates()
         self.total: dict[int, int] = {}
         table = defaultdict(lambda: defaultdict(list))
-        for number, (item_id, text) in enumerate(items):
-            _, hashes, slots, entry = templates.read([text])
-            if len(hashes) < MIN_WORDS:
-                continue
-            size = min(window, len(hashes))
-            found = window_hashes(hashes, size)
-            self.total[number] = len(found)
-            for k, h in enumerate(found.tolist()):
-                table[size][h].append((number, k, tuple(templates.value[e] for e in entry[k : k + size][slots[k : k + size]])))
-        self.ids = [i for i, _ in items]
+        self.ids: list[int] = []
+        for item_id, text in items:
+            for _, hashes, slots, entry, _, _ in templates.readings([text]):  # each reading counts as an item
+                if len(hashes) < MIN_WORDS:
+                    continue
+                number = len(self.ids)
+                self.ids.append(item_id)
+                size = min(window, len(hashes))
+                found = window_hashes(hashes, size)
+                self.total[number] = len(found)
+                for k, h in enumerate(found.tolist()):
+                    table[size][h].append((number, k, tuple(templates.value[e] for e in entry[k : k + size][slots[k : k + size]])))
         self.sizes = {s: (np.array(sorted(t), np.uint64), dict(t)) for s, t in table.items()}
         self.maybe = {}
         for s, (hashes, _) in self.sizes.items():
             self.maybe[s] = np.zeros(1 << 20, bool)
             self.maybe[s][hashes >> np.uint64(44)] = True
 
-    def matches(self, templates: Templates, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(text number, item number, windows matched, slots exchanged) of the best consistent alignment."""
-        text, hashes, slots, entry = templates.read(texts)
-        starts = np.searchsorted(text, np.arange(len(texts)))
+    def matches(self, templates: Templates, texts: list[str], min_coverage: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, item number, windows matched, slots exchanged) of best consistent alignments with enough windows."""
         hits = defaultdict(lambda: defaultdict(dict))
-        for size, (known, table) in self.sizes.items():
-            found = window_hashes(hashes, size)
-            if not len(found):
-                continue
-            at = np.flatnonzero(self.maybe[size][found >> np.uint64(44)] & (text[: len(found)] == text[size - 1 :]))
-            at = at[np.isin(found[at], known)]
-            for p in at.tolist():
-                mine = tuple(templates.value[e] for e in entry[p : p + size][slots[p : p + size]])
-                place = p - int(starts[text[p]])
-                for number, k, theirs in table[int(found[p])]:
-                    hits[int(text[p]), number][place - k][k] = (theirs, mine)
+        for text, hashes, slots, entry, places, promoted in templates.readings(texts):
+            changed = np.concatenate(([0], np.cumsum(promoted)))
+            for size, (known, table) in self.sizes.items():
+                found = window_hashes(hashes, size)
+                if not len(found):
+                    continue
+                own = text[: len(found)] == text[size - 1 :]
+                if changed[-1]:  # the second reading: other windows are as in the first
+                    own &= changed[size:] > changed[: len(found)]
+                at = np.flatnonzero(self.maybe[size][found >> np.uint64(44)] & own)
+                at = at[np.isin(found[at], known)]
+                for p in at.tolist():
+                    mine = tuple(templates.value[e] for e in entry[p : p + size][slots[p : p + size]])
+                    place = int(places[p])
+                    for number, k, theirs in table[int(found[p])]:
+                        hits[int(text[p]), number][place - k].setdefault(k, (theirs, mine))
         for (doc, number), diagonals in hits.items():
-            best = (0, 0)
-            for windows in diagonals.values():
-                stands, count = {}, 0
-                for k in sorted(windows):
-                    pairs = list(zip(*windows[k]))
-                    if all(stands.get(a, b) == b for a, b in pairs) and len(dict(pairs)) == len(set(pairs)):
-                        stands.update(pairs)
-                        count += 1
-                best = max(best, (count, sum(a != b for a, b in stands.items())))
-            yield doc, number, *best
+            least = min_coverage * self.total[number]
+            if len(set().union(*diagonals.values())) < least:
+                continue
+            best = max(aligned([windows]) for windows in diagonals.values())
+            band = max(WINDOW, self.total[number] // 2)
+            order = sorted(diagonals)
+            end = 0
+            for start in range(len(order)):
+                reached, end = end, max(end, start + 1)
+                while end < len(order) and order[end] - order[start] <= band:
+                    end += 1
+                near = order[start:end]
+                if end > reached and len(near) > 1 and sum(len(diagonals[d]) for d in near) >= least:  # not inside the band before
+                    best = max(best, aligned([diagonals[d] for d in near], near))
+            if best[0] >= least:
+                yield doc, number, *best
+
+
+def aligned(diagonals: list[dict], numbers: list[int] | None = None) -> tuple[int, int]:
+    """(windows matched, slots exchanged) of a consistent alignment over neighbouring diagonals.
+
+    Windows of the item are taken in order, each at a later place than the one before,
+    on the diagonal next to the one before if several have it.
+    """
+    numbers = numbers or [0]
+    stands, count, at, last = {}, 0, None, None
+    having = defaultdict(list)
+    for d, windows in zip(numbers, diagonals):
+        for k in windows:
+            having[k].append((d, windows[k]))
+    for k in sorted(having):
+        for d, (theirs, mine) in sorted(having[k], key=lambda x: (0 if at is None else abs(x[0] - at), x[0])):
+            pairs = list(zip(theirs, mine))
+            if (last is None or d + k > last) and all(stands.get(a, b) == b for a, b in pairs) and len(dict(pairs)) == len(set(pairs)):
+                stands.update(pairs)
+                count, at, last = count + 1, d, d + k
+                break
+    return count, sum(a != b for a, b in stands.items())
 
 
 FOUND = "doc_id long, item_id long, n_matched int, n_windows int, coverage double, n_exchanged int"
@@ -202,7 +280,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
             for whole in batches:
                 for batch in slices(whole):
                     ids = batch.column("id").to_pylist()
-                    got = [(ids[d], bench.ids[i], n, bench.total[i], n / bench.total[i], x) for d, i, n, x in bench.matches(templates, batch.column("text").to_pylist()) if n >= min_coverage * bench.total[i]]
+                    got = [(ids[d], bench.ids[i], n, bench.total[i], n / bench.total[i], x) for d, i, n, x in bench.matches(templates, batch.column("text").to_pylist(), min_coverage)]
                     if got:
                         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
