@@ -1,10 +1,15 @@
 """License scan by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (lower case, letters and digits
-only) and mapped to identifiers of known licence sentences by an equality join; the
-identifier sequence of a document is then matched against ordered rules: at each
-sentence the first rule counts whose identifiers follow there, with at most ``MAX_GAP``
-other sentences among them. A match inside an earlier, longer one is dropped.
+Texts are cut into sentences at sentence ends and blank lines (also lines without a
+letter or digit, such as empty comment lines; not between ``v.`` and a number), and
+sentences into pieces at line ends, ``;`` and ``:``. Pieces are normalised (lower case,
+letters and digits only); one piece, or several that follow each other in a sentence,
+whose words are those of a known licence sentence get its identifier, so wrapped texts and
+sentences that stand between semicolons are known, too. The identifier sequence of a
+document is then matched against ordered rules: at each place the first rule counts
+whose identifiers follow there, with at most ``MAX_GAP`` other sentences among them. A
+match inside an earlier, longer one is dropped. ``first_sentence`` counts line and
+sentence ends before the match.
 
 The tables of sentences and rules are fixed and small, so they are broadcast. Only
 texts that hold a word every known sentence has one of are cut at all. DataFrame
@@ -17,7 +22,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -70,23 +75,56 @@ VALUES = {
 }
 
 
+#: Pieces of a known sentence at most, as each holds a word.
+MOST_WORDS = max(len(s.split()) for s in SENTENCES.values())
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text; each is lines of their number, a tab, and words with ``;`` and ``:``."""
+    plain = F.translate(text, "\x01", "\x02")  # a sign of our own for the start of a sentence
+    cut = F.regexp_replace(plain, r"([.!?])\s+", "$1\n\n")
+    cut = F.regexp_replace(cut, r"(?i)(\bv\.)\n\n(?=[^a-z0-9\n]*\d)", "$1\n")
+    lines = F.split(F.regexp_replace(cut, r"\n\n+", "\n\x01"), "\n")
+
+    def line(x: Column, i: Column) -> Column:
+        words = F.regexp_replace(F.lower(x), "[^a-z0-9;:]+", " ")
+        own = F.concat(i.cast("string"), F.lit("\t"), words)
+        return F.when(~words.rlike("[a-z0-9]"), "\x01").when(x.startswith("\x01"), F.concat(F.lit("\x01"), own)).otherwise(own)
+
+    return F.split(F.array_join(F.transform(lines, line), "\n"), "\x01")
+
+
+def pieces_of(line: Column) -> Column:
+    """(line, words) of each piece of a line that holds a word."""
+    number = F.split_part(line, F.lit("\t"), F.lit(1)).cast("int")
+    parts = F.transform(F.split(F.split_part(line, F.lit("\t"), F.lit(2)), "[;:]"), lambda p: F.trim(p))
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(number.alias("line"), p.alias("words")))
+
+
 def scan(docs: DataFrame, max_gap: int = MAX_GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, rule, first_sentence, n_sentences): every rule recognised, in place."""
     spark = docs.sparkSession
     known = spark.sql(f"SELECT * FROM VALUES {VALUES['sentences']} AS t(sid, known)")
     rules = spark.sql(f"SELECT * FROM VALUES {VALUES['rules']} AS t(rule, license, n_rule, first_sid, sids)")
     text = F.col(text_col)
-    some = docs.where(F.lower(text).rlike(ANCHORS)).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n+")).alias("place", "sentence"))
-    normal = F.trim(F.regexp_replace(F.lower("sentence"), "[^a-z0-9]+", " "))
-    hits = some.select("id", "place", normal.alias("normal")).join(F.broadcast(known), F.col("normal") == F.col("known")).select("id", "place", "sid")
+    some = docs.where(F.lower(text).rlike(ANCHORS)).select(F.col(id_col).alias("id"), F.posexplode(sentences(text)).alias("sentence", "s"))
+    pieces = some.select("id", "sentence", F.flatten(F.transform(F.split("s", "\n"), pieces_of)).alias("pieces")).where(F.size("pieces") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.split_part(F.get("pieces", i)["words"], F.lit(" "), F.lit(1)).isin(sorted({k.split()[0] for k in SENTENCES.values()})))
+    begun = pieces.select("id", "sentence", "pieces", F.explode(starts).alias("at"))
+    begun = begun.select("id", "sentence", "at", F.get("pieces", F.col("at"))["line"].alias("line"), F.transform(F.slice("pieces", F.col("at") + 1, MOST_WORDS), lambda p: p["words"]).alias("ahead"))
+    # a known sentence that is so many whole pieces: all pieces hold a word
+    begins = F.array_join("ahead", " ").startswith(F.col("known")) & (F.split_part(F.get("ahead", F.lit(0)), F.lit(" "), F.lit(1)) == F.col("known_first"))
+    whole = F.exists(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.array_join(F.slice("ahead", 1, n), " ") == F.col("known"))
+    hits = begun.join(F.broadcast(known.withColumn("known_first", F.split_part("known", F.lit(" "), F.lit(1)))), begins).where(whole)
+    hits = hits.select("id", F.struct("sentence", "at").alias("place"), "line", "sid")
     ahead = Window.partitionBy("id").orderBy("place", "sid").rowsBetween(0, LONGEST - 1)
-    runs = hits.select("id", "place", "sid", F.collect_list("sid").over(ahead).alias("next"), F.collect_list("place").over(ahead).alias("places"))
-    fits = (F.array_join(F.slice("next", 1, F.col("n_rule")).cast("array<string>"), " ") == F.col("sids")) & (F.get("places", F.col("n_rule") - 1) - F.col("place") < F.col("n_rule") + max_gap)
+    runs = hits.select("id", "place", "sid", "line", F.collect_list("sid").over(ahead).alias("next"), F.collect_list("place").over(ahead).alias("places"))
+    fits = (F.array_join(F.slice("next", 1, F.col("n_rule")).cast("array<string>"), " ") == F.col("sids")) & (F.get("places", F.col("n_rule") - 1)["sentence"] - F.col("place.sentence") < F.col("n_rule") + max_gap)
     met = runs.join(F.broadcast(rules), F.col("sid") == F.col("first_sid")).where(fits)
-    best = met.groupBy("id", "place").agg(F.min(F.struct("rule", "license", "n_rule", F.get("places", F.col("n_rule") - 1).alias("last"))).alias("m")).select("id", "place", "m.*")
+    best = met.groupBy("id", "place").agg(F.min(F.struct("rule", "license", "n_rule", "line", F.get("places", F.col("n_rule") - 1).alias("last"))).alias("m")).select("id", "place", "m.*")
     before = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     free = best.withColumn("reached", F.max("last").over(before)).where(F.col("reached").isNull() | (F.col("last") > F.col("reached")))
-    return free.select("id", "license", "rule", F.col("place").alias("first_sentence"), F.col("n_rule").alias("n_sentences"))
+    return free.select("id", "license", "rule", F.col("line").alias("first_sentence"), F.col("n_rule").alias("n_sentences"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
