@@ -186,18 +186,23 @@ class LanguageModel:
         return labels
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """(language, score, mean posterior of all words along the path) of each text."""
         if not self.langs:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, 0.0)] * len(texts)
         out = []
         for labels, logs, size in self.paths(texts):
             if not len(labels):
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, 0.0))
                 continue
             share = np.bincount(labels, weights=size, minlength=len(self.langs))
             top = int(share.argmax())
             mine = labels == top
             sure = float((np.exp(logs[mine, top]) * size[mine]).sum() / size[mine].sum())
-            out.append((self.langs[top], float(share[top] / share.sum()) * (0.5 + 0.5 * sure)))
+            path = float((np.exp(logs[np.arange(len(labels)), labels]) * size).sum() / size.sum())
+            out.append((self.langs[top], float(share[top] / share.sum()) * (0.5 + 0.5 * sure), path))
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -256,12 +261,16 @@ def predict(docs: DataFrame, fitted: LanguageModel) -> DataFrame:
     return text_rows(docs).withColumn("held_out", held_out("id", 4, 2)).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: Texts below this score, or without a language, are rejected.
+#: Texts without a language are rejected, and those below this in both score and mean posterior.
 MIN_SCORE = 0.5
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Rows of ``docs`` whose language is identified, all columns as they were."""
+    """Rows of ``docs`` whose language, or languages, are identified, all columns as they were.
+
+    The score holds the share of one language; a text of several is kept if the words
+    are certain along the path.
+    """
     fitted = fit(docs)
     fitted.forget()
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
@@ -271,7 +280,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in sent.value.predict(texts)], pa.bool_()))
+                yield batch.filter(pa.array([lang != "und" and max(score, path) >= min_score for lang, score, path in sent.value.judge(texts)], pa.bool_()))
         sent.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
