@@ -29,13 +29,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similarity 0.8 or more, by five-word shingles."""
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).where("doc_id is not null"), "near-rows")
+    """One row of each component of similarity 0.8 or more, by five-word shingles.
+
+    It is the one with the smallest id, null ids last; rows are told apart by a key of their
+    own, so rows with a null id count like others and repeated rows leave one.
+    """
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     found = near_copies.near_copies(keyed.select(F.col("__row").alias("row"), "text"))
     ids = keyed.select("__row", F.col("doc_id").alias("__id"))
-    found = materialize(found.join(ids, F.col("row") == F.col("__row")).select("__id", "root"), "near-found")
-    keep = found.groupBy("root").agg(F.min("__id").alias("__kept_id")).select("__kept_id").distinct()
-    return keyed.join(keep, keyed["doc_id"] == F.col("__kept_id"), "left_semi").drop("__row")
+    found = materialize(found.join(ids, F.col("row") == F.col("__row")).select("row", "__id", "root"), "near-found")
+    first = F.min(F.struct(F.col("__id").isNull(), "__id", "row").alias("f"))
+    keep = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__kept_row"))
+    return keyed.join(keep, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from gridframe.llm import simhash
+from gridframe.llm.common import read_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -49,3 +50,16 @@ def test_stage(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(want)
     assert all(r["text"] == texts[r["doc_id"]] for r in got)
+
+
+def test_null_and_repeated_ids(spark, sf_dir):
+    rng = random.Random(6)
+    text = [" ".join(f"v{rng.randrange(3000)}" for _ in range(60)) for _ in range(5)]
+    rows = [(None, text[0]), (None, text[1]), (7, text[1]), (3, text[2]), (3, text[2]), (3, text[3]), (None, text[4]), (None, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, text[0]), (7, text[1]), (3, text[2]), (3, text[3]), (0, text[4])])
+    leak = read_table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    docs = docs.union(spark.createDataFrame([(None, f"Before it. {leak} After it.", "en", "s", 9)], SCHEMA))
+    left = corpus_pipeline.decontaminate_benchmark(spark, docs, sf_dir).collect()
+    assert len(left) == len(rows) and not any(leak in r["text"] for r in left)
