@@ -275,8 +275,58 @@ def model():
     return pieces.model(pieces.piece_path())
 
 
-def test_pieces_are_best(model):
-    """The library's unigram search over the same pieces and scores finds no better sum."""
+def library_ids(texts):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.piece_path()).encode(texts)
+
+
+ODD_TEXTS = ["the " * 60, "a" * 150, "  a   b\n\n c ", "日本語のテキスト" * 20, "\n\n\n", "Thingonhe, ciónmente.\nQue ñ" * 9, "x" * 16 + " " * 40 + "y", "", " ", "=" * 90 + "\t" * 5, "\u2581a \u2581", "🙂é́" * 9]
+
+
+@pytest.mark.parametrize("chunk_chars", [300, pieces.CHUNK_CHARS])
+def test_ids_are_the_librarys(spark, larger, chunk_chars):
+    """On every document, cut or whole."""
+    docs = read_table(spark, larger, "documents").select("doc_id", "text")
+    rows = {r["doc_id"]: r for r in pieces.encode(docs, pieces.piece_path(), chunk_chars).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = dict(zip(texts, library_ids(list(texts.values()))))
+    assert {i: np.frombuffer(r["ids"], "<u2").tolist() for i, r in rows.items()} == want
+    assert all(r["n_tokens"] == len(want[i]) and r["text"] == texts[i] for i, r in rows.items())
+
+
+def joined(model, normal, chunk):
+    """Ids of a text through its chunks' matrices."""
+    cut = list(model.cut(normal, chunk))
+    if not cut:
+        return b"", 0.0
+    states, total = pieces.boundaries([pieces.loaded(pieces.dumped(model.transfer(*c))) for c in cut])
+    return b"".join(model.backtrace(*c, states[k], states[k + 1]) for k, c in enumerate(cut)), total
+
+
+@pytest.mark.parametrize("chunk", [7, 16, 33, 100, 32_768])
+def test_chunks(model, chunk):
+    rng = random.Random(chunk)
+    parts = ["a", "b", "e", "t", "h", " ", "  ", "the", "in", "er", "日", "é", "\n", ".", ",", "==", "-", "ing", "▁", "1", "\t", "S", "tion", "ñ"]
+    texts = ODD_TEXTS + ["".join(rng.choices(parts, k=rng.randrange(1, 120))) for _ in range(300)] + ["thein" * 9000, "".join(rng.choices("abcdefghij", k=40_000))]
+    for text, want in zip(texts, library_ids(texts)):
+        ids, total = joined(model, model.normal(text), chunk)
+        assert np.frombuffer(ids, model.kind).tolist() == want == np.frombuffer(model.encode(model.normal(text)), model.kind).tolist(), text
+        assert total == 0 and (model.decode(ids) == text or "▁" in text)
+
+
+def test_allowed_pairs(model):
+    """Undoing merges agrees with merging the pair's joined text."""
+    rng = random.Random(5)
+    some = rng.sample(sorted(model.pieces), 600) + ["▁" * k for k in range(1, 17) if "▁" * k in model.pieces]
+    for _ in range(20_000):
+        a, b = rng.choice(some), rng.choice(some)
+        assert model.allowed(a, b) == (model.merged(a + b)[0] == [a, b]), (a, b)
+
+
+@pytest.mark.parametrize("chunk", [7, 33, 32_768])
+def test_sum_model(chunk):
+    """Read as a unigram model, the library finds no better sum."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -285,21 +335,11 @@ def test_pieces_are_best(model):
         m.ParseFromString(file.read())
     m.trainer_spec.model_type = 1
     library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-    for word in ["thingonhe", "Ciónmenteueó", "unbelievable,", "heißt", "aaaaaaaaaaaaaaaaa", "x.y(z);", "a b c", "don't stop"]:
-        want = sum(m.pieces[i].score for i in library.encode(word))
-        assert abs(model.score(model.encode(model.normal(word))) - want) < 1e-3
-
-
-@pytest.mark.parametrize("chunk", [7, 16, 33, 100])
-def test_chunks(model, chunk):
-    texts = ["the " * 60, "a" * 150, "  a   b\n\n c ", "日本語のテキスト" * 20, "\n\n\n", "Thingonhe, ciónmente.\nQue ñ" * 9, "x" * 16 + " " * 40 + "y"]
-    for text in texts:
-        normal = model.normal(text)
-        cut = [(normal[k : k + chunk], normal[k + chunk : k + chunk + model.longest]) for k in range(0, len(normal), chunk)]
-        states, total = pieces.boundaries([model.transfer(*c) for c in cut])
-        ids = b"".join(model.backtrace(*c, states[k], states[k + 1]) for k, c in enumerate(cut))
-        assert total == model.score(ids) == model.score(model.encode(normal))
-        assert model.decode(ids) == text
+    model = pieces.open_model(pieces.piece_path(), 1)
+    for text in ["thingonhe", "Ciónmenteueó", "unbelievable,", "heißt", "aaaaaaaaaaaaaaaaa", "x.y(z);", "a b c", "don't stop", "Thingonhe, ciónmente.\nQue ñ" * 9]:
+        want = sum(m.pieces[i].score for i in library.encode(text))
+        ids, total = joined(model, model.normal(text), chunk)
+        assert abs(total - want) < 1e-3 and abs(model.score(ids) - want) < 1e-3 and model.decode(ids) == text
 
 
 def test_scan_is_associative():
