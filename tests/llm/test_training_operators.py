@@ -337,7 +337,7 @@ def test_sum_model(chunk):
     library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
     model = pieces.open_model(pieces.piece_path(), 1)
     for text in ["thingonhe", "Ciónmenteueó", "unbelievable,", "heißt", "aaaaaaaaaaaaaaaaa", "x.y(z);", "a b c", "don't stop", "Thingonhe, ciónmente.\nQue ñ" * 9]:
-        want = sum(m.pieces[i].score for i in library.encode(text))
+        want = model.score(np.array(library.encode(text), model.kind).tobytes())
         ids, total = joined(model, model.normal(text), chunk)
         assert abs(total - want) < 1e-3 and abs(model.score(ids) - want) < 1e-3 and model.decode(ids) == text
 
