@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridframe.llm import decontaminate, html_text, language, licenses, line_dedup, nearest, pieces, quality, queries, simhash, token_ids
+from gridframe.llm import decontaminate, html_text, language, license_rules, licenses, line_dedup, nearest, pieces, quality, queries, simhash, token_ids
 from gridframe.llm.common import read_table
 
 
@@ -188,17 +188,27 @@ def test_line_runs_brute(spark, min_chars):
 
 
 def test_license_rules(spark):
-    sentences = {k: s for k, s in licenses.SENTENCES.items()}
-    text = f"Intro.\n{sentences[11]}:\nCopyright me.\n{sentences[12].upper()};\n{sentences[13]}.\nThen. Released under the MIT License. More."
-    got = [(r["license"], r["n_sentences"]) for r in licenses.scan(spark.createDataFrame([(1, text), (2, "no licence here")], "doc_id long, text string")).orderBy("first_sentence").collect()]
+    known = license_rules.SENTENCES
+    text = f"Intro.\n{known['bsd grant']}:\nCopyright me.\n{known['bsd source'].upper()};\n{known['bsd binary']}.\nThen. Released under the MIT License. More."
+    got = [(r["license"], r["n_sentences"]) for r in licenses.scan(spark.createDataFrame([(1, text), (2, "no licence here")], "doc_id long, text string")).orderBy("first_word").collect()]
     assert got == [("BSD-2-Clause", 3), ("MIT", 1)]
 
 
 def test_license_anchors():
     import re
 
-    assert all(re.search(licenses.ANCHORS, s) for s in licenses.SENTENCES.values())
-    assert all(i in licenses.SENTENCES for _, ids in licenses.RULES for i in ids)
+    assert all(re.search(licenses.ANCHORS, s) for s in license_rules.SENTENCES.values())
+    assert all(re.search(licenses.ANCHORS, f"{p}{name}") for p in license_rules.PREFIXES for _, name in license_rules.PHRASES)
+    assert {i for _, ids in license_rules.RULES for i in ids} == {*license_rules.SID.values(), *license_rules.NAME_SID.values()}
+
+
+def test_license_gaps(spark):
+    """Other sentences, also known ones, may stand between those of a rule, up to a number of words."""
+    known = license_rules.SENTENCES
+    near, far = ("filler words here. " * k for k in (30, 40))
+    texts = {1: f"{known['mit grant']}. {near}Licensed under ISC. {known['mit notice']}.", 2: f"{known['mit grant']}. {far}{known['mit notice']}."}
+    got = sorted((r["id"], r["license"], r["n_sentences"]) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert got == [(1, "MIT", 2), (2, "MIT", 1)]
 
 
 # ------------------------------------------------------------ 8: SimHash

@@ -20,6 +20,54 @@ TEXTS = {
 }
 
 
+#: Beginnings of the texts as they are published.
+FULL = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+""" + "\n\n".join(MIT) + """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) 2020, Somebody
+
+""" + "\n\n".join(BSD[:3]) + """
+
+3. Neither the name of Some Body Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "GPL-3.0": """GNU GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007
+
+Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+Preamble
+
+The GNU General Public License is a free, copyleft license for software and other kinds of works.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+}
+
+
+def test_full_texts(spark):
+    """Wrapped or not, the whole text is one match, and a repeated row gives it again."""
+    rows = []
+    for name, text in FULL.items():
+        for width in (60, 78, 10_000):
+            wrapped = "\n\n".join(p if p.startswith("GNU") else textwrap.fill(p, width) for p in text.split("\n\n"))
+            rows += [(name, wrapped), (name, wrapped)]
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, "name string, text string"), id_col="name").select("id", "license").collect()))
+    assert got == sorted((name, name) for name, _ in rows)
+
+
 def test_wrapped(spark):
     rows, want = [], {}
     for name, (paragraphs, n) in TEXTS.items():
@@ -38,6 +86,6 @@ def test_wrapped(spark):
         want[len(rows)] = found
         rows.append((len(rows), text))
     got = {i: [] for i in want}
-    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("id", "first_sentence").collect():
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("id", "first_word").collect():
         got[r["id"]].append((r["license"], r["n_sentences"]))
     assert got == want
