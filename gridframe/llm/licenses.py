@@ -39,7 +39,7 @@ ANCHORS = r"licen|permission|redistribut|permitted|public domain|provided|misrep
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Patterns of the normal form, in order, and what they become; "|" is a hard cut, a line end a soft one.
 STEPS = [
-    (r"(^|[^a-z0-9])v\.[ \t\r\n]+([0-9])", "{1}v {2}"),
+    (r"(^|[^a-z0-9])v\.[ \t\r\n#*/]+([0-9])", "{1}v {2}"),
     (r"(^|[^a-z0-9])(inc|ltd|corp|co|llc|dr|mr|mrs|ms|no|st)\.", "{1}{2} "),
     (r"[.!?]+[\"')\]]*([ \t\r\n]|\z)", "|"),
     (r"\n[^a-z0-9\n]*\n", "|"),

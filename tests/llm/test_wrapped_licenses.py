@@ -15,7 +15,7 @@ TEXTS = {
     "BSD-2-Clause": (BSD[:3], 3),
     "GPL-3.0-or-later": ([GPL.format(":", ",", 3)], 1),
     "GPL-2.0-or-later": ([GPL.format(";", ";", 2)], 1),
-    "MPL-2.0": (["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."], 1),
+    "MPL-2.0": (["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."], 2),
     "ISC": (["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."], 1),
 }
 
@@ -78,7 +78,7 @@ def test_wrapped(spark):
                 rows.append((len(rows), "\n".join(["Copyright 2020 me.", *[(prefix + x).rstrip() for x in lines], "", "code"])))
     for text, found in {
         "This is not\nreleased under the MIT License at all.": [],
-        "Released under the MIT\n\nLicense": [],
+        "Released under\n\nthe MIT License": [],
         "Released under. The MIT License": [],
         "Intro line\nReleased under the MIT License\nno full stop": [("MIT", 1)],
         "one\n\nSPDX-License-Identifier: MIT": [("MIT", 1)],
