@@ -1,20 +1,30 @@
 """Main text of web pages, with a suffix array over each host's token streams.
 
-A page is cut into blocks. Markup settles most of them: what stands in ``article`` or
-``main`` is content, what stands in menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts or styles is not. Blocks that markup does not settle
-(pages without a content element) are decided by repetition: the token streams of all
-pages of a host are concatenated and their suffixes ordered by the first ``min_tokens``
-tokens; an interval of equal suffixes that holds ``min_pages`` distinct pages is a long
-repeated substring. Tokens it covers are boilerplate, blocks covered for the greater
-part go, and unique runs stay. The suffix array is kept to that depth: deeper order
-changes no covering, and an interval is a group, so it is counted by partial
-aggregation and a hot host or a notice on every page stays spread out.
+A page is cut into blocks. Markup settles two kinds: what stands in ``article`` or
+``main`` is content and stays; what stands in menus, headers, footers, sidebars, adverts,
+forms, comments and the like goes. Everything else is decided by repetition: blocks
+outside of the article, blocks of pages without one, and blocks in the article whose class
+only hints at boilerplate.
+
+The token streams of all that is outside the settled article, on every page, are
+concatenated by host. Prefix doubling names the suffixes by their first 3, 6, 12, ...
+tokens; equal names are an interval of the suffix array whose longest common prefix is at
+least that long, and only intervals on ``min_pages`` distinct pages of the host go on to the
+next level. Covered are the tokens of all repeated substrings of ``long_tokens`` or more on so
+many pages, and of ``min_tokens`` or more if they are also on the share ``host_share`` of
+the host's pages, so that common phrases of a large host are no boilerplate. Covered
+tokens are removed, unique runs stay in their place. Blocks that markup removes
+take part, so a menu or notice that one page marks is also known where another does not.
+
+Pages of a host with the same stream are one row of the array with their number, so a
+template costs once whatever the size of its host. Intervals are counted by partial
+aggregation, so a notice on every page of a hot host is no hot key.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its
-own name ""; repeated rows are pages of their own, so a page that occurs twice word for
-word does not make itself boilerplate (pages with the same token stream count once); an
-empty table gives an empty result.
+own name ""; pages with the same html are one page for counting, so a page that occurs
+twice does not make itself boilerplate, and repeated rows give repeated results; very long
+pages are read whole; extra columns of any name are left aside; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,79 +34,105 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, slices
 
+#: Tokens of a repeat that counts if it is on so many pages and on this share of its host's pages.
 MIN_TOKENS = 6
 MIN_PAGES = 3
+HOST_SHARE = 0.05
+#: Tokens of a repeat that counts on so few pages of any host.
+LONG_TOKENS = 24
+#: Covered ranges that are broadcast to their pages; more are joined by a shuffle.
+MAX_BROADCAST = 500_000
+CONTENT, LOOSE, MARKED, DOUBTFUL = 0, 1, 2, 3
 
-#: Elements and words of class, id and role that hold no main text (fixed values).
+#: Elements that hold no main text (fixed values).
 DROPPED = set("nav footer aside form script style noscript template iframe object embed button select option textarea input label fieldset svg canvas video audio dialog menu head title".split())
+#: Elements whose content is no text at all (fixed values).
 RAW = set("script style textarea title noscript template iframe svg".split())
-DROPPED_WORDS = set("nav navbar navigation menu menubar sidebar footer masthead ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended widget toolbar pagination pager copyright contentinfo complementary search skip".split())
+#: Whole words of class and id, and roles, that say what an element is (fixed values).
+SURE = set("nav navbar navigation menu menubar sidebar footer masthead ad ads adv advert adverts advertisement advertisements sponsored promo cookie cookies cookie-notice cookie-banner cookie-consent cookie-bar consent gdpr newsletter newsletter-signup subscribe subscribe-box signup login popup modal overlay breadcrumb breadcrumbs comment comments comment-list comment-form comments-area comments-section disqus disqus_thread reply replies share sharing share-buttons social social-share toolbar pagination pager copyright site-header site-footer site-nav main-nav main-menu nav-menu ad-slot ad-banner ad-container widget widgets related-posts related-articles recommended contentinfo complementary".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+#: Words and parts of words of class and id that only hint at it (fixed values).
+HINTS = set("nav navbar navigation menu menubar sidebar footer header masthead ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended widget toolbar pagination pager copyright search skip".split())
 BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul option center".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SPACES = {"br", "td", "th", "wbr", "img"}
 #: Start tags that end an open element of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
+SCOPES = {"article", "main", "div", "section", "body", "table", "ul", "ol", "blockquote"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z]+")
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
+
+
+def judged(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """(CONTENT, DOUBTFUL or MARKED as the start tag says; whether it opens the main text)."""
+    names = {}
+    if attributes:
+        for name, *values in ATTRIBUTE.findall(attributes):
+            names.setdefault(name.lower(), "".join(values).lower())
+    role = names.get("role", "")
+    opens = tag in ("article", "main") or role in ("main", "article")
+    if names.get("aria-hidden") == "true" or HIDDEN_STYLE.search(names.get("style", "")) or attributes and HIDDEN.search(ATTRIBUTE.sub(" ", attributes)):
+        return MARKED, False
+    if opens and not inside:
+        return CONTENT, True
+    if tag in DROPPED or role in ROLES or tag == "header" and not inside:
+        return MARKED, False
+    if tag in ("body", "html"):
+        return CONTENT, False
+    words = f"{names.get('class', '')} {names.get('id', '')}".split()
+    if not SURE.isdisjoint(words):
+        return MARKED, False
+    if words and tag in BLOCKS and not HINTS.isdisjoint(WORD.findall(" ".join(words))):
+        return DOUBTFUL, opens
+    return CONTENT, opens
 
 
-def is_dropped(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
-    if tag in ("article", "main", "body", "html") or not attributes:
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id", "role") and not DROPPED_WORDS.isdisjoint(WORD.findall(value)):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not inside and "header" in WORD.findall(value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", attributes)))
-
-
-def blocks(page: str) -> tuple[list[str], list[str]]:
-    """(content blocks, blocks that markup does not settle), in page order."""
-    content: list[str] = []
-    loose: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, content
+def blocks(page: str) -> list[tuple[int, str]]:
+    """(CONTENT, LOOSE or MARKED, text) of each block, in page order."""
+    found: list[tuple[int, str]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, judged, inside the main text
     pieces: list[str] = []
-    dropped = inside = False
+    aside: list[str] = []
+    state, inside, opened = CONTENT, False, False
 
     def flush() -> None:
-        if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
-            pieces.clear()
-            if text:
-                (content if inside else loose).append(text)
+        kind = CONTENT if inside else LOOSE
+        if state == DOUBTFUL:
+            kind = LOOSE if inside else DOUBTFUL
+        for kind, texts in ((kind, pieces), (MARKED, aside)):
+            if texts:
+                text = " ".join(entities.unescape("".join(texts)).split())
+                texts.clear()
+                if text:
+                    found.append((kind, text))
 
     def pop_to(k: int) -> None:
-        nonlocal dropped, inside
+        nonlocal state, inside
         flush()
         del stack[k:]
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        state, inside = (stack[-1][1], stack[-1][2]) if stack else (CONTENT, False)
 
     at, size = 0, len(page)
     while at < size:
         token = TOKEN.match(page, at)
         if token is None:  # "<" of a tag that never ends
-            if not dropped and page[at] != "<":
-                pieces.append(page[at])
+            if page[at] != "<":
+                (aside if state == MARKED else pieces).append(page[at])
             at += 1
             continue
         at = token.end()
         text = token[4]
         if text is not None:
-            if not dropped:
-                pieces.append(text if text != "<" else "&lt;")
+            (aside if state == MARKED else pieces).append(text if text != "<" else "&lt;")
             continue
         tag = token[2]
         if tag is None:
@@ -105,15 +141,11 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
         if token[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag in BLOCKS or stack[k][1] != dropped or any(s[0] in BLOCKS for s in stack[k:]):
-                        if tag in BLOCKS or tag in DROPPED:
-                            pop_to(k)
-                        elif not any(s[0] in BLOCKS for s in stack[k + 1 :]):
-                            was = stack[k - 1][1] if k else False
-                            del stack[k:]
-                            dropped = was
-                    else:
-                        del stack[k]
+                    if tag in BLOCKS or tag in DROPPED and stack[k][1] == MARKED and k and stack[k - 1][1] == MARKED:
+                        pop_to(k)
+                    elif not any(s[0] in BLOCKS for s in stack[k + 1 :]):
+                        del stack[k:]
+                        state, inside = (stack[-1][1], stack[-1][2]) if stack else (CONTENT, False)
                     break
             continue
         if tag in BLOCKS:
@@ -121,76 +153,173 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
                 if stack[k][0] in ENDS.get(tag, ()) or stack[k][0] == "p":
                     pop_to(k)
                     break
-                if stack[k][0] in ("article", "main", "div", "section", "body", "table", "ul", "ol", "blockquote"):
+                if stack[k][0] in SCOPES:
                     break
             flush()
-        elif tag in SPACES and not dropped:
-            pieces.append(" ")
+        elif tag in SPACES:
+            (aside if state == MARKED else pieces).append(" ")
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        opens = tag in ("article", "main")
-        drops = is_dropped(tag, token[3], inside) or (dropped and not (opens and not inside))
-        if opens:
-            words = [w for n, *v in ATTRIBUTE.findall(token[3]) if n.lower() in ("class", "id") for w in WORD.findall("".join(v).lower())]
-            drops = not DROPPED_WORDS.isdisjoint(words)
-        stack.append((tag, drops, (inside or opens) and not drops))
-        dropped, inside = stack[-1][1], stack[-1][2]
+        own, opens = judged(tag, token[3], inside)
+        if opens and not opened:  # also inside of an element that was never closed
+            state, inside, opened = CONTENT, True, True
+        else:
+            state = MARKED if MARKED in (own, state) else max(own, state)
+            inside = (inside or opens) and state != MARKED
+        stack.append((tag, state, inside))
     flush()
-    return content, loose
+    settled = any(kind == CONTENT for kind, _ in found)
+    return [((MARKED if settled else LOOSE) if kind == DOUBTFUL else kind, text) for kind, text in found]
+
+
+#: Stands in a stream where the main text was.
+GAP = "\n"
+
+
+def outside(found: list[tuple[int, str]]) -> str:
+    """Token stream of the blocks that are not content."""
+    out: list[str] = []
+    for kind, text in found:
+        if kind != CONTENT:
+            out.append(text)
+        elif out and out[-1] != GAP:
+            out.append(GAP)
+    return " ".join(out[:-1] if out and out[-1] == GAP else out)
 
 
-PARSED = "page_id long, url string, host string, settled string, loose array<string>"
+def unique(found: list[tuple[int, str]], covered: list[tuple[int, int]]) -> str:
+    """Content, and what no range of covered tokens of the stream removes from loose blocks."""
+    out, at, gap, last = [], 0, False, len(covered)
+    k = 0
+    for kind, text in found:
+        if kind == CONTENT:
+            out.append(text)
+            gap = at > 0
+            continue
+        at += gap  # the token of the gap
+        gap = False
+        words = text.split(" ")
+        if kind == LOOSE:
+            left = []
+            j = k
+            for n, word in enumerate(words, at):
+                while j < last and covered[j][1] <= n:
+                    j += 1
+                if j == last or n < covered[j][0]:
+                    left.append(word)
+            if left:
+                out.append(" ".join(left))
+        at += len(words)
+        while k < last and covered[k][1] <= at:
+            k += 1
+    return "\n\n".join(out)
+
 
+def host_of(url):
+    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
-def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, settled, loose): settled text, or the blocks left to repetition."""
+
+def streams(own: DataFrame) -> DataFrame:
+    """(host, page, text, loose): what is outside the main text, and whether some of it is to be decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                settled, loose = [], []
-                for page in batch.column("html").to_pylist():
-                    sure, open_blocks = blocks(page or "")
-                    settled.append("\n\n".join(sure) if sure or not open_blocks else None)
-                    loose.append([] if sure else open_blocks)
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(settled, pa.string()), pa.array(loose, pa.list_(pa.string()))], names=["page_id", "url", "host", "settled", "loose"])
-
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").alias("html")).mapInArrow(run, PARSED)
-
-
-def unique_runs(loose: DataFrame, min_tokens: int, min_pages: int) -> DataFrame:
-    """(row, text): blocks of (row, host, loose) that no repeated substring covers for the greater part."""
-    tokens = loose.select("row", "host", F.posexplode("loose").alias("block", "words")).select("row", "host", "block", F.split("words", " ").alias("words"))
-    stream = F.xxhash64(F.concat_ws("\n", "loose"))
-    pages = loose.select(F.col("row").alias("p_row"), stream.alias("page"))
-    at = F.sequence(F.lit(0), F.size("words") - min_tokens)
-    heads = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, min_tokens))).alias("head")))
-    long_enough = tokens.where(F.size("words") >= min_tokens)
-    suffixes = long_enough.join(pages, F.col("row") == F.col("p_row")).select("row", "host", "page", "block", F.explode(heads).alias("s")).select("row", "host", "page", "block", "s.at", "s.head")
-    intervals = suffixes.groupBy("host", "head", "page").agg(F.lit(1).alias("one")).groupBy("host", "head").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    intervals = materialize(intervals.select(F.col("host").alias("i_host"), F.col("head").alias("i_head")), "page-intervals")
-    covered = suffixes.join(intervals, (F.col("host") == F.col("i_host")) & (F.col("head") == F.col("i_head"))).groupBy("row", "block").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-    covered = covered.select(F.col("row").alias("c_row"), F.col("block").alias("c_block"), F.size(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + min_tokens - 1))))).alias("n"))
-    kept = tokens.join(covered, (F.col("row") == F.col("c_row")) & (F.col("block") == F.col("c_block")), "left").where(2 * F.coalesce("n", F.lit(0)) <= F.size("words"))
-    runs = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("block", F.concat_ws(" ", "words").alias("t")))).alias("b"))
-    return runs.select(F.col("row").alias("k_row"), F.concat_ws("\n\n", F.transform("b", lambda x: x["t"])).alias("kept"))
-
-
-def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
+                found = [blocks(p) for p in batch.column("html").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "page": batch.column("page"), "text": pa.array(map(outside, found), pa.string()), "loose": [any(kind == LOOSE for kind, _ in f) for f in found]})
+
+    rows = own.where(F.col("html").isNotNull() & (F.col("html") != "")).select("host", "page", "html")
+    return rows.mapInArrow(run, "host string, page long, text string, loose boolean").where("text <> ''")
+
+
+def shared(suffixes: DataFrame, min_pages: int) -> DataFrame:
+    """Suffixes in the intervals (equal names) that lie on at least ``min_pages`` pages, and on how many: ``n``."""
+    once = suffixes.groupBy("h1", "h2", "stream").agg(F.first("pages").alias("pages"))  # however often in one stream
+    wide = once.groupBy("h1", "h2").agg(F.sum("pages").alias("n")).where(F.col("n") >= min_pages)
+    wide = materialize(wide.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "n"), "page-intervals")
+    return suffixes.join(wide, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).drop("w1", "w2")
+
+
+def doubled(suffixes: DataFrame, size: int) -> DataFrame:
+    """Names of ``2 * size`` tokens from those of ``size``."""
+    after = Window.partitionBy("stream").orderBy("at").rangeBetween(size, size)
+    pairs = suffixes.withColumn("b", F.first(F.struct("h1", "h2")).over(after)).where(F.col("b").isNotNull())
+    return pairs.select("stream", "pages", "least", "at", F.xxhash64("h1", "b.h1").alias("h1"), F.hash("h2", "b.h2").alias("h2"))
+
+
+def stream_classes(found: DataFrame, host_share: float) -> DataFrame:
+    """(stream, host, text, pages, least) of (host, text, page): different streams, pages they are on, pages a short repeat needs."""
+    once = found.groupBy("host", "text", "page").agg(F.lit(1).alias("one"))
+    classes = materialize(once.groupBy("host", "text").agg(F.count("*").alias("pages")), "page-streams")
+    hosts = materialize(classes.groupBy(F.col("host").alias("c_host")).agg(F.ceil(F.sum("pages") * host_share).alias("least")), "page-hosts")
+    return materialize(classes.join(hosts, F.col("host") == F.col("c_host")).select(F.monotonically_increasing_id().alias("stream"), "host", "text", "pages", "least"), "page-classes")
+
+
+def suffix_levels(classes: DataFrame, min_tokens: int, min_pages: int, long_tokens: int) -> list[tuple[int, DataFrame]]:
+    """(depth, suffixes (stream, pages, least, at, n) in intervals of that depth), from ``min_tokens`` to ``long_tokens``."""
+    size = min_tokens // 2
+    words = classes.select("stream", "host", "pages", "least", F.split("text", " ").alias("words")).where(F.size("words") >= size)
+    heads = words.select("stream", "host", "pages", "least", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
+    head = F.slice("words", F.col("at") + 1, size)
+    named = heads.where(~F.array_contains(head, GAP)).select("stream", "pages", "least", "at", F.xxhash64("host", head).alias("h1"), F.hash("host", head).alias("h2"))
+    level, found = materialize(shared(named, min_pages), "page-suffixes"), []
+    while size < long_tokens:
+        level = materialize(shared(doubled(level, size), min_pages), "page-suffixes")
+        size *= 2
+        found.append((size, level))
+    return found
+
+
+def covered_ranges(classes: DataFrame, min_tokens: int, min_pages: int, long_tokens: int) -> DataFrame:
+    """(c_stream, covered): sorted ranges (first token, end) that make the covered tokens of a stream."""
+    parts = []
+    for size, level in suffix_levels(classes, min_tokens, min_pages, long_tokens):
+        wide = level if size >= long_tokens else level.where(F.col("n") >= F.col("least"))
+        parts.append(wide.select("stream", F.struct(F.col("at").alias("a"), (F.col("at") + size).alias("b")).alias("r")))
+    ranges = parts[0]
+    for part in parts[1:]:
+        ranges = ranges.union(part)
+    return ranges.groupBy(F.col("stream").alias("c_stream")).agg(F.array_sort(F.collect_list("r")).alias("covered"))
+
+
+def merged(ranges: list[dict]) -> list[tuple[int, int]]:
+    """Disjoint ranges of the same tokens, in order."""
+    out: list[tuple[int, int]] = []
+    for r in ranges:
+        if out and r["a"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], r["b"]))
+        else:
+            out.append((r["a"], r["b"]))
+    return out
+
+
+def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, long_tokens: int = LONG_TOKENS, host_share: float = HOST_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    parsed = materialize(parse(pages).withColumn("row", F.uuid()), "pages")
-    settled = parsed.where(F.col("settled").isNotNull()).select("page_id", "url", F.col("settled").alias("text"))
-    loose = parsed.where(F.col("settled").isNull())
-    if loose.isEmpty():
-        return settled.withColumn("n_chars", F.length("text").cast("long"))
-    runs = unique_runs(loose.select("row", "host", "loose"), min_tokens, min_pages)
-    decided = loose.join(runs, F.col("row") == F.col("k_row"), "left").select("page_id", "url", F.coalesce("kept", F.lit("")).alias("text"))
-    return settled.union(decided).withColumn("n_chars", F.length("text").cast("long"))
+    if min_tokens % 2 or long_tokens % min_tokens or (long_tokens // min_tokens).bit_count() != 1:
+        raise ValueError("min_tokens is even, and long_tokens a doubling of it")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
+    found = materialize(streams(own), "page-outside")
+    classes = stream_classes(found, host_share)
+    covered = covered_ranges(classes, min_tokens, min_pages, long_tokens)
+    covered = materialize(classes.join(covered, F.col("stream") == F.col("c_stream")).select(F.col("host").alias("k_host"), F.col("text").alias("k_text"), "covered"), "page-covered")
+    open_pages = found.where("loose").select("host", "text", "page").distinct()
+    decided = open_pages.join(covered, (F.col("host") == F.col("k_host")) & (F.col("text") == F.col("k_text"))).select(F.col("host").alias("d_host"), F.col("page").alias("d_page"), "covered")
+    decided = materialize(decided, "page-decided")
+    size = decided.agg(F.coalesce(F.sum(F.size("covered") + 1), F.lit(0))).first()[0]
+    decided = F.broadcast(decided) if size <= MAX_BROADCAST else decided.hint("merge")
+    met = own.join(decided, (F.col("host") == F.col("d_host")) & (F.col("page") == F.col("d_page")), "left").select("page_id", "url", "html", "covered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                texts = [unique(blocks(page or ""), merged(ranges or [])) for page, ranges in zip(batch.column("html").to_pylist(), batch.column("covered").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

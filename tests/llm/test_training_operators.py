@@ -74,20 +74,110 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section class="comments"><p>Nice!</p></section></article><div id="sidebar"><p>Side</p></div><footer>&copy; x</footer></body></html>"""
 
 
-def test_html_blocks():
-    content, loose = html_text.blocks(PAGE)
-    assert content == ["Head&line", "First bold text é next", "Second", "one", "two", "Last <tag>"]
-    assert loose == []
+def kinds(page):
+    found = html_text.blocks(page)
+    return [[t for k, t in found if k == kind] for kind in (html_text.CONTENT, html_text.LOOSE)]
 
 
-def test_html_suffixes(spark):
+def test_html_blocks():
+    assert kinds(PAGE) == [["Head&line", "First bold text é next", "Second", "one", "two", "Last <tag>"], []]
+
+
+@pytest.mark.parametrize(
+    "page, content, loose",
+    [
+        ('<article><h1>T</h1></article><div class="content"><p>Long body</p></div>', ["T"], ["Long body"]),
+        ('<article class="search-engines menu"><p>x y</p></article>', ["x y"], []),
+        ('<main><div class="related-work"><p>RW</p></div><p class="notice">N</p><p>z</p></main>', ["z"], ["RW", "N"]),
+        ("<nav><a>Menu<article><p>a</p></article>", ["a"], []),
+        ('<main><p>b</p><ol class="comment-list"><li><article class="comment-body"><p>Nice</p></article></ol></main>', ["b"], []),
+        ('<article>foo <span class="ad">buy</span> bar <b>c</b></article>', ["foo bar c"], []),
+        ('<article><p>x</p></article><div class="cookie-note">a</div><div id="sidebar">s</div>', ["x"], []),
+        ('<p>one</p><div class="cookie-note">a</div><div class="cookie-notice">b</div>', [], ["one", "a"]),
+        ('<div role="main"><p>x</p></div><div role="navigation">n</div>', ["x"], []),
+    ],
+)
+def test_html_zones(page, content, loose):
+    assert kinds(page) == [content, loose]
+
+
+def brute_text(rows, min_tokens=html_text.MIN_TOKENS, min_pages=html_text.MIN_PAGES, long_tokens=html_text.LONG_TOKENS, share=html_text.HOST_SHARE):
+    """Texts by looking at every substring of every stream."""
+    import math
+    from collections import defaultdict
+
+    host = lambda url: url.split("/")[2]
+    sizes, where = defaultdict(set), defaultdict(set)
+    for url, page in {(host(u), p) for _, u, p in rows}:
+        words = html_text.outside(html_text.blocks(page)).split(" ")
+        if words == [""]:
+            continue
+        sizes[url].add(page)
+        for a in range(len(words)):
+            for b in range(a + min_tokens, len(words) + 1):
+                if html_text.GAP not in words[a:b]:
+                    where[url, tuple(words[a:b])].add(page)
+    out = {}
+    for page_id, url, page in rows:
+        found = html_text.blocks(page)
+        words = html_text.outside(found).split(" ")
+        gone = set()
+        for a in range(len(words)):
+            for b in range(a + min_tokens, len(words) + 1):
+                n = len(where.get((host(url), tuple(words[a:b])), ()))
+                if n >= min_pages and (b - a >= long_tokens or n >= math.ceil(share * len(sizes[host(url)]))):
+                    gone.update(range(a, b))
+        text, at, seen = [], 0, html_text.CONTENT
+        for kind, block in found:
+            if kind == html_text.CONTENT:
+                text.append(block)
+            else:
+                at += at > 0 and seen == html_text.CONTENT
+                left = [w for k, w in enumerate(block.split(" "), at) if k not in gone]
+                at += len(block.split(" "))
+                if kind == html_text.LOOSE and left:
+                    text.append(" ".join(left))
+            seen = kind
+        out[page_id] = "\n\n".join(text)
+    return out
+
+
+def test_html_suffixes_brute(spark):
+    """Covered tokens are those of all repeated substrings."""
+    rng = random.Random(4)
+    notices = [" ".join(rng.choices("abcdefgh", k=rng.randrange(3, 40))) for _ in range(8)]
+    rows = []
+    for k in range(150):
+        body = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice(notices).split() if rng.random() < 0.5 else rng.choices(["x", "y", "z", f"own{k}"], k=rng.randrange(1, 12))
+            body.append(rng.choice(["<div>{}</div>", "<nav>{}</nav>", "<article><p>{}</p></article>", '<p class="notice-x">{}</p>']).format(" ".join(words)))
+        rows.append((k, f"http://h{k % 7 // 5}.example/{k}", "".join(body)))
+    rows += [(k + 500, url, page) for k, url, page in rows[:9]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for options in ({}, {"min_tokens": 4, "min_pages": 2, "long_tokens": 8, "host_share": 0.2}, {"min_tokens": 6, "min_pages": 3, "long_tokens": 6, "host_share": 1.0}):
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(frame, **options).collect()}
+        names = {"host_share": "share"}
+        assert got == brute_text(rows, **{names.get(k, k): v for k, v in options.items()}), options
+
+
+def test_html_suffixes(spark, monkeypatch):
+    """Runs cross block ends, unique runs of a block stay, and a shuffle decides as a broadcast does."""
     notice = "Subscribe today for all the news from our friendly team"
     own = {k: " ".join(f"word{k * j}x" for j in range(3, 15)) + f" page {k}" for k in range(5)}
-    rows = [(k, f"http://h.example/{k}", f"<body><div>{notice}</div><p>{own[k]}</p><p>{notice}</p></body>") for k in range(5)]
-    rows += [(9, "http://other.example/1", f"<body><p>{notice}</p></body>")]
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == own[k] for k in range(5))
-    assert got[9] == notice
+    rows = [(k, f"http://h.example/{k}", f"<body><div>{notice}</div><p>{own[k]}</p><p>{notice} tail{k}</p><div>All</div><div>our</div><div>small</div><div>menu</div><div>items</div><div>here</div></body>") for k in range(5)]
+    rows += [(9, "http://other.example/1", f"<body><p>{notice}</p></body>"), (10, "http://other.example/1", f"<body><p>{notice}</p></body>"), (11, "http://other.example/1", f"<body><p>{notice}</p></body>")]
+    for limit in (html_text.MAX_BROADCAST, -1):
+        monkeypatch.setattr(html_text, "MAX_BROADCAST", limit)
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(got[k] == f"{own[k]}\n\ntail{k}" for k in range(5))
+        assert got[9] == got[10] == got[11] == notice
+
+
+def test_html_long_page(spark):
+    page = "<main>" + "".join(f"<p>paragraph {k} of a very long page</p>" for k in range(30_000)) + "</main><div>" + "word " * 50_000 + "</div>"
+    got = html_text.main_text(spark.createDataFrame([(1, "http://h.example/", page, "x", "y")], "page_id long, url string, html string, host string, page string")).collect()
+    assert len(got) == 1 and got[0]["text"].count("\n\n") == 30_000 and got[0]["n_chars"] == len(got[0]["text"])
 
 
 # ------------------------------------------------------------ 3: token shards
