@@ -1,31 +1,41 @@
 """Benchmark decontamination by canonical templates.
 
 Words become templates: a number is a typed placeholder (with its unit, if one
-follows), a run of names is another, every other word is itself in lower case. A
-capitalised word at a sentence's start is read as a word, and also as a name if it is
-one elsewhere in its text. Windows of template words are hashed; windows of documents
-meet those of benchmark items in a hash join. Windows on neighbouring diagonals (place
-in the document less place in the item, differing by up to half of the item's windows)
-form an alignment, in which slots must be consistent: a value of the item stands for
-one value of the document throughout. So a question whose numbers and names were
-exchanged is found, also with words inserted or left out, and a text that only shares
-the template by chance is not.
-
-A document is contaminated by an item if a consistent alignment has at least
-``min_coverage`` of the item's windows. The benchmark is the stated query set; it is
-joined in blocks of ``BLOCK_WINDOWS`` windows, each of bounded size, against all rows.
+follows), a run of names is another, every other word is itself in lower case. Names are
+listed given names in any case, and other words by their capital. A text is
+read up to three times: as it stands; with a capitalised word at a sentence's start as a
+name if it is one elsewhere in the text; and without regard to case, where names are
+plain words, so a copy in other case is found as well. Further readings add only the
+windows that differ.
+
+Windows of template words are hashed; windows of documents meet those of benchmark items
+in a hash join. Windows on neighbouring diagonals (place in the document less place in the
+item, differing by up to half of the item's windows) form an alignment, so words may be
+inserted or left out. Its slots must be consistent: a value of the item stands for one
+value of the document throughout. Which one is settled by the number of windows that
+say so, and the windows that agree count. So a question whose numbers and names were
+exchanged is found, and a text that only shares the template by chance is not.
+
+A document is contaminated by an item if the windows of a consistent alignment hold at
+least ``min_coverage`` of the item's template words, so one word put in or exchanged
+costs that word and not all windows around it. Items of the same template and pattern of slots
+are one class, which is reported under its smallest id with the number of its items. A
+benchmark of up to ``BROADCAST_WINDOWS`` windows is broadcast; of a larger one the windows
+of each document, thinned by a bitmap of fixed size, meet it in a shuffle. Documents are
+read once in either case.
 
 Defined results: null and empty texts, on either side, match nothing; items under
 ``MIN_WORDS`` template words match nothing, as they would match clean text; items
 shorter than a window are one window of all their words; rows with null ids match
-nothing; repeated items each give a row; repeated rows of a document give one row;
-an empty table gives an empty result.
+nothing; repeated items count in their class; repeated rows of a document give one row;
+of tied alignments the one with fewer exchanged slots is reported; very long texts are
+read whole; extra columns of any name are left aside; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,14 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, text_rows
+from .common import map_batches, materialize, read_table, slices, text_rows
 
-#: Template words of a window, least words of an item, least share of an item's windows.
+#: Template words of a window, least words of an item, least share of an item's words.
 WINDOW = 8
 MIN_WORDS = 6
-MIN_COVERAGE = 0.5
-#: Benchmark windows of a pass.
-BLOCK_WINDOWS = 500_000
+MIN_COVERAGE = 0.6
+#: Benchmark windows that are broadcast; more are joined by a shuffle.
+BROADCAST_WINDOWS = 500_000
+#: Leading bits of a window's hash in the bitmap that thins documents before the shuffle.
+BITMAP_BITS = 26
 MAX_WORDS = 300_000
 
 #: Words for numbers, units and common given names (fixed values).
@@ -82,7 +94,7 @@ class Templates:
             value = f"{low}"
         elif low in UNITS:
             kind, value = UNIT, low
-        elif low in NAMES and core[0].isupper():
+        elif low in NAMES:
             kind, value = NAME, low
         else:
             kind, value = (CAPITAL if core[0].isupper() and not core.isupper() else PLAIN), low
@@ -93,11 +105,12 @@ class Templates:
         return len(self.kind) - 1
 
     def readings(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text number, hash, slot?, entry of the word, place in the text, promoted?) of each template word, in order.
+        """(text number, hash, slot?, entry of the word, place in the text, other than in the first?) of each template word, in order.
 
         The first reading takes unknown words at a sentence's start as plain words. If some of
         them are names elsewhere in their text, more often than they are lower-case words, a
-        second reading of those texts has them as names; places are those of the first.
+        second reading of those texts has them as names. A last one of texts with names has
+        all names as plain words. Places count all words of a text.
         """
         if len(self.known) > MAX_WORDS:
             self.forget()
@@ -118,18 +131,26 @@ class Templates:
         first = (raw == CAPITAL) & after_end
         kind = np.where(raw == CAPITAL, np.where(after_end, PLAIN, NAME), raw)
         lower = np.array(self.hash, np.uint64)[entry]
-        keep, hashes = self.template(kind, lower, before, np.zeros(len(kind), bool))
-        index = np.cumsum(keep) - 1
-        place = index - index[np.flatnonzero(~before)][text_runs(before)]
-        slots = (kind == NUM) | (kind == NAME)
-        out = [(text[keep], hashes[keep], slots[keep], entry[keep], place[keep], np.zeros(int(keep.sum()), bool))]
+        place = np.arange(len(text)) - np.flatnonzero(~before)[text_runs(before)]
+        none = np.zeros(len(kind), bool)
+
+        def reading(some: np.ndarray, kind: np.ndarray, apart: np.ndarray, other: np.ndarray) -> tuple:
+            kind = kind[some]
+            keep, hashes = self.template(kind, lower[some], before[some], apart[some])
+            return text[some][keep], hashes[keep], ((kind == NUM) | (kind == NAME))[keep], entry[some][keep], place[some][keep], other[some][keep]
+
+        def of_texts(words: np.ndarray) -> np.ndarray:
+            has = np.zeros(len(texts), bool)
+            has[text[words]] = True
+            return has[text]
+
+        out = [reading(~none, kind, none, none)]
         promoted = first & self.names_elsewhere(text, lower, raw, first)
         if promoted.any():
-            some = np.isin(text, np.unique(text[promoted]))
-            kind = np.where(promoted, NAME, kind)[some]
-            keep, hashes = self.template(kind, lower[some], before[some], promoted[some])
-            slots = (kind == NUM) | (kind == NAME)
-            out.append((text[some][keep], hashes[keep], slots[keep], entry[some][keep], place[some][keep], promoted[some][keep]))
+            out.append(reading(of_texts(promoted), np.where(promoted, NAME, kind), promoted, promoted))
+        named = kind == NAME
+        if named.any():
+            out.append(reading(of_texts(named), np.where(named, PLAIN, kind), none, named))
         return out
 
     @staticmethod
@@ -175,122 +196,253 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+#: Windows of a reading: words of each, number of windows, and their places, hashes and slot values.
+READING = "struct<size: int, total: int, places: array<int>, hashes: array<long>, slots: array<array<string>>>"
+
+
+def item_readings(templates: Templates, text: str, window: int) -> list[dict]:
+    """Readings of an item that have enough words."""
+    out = []
+    for _, hashes, slots, entry, places, _ in templates.readings([text]):
+        if len(hashes) < MIN_WORDS:
+            continue
+        size = min(window, len(hashes))
+        found = window_hashes(hashes, size)
+        values = [[templates.value[e] for e in entry[k : k + size][slots[k : k + size]]] for k in range(len(found))]
+        out.append({"size": size, "total": len(found), "places": places[: len(found)].tolist(), "hashes": found.view(np.int64).tolist(), "slots": values})
+    return out
+
+
+def pattern(readings: list[dict]) -> int:
+    """Signed hash of templates and of which slots are alike: the same for items that differ in values only."""
+    import xxhash
+
+    alike = []
+    for r in readings:
+        order: dict[str, int] = {}
+        alike.append((r["size"], r["hashes"], [[order.setdefault(v, len(order)) for v in slots] for slots in r["slots"]]))
+    return xxhash.xxh64_intdigest(repr(alike)) - (1 << 63)
+
+
+def item_classes(benchmark: DataFrame, window: int) -> DataFrame:
+    """(class, item_id, n_items, readings) of items that differ in slot values only."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        templates, ids, keys, found = Templates(), [], [], []
+        for item_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            readings = item_readings(templates, text, window)
+            if readings:
+                ids.append(item_id)
+                keys.append(pattern(readings))
+                found.append(readings)
+        return {"id": ids, "class": keys, "readings": found}
+
+    rows = text_rows(benchmark, "item_id").where("id is not null and text <> ''")
+    items = map_batches(rows, run, f"id long, class long, readings array<{READING}>")
+    least = F.min_by("readings", "id").alias("readings")
+    return items.groupBy("class").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items"), least)
+
+
 class Benchmark:
-    """Windows of a block of items, by size and hash."""
+    """Windows of the classes, by size and hash."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        templates = Templates()
-        self.total: dict[int, int] = {}
+    def __init__(self, rows: list):
         table = defaultdict(lambda: defaultdict(list))
-        self.ids: list[int] = []
-        for item_id, text in items:
-            for _, hashes, slots, entry, _, _ in templates.readings([text]):  # each reading counts as an item
-                if len(hashes) < MIN_WORDS:
-                    continue
-                number = len(self.ids)
-                self.ids.append(item_id)
-                size = min(window, len(hashes))
-                found = window_hashes(hashes, size)
-                self.total[number] = len(found)
-                for k, h in enumerate(found.tolist()):
-                    table[size][h].append((number, k, tuple(templates.value[e] for e in entry[k : k + size][slots[k : k + size]])))
+        self.classes: list[tuple[int, int, int]] = []  # item, items, windows of a reading
+        self.window: list[int] = []
+        for row in rows:
+            for reading in row["readings"]:
+                number = len(self.classes)
+                self.classes.append((row["item_id"], row["n_items"], reading["total"]))
+                self.window.append(reading["size"])
+                for k, (place, h, slots) in enumerate(zip(reading["places"], reading["hashes"], reading["slots"])):
+                    table[reading["size"]][h & (1 << 64) - 1].append((number, k, place, tuple(slots)))
         self.sizes = {s: (np.array(sorted(t), np.uint64), dict(t)) for s, t in table.items()}
         self.maybe = {}
         for s, (hashes, _) in self.sizes.items():
             self.maybe[s] = np.zeros(1 << 20, bool)
             self.maybe[s][hashes >> np.uint64(44)] = True
 
-    def matches(self, templates: Templates, texts: list[str], min_coverage: float) -> Iterator[tuple[int, int, int, int]]:
-        """(text number, item number, windows matched, slots exchanged) of best consistent alignments with enough windows."""
-        hits = defaultdict(lambda: defaultdict(dict))
-        for text, hashes, slots, entry, places, promoted in templates.readings(texts):
-            changed = np.concatenate(([0], np.cumsum(promoted)))
-            for size, (known, table) in self.sizes.items():
-                found = window_hashes(hashes, size)
-                if not len(found):
-                    continue
-                own = text[: len(found)] == text[size - 1 :]
-                if changed[-1]:  # the second reading: other windows are as in the first
-                    own &= changed[size:] > changed[: len(found)]
-                at = np.flatnonzero(self.maybe[size][found >> np.uint64(44)] & own)
-                at = at[np.isin(found[at], known)]
-                for p in at.tolist():
-                    mine = tuple(templates.value[e] for e in entry[p : p + size][slots[p : p + size]])
-                    place = int(places[p])
-                    for number, k, theirs in table[int(found[p])]:
-                        hits[int(text[p]), number][place - k].setdefault(k, (theirs, mine))
-        for (doc, number), diagonals in hits.items():
-            least = min_coverage * self.total[number]
-            if len(set().union(*diagonals.values())) < least:
-                continue
-            best = max(aligned([windows]) for windows in diagonals.values())
-            band = max(WINDOW, self.total[number] // 2)
-            order = sorted(diagonals)
-            end = 0
-            for start in range(len(order)):
-                reached, end = end, max(end, start + 1)
-                while end < len(order) and order[end] - order[start] <= band:
-                    end += 1
-                near = order[start:end]
-                if end > reached and len(near) > 1 and sum(len(diagonals[d]) for d in near) >= least:  # not inside the band before
-                    best = max(best, aligned([diagonals[d] for d in near], near))
-            if best[0] >= least:
-                yield doc, number, *best
-
-
-def aligned(diagonals: list[dict], numbers: list[int] | None = None) -> tuple[int, int]:
-    """(windows matched, slots exchanged) of a consistent alignment over neighbouring diagonals.
-
-    Windows of the item are taken in order, each at a later place than the one before,
-    on the diagonal next to the one before if several have it.
+    def matches(self, templates: Templates, texts: list[str], min_coverage: float) -> Iterator[tuple]:
+        """(text number, class number, share of words, windows matched, slots exchanged) of best consistent alignments with enough words."""
+        hits = defaultdict(list)
+        for size, (known, table) in self.sizes.items():
+            for text, p, place, h, mine in text_windows(templates, texts, size, lambda found: self.maybe[size][found >> np.uint64(44)], known):
+                for number, k, item_place, theirs in table[h]:
+                    hits[text, number].append((k, item_place, place, theirs, mine))
+        for (text, number), found in hits.items():
+            best = best_alignment(found, self.window[number], self.classes[number][2], min_coverage)
+            if best:
+                yield text, number, *best
+
+
+def text_windows(templates: Templates, texts: list[str], size: int, maybe, known: np.ndarray | None = None) -> Iterator[tuple]:
+    """(text number, first template word, its place, hash, slot values) of the windows that may be in the benchmark."""
+    for n, (text, hashes, slots, entry, places, other) in enumerate(templates.readings(texts)):
+        found = window_hashes(hashes, size)
+        if not len(found):
+            continue
+        own = text[: len(found)] == text[size - 1 :]
+        if n:  # other windows are as in the first reading
+            changed = np.concatenate(([0], np.cumsum(other)))
+            own &= changed[size:] > changed[: len(found)]
+        at = np.flatnonzero(own & maybe(found))
+        if known is not None:
+            at = at[np.isin(found[at], known)]
+        for p in at.tolist():
+            yield int(text[p]), p, int(places[p]), int(found[p]), tuple(templates.value[e] for e in entry[p : p + size][slots[p : p + size]])
+
+
+def words_in(windows: set[int], size: int) -> int:
+    """Words in the union of windows that start at these places."""
+    end = count = 0
+    for k in sorted(windows):
+        count += k + size - max(k, end)
+        end = k + size
+    return count
+
+
+def best_alignment(hits: list[tuple], size: int, total: int, min_coverage: float) -> tuple[float, int, int] | None:
+    """(share of words, windows matched, slots exchanged) of the best alignment of hits (k, item place, place, item's slots, document's)."""
+    n_words = total + size - 1
+    least = min_coverage * n_words
+    if words_in({h[0] for h in hits}, size) < least:
+        return None
+    diagonals = defaultdict(list)
+    for hit in hits:
+        diagonals[hit[2] - hit[1]].append(hit)
+    band, order = max(WINDOW, total // 2), sorted(diagonals)
+    best, end = None, 0
+    for start in range(len(order)):
+        reached, end = end, max(end, start + 1)
+        while end < len(order) and order[end] - order[start] <= band:
+            end += 1
+        near = order[start:end]
+        if end > reached and words_in({h[0] for d in near for h in diagonals[d]}, size) >= least:  # not inside the band before
+            windows, exchanged = aligned([h for d in near for h in diagonals[d]])
+            found = (words_in(windows, size), len(windows), -exchanged)
+            best = max(best, found) if best else found
+    return (best[0] / n_words, best[1], -best[2]) if best and best[0] >= least else None
+
+
+def aligned(hits: list[tuple]) -> tuple[set[int], int]:
+    """(windows matched, number of slots exchanged) of a consistent alignment.
+
+    Slots are settled first, those that most windows agree on before others. Then windows of
+    the item are taken in order, each at a later place than the one before, on the diagonal
+    next to that one's if several have it.
     """
-    numbers = numbers or [0]
-    stands, count, at, last = {}, 0, None, None
+    votes: Counter = Counter()
+    for k, pair in {(h[0], pair) for h in hits for pair in zip(h[3], h[4])}:
+        votes[pair] += 1
+    stands: dict[str, str] = {}
+    taken: set[str] = set()
+    for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0])):
+        if a not in stands and b not in taken:
+            stands[a] = b
+            taken.add(b)
     having = defaultdict(list)
-    for d, windows in zip(numbers, diagonals):
-        for k in windows:
-            having[k].append((d, windows[k]))
+    for k, item_place, place, theirs, mine in hits:
+        if all(stands.get(a) == b for a, b in zip(theirs, mine)):
+            having[k].append((place - item_place, place, theirs))
+    windows, diagonal, last, used = set(), None, -1, set()
     for k in sorted(having):
-        for d, (theirs, mine) in sorted(having[k], key=lambda x: (0 if at is None else abs(x[0] - at), x[0])):
-            pairs = list(zip(theirs, mine))
-            if (last is None or d + k > last) and all(stands.get(a, b) == b for a, b in pairs) and len(dict(pairs)) == len(set(pairs)):
-                stands.update(pairs)
-                count, at, last = count + 1, d, d + k
-                break
-    return count, sum(a != b for a, b in stands.items())
-
-
-FOUND = "doc_id long, item_id long, n_matched int, n_windows int, coverage double, n_exchanged int"
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """One row for each document and benchmark item in it."""
-    spark = docs.sparkSession
-    items = text_rows(benchmark, "item_id").where("id is not null and text <> ''")
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, -(-int(words) // BLOCK_WINDOWS))
-    rows = text_rows(docs).where("id is not null and text <> ''")
-    parts = []
-    for block in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).collect()  # about BLOCK_WINDOWS words
-        sent = spark.sparkContext.broadcast(Benchmark([(r["id"], r["text"]) for r in mine], window))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            templates, bench = Templates(), sent.value
-            for whole in batches:
-                for batch in slices(whole):
-                    ids = batch.column("id").to_pylist()
-                    got = [(ids[d], bench.ids[i], n, bench.total[i], n / bench.total[i], x) for d, i, n, x in bench.matches(templates, batch.column("text").to_pylist(), min_coverage)]
+        later = [h for h in having[k] if h[1] > last]
+        if later:
+            diagonal, last, theirs = min(later, key=lambda h: (0 if diagonal is None else abs(h[0] - diagonal), h[0]))
+            windows.add(k)
+            used.update(theirs)
+    return windows, sum(a != stands[a] for a in used)
+
+
+FOUND = "doc_id long, item_id long, n_items long, n_matched int, n_windows int, coverage double, n_exchanged int"
+
+
+def found_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (doc_id, item_id, n_items, n_windows, coverage, n_matched, n_exchanged)."""
+    doc_ids, items, n_items, total, coverage, matched, exchanged = zip(*rows) if rows else [()] * 7
+    ints = lambda x: pa.array(x, pa.int32())
+    cols = [pa.array(doc_ids, pa.int64()), pa.array(items, pa.int64()), pa.array(n_items, pa.int64()), ints(matched), ints(total), pa.array(coverage, pa.float64()), ints(exchanged)]
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def found_by_broadcast(rows: DataFrame, classes: DataFrame, min_coverage: float) -> DataFrame:
+    """Alignments where every task holds the benchmark, whose size was checked."""
+    sent = rows.sparkSession.sparkContext.broadcast(Benchmark(classes.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, bench = Templates(), sent.value
+        for whole in batches:
+            for batch in slices(whole):
+                ids = batch.column("id").to_pylist()
+                got = [(ids[d], *bench.classes[c], *best) for d, c, *best in bench.matches(templates, batch.column("text").to_pylist(), min_coverage)]
+                if got:
+                    yield found_rows(got)
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def hash_bitmap(windows: DataFrame) -> np.ndarray:
+    """Which leading bits of hashes occur: 2^BITMAP_BITS bits, whatever the benchmark."""
+    lead = F.shiftrightunsigned("hash", 64 - BITMAP_BITS) + 1  # the functions count from 1
+    rows = windows.groupBy(F.bitmap_bucket_number(lead).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(lead)).alias("bits")).collect()
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for r in rows:
+        first = (r["b"] - 1) * 4096  # bytes of a bucket
+        out[first : first + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def found_by_shuffle(rows: DataFrame, classes: DataFrame, min_coverage: float) -> DataFrame:
+    """Alignments where windows meet by their hash."""
+    one = classes.select("class", "item_id", "n_items", F.posexplode("readings").alias("reading", "r"))
+    cut = one.select("class", "reading", "item_id", "n_items", F.col("r.size").alias("size"), F.col("r.total").alias("total"), F.posexplode(F.arrays_zip("r.places", "r.hashes", "r.slots")).alias("k", "w"))
+    windows = materialize(cut.select("class", "reading", "item_id", "n_items", "size", "total", "k", F.col("w.places").alias("item_place"), F.col("w.hashes").alias("hash"), F.col("w.slots").alias("theirs")), "leak-items")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # up to WINDOW different ones
+    sent = rows.sparkSession.sparkContext.broadcast(hash_bitmap(windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, bits = Templates(), sent.value
+
+        def maybe(found: np.ndarray) -> np.ndarray:
+            lead = found >> np.uint64(64 - BITMAP_BITS)
+            return (bits[(lead >> np.uint64(3)).astype(np.int64)] >> (lead & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        for whole in batches:
+            for batch in slices(whole):
+                ids, keys, texts = (batch.column(c).to_pylist() for c in ("id", "key", "text"))
+                for size in sizes:
+                    got = [(ids[d], keys[d], size, place, h - (1 << 64) if h >> 63 else h, mine) for d, _, place, h, mine in text_windows(templates, texts, size, maybe)]
                     if got:
-                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
-
-        parts.append(rows.mapInArrow(run, FOUND))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    best = F.max(F.struct("coverage", "n_matched", "n_windows", "n_exchanged")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_matched", "b.n_windows", "b.coverage", "b.n_exchanged")
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))], names=["id", "key", "d_size", "place", "d_hash", "mine"])
+
+    mine = rows.withColumn("key", F.xxhash64("text")).mapInArrow(run, "id long, key long, d_size int, place int, d_hash long, mine array<string>")
+    met = mine.join(windows, (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
+    hit = F.struct("k", "item_place", "place", "theirs", "mine")
+    groups = met.groupBy("id", "key", "class", "reading", "item_id", "n_items", "size", "total").agg(F.collect_set(hit).alias("hits"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                best = best_alignment([(h["k"], h["item_place"], h["place"], tuple(h["theirs"]), tuple(h["mine"])) for h in r["hits"]], r["size"], r["total"], min_coverage)
+                if best:
+                    out.append((r["id"], r["item_id"], r["n_items"], r["total"], *best))
+            yield found_rows(out)
+
+    return groups.mapInArrow(judge, FOUND)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row for each document and class of benchmark items in it."""
+    classes = materialize(item_classes(benchmark, window), "leak-classes")
+    size = F.aggregate("readings", F.lit(0).cast("long"), lambda n, r: n + r["total"])
+    n_windows = classes.agg(F.sum(size)).first()[0] or 0
+    rows = text_rows(docs).where("id is not null and text <> ''")
+    found = (found_by_broadcast if n_windows <= broadcast_windows else found_by_shuffle)(rows, classes, min_coverage)
+    best = F.max(F.struct("coverage", "n_matched", (-F.col("n_exchanged")).alias("fewer"), "n_windows", "n_items")).alias("b")
+    best = found.groupBy("doc_id", "item_id").agg(best)
+    return best.select("doc_id", "item_id", "b.n_items", "b.n_matched", "b.n_windows", "b.coverage", (-F.col("b.fewer")).alias("n_exchanged"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
