@@ -1,24 +1,31 @@
 """Exact top-k search by inner product with a pivot table.
 
-Vectors become integers (``floor(256 * x)``). To search by distance, each vector gets
-one more component that lifts it to the common norm; then the largest inner product
-is the smallest distance, and the triangle inequality over many pivots bounds it:
-``d(q, x) >= max_p |d(q, p) - d(x, p)|``. Within a block of rows the candidates of a
-query are taken in the order of that bound, some at a time, until no bound left can
-reach the k-th score so far; the scores themselves are exact integers.
+Vectors become integers (``floor(256 * x)``). To search by distance, each row gets one
+more component that lifts it to the common norm; then the largest inner product is the
+smallest distance, and the triangle inequality over many pivots bounds it:
+``d(q, x) >= max_p |d(q, p) - d(x, p)|``. Pivots are chosen once, from a sample of
+``SAMPLE`` rows, and every row's distances to them are computed once and go with the row.
 
-Queries come in blocks of bounded size; every block passes over all rows, each task
-keeps k rows a query, and those meet by query.
+The k-th best score within the sample is a first threshold for every query. Queries are
+put in groups of like nearest pivot and bounded size; a row goes to the groups that its
+bound over the group's ranges does not exclude, and groups meet parts of the rows by a
+shuffle on both numbers. There blocks of rows are excluded by their own ranges, and the
+candidates left are evaluated in the order of their bound until none can reach the k-th
+score. Scores are exact integers. Neither queries nor rows pass through the driver.
 
 Defined results: vectors that are null, or hold null or non-finite components, take
 no part; vectors of another length than a query's have no inner product with it;
 ties go to the smaller id; a query with fewer other rows than k gets them all; rows
-with a null id take no part; an empty table gives an empty result. Scores beyond 64
-bits are held at the limits of a long.
+with a null id take no part; rows that repeat an id and vector count once, as queries and
+as candidates; other vectors of one id are queries of their own, none of which has a
+row of its id as a candidate; vectors may be of any length; extra columns of any name are left
+aside; an empty table gives an empty result. Scores beyond 64 bits are held at the limits
+of a long.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-#: Queries of a pass; with their vectors a few MB.
-QUERY_BLOCK = 4096
-#: Rows bounded together in a task.
-ROW_BLOCK = 8192
+#: Rows of the sample that pivots and first thresholds come from.
+SAMPLE = 4096
 PIVOTS = 32
+#: Bytes of a group of queries in a task.
+GROUP_BYTES = 32 << 20
+#: Groups whose ranges are broadcast, to exclude rows before the shuffle; with more, rows go to all.
+MAX_GROUPS = 10_000
+#: Rows that meet a group in one part, and rows bounded together.
+PART_ROWS = 200_000
+ROW_BLOCK = 8192
 #: Candidates of a query evaluated between two looks at the bound.
 STEP = 256
 
@@ -54,52 +66,19 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([[min(max(s, -(2**63)), 2**63 - 1) for s in line] for line in exact], dtype=np.int64).reshape(len(queries), len(rows))
 
 
-class PivotSearch:
-    """Queries, pivots and their distances; ``best`` searches one block of rows."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, vectors, k
-        self.pivots = pivots
-        self.norms = (vectors**2).sum(axis=1)
-
-    def best(self, ids: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each query: (ids, scores) of its k best in the block, by the pivot bound."""
-        order_ids = np.argsort(ids, kind="stable")
-        ids, rows = ids[order_ids], rows[order_ids]
-        norms = (rows**2).sum(axis=1)
-        lift = float(norms.max())  # rows get sqrt(lift - norm), queries and pivots 0 there
-        raised = np.sqrt(np.maximum(0.0, lift - norms))
-        # distances to pivots: |x|^2 lifted is the same for all rows
-        to_rows = np.sqrt(np.maximum(0.0, lift + (self.pivots**2).sum(axis=1)[:, None] - 2 * self.pivots @ rows.T))
-        to_queries = np.sqrt(np.maximum(0.0, self.norms[:, None] + (self.pivots**2).sum(axis=1)[None, :] - 2 * self.q @ self.pivots.T))
-        slack = 1e-6 * (1.0 + lift + float(self.norms.max(initial=0)))
-        found = []
-        for n, (query_id, query) in enumerate(zip(self.ids, self.q)):
-            bound = np.abs(to_queries[n][:, None] - to_rows).max(axis=0)
-            most = (self.norms[n] + lift - bound * bound) / 2 + slack  # no row scores more
-            order = np.argsort(-most, kind="stable")
-            top_ids, top_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            step, at = STEP, 0
-            while at < len(order):
-                if len(top_ids) == self.k and most[order[at]] < top_scores[-1]:
-                    break
-                some = order[at : at + step]
-                at, step = at + step, step * 2
-                some = some[ids[some] != query_id]
-                got = scores(query[None, :], rows[some])[0]
-                all_ids, all_scores = np.concatenate((top_ids, ids[some])), np.concatenate((top_scores, got))
-                if len(all_ids) > 4 * self.k:
-                    kth = np.partition(all_scores, len(all_scores) - self.k)[len(all_scores) - self.k]
-                    all_ids, all_scores = all_ids[all_scores >= kth], all_scores[all_scores >= kth]
-                keep = np.lexsort((all_ids, -all_scores))[: self.k]
-                top_ids, top_scores = all_ids[keep], all_scores[keep]
-            found.append((query_id, top_ids, top_scores))
-        del raised
-        return found
+def best_of(ids: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best different pairs, ties to the smaller id."""
+    if len(ids) > 4 * k + 64:
+        kth = np.partition(np.unique(found), -k)[-k] if len(np.unique(found)) > k else found.min()
+        ids, found = ids[found >= kth], found[found >= kth]
+    order = np.lexsort((ids, -found))
+    ids, found = ids[order], found[order]
+    first = np.concatenate(([True], (ids[1:] != ids[:-1]) | (found[1:] != found[:-1]))) if len(ids) else np.zeros(0, bool)
+    return ids[first][:k], found[first][:k]
 
 
 def pick_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
-    """Vectors far from each other, one after the other, from a block of queries."""
+    """Vectors far from each other, one after the other."""
     if not len(vectors):
         return vectors
     chosen = [0]
@@ -110,67 +89,242 @@ def pick_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
     return vectors[chosen]
 
 
-FOUND = "query_id long, vec_id long, score long"
+class PivotTable:
+    """Pivots of one length of vectors, the common norm, and the sample."""
+
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, lift: float, pivots: int):
+        self.ids, self.sample, self.lift = ids, sample, lift
+        self.pivots = pick_pivots(sample, pivots)
+        self.squares = (self.pivots**2).sum(axis=1)
+
+    def distances(self, vectors: np.ndarray, lifted: bool) -> np.ndarray:
+        """Distances to the pivots; those of rows from the lifted vectors."""
+        own = self.lift if lifted else (vectors**2).sum(axis=1)[:, None]
+        with np.errstate(invalid="ignore", over="ignore"):
+            return np.sqrt(np.maximum(0.0, own + self.squares[None, :] - 2 * vectors @ self.pivots.T)).astype(np.float32)
+
+    def first_thresholds(self, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """k-th best score of each query within the sample; the least long if it has fewer."""
+        out = np.full(len(ids), -(2**63), np.int64)
+        for at in range(0, len(ids), 256):
+            got = scores(queries[at : at + 256], self.sample)
+            for n, (query_id, own) in enumerate(zip(ids[at : at + 256], got), at):
+                _, top = best_of(self.ids[self.ids != query_id], own[self.ids != query_id], k)
+                if len(top) == k:
+                    out[n] = top[-1]
+        return out
+
+
+def most_of(lift: float, norm: np.ndarray, low: np.ndarray, scale: float) -> np.ndarray:
+    """No row at a distance of ``low`` or more scores more than this; with room for rounding."""
+    low = np.maximum(0.0, low - 1e-6 * scale)
+    return (norm + lift - low * low) / 2 + 1e-6 * (1.0 + lift + norm)
+
+
+class GroupSearch:
+    """A group of queries and the best rows they have met."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, distances: np.ndarray, thresholds: np.ndarray, lift: float, k: int):
+        self.ids, self.q, self.d, self.lift, self.k = ids, vectors, distances.astype(float), lift, k
+        self.norms = (vectors**2).sum(axis=1)
+        self.least = thresholds.astype(float)
+        self.top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        self.evaluated = 0
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, distances: np.ndarray) -> None:
+        """Take in a block of rows."""
+        d = distances.astype(float)
+        scale = max(d.max(initial=0.0), self.d.max(initial=0.0))
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(d.min(axis=0) - self.d, self.d - d.max(axis=0)).max(axis=1)
+            reaches = ~(most_of(self.lift, self.norms, gap, scale) < self.least)
+        for n in np.flatnonzero(reaches).tolist():
+            with np.errstate(invalid="ignore"):
+                most = most_of(self.lift, self.norms[n], np.abs(d - self.d[n]).max(axis=1), scale)
+                left = np.flatnonzero(~(most < self.least[n]))
+            order = left[np.argsort(-most[left], kind="stable")]
+            step, at = STEP, 0
+            while at < len(order) and not most[order[at]] < self.least[n]:
+                some = order[at : at + step]
+                at, step = at + step, step * 2
+                some = some[ids[some] != self.ids[n]]
+                self.evaluated += len(some)
+                got = scores(self.q[n][None, :], rows[some])[0]
+                best = self.top[n]
+                self.top[n] = best_of(np.concatenate((best[0], ids[some])), np.concatenate((best[1], got)), self.k)
+                if len(self.top[n][1]) == self.k:
+                    self.least[n] = max(self.least[n], float(self.top[n][1][-1]))
+
+
+def arrays_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """Each value of a list column, without a copy."""
+    column = batch.column(name)
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
 
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) of the rows of each length."""
+    vectors = arrays_of(batch, "v")
+    lengths = np.array([len(v) for v in vectors])
+    ids = batch.column("id").to_numpy()
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        yield length, ids[own], np.vstack([vectors[n] for n in own])
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK) -> DataFrame:
+
+def batch_of(schema: dict, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(columns[n]) if schema[n] in LISTS else columns[n], schema[n]) for n in schema], names=list(schema))
+
+
+LISTS = (pa.list_(pa.float64()), pa.list_(pa.float32()))
+QUERIES = {"id": pa.int64(), "v": LISTS[0], "length": pa.int32(), "cell": pa.int32(), "d": LISTS[1], "norm": pa.float64(), "least": pa.int64()}
+MEETING = {"grp": pa.int32(), "part": pa.int32(), "kind": pa.int32(), "length": pa.int32(), "cell": pa.int32(), "id": pa.int64(), "v": LISTS[0], "d": LISTS[1], "least": pa.int64()}
+FOUND = {"query_id": pa.int64(), "query_hash": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+SQL = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", LISTS[0]: "array<double>", LISTS[1]: "array<float>"}
+
+
+def ddl(schema: dict) -> str:
+    return ", ".join(f"{n} {SQL[t]}" for n, t in schema.items())
+
+
+def pivot_tables(vectors: DataFrame, lengths: list[int], pivots: int) -> dict[int, PivotTable]:
+    """The table of each length that queries have; a length the sample misses has no pivots."""
+    own = vectors.where(F.size("v").isin(lengths))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    lifts = {r["n"]: r["m"] for r in own.groupBy(F.size("v").alias("n")).agg(F.max(norm).alias("m")).collect()}
+    sample = own.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow()
+    rows = defaultdict(lambda: ([], []))
+    for row_id, v in zip(sample.column("id").to_pylist(), sample.column("v").to_pylist()):
+        rows[len(v)][0].append(row_id)
+        rows[len(v)][1].append(v)
+    return {n: PivotTable(np.array(rows[n][0], np.int64), np.array(rows[n][1], float).reshape(-1, n), lift, pivots) for n, lift in lifts.items()}
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, group_bytes: int = GROUP_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query row against all rows of ``vectors`` (id, v)."""
     spark = vectors.sparkSession
-    numbered = queries.withColumn("block", (F.abs(F.xxhash64("id")) % F.lit(max(1, -(-queries.count() // query_block)))).cast("int"))
-    numbered = materialize(numbered, "query-blocks")
-    blocks = [r[0] for r in numbered.select("block").distinct().collect()]
-    parts = []
-    for block in sorted(blocks):
-        mine = numbered.where(F.col("block") == block).select("id", "v").toArrow()  # about query_block rows
-        ids = mine.column("id").to_numpy()
-        values = [np.asarray(v, float) for v in mine.column("v").to_pylist()]
-        by_size = {}
-        for size in sorted({len(v) for v in values}):
-            own = np.array([len(v) == size for v in values])
-            table = np.vstack([v for v in values if len(v) == size])
-            by_size[size] = (ids[own], table, pick_pivots(table, pivots))
-        sent = spark.sparkContext.broadcast(by_size)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {size: [] for size in sent.value}
-            best: dict[int, dict[int, tuple]] = {size: {} for size in sent.value}
-
-            def take(size: int) -> None:
-                row_ids, rows = zip(*held[size])
-                held[size] = []
-                finder = PivotSearch(*sent.value[size], k)
-                for query_id, new_ids, new_scores in finder.best(np.array(row_ids, np.int64), np.vstack(rows)):
-                    old = best[size].get(query_id)
-                    if old is not None:
-                        new_ids, new_scores = np.concatenate((old[0], new_ids)), np.concatenate((old[1], new_scores))
-                        keep = np.lexsort((new_ids, -new_scores))[:k]
-                        new_ids, new_scores = new_ids[keep], new_scores[keep]
-                    best[size][query_id] = (new_ids, new_scores)
-
-            for batch in batches:
-                column = batch.column("v")
-                offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-                for row_id, a, b in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                    if b - a in held:
-                        held[b - a].append((row_id, flat[a:b]))
-                        if len(held[b - a]) >= ROW_BLOCK:
-                            take(b - a)
-            for size in held:
-                if held[size]:
-                    take(size)
-                if best[size]:
-                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(list(best[size]), [len(x[0]) for x in best[size].values()]), "vec_id": np.concatenate([x[0] for x in best[size].values()]), "score": np.concatenate([x[1] for x in best[size].values()])})
-
-        parts.append(vectors.mapInArrow(search, FOUND))
-    if not parts:
+    asked = {r["n"]: r["c"] for r in queries.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).collect()}
+    if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    tables = spark.sparkContext.broadcast(pivot_tables(vectors, list(asked), pivots))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for length, ids, own in by_length(batch):
+                table = tables.value[length]
+                d = table.distances(own, lifted=False)
+                cell = d.argmin(axis=1) if d.shape[1] else np.zeros(len(ids), int)
+                yield batch_of(QUERIES, id=ids, v=own, length=np.full(len(ids), length), cell=cell, d=d, norm=(own**2).sum(axis=1), least=table.first_thresholds(ids, own, k))
+
+    ready = materialize(queries.dropDuplicates(["id", "v"]).mapInArrow(prepare, ddl(QUERIES)), "queries")
+    # groups: queries in the order of length and cell, cut by size; their places in a cell are by hash
+    cells = sorted((r["length"], r["cell"], r["c"]) for r in ready.groupBy("length", "cell").agg(F.count("*").alias("c")).collect())
+    starts, group, room, last = [], -1, 0, None
+    for length, cell, count in cells:
+        size = max(1, group_bytes // (8 * (length + pivots)))
+        if length != last:
+            group, room, last = group + 1, size, length
+        starts.append((length, cell, count, group, size - room, size))
+        filled = size - room + count
+        group, room = group + (filled - 1) // size, size - ((filled - 1) % size + 1)
+    n_groups = group + 1
+    places = F.broadcast(spark.createDataFrame(starts, "g_length int, g_cell int, n long, first int, used long, room long"))
+    numbered = ready.join(places, (F.col("length") == F.col("g_length")) & (F.col("cell") == F.col("g_cell")))
+    number = (F.col("first") + F.floor((F.col("used") + F.pmod(F.xxhash64("id", "v"), "n")) / F.col("room"))).cast("int")
+    grouped = materialize(numbered.withColumn("grp", number).select("grp", *QUERIES), "query-groups")
+
+    ranges = None
+    if n_groups <= MAX_GROUPS:
+        sides = [f(F.get("d", F.lit(i))).alias(f"{name}{i}") for i in range(pivots) for name, f in (("a", F.min), ("b", F.max))]
+        rows = grouped.groupBy("grp", "length").agg(F.max("norm").alias("norm"), F.min("least").alias("least"), *sides).collect()
+        ranges = defaultdict(lambda: ([], [], [], [], []))
+        for r in rows:
+            n = len(tables.value[r["length"]].pivots)
+            for out, value in zip(ranges[r["length"]], (r["grp"], [r[f"a{i}"] for i in range(n)], [r[f"b{i}"] for i in range(n)], r["norm"], r["least"])):
+                out.append(value)
+        ranges = {n: tuple(map(np.array, own)) for n, own in ranges.items()}
+    of_length = {n: sorted({g for m, _, c, first, used, room in starts if m == n for g in range(first, first + (used + c - 1) // room + 1)}) for n in asked}
+    known = spark.sparkContext.broadcast((ranges, of_length))
+    own = vectors.where(F.size("v").isin(list(asked)))
+    n_rows = own.count()
+    n_parts = max(1, -(-n_rows // part_rows), min(2 * spark.sparkContext.defaultParallelism, n_rows // (ROW_BLOCK // 4)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, of_length = known.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for length, ids, rows in by_length(batch):
+                table = tables.value[length]
+                d = table.distances(rows, lifted=True)
+                cell = d.argmin(axis=1) if d.shape[1] else np.zeros(len(ids), int)
+                part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_parts
+                for n, group in enumerate(of_length[length] if ranges is None else ranges[length][0].tolist()):
+                    stay = np.arange(len(ids))
+                    if ranges is not None and d.shape[1]:
+                        _, low, high, norm, least = (x[n] for x in ranges[length])
+                        with np.errstate(invalid="ignore"):
+                            gap = np.maximum(low - d, d - high).max(axis=1).astype(float)
+                            scale = max(float(d.max()), float(np.max(high)))
+                            stay = np.flatnonzero(~(most_of(table.lift, np.asarray(norm), gap, scale) < float(least)))
+                    if len(stay):
+                        yield batch_of(MEETING, grp=np.full(len(stay), group), part=part[stay], kind=np.ones(len(stay), int), length=np.full(len(stay), length), cell=cell[stay], id=ids[stay], v=rows[stay], d=d[stay], least=np.zeros(len(stay), int))
+
+    sent = grouped.select("grp", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).alias("kind"), "length", "cell", "id", "v", "d", "least")
+    met = own.mapInArrow(deal, ddl(MEETING)).union(sent).repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cell")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting, finder, hashes = None, {0: [], 1: []}, None, None
+
+        def begin() -> None:
+            nonlocal finder, hashes
+            ids, vectors, d, least = zip(*waiting[0])
+            finder = GroupSearch(np.array(ids), np.vstack(vectors), np.vstack(d), np.array(least), tables.value[len(vectors[0])].lift, k)
+            hashes = vector_hashes(finder.q)
+            waiting[0] = []
+
+        def meet() -> None:
+            if waiting[0]:
+                begin()
+            if waiting[1] and finder is not None:
+                ids, vectors, d, _ = zip(*waiting[1])
+                finder.meet(np.array(ids), np.vstack(vectors), np.vstack(d))
+            waiting[1] = []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            meet()
+            if finder is not None:
+                sizes = [len(t[0]) for t in finder.top]
+                yield batch_of(FOUND, query_id=np.repeat(finder.ids, sizes), query_hash=np.repeat(hashes, sizes), vec_id=np.concatenate([t[0] for t in finder.top]), score=np.concatenate([t[1] for t in finder.top]))
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "kind")), batch.column("id").to_pylist(), arrays_of(batch, "v"), arrays_of(batch, "d"), batch.column("least").to_pylist())
+            for group, part, kind, *row in rows:
+                if key != (group, part):
+                    if key is not None:
+                        yield from result()
+                    key, finder = (group, part), None
+                waiting[kind].append(row)
+                if len(waiting[1]) >= ROW_BLOCK:
+                    meet()
+        if key is not None:
+            yield from result()
+
+    found = met.mapInArrow(search, ddl(FOUND)).dropDuplicates()
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def vector_hashes(vectors: np.ndarray) -> np.ndarray:
+    """A signed number of each vector, to tell queries of one id apart."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in vectors], np.uint64).view(np.int64)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)

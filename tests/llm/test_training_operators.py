@@ -464,14 +464,41 @@ def test_round_trip(spark, sf_dir, model):
 # ------------------------------------------------------------ 10: nearest
 
 
-def test_pivot_search():
+def brute_top(rows, queries_, k=5):
+    """(query id, rank, id, score) of different (id, vector) rows, by integers."""
+    rows = {(i, tuple(v)) for i, v in rows}
+    out = []
+    for i, q in {(i, tuple(v)) for i, v in queries_}:
+        best = sorted({(-sum(int(a) * int(b) for a, b in zip(q, v)), j) for j, v in rows if j != i and len(v) == len(q)})[:k]
+        out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group_bytes, part_rows", [(1 << 25, 200_000), (2000, 150), (40_000, 1000)])
+def test_pivot_search(spark, group_bytes, part_rows, monkeypatch):
+    """Clusters, ties, repeated ids and two lengths, in any cut of groups and parts."""
     rng = np.random.default_rng(4)
-    rows = np.floor(256 * rng.normal(size=(3000, 8)))
-    rows[100:160] = rows[7]
-    ids = rng.permutation(3000)
-    queries_ = rows[:40]
-    finder = nearest.PivotSearch(ids[:40], queries_, nearest.pick_pivots(queries_, 8), 5)
-    for (query_id, got_ids, got_scores), q in zip(finder.best(ids, rows), queries_):
-        s = (rows @ q).astype(int)
-        want = sorted((-x, i) for x, i in zip(s.tolist(), ids.tolist()) if i != query_id)[:5]
-        assert list(zip((-got_scores).tolist(), got_ids.tolist())) == want
+    centres = rng.normal(size=(9, 8)) * 3
+    rows = [(int(i), np.floor(256 * (centres[i % 9] + rng.normal(size=8) * 0.2)).tolist()) for i in rng.permutation(900)]
+    rows += [(int(i) + 900, rows[7][1]) for i in range(40)] + [(i, v[:5]) for i, v in rows[:60]] + rows[:30]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = frame.where("id % 20 = 0")
+    want = brute_top(rows, [(i, v) for i, v in rows if i % 20 == 0])
+    for most in (nearest.MAX_GROUPS, 0):
+        monkeypatch.setattr(nearest, "MAX_GROUPS", most)
+        got = nearest.top_k(frame, asked, group_bytes=group_bytes, part_rows=part_rows)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_pivots_exclude_rows():
+    """On clustered rows far from all candidates are evaluated."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    rows = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.1))
+    table = nearest.PivotTable(np.arange(500), rows[:500], float((rows**2).sum(axis=1).max()), 16)
+    ids = np.arange(4000)
+    finder = nearest.GroupSearch(ids[:50], rows[:50], table.distances(rows[:50], False), table.first_thresholds(ids[:50], rows[:50], 5), table.lift, 5)
+    finder.meet(ids, rows, table.distances(rows, True))
+    want = brute_top(list(zip(ids.tolist(), rows.tolist())), list(zip(ids[:3].tolist(), rows[:3].tolist())))
+    assert [(n, r, int(i), int(s)) for n in range(3) for r, (i, s) in enumerate(zip(*finder.top[n]), 1)] == want
+    assert finder.evaluated < 0.7 * 50 * 4000
