@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,29 +20,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks on one machine) a folder of our own is set.
+    It is the one named in ``spark.checkpoint.dir``; only where that is unset on a local
+    master (tests, notebooks on one machine) a folder of our own is set. Elsewhere a
+    folder of one machine would lose rows, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridframe-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Tables written in each open ``scratch``, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are materialised inside, but for those that ``outlive`` it, at the end."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridframe/{label}-{uuid.uuid4().hex}"
+    scopes = _WRITTEN[:-1] if outlive else _WRITTEN
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a core below which a table is dealt out anew, as its files may have fewer parts than there are cores.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is small; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) only, so that extra columns of any name cannot clash; null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

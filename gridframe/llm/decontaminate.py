@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, read_table, slices, text_rows
+from .common import map_batches, materialize, read_table, slices, spread, text_rows
 
 #: Template words of a window, least words of an item, least share of an item's words.
 WINDOW = 8
@@ -438,7 +438,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     classes = materialize(item_classes(benchmark, window), "leak-classes")
     size = F.aggregate("readings", F.lit(0).cast("long"), lambda n, r: n + r["total"])
     n_windows = classes.agg(F.sum(size)).first()[0] or 0
-    rows = text_rows(docs).where("id is not null and text <> ''")
+    rows = spread(text_rows(docs).where("id is not null and text <> ''"))
     found = (found_by_broadcast if n_windows <= broadcast_windows else found_by_shuffle)(rows, classes, min_coverage)
     best = F.max(F.struct("coverage", "n_matched", (-F.col("n_exchanged")).alias("fewer"), "n_windows", "n_items")).alias("b")
     best = found.groupBy("doc_id", "item_id").agg(best)

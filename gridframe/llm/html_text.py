@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, slices
+from .common import materialize, read_table, slices, spread
 
 #: Tokens of a repeat that counts if it is on so many pages and on this share of its host's pages.
 MIN_TOKENS = 6
@@ -302,6 +302,7 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = M
     if min_tokens % 2 or long_tokens % min_tokens or (long_tokens // min_tokens).bit_count() != 1:
         raise ValueError("min_tokens is even, and long_tokens a doubling of it")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
+    own = spread(own)
     found = materialize(streams(own), "page-outside")
     classes = stream_classes(found, host_share)
     covered = covered_ranges(classes, min_tokens, min_pages, long_tokens)

@@ -7,13 +7,17 @@ mixed text. The language with most letters on the path is predicted; its score i
 that share times the mean posterior of its words.
 
 Fitting sees at most ``MAX_DOCS`` documents of a language (those with the smallest
-hashes of their id in each of 64 parts) and ``MAX_SAMPLE`` in all, a documented bound; prediction sees
-every whole text.
+hashes of their id in each of 64 parts, one text of each id) and ``MAX_SAMPLE`` in all, and
+of their words the ``MAX_LEARNED`` most frequent of a language, a documented bound;
+prediction sees every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so
 is every text if nothing was learned; a text whose letters are of no learned script is
 given the likeliest of all languages; rows with a null id are predicted, with
-``held_out`` null; ties go to the first language by name.
+``held_out`` null; repeated rows repeat their result and are learned once; an id with several
+languages is learned for each from its rows of that language; ties go to the first language
+by name; very long texts are read whole; extra columns of any name are left aside (the
+pipeline's stage keeps them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, slices, text_rows
+from .common import held_out, read_table, slices, spread, text_rows
 
 MAX_DOCS = 640
 #: Parts of a language's ids from which equal numbers are taken.
 PARTS = 64
 MAX_SAMPLE = 50_000
+#: Words of a language, by frequency, that the model is made of.
+MAX_LEARNED = 200_000
 #: Cost in nats of changing language between two words.
 SWITCH = 7.0
 #: Posteriors below this do not count against a language, so one odd word decides nothing.
@@ -223,7 +229,7 @@ class LanguageModel:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
     """Count words by language over a bounded sample of documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
-    ids = usable.select(F.col("doc_id").cast("long").alias("s_id"), F.col("lang").cast("string").alias("s_lang")).withColumn("h", F.xxhash64("s_id"))
+    ids = usable.select(F.col("doc_id").cast("long").alias("s_id"), F.col("lang").cast("string").alias("s_lang")).distinct().withColumn("h", F.xxhash64("s_id"))
     # a language may hold most rows: the smallest hashes of each of 64 parts of it
     own = Window.partitionBy("s_lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "s_id")
     ranked = ids.withColumn("n", F.row_number().over(own)).where(F.col("n") <= max(1, max_docs // PARTS))
@@ -237,8 +243,11 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageModel:
         for lang, own in counts.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "word": list(own), "n": pa.array(own.values(), pa.int64())})
 
-    rows = text_rows(docs).join(sample, F.col("id") == F.col("s_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("own_lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(sample, (F.col("id") == F.col("s_id")) & (F.col("own_lang") == F.col("s_lang"))).groupBy("s_id", "s_lang").agg(F.min("text").alias("text"))
     counted = rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    counted = counted.withColumn("place", F.row_number().over(common)).where(F.col("place") <= MAX_LEARNED).drop("place")
     counts: dict[str, Counter] = {}
     got = counted.toArrow()
     for lang, word, n in zip(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_pylist()):
@@ -258,7 +267,7 @@ def predict(docs: DataFrame, fitted: LanguageModel) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "held_out": batch.column("held_out"), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
         sent.value.forget()  # an idle worker keeps no words
 
-    return text_rows(docs).withColumn("held_out", held_out("id", 4, 2)).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(text_rows(docs)).withColumn("held_out", held_out("id", 4, 2)).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 #: Texts without a language are rejected, and those below this in both score and mean posterior.
@@ -283,7 +292,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
                 yield batch.filter(pa.array([lang != "und" and max(score, path) >= min_score for lang, score, path in sent.value.judge(texts)], pa.bool_()))
         sent.value.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,12 @@ doubling ends after log2(min_chars) levels whatever the length of the copies.
 Line ids and names are 96 bits of two independent hashes. DataFrame functions only.
 
 Defined results: null and empty texts stay as they are; documents with a null id keep
-all lines; rows that repeat an id and text are one place and do not delete each other;
-rows of one id with other texts are ordered by line alone; a document whose lines all
-go keeps its row, with an empty text; an empty table gives an empty result.
+all lines; rows that repeat an id and text are one place, do not delete each other and get the
+same result; rows of one id with other texts are ordered by line alone, so of the same line
+at the same number in them all copies stay; of lines in several documents the one of the
+smallest id stays; a document whose lines all go keeps its row, with an empty text; very
+long texts are cut into lines whole; extra columns of any name stay as they are, but those
+that begin with two underscores are reserved; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,7 +89,7 @@ def spans_between(blocks: DataFrame, size: int, min_chars: int) -> DataFrame:
 def later_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, row, gone): the sorted line numbers of each document that are later copies."""
     size, marks, spans = 1, [], []
-    found = materialize(repeated(lines_of(docs)), "line-blocks-1")
+    found = materialize(repeated(lines_of(docs)).dropDuplicates(["id", "row", "line"]), "line-blocks-1")
     before = Window.partitionBy("id", "row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     blocks = found.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0))).withColumn("lighter", F.lit(0))
     while True:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, spread
 from .components import connected_components
 from .simhash import shingles
 
@@ -88,7 +88,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, min_similari
 def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(row, root) of ``rows`` (row, text); rows of one root are linked. ``row`` is unique and ``rows`` a written table."""
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    seen = materialize(sketches(rows), "near-sketches")
+    seen = materialize(sketches(spread(rows)), "near-sketches")
     grouped = seen.groupBy("node").agg(F.min(F.struct("row", "n", "keys")).alias("m"))
     classes = materialize(grouped.select("node", F.col("m.row").alias("first"), "m.n", "m.keys"), "near-classes")
     alike = F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")  # sizes too different exclude the threshold

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, read_table, slices, text_rows
+from .common import map_batches, materialize, read_table, slices, spread, text_rows
 
 BLANK = "▁"
 NONE = float("-inf")
@@ -456,7 +456,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     dealt out one by one; only their matrices, far smaller than the text, meet by
     document.
     """
-    rows = text_rows(docs, id_col, text_col)
+    rows = spread(text_rows(docs, id_col, text_col))
     size = F.length("text")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

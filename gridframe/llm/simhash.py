@@ -10,12 +10,16 @@ are then verified.
 
 Exact copies count once, as one distinct fingerprint. Within a variant's run only
 a spanning forest of the verified links is kept, so a group of many near copies
-gives links in proportion to its members.
+gives links in proportion to its members. A segment that more than ``LONG_RUN`` fingerprints
+share is counted beforehand; its variants' runs are cut by salt, and each pair of parts
+meets in a task of its own.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like
 any other; fewer words than a shingle give one shingle of all words; rows with a null
-id are left out; repeated ids are one document with several texts and share the
-smallest reachable id; an empty table gives an empty result.
+id are left out; every row is linked by its own fingerprint and an id links nothing, so rows of
+one id with other texts may be in components of their own, and repeated rows repeat their
+result; very long texts are read whole; extra columns of any name are left aside; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, read_table, text_rows
+from .common import map_batches, materialize, read_table, spread, text_rows
 from .components import connected_components
 
 LANES = np.uint64(0x0101010101010101)
@@ -77,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
         fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
         return {"id": batch.column("id"), "fp": pa.array(fps.view(np.int64))}
 
-    return map_batches(text_rows(docs, id_col, text_col).where("id is not null"), run, "id long, fp long")
+    return map_batches(spread(text_rows(docs, id_col, text_col).where("id is not null")), run, "id long, fp long")
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -87,18 +91,55 @@ def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), size) for k, size in enumerate(sizes)]
 
 
-def variants(fps: DataFrame, distance: int) -> DataFrame:
-    """(variant, fp): the segment with one bit deleted, tagged by segment and bit."""
+def segment_of(number: int, distance: int) -> Column:
+    """A segment's bits."""
+    at, size = segments(distance)[number]
+    return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+
+
+def variant_keys(cut: Column, number: int, size: int) -> list[Column]:
+    """The segment with each bit deleted, tagged by segment and bit."""
     keys = []
-    for number, (at, size) in enumerate(segments(distance)):
-        cut = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
-        for bit in range(size):
-            low, high = (1 << bit) - 1, ~((1 << (bit + 1)) - 1)
-            rest = cut.bitwiseAND(F.lit(low).cast("long")).bitwiseOR(F.shiftright(cut.bitwiseAND(F.lit(high).cast("long")), 1))
-            keys.append(rest.bitwiseOR(F.lit((number * 64 + bit) << 48).cast("long")))
+    for bit in range(size):
+        low, high = (1 << bit) - 1, ~((1 << (bit + 1)) - 1)
+        rest = cut.bitwiseAND(F.lit(low).cast("long")).bitwiseOR(F.shiftright(cut.bitwiseAND(F.lit(high).cast("long")), 1))
+        keys.append(rest.bitwiseOR(F.lit((number * 64 + bit) << 48).cast("long")))
+    return keys
+
+
+def variants(fps: DataFrame, distance: int) -> DataFrame:
+    """(variant, fp) of every segment."""
+    keys = [key for number, (_, size) in enumerate(segments(distance)) for key in variant_keys(segment_of(number, distance), number, size)]
     return fps.select("fp", F.explode(F.array(*keys)).alias("variant"))
 
 
+def long_runs(fps: DataFrame, distance: int, long_run: int) -> DataFrame:
+    """(hot, salts): variants whose run may be longer than ``long_run``, as two values of a segment make a run."""
+    values = F.array(*[F.struct(F.lit(n).alias("number"), segment_of(n, distance).alias("value")) for n in range(len(segments(distance)))])
+    counts = fps.select(F.explode(values).alias("s")).groupBy("s.number", "s.value").agg(F.count("*").alias("n")).where(2 * F.col("n") > long_run)
+    parts = []
+    for number, (_, size) in enumerate(segments(distance)):
+        own = counts.where(F.col("number") == number)
+        parts.append(own.select(F.explode(F.array(*variant_keys(F.col("value"), number, size))).alias("hot"), F.ceil(2 * F.col("n") / long_run).cast("int").alias("salts")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found.groupBy("hot").agg(F.max("salts").alias("salts"))
+
+
+def salted(met: DataFrame, hot: DataFrame) -> DataFrame:
+    """``met`` with the rows of hot variants once for each pair of salts they take part in."""
+    hot = F.broadcast(hot) if hot.count() <= MAX_BROADCAST else hot
+    joined = met.join(hot, F.col("variant") == F.col("hot"), "left")
+    plain = joined.where(F.col("salts").isNull()).select("fp", "variant")
+    own = F.pmod(F.xxhash64("fp"), F.col("salts"))
+    some = joined.where(F.col("salts").isNotNull()).select("fp", "variant", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    return plain.union(some.select("fp", F.xxhash64("variant", F.least("own", "other"), F.greatest("own", "other")).alias("variant")))
+
+
+#: Fingerprints of a run beyond which it is cut by salt; hot variants that are broadcast.
+LONG_RUN = 200_000
+MAX_BROADCAST = 200_000
 #: Runs of a variant up to this size are compared offset by offset, all runs at once.
 SHORT_RUN = 48
 
@@ -153,7 +194,7 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 BLOCK_ROWS = 1_000_000
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
+def links(fps: DataFrame, distance: int, long_run: int = LONG_RUN) -> DataFrame:
     """(a, b): links whose transitive closure is that of all pairs within ``distance`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +217,19 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         if keys:
             yield compared(True)
 
-    met = variants(fps, distance).repartition("variant").sortWithinPartitions("variant")
+    met = variants(fps, distance)
+    hot = materialize(long_runs(fps, distance, long_run), "fingerprint-runs")
+    if not hot.isEmpty():
+        met = salted(met, hot)
+    met = met.repartition("variant").sortWithinPartitions("variant")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", long_run: int = LONG_RUN) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links."""
     rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprint-classes")
-    roots = connected_components(links(classes.select("fp"), distance), "fingerprint-roots")
+    roots = connected_components(links(classes.select("fp"), distance, long_run), "fingerprint-roots")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     # a table of its own, so that the join back can be split where a component is large
     least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component")).withColumnRenamed("root", "least_root"), "fingerprint-components")
