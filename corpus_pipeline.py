@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.llm import decontaminate, language, line_dedup, near_copies, pieces
-from gridframe.llm.common import materialize, read_table
+from gridframe.llm.common import materialize, read_table, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what a stage writes for itself goes when its result is written
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", outlive=True)
     return docs
