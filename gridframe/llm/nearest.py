@@ -125,7 +125,7 @@ class GroupSearch:
     """A group of queries and the best rows they have met."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, distances: np.ndarray, thresholds: np.ndarray, lift: float, k: int):
-        self.ids, self.q, self.d, self.lift, self.k = ids, vectors, distances.astype(float), lift, k
+        self.ids, self.q, self.d, self.lift, self.k = ids, vectors, distances, lift, k
         self.norms = (vectors**2).sum(axis=1)
         self.least = thresholds.astype(float)
         self.top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
@@ -133,25 +133,32 @@ class GroupSearch:
 
     def meet(self, ids: np.ndarray, rows: np.ndarray, distances: np.ndarray) -> None:
         """Take in a block of rows."""
-        d = distances.astype(float)
-        scale = max(d.max(initial=0.0), self.d.max(initial=0.0))
+        d = np.ascontiguousarray(distances.T)  # a pivot's distances side by side
+        scale = float(max(d.max(initial=0.0), self.d.max(initial=0.0)))
+        small = np.abs(self.q).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[1] < 2**53
         with np.errstate(invalid="ignore"):
-            gap = np.maximum(d.min(axis=0) - self.d, self.d - d.max(axis=0)).max(axis=1)
+            gap = np.maximum(d.min(axis=1) - self.d, self.d - d.max(axis=1)).max(axis=1) if len(d) else np.zeros(len(self.ids))
             reaches = ~(most_of(self.lift, self.norms, gap, scale) < self.least)
+        low, one = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
         for n in np.flatnonzero(reaches).tolist():
+            low[:] = 0
             with np.errstate(invalid="ignore"):
-                most = most_of(self.lift, self.norms[n], np.abs(d - self.d[n]).max(axis=1), scale)
+                for own, mine in zip(d, self.d[n]):
+                    np.subtract(own, mine, out=one)
+                    np.maximum(low, np.abs(one, out=one), out=low)
+                most = most_of(self.lift, self.norms[n], low.astype(float), scale)
                 left = np.flatnonzero(~(most < self.least[n]))
             order = left[np.argsort(-most[left], kind="stable")]
             step, at = STEP, 0
             while at < len(order) and not most[order[at]] < self.least[n]:
                 some = order[at : at + step]
-                at, step = at + step, step * 2
+                at, step = at + step, step * 4
                 some = some[ids[some] != self.ids[n]]
                 self.evaluated += len(some)
-                got = scores(self.q[n][None, :], rows[some])[0]
+                got = (rows[some] @ self.q[n]).astype(np.int64) if small else scores(self.q[n][None, :], rows[some])[0]
+                enough = got >= self.least[n]
                 best = self.top[n]
-                self.top[n] = best_of(np.concatenate((best[0], ids[some])), np.concatenate((best[1], got)), self.k)
+                self.top[n] = best_of(np.concatenate((best[0], ids[some][enough])), np.concatenate((best[1], got[enough])), self.k)
                 if len(self.top[n][1]) == self.k:
                     self.least[n] = max(self.least[n], float(self.top[n][1][-1]))
 
