@@ -14,9 +14,13 @@ Shards are rows of a table in the shared folder, because Spark commits tables
 atomically on every store and replays a lost task; ``shard_bytes`` of a row can be
 dumped to a file unchanged. Shards are in ascending document order.
 
+A tokenizer whose normaliser and pre-tokenizer are known to work word by word is asked once
+a word; any other gets whole texts.
+
 Defined results: a null or empty text is a document that holds the end id alone;
-rows with a null id are not documents and are left out; equal ids keep one boundary
-each, in any order; an empty table gives no shard.
+rows with a null id are not documents and are left out; equal ids, also of repeated rows,
+keep one boundary each, in any order; very long texts stay whole in one shard; extra columns
+of any name are left aside; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -141,7 +145,7 @@ class Shard:
 
 # ---------------------------------------------------------------- encoding
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[str, "TextEncoder"] = {}
 #: A word of letters that have no combining forms, then ASCII signs: both are tokens of their own.
 SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-^`{-~]*)")
 #: Texts that are not lowered and cut beforehand: letters with combining forms or odd case, special tokens.
@@ -149,7 +153,34 @@ ODD = re.compile(r"[^\x00-\u012F\u0131-\u024F]")
 STOP = re.compile(r"(?<=[a-z\u00E0-\u00F6\u00F8-\u00FF])([.,])(?=[ \n]|\Z)")
 
 
-class WordEncoder:
+#: Normaliser and pre-tokenizer under which a text's ids are those of its words (fixed values).
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer's description allows ``WordEncoder``."""
+    before = spec.get("pre_tokenizer") or {}
+    return (
+        spec.get("normalizer") == WORD_NORMALIZER and before.get("type") == "Sequence" and before.get("pretokenizers") == [WORD_SPLIT, WORD_BYTES] and bool(spec["model"].get("end_of_word_suffix")) and not spec["model"].get("dropout")
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in spec.get("added_tokens", ()))
+    )
+
+
+class TextEncoder:
+    """Ids of whole texts through the tokenizers library, for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(found.ids, self.kind).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class WordEncoder(TextEncoder):
     """Ids of whole texts through the tokenizers library, one call a new word.
 
     The pre-tokenizer drops white space and neither it nor the normalizer looks
@@ -158,13 +189,8 @@ class WordEncoder:
     only for "word" and ",".
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
+    def __init__(self, tokenizer):
+        super().__init__(tokenizer)
         self.known: dict[str, bytes] = {"": b""}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
         vocab = self.tokenizer.get_vocab()
@@ -212,9 +238,15 @@ class WordEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        _ENCODERS[path] = (WordEncoder if by_words(json.loads(tokenizer.to_str())) else TextEncoder)(tokenizer)
     return _ENCODERS[path]
 
 

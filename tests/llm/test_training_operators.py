@@ -220,6 +220,22 @@ def test_encoder_is_the_library():
         assert np.frombuffer(ids, enc.kind).tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_any_tokenizer_is_the_library(spark, sf_dir):
+    """A tokenizer that looks across words gets whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), token_ids.encoder(path)
+    assert not isinstance(enc, token_ids.WordEncoder) and isinstance(token_ids.encoder(token_ids.word_bpe_path()), token_ids.WordEncoder)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    want = {r["doc_id"]: zlib.crc32(np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 50256], "<u4").tobytes()) for r in docs.collect()}
+    got = {r["doc_id"]: r["ids_crc32"] for r in token_ids.read_documents(token_ids.write_shards(docs, path, end_id=50256)).collect()}
+    assert got == want
+    texts = ["Hello there, World. New York", "a  b\n\n c", "", "É́ <|endoftext|>"]
+    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # ------------------------------------------------------------ 4: leaks
 
 ITEM = "Natalia sold 48 clips to her friends in April and then she sold half as many clips in May for 3 km"
