@@ -158,6 +158,23 @@ def scan(df: DataFrame, batch: list[str], size: int, monoid: Monoid, exclusive:
     return joined.withColumn("v", monoid.op(F.col(start), F.col(own))).drop(own, start, at_block)
 
 
+#: Elements of a lane whose prefixes are built by appending, which copies what is there.
+CHUNK = 64
+
+
+def prefixes(lane: str, monoid: Monoid) -> Column:
+    """Array of the folds of the first 0, 1, ... elements of an array column, in chunks of ``CHUNK``."""
+
+    def grown(x: Column) -> Column:
+        return F.aggregate(x, F.array(monoid.zero), lambda acc, v: F.concat(acc, F.array(monoid.op(F.element_at(acc, -1), v))))
+
+    count = F.call_function("div", F.size(lane) + F.lit(CHUNK - 1), F.lit(CHUNK)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda c: grown(F.slice(lane, c * CHUNK + 1, F.lit(CHUNK))))
+    starts = F.aggregate(chunks, F.array(monoid.zero), lambda acc, c: F.concat(acc, F.array(monoid.op(F.element_at(acc, -1), F.element_at(c, -1)))))
+    shifted = F.transform(F.arrays_zip(chunks.alias("c"), F.slice(starts, 1, F.size(starts) - 1).alias("s")), lambda z: F.transform(F.slice(z["c"], 2, F.size(z["c"]) - 1), lambda v: monoid.op(z["s"], v)))
+    return F.concat(F.array(monoid.zero), F.flatten(shifted))
+
+
 def window_scan(df: DataFrame, batch: list[str], monoid: Monoid, exclusive: bool, name: str = "v") -> DataFrame:
     rows = Window.partitionBy(*batch).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     if monoid.native:
@@ -169,8 +186,7 @@ def window_scan(df: DataFrame, batch: list[str], monoid: Monoid, exclusive: bool
         batch = ["__one"]
     others = [c for c in df.columns if c not in (*batch, "__at", "v")]
     packed = df.groupBy(*batch).agg(F.array_sort(F.collect_list(F.struct("__at", "v", *others))).alias("__rows"), lane.alias("__lane"))
-    prefix = F.aggregate("__lane", F.array(monoid.zero), lambda acc, x: F.concat(acc, F.array(monoid.op(F.element_at(acc, -1), x))))
-    packed = packed.select(*batch, "__rows", prefix.alias("__prefix")).select(*batch, F.posexplode("__rows").alias("__n", "__r"), "__prefix")
+    packed = packed.select(*batch, "__rows", prefixes("__lane", monoid).alias("__prefix")).select(*batch, F.posexplode("__rows").alias("__n", "__r"), "__prefix")
     value = F.get("__prefix", F.col("__n") + F.lit(0 if exclusive else 1))
     out = packed.select(*batch, F.col("__r.__at").alias("__at"), F.col("__r.v").alias("v"), *[F.col(f"__r.{c}").alias(c) for c in others], value.alias("__new"))
     return out.withColumn(name, F.col("__new")).drop("__new", "__one")

@@ -96,9 +96,11 @@ class MatrixMul(Computation):
             block = lambda c: F.call_function("div", c, F.lit(tile).cast("bigint"))
             return df.groupBy(F.col(prefix), block(row).alias(f"{prefix}_r"), block(col).alias(f"{prefix}_c")).agg(cells.alias(f"{prefix}_cells"))
 
-        ta = cut(a, F.col("i"), F.col("k"), "va", self._a.dtype, "ga")
-        tb = cut(b, F.col("kb"), F.col("j"), "vb", self._b.dtype, "gb")
-        met = F.col("ga_c") == F.col("gb_r")
+        # a tile goes to every output tile it is part of, so the join has a key for each product of tiles
+        each = lambda size: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-(-size // tile) - 1).cast("bigint")))
+        ta = cut(a, F.col("i"), F.col("k"), "va", self._a.dtype, "ga").select("*", each(n).alias("ga_j"))
+        tb = cut(b, F.col("kb"), F.col("j"), "vb", self._b.dtype, "gb").select("*", each(m).alias("gb_i"))
+        met = (F.col("ga_c") == F.col("gb_r")) & (F.col("ga_r") == F.col("gb_i")) & (F.col("ga_j") == F.col("gb_c"))
         met = met & (F.col("ga") == F.col("gb")) if shared else met
         pairs = ta.join(tb, met).select(group.alias("g"), F.col("ga_r").alias("bi"), F.col("gb_c").alias("bj"), "ga_cells", "gb_cells")
 

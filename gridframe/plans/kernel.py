@@ -17,6 +17,10 @@ from ..grid import Grid, coords
 from ..meta import ArrayMeta, Parameter
 
 
+#: Elements of a constant array that is broadcast; a larger one is joined by a shuffle.
+MAX_CONSTANT = 1 << 20
+
+
 class Accessor:
     """One parameter inside user code."""
 
@@ -115,8 +119,8 @@ class Kernel:
         grid = self._grids[name]
         keys = [f"{column}_{k}" for k in range(grid.meta.ndim)]
         source = grid.df.select(*[F.col(c).alias(k) for c, k in zip(coords(grid.meta.ndim), keys)], F.col("v").alias(column))
-        if name in self._constant:
-            source = F.broadcast(source)  # constant arrays are small by contract
+        if name in self._constant and grid.meta.size <= MAX_CONSTANT:
+            source = F.broadcast(source)
         df = df.withColumns({f"{k}x": i.cast("bigint") for k, i in zip(keys, index)})
         met = [F.col(f"{k}x") == F.col(k) for k in keys]
         return df.join(source, met, "inner").drop(*keys, *[f"{k}x" for k in keys])

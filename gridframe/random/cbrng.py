@@ -21,13 +21,13 @@ LANE = 65_536
 class CBRNG(Computation):
     """``randoms`` from ``counters``: a generator for each place on the last axes, draws on the first ones."""
 
-    def __init__(self, randoms_arr, generators_dim: int, sampler: Sampler, seed=None, bijection: Bijection | None = None):
+    def __init__(self, randoms_arr, generators_dim: int, sampler: Sampler, seed=None, bijection: Bijection | None = None, reserve_id_space: bool = True):
         meta = meta_of(randoms_arr)
         if sampler.dtype != meta.dtype:
             raise ValueError("The sampler and the array must use the same data type")
         self._meta, self._dim, self._sampler = meta, generators_dim, sampler
         self._bijection = bijection or Bijection("philox", 64, 4)
-        self._key = seed_key(self._bijection, seed)
+        self._key = seed_key(self._bijection, seed, reserve_id_space)
         self._counters = ArrayMeta(meta.shape[meta.ndim - generators_dim :], COUNTER)
         super().__init__([array("counters", self._counters.shape, COUNTER, "io"), array("randoms", meta.shape, meta.dtype, "o")])
 
@@ -66,12 +66,17 @@ class CBRNG(Computation):
                         leading = [pa.array(np.full(len(values), draw // s % size)) for size, s in zip(lead.shape, lead.strides)]
                         yield pa.RecordBatch.from_arrays([*leading, *map(pa.array, index), v], names=[*coords(meta.ndim), "v"])
 
+        steps = counter_steps(bijection, sampler, n_draws) if sampler.deterministic else None
+
         def advance(batches):
             for whole in batches:
                 for at in range(0, whole.num_rows, LANE):
                     index, state = states(whole.slice(at, LANE))
-                    for _ in draws(state, sampler, n_draws):
-                        pass
+                    if steps is None:  # how many words a draw takes is known only by drawing
+                        for _ in draws(state, sampler, n_draws):
+                            pass
+                    else:
+                        state.skip(steps)
                     words = pa.array([[int(w) for w in row] for row in state.next_counters()], pa.list_(pa.decimal128(20, 0)))
                     yield pa.RecordBatch.from_arrays([*map(pa.array, index), pa.StructArray.from_arrays([words], names=["v"])], names=[*own, "v"])
 
@@ -82,6 +87,22 @@ class CBRNG(Computation):
         return {"counters": Grid(counters, self._counters), "randoms": Grid(randoms, meta)}
 
 
+def counter_steps(bijection: Bijection, sampler: Sampler, n_draws: int) -> int:
+    """Counters that so many draws of one generator use, if it is the same for all."""
+    calls = -(-n_draws // sampler.per_call)
+    one = State(bijection, np.zeros(bijection.key_words, bijection.kind), np.zeros(1, np.int64), np.zeros((1, bijection.words), np.uint64))
+    few = min(calls, bijection.words * one.halves)  # after so many calls the words start anew
+    for _ in draws(one, sampler, few * sampler.per_call):
+        pass
+    if few == calls:
+        return int(one.next_counters()[0, -1])
+    period = int(one.next_counters()[0, -1])
+    rest = State(bijection, np.zeros(bijection.key_words, bijection.kind), np.zeros(1, np.int64), np.zeros((1, bijection.words), np.uint64))
+    for _ in draws(rest, sampler, (calls % few) * sampler.per_call):
+        pass
+    return period * (calls // few) + int(rest.next_counters()[0, -1])
+
+
 def _shortcut(name):
     def build(cls, randoms_arr, generators_dim, sampler_kwds=None, seed=None):
         meta = meta_of(randoms_arr)

@@ -106,11 +106,18 @@ class Bijection:
         return np.stack(x, axis=1)
 
 
-def seed_key(bijection: Bijection, seed: int | np.ndarray | None) -> np.ndarray:
-    """Key words of a seed, with the last 32 bits (or word) left for the generator's number."""
-    if bijection.bitness == 32 and bijection.key_words == 1:
+def seed_key(bijection: Bijection, seed: int | np.ndarray | None, reserve_id_space: bool = True) -> np.ndarray:
+    """Key words of a seed.
+
+    With ``reserve_id_space`` the last 32 bits (or word) are left for the generator's
+    number. Without it the seed takes the whole key and numbers are added to that, so
+    generators still differ, but two seeds may share sequences.
+    """
+    if reserve_id_space and bijection.bitness == 32 and bijection.key_words == 1:
         raise ValueError("a key of 32 bits has no room for generator numbers")
-    pieces = bijection.key_words - 1 if bijection.bitness == 32 else 2 * (bijection.key_words - 1) if bijection.key_words > 1 else 1
+    size = bijection.key_words * bijection.bitness // 32
+    free = 0 if not reserve_id_space else 2 if bijection.bitness == 64 and bijection.key_words > 1 else 1
+    pieces = size - free
     if isinstance(seed, np.ndarray):
         if seed.dtype != np.uint32 or seed.size != pieces:
             raise ValueError(f"a seed array must have {pieces} values of uint32")
@@ -118,15 +125,32 @@ def seed_key(bijection: Bijection, seed: int | np.ndarray | None) -> np.ndarray:
     else:
         halves = np.random.default_rng(seed).integers(0, 1 << 16, 2 * pieces)
         parts = [(int(a) << 16) | int(b) for a, b in zip(halves[::2], halves[1::2])]
-    key = [0] * bijection.key_words
-    if bijection.bitness == 32:
-        key[: len(parts)] = parts
-    elif bijection.key_words == 1:
-        key[0] = parts[0] << 32
-    else:
-        for j in range(bijection.key_words - 1):
-            key[j] = (parts[2 * j] << 32) | parts[2 * j + 1]
-    return np.array(key, dtype=bijection.kind)
+    parts += [0] * free
+    if bijection.bitness == 64:
+        parts = [(a << 32) | b for a, b in zip(parts[::2], parts[1::2])]
+    return np.array(parts, dtype=bijection.kind)
+
+
+@dataclass(frozen=True)
+class KeyGenerator:
+    """Keys of generators by their number."""
+
+    bijection: Bijection
+    base: tuple[int, ...]
+
+    @classmethod
+    def create(cls, bijection: Bijection, seed: int | np.ndarray | None = None, reserve_id_space: bool = True) -> KeyGenerator:
+        return cls(bijection, tuple(int(w) for w in seed_key(bijection, seed, reserve_id_space)))
+
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        """Key words of each generator number."""
+        out = np.tile(np.array(self.base, self.bijection.kind), (len(ids), 1))
+        with np.errstate(over="ignore"):
+            out[:, -1] += np.asarray(ids).astype(self.bijection.kind)
+        return out
+
+    def key(self, number: int) -> np.ndarray:
+        return self.keys(np.array([number]))[0]
 
 
 class State:
@@ -134,9 +158,7 @@ class State:
 
     def __init__(self, bijection: Bijection, base: np.ndarray, ids: np.ndarray, counters: np.ndarray):
         self.bijection = bijection
-        self.keys = np.tile(base, (len(ids), 1))
-        with np.errstate(over="ignore"):
-            self.keys[:, -1] += ids.astype(bijection.kind)
+        self.keys = KeyGenerator(bijection, tuple(base)).keys(ids)
         self.counters = counters.astype(bijection.kind).copy()
         self.halves = 1 if bijection.bitness == 32 else 2  # 32-bit parts of a word
         self.room = bijection.words * self.halves
@@ -161,6 +183,22 @@ class State:
             if not len(carry):
                 return
 
+    def skip(self, steps: int) -> None:
+        """Add to all counters, with carries."""
+        bits = self.bijection.bitness
+        for word in range(self.bijection.words - 1, -1, -1):
+            part = self.bijection.kind(steps & (1 << bits) - 1)
+            steps >>= bits
+            if not part and not steps:
+                return
+            with np.errstate(over="ignore"):
+                self.counters[:, word] += part
+            carried = self.counters[:, word] < part
+            for higher in range(word - 1, -1, -1):
+                with np.errstate(over="ignore"):
+                    self.counters[carried, higher] += self.bijection.kind(1)
+                carried &= self.counters[:, higher] == 0
+
     def raw32(self, rows: np.ndarray) -> np.ndarray:
         empty = rows[self.used[rows] >= self.room]
         if len(empty):

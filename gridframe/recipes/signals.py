@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .. import cplx
@@ -14,7 +12,7 @@ from ..grid import Grid
 from ..meta import COMPLEX_OF, ArrayMeta, real_of, spark_type
 from ..operators.fold import Reduce, Scan, sum_of
 from ..operators.rearrange import Transpose
-from ..operators.spectral import FFT, lanes
+from ..operators.spectral import FFT, MAX_LANE
 
 
 def frames(signal: Grid, size: int, overlap: int, pad_to: int | None = None) -> Grid:
@@ -51,36 +49,43 @@ def spectrogram(signal: Grid, size: int = 256, overlap: int = 128, pad_to: int |
     return Transpose(grid).call(input=grid)
 
 
-def _last_axis(grid: Grid, function, size: int, dtype: str) -> Grid:
-    """``function`` on each lane of the last axis; real values travel as complex."""
-    ndim = grid.meta.ndim
-    batch, at = [f"i{k}" for k in range(ndim - 1)], f"i{ndim - 1}"
-    source = grid.with_value(F.struct(*[x.alias(n) for x, n in zip(cplx.widen(F.col("v"), grid.meta.dtype), ("re", "im"))]), "complex128")
-    out_complex = dtype in COMPLEX_OF.values()
-    kind = real_of(dtype)
+def _last(grid: Grid) -> tuple[list[str], str]:
+    """Coordinates before the last one, and the last one."""
+    return [f"i{k}" for k in range(grid.meta.ndim - 1)], f"i{grid.meta.ndim - 1}"
 
-    def run(batches):
-        for part in batches:
-            for k in range(part.num_rows):
-                cells = part.column("cells")[k].values
-                z = cells.field("re").to_numpy(zero_copy_only=False) + 1j * cells.field("im").to_numpy(zero_copy_only=False)
-                out = function(z)
-                v = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(out.real).astype(kind)), pa.array(np.ascontiguousarray(out.imag).astype(kind))], names=["re", "im"]) if out_complex else pa.array(np.ascontiguousarray(out.real).astype(kind))
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(out), part.column(c)[k].as_py())) for c in batch], pa.array(np.arange(len(out))), v], names=[*batch, at, "v"])
 
-    schema = ", ".join([*(f"i{k} bigint" for k in range(ndim)), f"v {spark_type(dtype)}"])
-    return Grid(lanes(source.df, batch, at).mapInArrow(run, schema), ArrayMeta((*grid.meta.shape[:-1], size), dtype))
+def _pair(re, im):
+    return F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
 
 
-def rfft(grid: Grid) -> Grid:
+def _fft_last(df, shape: tuple[int, ...], inverse: int, max_lane: int) -> Grid:
+    """Complex transform along the last axis."""
+    grid = Grid(df, ArrayMeta(shape, "complex128"))
+    return FFT(grid, axes=(-1,), max_lane=max_lane).call(input=grid, inverse=inverse)
+
+
+def _cast_pair(grid: Grid, dtype: str) -> Grid:
+    return grid.with_value(cplx.make(F.col("v.re"), F.col("v.im"), dtype), dtype)
+
+
+def rfft(grid: Grid, max_lane: int = MAX_LANE) -> Grid:
     """Transform of real lanes: the first half and the middle."""
-    return _last_axis(grid, lambda z: np.fft.rfft(z.real), grid.meta.shape[-1] // 2 + 1, COMPLEX_OF[grid.meta.dtype])
+    n, (_, at), dtype = grid.meta.shape[-1], _last(grid), COMPLEX_OF[grid.meta.dtype]
+    full = _fft_last(grid.df.withColumn("v", _pair(F.col("v"), F.lit(0.0))), grid.meta.shape, 0, max_lane)
+    half = Grid(full.df.where(F.col(at) < n // 2 + 1), ArrayMeta((*grid.meta.shape[:-1], n // 2 + 1), "complex128"))
+    return _cast_pair(half, dtype)
 
 
-def irfft(grid: Grid) -> Grid:
-    """Real lanes of even length from their half transform."""
-    n = 2 * (grid.meta.shape[-1] - 1)
-    return _last_axis(grid, lambda z: np.fft.irfft(z, n), n, real_of(grid.meta.dtype))
+def irfft(grid: Grid, max_lane: int = MAX_LANE) -> Grid:
+    """Real lanes of even length from their half transform; imaginary parts of the first and the last element are ignored."""
+    n, (batch, at), dtype = 2 * (grid.meta.shape[-1] - 1), _last(grid), real_of(grid.meta.dtype)
+    end = F.col(at).isin(0, n // 2)
+    own = F.struct(F.col(at).alias("k"), _pair(F.col("v.re"), F.when(end, F.lit(0.0)).otherwise(F.col("v.im"))).alias("v"))
+    mirrored = F.struct((F.lit(n).cast("bigint") - F.col(at)).alias("k"), _pair(F.col("v.re"), -F.col("v.im")).alias("v"))
+    spread = grid.df.select(*batch, F.explode(F.when(end, F.array(own)).otherwise(F.array(own, mirrored))).alias("x"))
+    shape = (*grid.meta.shape[:-1], n)
+    out = _fft_last(spread.select(*batch, F.col("x.k").alias(at), F.col("x.v").alias("v")), shape, 1, max_lane)
+    return out.with_value(F.col("v.re").cast(spark_type(dtype)), dtype)
 
 
 def aprfft(grid: Grid) -> Grid:
@@ -112,6 +117,23 @@ def aprfft(grid: Grid) -> Grid:
     return Scan(start, sum_of(dtype), axes=(-1,)).call(input=start)
 
 
+def iaprfft(grid: Grid, max_lane: int = MAX_LANE) -> Grid:
+    """First half of an antiperiodic real signal from its odd harmonics; inverse of ``aprfft``.
+
+    The odd harmonics are even ones of the signal turned by one step: padded with as many
+    zeros, transformed back, and turned again.
+    """
+    half, (batch, at), dtype = grid.meta.shape[-1], _last(grid), real_of(grid.meta.dtype)
+    n = 4 * half  # period of the signal
+    own = F.struct(F.col(at).alias("k"), _pair(F.col("v.re"), F.col("v.im")).alias("v"))
+    zero = F.struct((F.col(at) + half).alias("k"), _pair(F.lit(0.0), F.lit(0.0)).alias("v"))
+    padded = grid.df.select(*batch, F.explode(F.array(own, zero)).alias("x")).select(*batch, F.col("x.k").alias(at), F.col("x.v").alias("v"))
+    shape = (*grid.meta.shape[:-1], 2 * half)
+    back = _fft_last(padded, shape, 1, max_lane)  # divides by 2 * half
+    angle = F.col(at) * F.lit(2 * math.pi / n)
+    return back.with_value((F.col("v.re") * F.cos(angle) - F.col("v.im") * F.sin(angle)).cast(spark_type(dtype)), dtype)
+
+
 def fftn_by_transposes(grid: Grid, axes: tuple[int, ...] | None = None) -> Grid:
     """n-d transform: each axis is brought innermost, transformed, and brought back."""
     for axis in axes if axes is not None else range(grid.meta.ndim):
