@@ -17,9 +17,9 @@ from .operators.fold import Monoid, Reduce, Scan, max_of, min_max, sum_of
 from .operators.linear import EntrywiseNorm, MatrixMul
 from .operators.pure import PureParallel
 from .operators.rearrange import FFTShift, Roll, RollInplace, Transpose
-from .operators.spectral import DHT, FFT, dht_matrix, spatial_points
+from .operators.spectral import DHT, FFT, dht_matrix
 from .random.cbrng import CBRNG
-from .random.generators import Bijection, uniform_integer
+from .random.generators import PARITY, PHILOX_M, PHILOX_W, THREEFRY_ROT, Bijection, seed_key, uniform_integer
 from .recipes import signals
 from .sources.tables import complex_vectors, length, signal, table, vectors
 
@@ -101,7 +101,7 @@ def reduce_monoid(spark, d):
 def scan_by_user(exclusive):
     def run(spark, d):
         grid = by_user(spark, d)
-        return Scan(grid, sum_of("int64"), axes=(1,), exclusive=exclusive, block=1 << 40).call(input=grid).df
+        return Scan(grid, sum_of("int64"), axes=(1,), exclusive=exclusive).call(input=grid).df
 
     return run
 
@@ -119,6 +119,17 @@ def scan_max(spark, d):
     return Scan(grid, max_of("int64", -(1 << 62)), block=1024).call(input=grid).df
 
 
+def scan_generic(spark, d):
+    """Structs and an operation without a Catalyst aggregate: prefix sums and prefix maxima of the signal."""
+    grid = signal(spark, d)
+    dtype = "struct<total:bigint,top:bigint>"
+    pair = lambda a, b: F.struct(a.alias("total"), b.alias("top"))
+    monoid = Monoid(lambda a, b: pair(a["total"] + b["total"], F.greatest(a["top"], b["top"])), {"total": 0, "top": -(1 << 62)}, dtype)
+    pairs = grid.with_value(pair(F.col("v"), F.col("v")), dtype)
+    out = Scan(pairs, monoid, block=1024).call(input=pairs)
+    return out.df.select("i0", "v.total", "v.top")
+
+
 def scan_axes(spark, d):
     """Scan over both axes, columns first."""
     grid = vectors(spark, d)
@@ -307,15 +318,27 @@ def fft_real_shifted(spark, d):
     return complex_rows(op.bind(signal=grid)["spectrum"])
 
 
-DHT_MODES = 12
+def fft_chirp(spark, d):
+    """Frames of a prime length, longer than a lane of a task (16 elements here)."""
+    grid = signals.frames(signal(spark, d), 61, 30)
+    turned = trf(T.to_complex(grid.with_value(F.col("v").cast("double"), "float64").meta), input=grid.with_value(F.col("v").cast("double"), "float64"))["output"]
+    return complex_rows(FFT(turned, axes=(1,), max_lane=16).call(input=turned))
+
+
+#: Modes whose second-order transform has 64 points, as many as a vector has places.
+DHT_MODES = 43
 
 
 def dht_forward(spark, d):
-    """Modes of the first places of each vector, as if sampled on the spatial grid."""
+    """Modes of each vector, as if sampled on the spatial grid."""
+    grid = vectors(spark, d)
+    return real(DHT(ArrayMeta((grid.meta.shape[0], DHT_MODES), "float64"), order=2, axes=(1,)).call(coords=grid))
+
+
+def dht_inverse(spark, d):
+    """Values on the spatial grid of the function that has each vector as modes."""
     grid = vectors(spark, d)
-    points = spatial_points(DHT_MODES, 2)
-    cut = Grid(grid.df.where(F.col("i1") < points), ArrayMeta((grid.meta.shape[0], points), "float64"))
-    return real(DHT(ArrayMeta((grid.meta.shape[0], DHT_MODES), "float64"), order=2, axes=(1,)).call(coords=cut))
+    return real(DHT(grid.meta, inverse=True, axes=(1,)).call(modes=grid))
 
 
 def spectro_frames(spark, d):
@@ -339,6 +362,10 @@ def aprfft(spark, d):
     return complex_rows(signals.aprfft(vectors(spark, d)))
 
 
+def iaprfft_round_trip(spark, d):
+    return real(signals.iaprfft(signals.aprfft(vectors(spark, d))))
+
+
 def fftn_by_transposes(spark, d):
     return complex_rows(signals.fftn_by_transposes(complex_vectors(spark, d), (1,)))
 
@@ -348,7 +375,9 @@ def cbrng(name, dtype, **options):
         n = length(table(spark, d, "events"), "event_id")
         op = getattr(CBRNG, name)(ArrayMeta((4, n), dtype), 1, options, seed=456)
         out = op.bind(counters=op.create_counters(spark))["randoms"]
-        return out.df if not dtype.startswith("complex") else complex_rows(out)
+        if dtype.startswith("complex"):
+            return complex_rows(out)
+        return out.df if name.startswith("uniform") else real(out)  # logarithms and angles differ in the last bit between libraries
 
     return run
 
@@ -361,12 +390,12 @@ def cbrng_threefry(spark, d):
 
 QUERIES = {
     "reduce_sum": reduce_sum, "reduce_all": reduce_all, "reduce_two_axes": reduce_two_axes, "reduce_struct_minmax": reduce_minmax, "reduce_generic_monoid": reduce_monoid,
-    "scan_inclusive": scan_by_user(False), "scan_exclusive": scan_by_user(True), "scan_global": scan_global(False), "scan_global_exclusive": scan_global(True), "scan_max": scan_max, "scan_axes": scan_axes,
+    "scan_inclusive": scan_by_user(False), "scan_exclusive": scan_by_user(True), "scan_global": scan_global(False), "scan_global_exclusive": scan_global(True), "scan_max": scan_max, "scan_axes": scan_axes, "scan_generic": scan_generic,
     "roll": roll, "roll_inplace": roll_inplace, "fftshift": fftshift(0), "fftshift_inverse": fftshift(1), "transpose": transpose, "transpose_axes": transpose_axes,
     "copy": copy, "copy_broadcasted": copy_broadcasted, "cast": cast, "arithmetic": arithmetic, "division": division, "split_complex": split_complex, "combine_complex": combine_complex, "norm_const": norm_const, "norm_param": norm_param, "ignore": ignore, "broadcast_value": broadcast_value,
     "pureparallel_gather": pureparallel_gather, "pureparallel_scatter": pureparallel_scatter, "matmul_gram": matmul_gram, "matmul_batch": matmul_batch, "entrywise_norm": entrywise_norm,
-    "fft_lanes": fft_lanes(0), "fft_inverse": fft_lanes(1), "fft_four_step": fft_four_step, "fft_real_shifted": fft_real_shifted, "dht_forward": dht_forward,
-    "spectro_frames": spectro_frames, "spectrogram": spectrogram, "rfft": rfft, "irfft_round_trip": irfft_round_trip, "aprfft": aprfft, "fftn_by_transposes": fftn_by_transposes,
+    "fft_lanes": fft_lanes(0), "fft_inverse": fft_lanes(1), "fft_four_step": fft_four_step, "fft_real_shifted": fft_real_shifted, "fft_chirp": fft_chirp, "dht_forward": dht_forward, "dht_inverse": dht_inverse,
+    "spectro_frames": spectro_frames, "spectrogram": spectrogram, "rfft": rfft, "irfft_round_trip": irfft_round_trip, "aprfft": aprfft, "iaprfft_round_trip": iaprfft_round_trip, "fftn_by_transposes": fftn_by_transposes,
     "cbrng_uniform_integer": cbrng("uniform_integer", "int32", low=-10, high=98), "cbrng_uniform_float": cbrng("uniform_float", "float64", low=-5.0, high=7.7), "cbrng_normal": cbrng("normal_bm", "float64", mean=-2.0, std=10.0), "cbrng_normal_complex": cbrng("normal_bm", "complex128", mean=-3 + 4j, std=7.0), "cbrng_gamma": cbrng("gamma", "float64", shape=3.0, scale=10.0), "cbrng_vonmises": cbrng("vonmises", "float64", mu=1.0, kappa=0.7), "cbrng_threefry": cbrng_threefry,
 }
 
@@ -389,8 +418,8 @@ SELECT i0, {out} AS i1, {R(f'sum(v * cos({sign} * 2 * pi() * ((i1 * k) % 64) / 6
 FROM e CROSS JOIN f GROUP BY i0, k"""
 
 
-def dht_sql() -> str:
-    p = dht_matrix(DHT_MODES, 2, 0, False)
+def dht_sql(modes: int, order: int, inverse: bool) -> str:
+    p = dht_matrix(modes, order, 0, inverse)
     rows = ", ".join(f"({j}, {m}, {p[j, m]!r}::double)" for j in range(p.shape[0]) for m in range(p.shape[1])).replace("np.float64(", "(")
     return f"WITH {MATRIX}, p(j, m, w) AS (VALUES {rows}) SELECT i0, m AS i1, {R('sum(v * w)')} AS v FROM e JOIN p ON i1 = j GROUP BY i0, m"
 
@@ -399,6 +428,100 @@ def frames_sql(size: int, step: int) -> str:
     return f"f AS (SELECT k.k AS f, s.i0 - k.k * {step} AS j, s.v FROM n, unnest(range(0, (n.n - {size - step}) // {step})) AS k(k) JOIN s ON s.i0 >= k.k * {step} AND s.i0 < k.k * {step} + {size})"
 
 
+def philox_sql(ids: str, counter: int | str) -> str:
+    """Words x0 .. x3 of each id for a counter (a number or a column): ten rounds of products of 128 bits."""
+    m0, m1 = PHILOX_M[64, 4]
+    w0, w1 = PHILOX_W[64]
+    k0, mask = int(seed_key(Bijection(), 456)[0]), f"{(1 << 64) - 1}::uhugeint"
+    sql = f"SELECT *, 0::uhugeint AS x0, 0::uhugeint AS x1, 0::uhugeint AS x2, {counter}::uhugeint AS x3 FROM ({ids})"
+    for r in range(10):
+        key = f"{(k0 + r * w0) % (1 << 64)}::uhugeint", f"((id + {r * w1 % (1 << 64)}::uhugeint) & {mask})"
+        sql = f"SELECT * EXCLUDE (p0, p1) REPLACE (xor(xor(p1 >> 64, x1), {key[0]}) AS x0, p1 & {mask} AS x1, xor(xor(p0 >> 64, x3), {key[1]}) AS x2, p0 & {mask} AS x3) FROM (SELECT *, {m0}::uhugeint * x0 AS p0, {m1}::uhugeint * x2 AS p1 FROM ({sql}))"
+    return sql
+
+
+def threefry_sql(ids: str) -> str:
+    """Words x0 .. x3 of 32 bits of each id for counter zero: twenty rounds of sums and turns."""
+    key = [int(k) for k in seed_key(Bijection("threefry", 32, 4), 456)[:3]]
+    mask = (1 << 32) - 1
+    last = PARITY[32] ^ key[0] ^ key[1] ^ key[2]
+    ks = [*map(str, key), "id", f"xor({last}, id)"]
+    sql = f"SELECT id, {', '.join(f'(({ks[j]}) & {mask}) AS x{j}' for j in range(4))} FROM ({ids})"
+    for r in range(20):
+        for (a, b), by in zip(((0, 1), (2, 3)) if r % 2 == 0 else ((0, 3), (2, 1)), THREEFRY_ROT[32, 4][r % 8]):
+            sql = f"SELECT * REPLACE (xor(((x{b} << {by}) & {mask}) | (x{b} >> {32 - by}), x{a}) AS x{b}) FROM (SELECT * REPLACE ((x{a} + x{b}) & {mask} AS x{a}) FROM ({sql}))"
+        if r % 4 == 3:
+            s = r // 4 + 1
+            plus = [f"(x{j} + {ks[(s + j) % 5]}{f' + {s}' if j == 3 else ''}) & {mask} AS x{j}" for j in range(4)]
+            sql = f"SELECT * REPLACE ({', '.join(plus)}) FROM ({sql})"
+    return sql
+
+
+IDS = "SELECT i0::uhugeint AS id FROM range((SELECT max(event_id) + 1 FROM events)) AS t(i0)"
+#: First and second counter of each generator.
+WORDS = f"w AS MATERIALIZED ({philox_sql(IDS, 0)}), w2 AS MATERIALIZED ({philox_sql(IDS, 1)})"
+UNIT = lambda x: f"(({x} >> 11)::double / {2.0**53!r})"
+RADIUS = lambda x: f"sqrt(-2 * ln(1 - {UNIT(x)}))"
+TURN = lambda x: f"2 * pi() * {UNIT(x)}"
+#: A range of 108 values: the few words above the last whole multiple, that would be drawn again, are one in 80 million.
+WHOLE = lambda x: f"(({x} // {(1 << 32) // 108})::bigint - 10)::int"
+
+
+def draws_sql(words: str, values: list[str]) -> str:
+    """(i0, i1, v): draws of each generator, from the words of its first counter."""
+    return f"WITH {words} " + " UNION ALL ".join(f"SELECT {k}::bigint AS i0, id::bigint AS i1, {v} AS v FROM w" for k, v in enumerate(values))
+
+
+#: Counters whose words are enough for four draws that may be rejected.
+COUNTERS = 24
+
+
+def rejection_sql(attempt: str, value: str) -> str:
+    """Draws that are tried until one is good: a walk along each generator's words.
+
+    ``attempt`` selects, from (id, k, pos, spare, w), also next_pos, next_spare, good and what ``value`` needs.
+    """
+    words = f"SELECT id, list(x ORDER BY c, j) AS w FROM (SELECT id, c, unnest([0, 1, 2, 3]) AS j, unnest([x0, x1, x2, x3]) AS x FROM ({philox_sql(f'SELECT id, unnest(range({COUNTERS})) AS c FROM ({IDS})', 'c')})) GROUP BY id"
+    return f"""WITH RECURSIVE words AS MATERIALIZED ({words}),
+walk AS (
+  SELECT id, 0 AS k, 0 AS pos, NULL::double AS spare, NULL::int AS done, NULL::double AS v FROM words
+  UNION ALL
+  SELECT id, CASE WHEN good THEN k + 1 ELSE k END, next_pos, CASE WHEN good THEN NULL ELSE next_spare END, CASE WHEN good THEN k END, CASE WHEN good THEN {value} END
+  FROM ({attempt.format(source="(SELECT t.id, t.k, t.pos, t.spare, words.w FROM walk t JOIN words USING (id) WHERE t.k < 4)")}))
+SELECT done::bigint AS i0, id::bigint AS i1, {R('v')} AS v FROM walk WHERE done IS NOT NULL"""
+
+
+def gamma_sql(shape: float, scale: float) -> str:
+    d = shape - 1 / 3
+    c = 1 / (9 * d) ** 0.5
+    pair = f"SELECT *, {RADIUS('w[pos + 1]')} AS r, {TURN('w[pos + 2]')} AS a, CASE WHEN spare IS NULL THEN pos + 2 ELSE pos END AS at2 FROM {{source}}"
+    tried = f"SELECT *, coalesce(spare, r * cos(a)) AS x, CASE WHEN spare IS NULL THEN r * sin(a) END AS next_spare, 1 - {UNIT('w[at2 + 1]')} AS u, at2 + 1 AS next_pos FROM ({pair})"
+    cubed = f"SELECT *, pow(1 + {c!r} * x, 3) AS cube FROM ({tried})"
+    good = f"cube > 0 AND (u < 1 - 0.0331 * pow(x, 4) OR ln(u) < x * x / 2 + {d!r} * (1 - cube + ln(CASE WHEN cube > 0 THEN cube ELSE 1 END)))"
+    return rejection_sql(f"SELECT *, {good} AS good FROM ({cubed})", f"{d!r} * cube * {scale!r}")
+
+
+def vonmises_sql(mu: float, kappa: float) -> str:
+    tau = 1 + (1 + 4 * kappa**2) ** 0.5
+    rho = (tau - (2 * tau) ** 0.5) / (2 * kappa)
+    r = (1 + rho**2) / (2 * rho)
+    tried = f"SELECT *, cos(pi() * {UNIT('w[pos + 1]')}) AS z, 1 - {UNIT('w[pos + 2]')} AS u, CASE WHEN {UNIT('w[pos + 3]')} < 0.5 THEN -1 ELSE 1 END AS side FROM {{source}}"
+    turned = f"SELECT *, (1 + {r!r} * z) / ({r!r} + z) AS f FROM ({tried})"
+    judged = f"SELECT *, {kappa!r} * ({r!r} - f) AS c FROM ({turned})"
+    good = "u < c * (2 - c) OR c <= ln(c / u) + 1"
+    angle = f"side * acos(greatest(-1, least(1, f))) + {mu!r} + pi()"
+    return rejection_sql(f"SELECT *, {good} AS good, CASE WHEN {good} THEN pos + 3 ELSE pos + 2 END AS next_pos, NULL::double AS next_spare FROM ({judged})", f"({angle}) - 2 * pi() * floor(({angle}) / (2 * pi())) - pi()")
+
+
+def normal_complex_sql() -> str:
+    parts = []
+    for k in range(4):
+        a, b = f"x{2 * (k % 2)}", f"x{2 * (k % 2) + 1}"
+        radius = f"{RADIUS(a)} * 7 / sqrt(2)"
+        parts.append(f"SELECT {k}::bigint AS i0, id::bigint AS i1, {R(f'{radius} * cos({TURN(b)}) - 3')} AS re, {R(f'{radius} * sin({TURN(b)}) + 4')} AS im FROM {'w' if k < 2 else 'w2'}")
+    return f"WITH {WORDS} " + " UNION ALL ".join(parts)
+
+
 ORACLES = {
     "reduce_sum": "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END::bigint AS i0, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END::bigint AS i1, 0::bigint AS i2, sum(2 * round(l_extendedprice * 100)::bigint)::bigint AS v FROM lineitem GROUP BY 1, 2",
     "reduce_all": f"WITH {SIGNAL} SELECT 0::bigint AS i0, sum(v)::bigint AS v FROM s",
@@ -435,7 +558,18 @@ ORACLES = {
     "fft_lanes": dft(-1, "1"), "fft_inverse": dft(1, "1 / 64"), "fft_four_step": dft(-1, "1"), "fft_real_shifted": dft(-1, "1", 32), "fftn_by_transposes": dft(-1, "1"), "rfft": dft(-1, "1", half=True),
     "irfft_round_trip": f"WITH {MATRIX} SELECT i0, i1, {R('v')} AS v FROM e",
     "aprfft": f"WITH {MATRIX}, f AS (SELECT unnest(range(32)) AS k) SELECT i0, k AS i1, {R('2 * sum(v * cos(2 * pi() * ((i1 * (2 * k + 1)) % 128) / 128))')} AS re, {R('-2 * sum(v * sin(2 * pi() * ((i1 * (2 * k + 1)) % 128) / 128))')} AS im FROM e CROSS JOIN f GROUP BY i0, k",
-    "dht_forward": dht_sql(),
+    "dht_forward": dht_sql(DHT_MODES, 2, False), "dht_inverse": dht_sql(64, 1, True),
+    "fft_chirp": f"WITH {SIGNAL}, {frames_sql(61, 31)}, k AS (SELECT unnest(range(61)) AS k) SELECT f AS i0, k AS i1, {R('sum(v * cos(2 * pi() * ((j * k) % 61) / 61))')} AS re, {R('-sum(v * sin(2 * pi() * ((j * k) % 61) / 61))')} AS im FROM f CROSS JOIN k GROUP BY f, k",
+    "iaprfft_round_trip": f"WITH {MATRIX} SELECT i0, i1, {R('v')} AS v FROM e",
+    "scan_generic": f"WITH {SIGNAL} SELECT i0, sum(v) OVER (ORDER BY i0)::bigint AS total, max(v) OVER (ORDER BY i0) AS top FROM s",
+    "reduce_generic_monoid": f"WITH {SIGNAL} SELECT 0::bigint AS i0, list_reduce(list((v % 97 + 97) % 97 + 1), lambda a, b: (a * b) % 1000003)::bigint AS v FROM s",
+    "cbrng_uniform_integer": draws_sql(WORDS, [WHOLE(x) for x in ("(x0 & 4294967295)", "(x0 >> 32)", "(x1 & 4294967295)", "(x1 >> 32)")]),
+    "cbrng_threefry": draws_sql(f"w AS MATERIALIZED ({threefry_sql(IDS.replace('uhugeint', 'ubigint'))})", [WHOLE(f"x{j}") for j in range(4)]),
+    "cbrng_uniform_float": draws_sql(WORDS, [f"{UNIT(f'x{j}')} * 12.7::double + -5.0::double" for j in range(4)]),
+    "cbrng_normal": draws_sql(WORDS, [R(f"{RADIUS('x0')} * cos({TURN('x1')}) * 10 - 2"), R(f"{RADIUS('x0')} * sin({TURN('x1')}) * 10 - 2"), R(f"{RADIUS('x2')} * cos({TURN('x3')}) * 10 - 2"), R(f"{RADIUS('x2')} * sin({TURN('x3')}) * 10 - 2")]),
+    "cbrng_normal_complex": normal_complex_sql(),
+    "cbrng_gamma": gamma_sql(3.0, 10.0),
+    "cbrng_vonmises": vonmises_sql(1.0, 0.7),
     "spectro_frames": f"WITH {SIGNAL}, {frames_sql(64, 16)} SELECT f AS i0, j AS i1, v FROM f",
     "spectrogram": f"WITH {SIGNAL}, {frames_sql(64, 16)}, w AS (SELECT f, j, v * 0.5 * (1 - cos(2 * pi() * j / 63)) AS v FROM f), k AS (SELECT unnest(range(33)) AS k) SELECT k AS i0, f AS i1, {R('sqrt(pow(sum(v * cos(2 * pi() * ((j * k) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((j * k) % 64) / 64)), 2))')} AS v FROM w CROSS JOIN k GROUP BY f, k",
 }
