@@ -1,19 +1,21 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline's stage.
+"""The SimHash operator carried on to a Jaccard similarity of word shingles, for the pipeline's stage.
 
-Texts of 0.8 similarity differ in about 10 of 64 SimHash bits and often in more, too
-far for segments of a fingerprint, so candidates come from MinHash: ``BANDS`` keys of
-``BAND_ROWS`` minima each. A pair of similarity s is missed with probability
-(1 - s^5)^32: 3e-6 at 0.8, less above. Every link is verified on the whole shingle
-sets, so no pair below the threshold is one.
+Candidates are the links of ``simhash``: fingerprints within ``DISTANCE`` bits, found by
+deletion-variant signatures. Texts of 0.8 similarity differ in about 10 of 64 bits and
+often in more, too far for segments of a fingerprint, so pairs of equal MinHash keys
+join them: ``BANDS`` keys of ``BAND_ROWS`` minima each, by which a pair of similarity s is missed
+with probability (1 - s^5)^32: 3e-6 at 0.8, less above. Every link is verified on the
+whole shingle sets, so no pair below the threshold is one.
 
-Texts with equal words are one class. First each class of a key is compared with the
-key's smallest class; then, in keys whose classes are not yet connected, all pairs of
+Texts with equal words are one class. First fingerprint links are verified, and each class
+of a key with the key's smallest class; then, in keys whose classes are not yet connected, all pairs of
 different components are. So a large group of near copies gives links in proportion
 to its members, and yet the components are those of all candidates. Where many texts
 share a key without being similar, those pairs grow with the square of their number.
 
 Defined results: null and empty texts are copies of each other; fewer words than a
-shingle give one shingle of all words; an empty table gives an empty result.
+shingle give one shingle of all words; repeated rows are copies; very long texts are read
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, spread
 from .components import connected_components
-from .simhash import shingles
+from .simhash import links as fingerprint_links
+from .simhash import majority, shingles
 
 WORDS = 5
 MIN_SIMILARITY = 0.8
+#: Bits that fingerprints of candidates differ in at most.
+DISTANCE = 4
 BANDS, BAND_ROWS = 32, 5
 #: Classes with a candidate that are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
@@ -50,20 +55,22 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(row, node, n, keys): class of the words, number of distinct shingles, band keys."""
+    """(row, node, n, fp, keys): class of the words, number of distinct shingles, fingerprint, band keys."""
 
     def run(batch: pa.RecordBatch) -> dict:
         import xxhash
 
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, fps, keys = [], [], [], []
         for text in batch.column("text").to_pylist():
-            hashes = np.unique(shingles(text, WORDS))
+            hashes = shingles(text, WORDS)
+            fps.append(majority(hashes))
+            hashes = np.unique(hashes)
             nodes.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), 7))
             sizes.append(len(hashes))
             keys.append(band_keys(hashes))
-        return {"row": batch.column("row"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"row": batch.column("row"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return map_batches(rows, run, "row long, node long, n int, keys array<long>")
+    return map_batches(rows, run, "row long, node long, n int, fp long, keys array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, min_similarity: float) -> DataFrame:
@@ -85,19 +92,33 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, min_similari
     return materialize(met.where(both >= F.lit(min_similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "near-links")
 
 
+def fingerprint_pairs(classes: DataFrame, min_similarity: float) -> DataFrame:
+    """(a, b): classes of one fingerprint with the first of them, and the first ones of linked fingerprints."""
+    firsts = classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h"))
+    firsts = materialize(firsts.select("fp", F.col("h.node").alias("head"), F.col("h.n").alias("head_n")), "near-fingerprints")
+    same = classes.join(firsts.withColumnRenamed("fp", "head_fp"), F.col("fp") == F.col("head_fp")).where(F.col("node") != F.col("head")).select("head", "head_n", "node", "n")
+    linked = materialize(fingerprint_links(firsts.select("fp"), DISTANCE), "near-fingerprint-links")
+    one, two = (firsts.select(F.col("fp").alias(f"fp_{k}"), F.col("head").alias(f"head_{k}"), F.col("head_n").alias(f"n_{k}")) for k in "ab")
+    met = linked.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b"))
+    pairs = same.union(met.select("head_a", "n_a", "head_b", "n_b"))
+    alike = F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")
+    return pairs.where(alike).select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+
+
 def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(row, root) of ``rows`` (row, text); rows of one root are linked. ``row`` is unique and ``rows`` a written table."""
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
     seen = materialize(sketches(spread(rows)), "near-sketches")
-    grouped = seen.groupBy("node").agg(F.min(F.struct("row", "n", "keys")).alias("m"))
-    classes = materialize(grouped.select("node", F.col("m.row").alias("first"), "m.n", "m.keys"), "near-classes")
+    grouped = seen.groupBy("node").agg(F.min(F.struct("row", "n", "fp", "keys")).alias("m"))
+    classes = materialize(grouped.select("node", F.col("m.row").alias("first"), "m.n", "m.fp", "m.keys"), "near-classes")
     alike = F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")  # sizes too different exclude the threshold
 
     met = classes.select("node", "n", F.explode("keys").alias("key"))
     heads = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
     heads = materialize(heads.select(F.col("key").alias("head_key"), F.col("h.node").alias("head"), F.col("h.n").alias("head_n")), "near-heads")
     star = met.join(heads, F.col("key") == F.col("head_key")).where((F.col("node") != F.col("head")) & alike)
-    links = verified(materialize(star.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-star"), rows, classes, min_similarity)
+    near = fingerprint_pairs(classes, min_similarity).union(star.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    links = verified(materialize(near.distinct(), "near-star"), rows, classes, min_similarity)
 
     roots = connected_components(links, "near-roots")
     rooted = classes.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left")
