@@ -5,6 +5,14 @@ copies of lines; of each component of near copies (similarity 0.8 by five-word
 shingles) the first document stays; decontamination drops documents that hold a
 benchmark item; SentencePiece gives each document that is left its ids and proves
 that they decode to its text.
+
+Defined results: documents with a null or empty text, or one without a letter, have no
+language and go in the first stage; rows with a null id pass every stage by their text and
+count last where the first of a group stays; of rows that repeat an id and text one
+stays, of other texts of one id each is judged by itself; a text that line dedup empties is a
+near copy of other empty texts, so one of them stays; very long texts are read whole; extra
+columns stay until the last stage, whatever their names, unless they begin with two underscores;
+ties are settled by id, then row; an empty table passes as one.
 """
 
 from __future__ import annotations
