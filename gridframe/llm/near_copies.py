@@ -8,10 +8,11 @@ with probability (1 - s^5)^32: 3e-6 at 0.8, less above. Every link is verified o
 whole shingle sets, so no pair below the threshold is one.
 
 Texts with equal words are one class. First fingerprint links are verified, and each class
-of a key with the key's smallest class; then, in keys whose classes are not yet connected, all pairs of
-different components are. So a large group of near copies gives links in proportion
-to its members, and yet the components are those of all candidates. Where many texts
-share a key without being similar, those pairs grow with the square of their number.
+of a key with the key's head, the class that most others share keys with. Then, in keys
+whose classes are not yet connected, pairs of different components are, but for those
+that cannot be links: two sets share no shingle that only one of all these classes has.
+So a large group of near copies gives links in proportion to its members, and yet the
+components are those of all candidates.
 
 Defined results: null and empty texts are copies of each other; fewer words than a
 shingle give one shingle of all words; repeated rows are copies; very long texts are read
@@ -73,36 +74,55 @@ def sketches(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "row long, node long, n int, fp long, keys array<long>")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, min_similarity: float) -> DataFrame:
-    """(a, b): the pairs whose whole shingle sets are similar enough."""
+def shingle_sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, shingles): whole shingle sets of the classes in ``nodes`` (p)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(shingles(t, WORDS)).view(np.int64) for t in batch.column("text").to_pylist()]
         return {"node": batch.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))}
 
-    named = pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct()
-    firsts = materialize(classes.join(named, F.col("node") == F.col("p")).select(F.col("first").alias("first_row"), "node"), "near-firsts")
+    firsts = materialize(classes.join(nodes, F.col("node") == F.col("p")).select(F.col("first").alias("first_row"), "node"), "near-firsts")
     if firsts.count() <= MAX_BROADCAST:
         firsts = F.broadcast(firsts)
     texts = rows.join(firsts, F.col("row") == F.col("first_row")).select("node", "text")
-    sets = materialize(map_batches(texts, run, "node long, shingles array<long>"), "near-sets")
+    return materialize(map_batches(texts, run, "node long, shingles array<long>"), "near-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """(a, b): the pairs whose whole shingle sets are similar enough."""
     one, two = (sets.select(F.col("node").alias(f"node_{k}"), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     met = pairs.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return materialize(met.where(both >= F.lit(min_similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "near-links")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(p): the classes of pairs."""
+    return pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct()
+
+
 def fingerprint_pairs(classes: DataFrame, min_similarity: float) -> DataFrame:
-    """(a, b): classes of one fingerprint with the first of them, and the first ones of linked fingerprints."""
+    """(a, b): classes of one fingerprint with the first of them, and the first one of each fingerprint with that of its smallest link."""
     firsts = classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h"))
     firsts = materialize(firsts.select("fp", F.col("h.node").alias("head"), F.col("h.n").alias("head_n")), "near-fingerprints")
     same = classes.join(firsts.withColumnRenamed("fp", "head_fp"), F.col("fp") == F.col("head_fp")).where(F.col("node") != F.col("head")).select("head", "head_n", "node", "n")
-    linked = materialize(fingerprint_links(firsts.select("fp"), DISTANCE), "near-fingerprint-links")
+    linked = materialize(fingerprint_links(firsts.select("fp"), DISTANCE).groupBy("b").agg(F.min("a").alias("a")), "near-fingerprint-links")
     one, two = (firsts.select(F.col("fp").alias(f"fp_{k}"), F.col("head").alias(f"head_{k}"), F.col("head_n").alias(f"n_{k}")) for k in "ab")
     met = linked.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b"))
     pairs = same.union(met.select("head_a", "n_a", "head_b", "n_b"))
-    alike = F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")
-    return pairs.where(alike).select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    return pairs.where(sizes_fit(min_similarity)).select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+
+
+def sizes_fit(min_similarity: float):
+    """Whether sets of these sizes can be similar enough."""
+    return F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")
+
+
+def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u_node, own): shingles of a class that no other class in ``nodes`` (p) has."""
+    words = sets.join(nodes, F.col("node") == F.col("p"), "left_semi").select("node", F.explode("shingles").alias("s"))
+    alone = words.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("u_node")).where("c = 1")
+    return alone.groupBy("u_node").agg(F.count("*").alias("own"))
 
 
 def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -111,25 +131,37 @@ def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     seen = materialize(sketches(spread(rows)), "near-sketches")
     grouped = seen.groupBy("node").agg(F.min(F.struct("row", "n", "fp", "keys")).alias("m"))
     classes = materialize(grouped.select("node", F.col("m.row").alias("first"), "m.n", "m.fp", "m.keys"), "near-classes")
-    alike = F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")  # sizes too different exclude the threshold
 
     met = classes.select("node", "n", F.explode("keys").alias("key"))
-    heads = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    counts = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "c_key"), "near-keys")
+    shared = materialize(met.join(counts, F.col("key") == F.col("c_key")).select("key", "node", "n", "c"), "near-shared")
+    # the head of a key is the class that shares keys with most others: of a group of near copies, the one they come from
+    known = materialize(shared.groupBy(F.col("node").alias("k_node")).agg(F.sum("c").alias("known")), "near-known")
+    ranked = shared.join(known, F.col("node") == F.col("k_node"))
+    heads = ranked.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("known", "node")).alias("h"))
     heads = materialize(heads.select(F.col("key").alias("head_key"), F.col("h.node").alias("head"), F.col("h.n").alias("head_n")), "near-heads")
-    star = met.join(heads, F.col("key") == F.col("head_key")).where((F.col("node") != F.col("head")) & alike)
-    near = fingerprint_pairs(classes, min_similarity).union(star.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    links = verified(materialize(near.distinct(), "near-star"), rows, classes, min_similarity)
+    star = shared.join(heads, F.col("key") == F.col("head_key")).where((F.col("node") != F.col("head")) & sizes_fit(min_similarity))
+    star = star.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    pairs = materialize(fingerprint_pairs(classes, min_similarity).union(star).distinct(), "near-star")
+    links = verified(pairs, shingle_sets(ends(pairs), rows, classes), min_similarity)
 
     roots = connected_components(links, "near-roots")
-    rooted = classes.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left")
-    apart = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    apart = shared.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     mixed = materialize(mixed.select(F.col("key").alias("mixed_key")), "near-mixed")
     left = materialize(apart.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi"), "near-apart")
     if not left.isEmpty():
-        other = left.select(F.col("key").alias("head_key"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))
-        pairs = left.join(other, (F.col("key") == F.col("head_key")) & (F.col("head") < F.col("node")) & (F.col("head_root") != F.col("root"))).where(alike)
-        more = verified(materialize(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs"), rows, classes, min_similarity)
+        nodes = materialize(left.select(F.col("node").alias("p")).distinct(), "near-left")
+        sets = shingle_sets(nodes, rows, classes)
+        own = materialize(shared_sizes(nodes, sets), "near-own")
+        sized = left.join(own, F.col("node") == F.col("u_node"), "left").select("key", "node", "n", "root", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        # two sets share no more than what either shares with any other, and similar ones share so much of their sum
+        sized = materialize(sized.where(F.col("common") >= F.lit(min_similarity) * F.col("n")), "near-sized")
+        other = sized.select(F.col("key").alias("head_key"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("common").alias("head_common"))
+        enough = F.least("common", "head_common") * F.lit(1 + min_similarity) >= F.lit(min_similarity) * (F.col("n") + F.col("head_n"))
+        pairs = sized.join(other, (F.col("key") == F.col("head_key")) & (F.col("head") < F.col("node")) & (F.col("head_root") != F.col("root")) & sizes_fit(min_similarity) & enough)
+        pairs = materialize(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+        more = verified(pairs, sets, min_similarity)
         if not more.isEmpty():
             roots = connected_components(links.union(more), "near-roots")
     found = seen.select("row", "node").join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left")

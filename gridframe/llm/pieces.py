@@ -44,6 +44,8 @@ CHUNK_CHARS = 32_768
 MAX_STRETCHES = 300_000
 #: And those it keeps when a task ends, first learned and so most common.
 KEPT_STRETCHES = 120_000
+#: Pairs of pieces a worker remembers.
+MAX_PAIRS = 100_000
 
 #: A stop after a letter at a word's end; no piece holds the two together.
 STOP = re.compile(rf"(?<=[^\W\d_])([.,])(?=[{BLANK}\n]|\Z)")
@@ -291,7 +293,13 @@ class MergeModel(PieceModel):
         super().__init__(model)
         self.score_of = {p: score for p, (_, score) in self.pieces.items()}
         self.begins = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        self.splits: dict[str, tuple[str, str] | None] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        #: The two pieces that are merged last in a piece; pieces that merging does not end in are not usable
+        self.splits: dict[str, tuple[str, str]] = {}
+        for piece in self.pieces:
+            parts, pair = self.merged(piece)
+            if len(parts) == 1 and pair:
+                self.splits[piece] = pair
 
     def merged(self, s: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of a short text by the rule itself (best pair first, left of equal ones), and the last pair merged."""
@@ -306,15 +314,8 @@ class MergeModel(PieceModel):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts, pair
 
-    def split(self, piece: str) -> tuple[str, str] | None:
-        """The two pieces that are merged last in a piece; None if merging does not end in it."""
-        if piece not in self.splits:
-            parts, pair = self.merged(piece)
-            self.splits[piece] = pair if len(parts) == 1 else None
-        return self.splits[piece]
-
     def usable(self, piece: str) -> bool:
-        return len(piece) == 1 or piece in self.score_of and self.split(piece) is not None
+        return len(piece) == 1 or piece in self.splits
 
     def allowed(self, a: str, b: str) -> bool:
         """Whether merging ``a + b`` gives just ``a`` and ``b``.
@@ -322,37 +323,51 @@ class MergeModel(PieceModel):
         Merges are undone, the later of the two last ones first. If the pieces that then
         meet at the border would have been merged before that one, they are not apart.
         """
-        score_of = self.score_of
+        score_of, splits = self.score_of, self.splits
         if a + b in score_of:
             return False
-        while len(a) > 1 or len(b) > 1:
-            of_a = score_of[a] if len(a) > 1 else -NONE
-            of_b = score_of[b] if len(b) > 1 else -NONE
+        of_a = score_of[a] if len(a) > 1 else -NONE
+        of_b = score_of[b] if len(b) > 1 else -NONE
+        while True:
             if of_a < of_b:
-                a = self.split(a)[1]
+                a = splits[a][1]
                 if score_of.get(a + b, NONE) > of_a:
                     return False
-            else:  # of equal scores the left one is merged first
-                b = self.split(b)[0]
+                of_a = score_of[a] if len(a) > 1 else -NONE
+            elif len(b) > 1:  # of equal scores the left one is merged first
+                b = splits[b][0]
                 if score_of.get(a + b, NONE) >= of_b:
                     return False
-        return True
+                of_b = score_of[b] if len(b) > 1 else -NONE
+            else:
+                return True
+
+    def pair_allowed(self, pair: tuple[str, str]) -> bool:
+        """``allowed``, remembered."""
+        found = self.pairs.get(pair)
+        if found is None:
+            if len(self.pairs) > MAX_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[pair] = self.allowed(*pair)
+        return found
 
     def solve(self, s: str) -> bytes:
         """The allowed path, looked for with long pieces first; a place that led nowhere is not tried again."""
-        size, pieces, dead = len(s), [], set()
-        at, upto = 0, self.longest
+        size, pieces, dead, last = len(s), [], set(), ""
+        splits, allowed, longest = self.splits, self.pair_allowed, self.longest
+        at, upto = 0, longest
         while at < size:
             for k in range(min(size, upto), at, -1):
                 piece = s[at:k]
-                if k not in dead and self.usable(piece) and (not pieces or self.allowed(pieces[-1], piece)):
+                if (piece in splits or k == at + 1) and k not in dead and (not last or allowed((last, piece))):
                     pieces.append(piece)
-                    at, upto = k, k + self.longest
+                    last, at, upto = piece, k, k + longest
                     break
             else:
                 dead.add(at)
                 upto = at - 1
                 at -= len(pieces.pop())
+                last = pieces[-1] if pieces else ""
         return b"".join(map(self.code, pieces))
 
     def ahead_of(self, text: str, at: int) -> list[int]:
