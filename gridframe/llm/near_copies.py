@@ -157,9 +157,12 @@ def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
         sized = left.join(own, F.col("node") == F.col("u_node"), "left").select("key", "node", "n", "root", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
         # two sets share no more than what either shares with any other, and similar ones share so much of their sum
         sized = materialize(sized.where(F.col("common") >= F.lit(min_similarity) * F.col("n")), "near-sized")
-        other = sized.select(F.col("key").alias("head_key"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("common").alias("head_common"))
+        of_node = sized.groupBy(F.col("node").alias("o_node")).agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
+        sized = materialize(sized.join(of_node, F.col("node") == F.col("o_node")).drop("o_node"), "near-keyed")
+        other = sized.select(F.col("key").alias("head_key"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("common").alias("head_common"), F.col("keys").alias("head_keys"))
+        once = F.col("key") == F.array_min(F.array_intersect("keys", "head_keys"))  # a pair meets in the smallest key it shares
         enough = F.least("common", "head_common") * F.lit(1 + min_similarity) >= F.lit(min_similarity) * (F.col("n") + F.col("head_n"))
-        pairs = sized.join(other, (F.col("key") == F.col("head_key")) & (F.col("head") < F.col("node")) & (F.col("head_root") != F.col("root")) & sizes_fit(min_similarity) & enough)
+        pairs = sized.join(other, (F.col("key") == F.col("head_key")) & (F.col("head") < F.col("node")) & (F.col("head_root") != F.col("root")) & sizes_fit(min_similarity) & enough & once)
         pairs = materialize(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
         more = verified(pairs, sets, min_similarity)
         if not more.isEmpty():
