@@ -24,38 +24,53 @@ from .rearrange import Transpose
 MAX_LANE = 1 << 20
 
 
-def lanes(df, batch, at):
-    """(batch, re, im): lanes along ``at`` in its order."""
-    cells = F.array_sort(F.collect_list(F.struct(F.col(at).alias("p"), F.col("v.re").cast("double").alias("re"), F.col("v.im").cast("double").alias("im"))))
-    return df.groupBy(*batch).agg(cells.alias("cells"))
+def lanes(df, batch, at, real=False):
+    """(batch, __p, re[, im]): lanes along ``at`` as parallel lists of places and parts, in any order."""
+    part = lambda c: F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))))
+    parts = {"re": "v"} if real else {"re": "v.re", "im": "v.im"}
+    return df.groupBy(*batch).agg(F.collect_list(F.col(at).cast("int")).alias("__p"), *[part(c).alias(n) for n, c in parts.items()])
 
 
-def map_lanes(df, batch, at, function, kind):
-    """COORD rows (batch, at, v) of ``function(matrix of lanes, positions, batch columns)``; lanes of one length."""
+def map_lanes(df, batch, at, function, kind, real=False, keep=None, real_out=False):
+    """Rows (keep, at, v) of ``function(matrix of lanes, batch columns)``; lanes of one length at a time.
+
+    The function gives a matrix of values, a row for each lane, or (index, values) if
+    places are not 0, 1, ...; ``real`` lanes, and results with ``real_out``, have no imaginary part.
+    ``keep`` are the batch columns that stay (all by default).
+    """
+    keep = batch if keep is None else keep
 
     def run(batches):
         for part in batches:
             if not part.num_rows:
                 continue
-            cells = part.column("cells")
-            offsets = cells.offsets.to_numpy()
-            flat = cells.values.slice(offsets[0], offsets[-1] - offsets[0])
-            sizes = np.diff(offsets)
-            z = flat.field("re").to_numpy(zero_copy_only=False) + 1j * flat.field("im").to_numpy(zero_copy_only=False)
+            place = part.column("__p")
+            offsets = place.offsets.to_numpy()
+            starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+            inside = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False)
+            flat = inside("re") if real else inside("re") + 1j * inside("im")
+            place = place.flatten().to_numpy(zero_copy_only=False)
             keys = {c: part.column(c).to_numpy() for c in batch}
-            starts = offsets[:-1] - offsets[0]
             for n in np.unique(sizes):
                 rows = np.flatnonzero(sizes == n)
-                out = function(z[starts[rows][:, None] + np.arange(n)], {c: k[rows] for c, k in keys.items()})
-                width = out.shape[1]
-                flat_out = out.ravel()
-                value = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat_out.real).astype(kind)), pa.array(np.ascontiguousarray(flat_out.imag).astype(kind))], names=["re", "im"])
-                arrays = [pa.array(np.repeat(k[rows], width)) for k in keys.values()]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.tile(np.arange(width), len(rows))), value], names=[*batch, at, "v"])
+                cells = starts[rows][:, None] + np.arange(n)
+                matrix = np.empty((len(rows), n), flat.dtype)
+                matrix[np.arange(len(rows))[:, None], place[cells]] = flat[cells]
+                own = {c: k[rows] for c, k in keys.items()}
+                index, out = found if isinstance(found := function(matrix, own), tuple) else (None, found)
+                width, flat_out = out.shape[1], out.ravel()
+                index = np.tile(np.arange(width), len(rows)) if index is None else np.broadcast_to(index, out.shape).ravel()
+                if not real_out:
+                    value = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat_out.real).astype(kind)), pa.array(np.ascontiguousarray(flat_out.imag).astype(kind))], names=["re", "im"])
+                else:
+                    value = pa.array(flat_out.astype(kind))
+                arrays = [pa.array(np.repeat(own[c], width)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.ascontiguousarray(index, np.int64)), value], names=[*keep, at, "v"])
 
     sql = "float" if kind == "float32" else "double"
-    schema = ", ".join([*(f"{c} bigint" for c in batch), f"{at} bigint", f"v struct<re:{sql},im:{sql}>"])
-    return lanes(df, batch, at).mapInArrow(run, schema)
+    value = sql if real_out else f"struct<re:{sql},im:{sql}>"
+    schema = ", ".join([*(f"{c} bigint" for c in keep), f"{at} bigint", f"v {value}"])
+    return lanes(df, batch, at, real).mapInArrow(run, schema)
 
 
 def rectangle(n: int, most: int) -> tuple[int, int] | None:
@@ -93,6 +108,8 @@ def chirp_axis(df, batch, at, n, inverse, kind, most):
     """A length without a rectangle, as a convolution of a power of two that has one."""
     sign = 1 if inverse else -1
     size = 1 << (2 * n - 1).bit_length()
+    if rectangle(size, most) is None:
+        raise ValueError(f"a lane of {n} elements is too long for tasks of {most}")
     spark = df.sparkSession
     angle = lambda k: F.pmod(k * k, F.lit(2 * n).cast("bigint")) * F.lit(math.pi / n)
 
@@ -102,8 +119,8 @@ def chirp_axis(df, batch, at, n, inverse, kind, most):
 
     k = F.col(at)
     signal = df.select(*batch, at, turned("v", sign * angle(k)).alias("v"))
-    zeros = df.select(*batch).distinct().crossJoin(spark.range(n, size).select(F.col("id").alias(at))) if batch else spark.range(n, size).select(F.col("id").alias(at))
-    padded = signal.unionByName(zeros.withColumn("v", F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))))
+    ends = df.where(k == n - 1).select(*batch, F.explode(F.sequence(F.lit(n).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias(at))
+    padded = signal.unionByName(ends.withColumn("v", F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))))
     m = F.least(F.col("id"), F.lit(size) - F.col("id"))
     chirp = spark.range(size).select(F.col("id").alias(at), F.when(m < n, F.struct(F.cos(-sign * angle(m)).alias("re"), F.sin(-sign * angle(m)).alias("im"))).otherwise(F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))).alias("v"))
     left = transform_axis(padded, batch, at, size, False, "float64", most)
@@ -118,6 +135,125 @@ def chirp_axis(df, batch, at, n, inverse, kind, most):
     return out.select(*batch, at, F.struct((F.col("v.re") * scale).cast(part).alias("re"), (F.col("v.im") * scale).cast(part).alias("im")).alias("v"))
 
 
+# ------------------------------------------------------------ real lanes
+
+
+def mirrored(n: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (a, b): X[k] = a Z[k] + b conj(Z[n/2 - k]), Z the transform of even samples + i odd samples; their conjugates lead back."""
+    turn = np.exp(-2j * np.pi * k / n)
+    return 0.5 * (1 - 1j * turn), 0.5 * (1 + 1j * turn)
+
+
+def real_axis(df, batch, at, n, kind, most):
+    """The first n/2 + 1 elements of the transform of real lanes along ``at`` (even length n).
+
+    Two samples are one complex element, so the transform has half the length. In four steps
+    over a rectangle (a, b) of that length, k = k1 + a k2 meets its mirror n/2 - k
+    in lane a - k1; both lanes go to one task, which recombines them.
+    """
+    m = n // 2
+    if n <= most:
+        return map_lanes(df, batch, at, lambda x, keys: np.fft.rfft(x, axis=1), kind, real=True)
+    half = lambda c, s: F.call_function("div", c, F.lit(s).cast("bigint"))
+    sides = rectangle(m, most // 2)
+    if sides is None:
+        pairs = df.groupBy(*batch, half(F.col(at), 2).alias("__k")).agg(*[F.max(F.when(F.pmod(at, F.lit(2)) == j, F.col("v").cast("double"))).alias(c) for j, c in enumerate(("re", "im"))])
+        packed = transform_axis(pairs.select(*batch, F.col("__k").alias(at), F.struct("re", "im").alias("v")), batch, at, m, False, "float64", most)
+        return recombined(packed, batch, at, n, kind)
+    a, b = sides
+    pair = half(F.col(at), 2)
+    cut = df.select(*batch, F.pmod(pair, F.lit(b).cast("bigint")).alias("__q"), (half(pair, b) * 2 + F.pmod(at, F.lit(2))).alias("__p"), "v")
+
+    def first(x, keys):
+        twiddle = np.exp(-2j * np.pi * keys["__q"][:, None] * np.arange(a) / m)
+        return np.fft.fft(x[:, 0::2] + 1j * x[:, 1::2], axis=1) * twiddle
+
+    step = map_lanes(cut, [*batch, "__q"], "__p", first, "float64", real=True)
+    lane = F.least("__p", F.pmod(F.lit(a) - F.col("__p"), F.lit(a).cast("bigint")))
+    both = step.select(*batch, lane.alias("__g"), F.when(F.col("__p") == lane, F.col("__q")).otherwise(F.col("__q") + b).alias(at), "v")
+
+    def second(z, keys):
+        g, k2 = keys["__g"][:, None], np.arange(b)
+        if z.shape[1] == b:  # a lane that is its own mirror
+            full, k = np.fft.fft(z, axis=1), g + a * k2
+            there = np.take_along_axis(full, ((m - k) % m - g) // a % b, axis=1)
+        else:
+            full = np.concatenate((np.fft.fft(z[:, :b], axis=1), np.fft.fft(z[:, b:], axis=1)), axis=1)
+            k = np.concatenate((g + a * k2, (a - g) + a * k2), axis=1)
+            there = np.concatenate((full[:, : b - 1 : -1], full[:, b - 1 :: -1]), axis=1)
+        one, two = mirrored(n, k)
+        out = one * full + two * np.conj(there)
+        if z.shape[1] == b:  # only lane 0 has the middle, which its first element gives; elsewhere that place is doubled
+            middle = np.where(g == 0, full[:, :1].real - full[:, :1].imag, out[:, :1])
+            k, out = np.concatenate((k, np.where(g == 0, m, -1)), axis=1), np.concatenate((out, middle), axis=1)
+        return k, out
+
+    return map_lanes(both, [*batch, "__g"], at, second, kind, keep=batch).where(F.col(at) >= 0)
+
+
+def recombined(packed, batch, at, n, kind):
+    """Mirror pairs of a packed transform, met by a grouping; for lengths without a rectangle."""
+    m = n // 2
+    low = F.least(F.col(at), F.pmod(F.lit(m) - F.col(at), F.lit(m).cast("bigint")))
+    met = packed.groupBy(*batch, low.alias("__low")).agg(F.min_by("v", at).alias("z"), F.max_by("v", at).alias("y"))
+    part = "float" if kind == "float32" else "double"
+
+    def value(k, z, y):
+        c, s = F.cos(k * (2 * math.pi / n)), F.sin(k * (2 * math.pi / n))
+        er, ei, dr, di = (z["re"] + y["re"]) / 2, (z["im"] - y["im"]) / 2, (z["re"] - y["re"]) / 2, (z["im"] + y["im"]) / 2
+        # even part, and odd part (d / i) turned by -2 pi k / n
+        return F.struct((er + di * c - dr * s).cast(part).alias("re"), (ei - dr * c - di * s).cast(part).alias("im"))
+
+    k, z, y = F.col("__low"), F.col("z"), F.col("y")
+    other = F.lit(m).cast("bigint") - k
+    own, there = F.struct(k.alias("k"), value(k, z, y).alias("v")), F.struct(other.alias("k"), value(other, y, z).alias("v"))
+    both = F.when(k == other, F.array(own)).otherwise(F.array(own, there))
+    return met.select(*batch, F.explode(both).alias("x")).select(*batch, F.col("x.k").alias(at), F.col("x.v").alias("v"))
+
+
+def inverse_real_axis(df, batch, at, n, kind, most):
+    """Real lanes of even length n along ``at`` from the first n/2 + 1 elements of their transform; mirrors as in ``real_axis``."""
+    m = n // 2
+    if n <= most:
+        return map_lanes(df, batch, at, lambda z, keys: np.fft.irfft(z, n, axis=1), kind, real_out=True)
+    half = lambda c, s: F.call_function("div", c, F.lit(s).cast("bigint"))
+    sides = rectangle(m, most // 2)
+    if sides is None:
+        return None
+    a, b = sides
+    k = F.col(at)
+    q = F.pmod(k, F.lit(b).cast("bigint"))
+    p = half(k, b)  # the middle element is place a of lane 0
+    lane = F.least(q, F.pmod(F.lit(b) - q, F.lit(b).cast("bigint")))
+    both = df.select(*batch, lane.alias("__g"), F.when(q == lane, p).otherwise(p + a).alias("__p"), "v")
+
+    def first(x, keys):
+        g, p = keys["__g"][:, None], np.arange(a)
+        if x.shape[1] == a + 1:  # lane 0, with the middle
+            x[:, [0, a]] = x[:, [0, a]].real
+            own, there, q = x[:, :a], x[:, :0:-1], np.zeros((len(g), 1), np.int64)
+        elif x.shape[1] == a:
+            own, there, q = x, x[:, ::-1], g
+        else:
+            own, there, q = x, np.concatenate((x[:, : a - 1 : -1], x[:, a - 1 :: -1]), axis=1), None
+        k = p * b + q if q is not None else np.concatenate((p * b + g, p * b + (b - g)), axis=1)
+        one, two = mirrored(n, k)
+        z = np.conj(one) * own + np.conj(two) * np.conj(there)
+        lanes_q = [q] if q is not None else [g, b - g]
+        out = [np.fft.ifft(z[:, j * a : (j + 1) * a], axis=1) * np.exp(2j * np.pi * lane_q * p / m) for j, lane_q in enumerate(lanes_q)]
+        return np.concatenate([lane_q * a + p for lane_q in lanes_q], axis=1), np.concatenate(out, axis=1)
+
+    step = map_lanes(both, [*batch, "__g"], "__p", first, "float64", keep=batch)
+    split = step.select(*batch, F.pmod("__p", F.lit(a).cast("bigint")).alias("__n1"), half(F.col("__p"), a).alias(at), "v")
+
+    def second(z, keys):
+        out = np.fft.ifft(z, axis=1)
+        place = 2 * (keys["__n1"][:, None] + a * np.arange(b))
+        return np.concatenate((place, place + 1), axis=1), np.concatenate((out.real, out.imag), axis=1)
+
+    return map_lanes(split, [*batch, "__n1"], at, second, kind, keep=batch, real_out=True)
+
+
 class FFT(Computation):
     """Discrete Fourier transform over axes; ``inverse`` divides by the lengths."""
 

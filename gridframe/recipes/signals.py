@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import cplx
 from ..functions.transforms import to_complex
 from ..grid import Grid
 from ..meta import COMPLEX_OF, ArrayMeta, real_of, spark_type
-from ..operators.fold import Reduce, Scan, sum_of
+from ..operators.fold import Difference, Reduce, Scan, sum_of
 from ..operators.rearrange import Transpose
-from ..operators.spectral import FFT, MAX_LANE
+from ..operators.spectral import FFT, MAX_LANE, inverse_real_axis, map_lanes, real_axis
 
 
 def frames(signal: Grid, size: int, overlap: int, pad_to: int | None = None) -> Grid:
@@ -69,21 +70,27 @@ def _cast_pair(grid: Grid, dtype: str) -> Grid:
 
 
 def rfft(grid: Grid, max_lane: int = MAX_LANE) -> Grid:
-    """Transform of real lanes: the first half and the middle."""
-    n, (_, at), dtype = grid.meta.shape[-1], _last(grid), COMPLEX_OF[grid.meta.dtype]
+    """Transform of real lanes: the first half and the middle; of even length by packing two samples in one."""
+    n, (batch, at), dtype = grid.meta.shape[-1], _last(grid), COMPLEX_OF[grid.meta.dtype]
+    meta = ArrayMeta((*grid.meta.shape[:-1], n // 2 + 1), dtype)
+    if n % 2 == 0 and n > 2:
+        return Grid(real_axis(grid.df, batch, at, n, real_of(dtype), max_lane), meta)
     full = _fft_last(grid.df.withColumn("v", _pair(F.col("v"), F.lit(0.0))), grid.meta.shape, 0, max_lane)
-    half = Grid(full.df.where(F.col(at) < n // 2 + 1), ArrayMeta((*grid.meta.shape[:-1], n // 2 + 1), "complex128"))
-    return _cast_pair(half, dtype)
+    return _cast_pair(Grid(full.df.where(F.col(at) < n // 2 + 1), meta.with_dtype("complex128")), dtype)
 
 
 def irfft(grid: Grid, max_lane: int = MAX_LANE) -> Grid:
     """Real lanes of even length from their half transform; imaginary parts of the first and the last element are ignored."""
     n, (batch, at), dtype = 2 * (grid.meta.shape[-1] - 1), _last(grid), real_of(grid.meta.dtype)
+    shape = (*grid.meta.shape[:-1], n)
+    packed = inverse_real_axis(grid.df, batch, at, n, dtype, max_lane)
+    if packed is not None:
+        return Grid(packed, ArrayMeta(shape, dtype))
+    # a length without a rectangle: mirrored to the whole transform
     end = F.col(at).isin(0, n // 2)
     own = F.struct(F.col(at).alias("k"), _pair(F.col("v.re"), F.when(end, F.lit(0.0)).otherwise(F.col("v.im"))).alias("v"))
-    mirrored = F.struct((F.lit(n).cast("bigint") - F.col(at)).alias("k"), _pair(F.col("v.re"), -F.col("v.im")).alias("v"))
-    spread = grid.df.select(*batch, F.explode(F.when(end, F.array(own)).otherwise(F.array(own, mirrored))).alias("x"))
-    shape = (*grid.meta.shape[:-1], n)
+    other = F.struct((F.lit(n).cast("bigint") - F.col(at)).alias("k"), _pair(F.col("v.re"), -F.col("v.im")).alias("v"))
+    spread = grid.df.select(*batch, F.explode(F.when(end, F.array(own)).otherwise(F.array(own, other))).alias("x"))
     out = _fft_last(spread.select(*batch, F.col("x.k").alias(at), F.col("x.v").alias("v")), shape, 1, max_lane)
     return out.with_value(F.col("v.re").cast(spark_type(dtype)), dtype)
 
@@ -120,18 +127,33 @@ def aprfft(grid: Grid) -> Grid:
 def iaprfft(grid: Grid, max_lane: int = MAX_LANE) -> Grid:
     """First half of an antiperiodic real signal from its odd harmonics; inverse of ``aprfft``.
 
-    The odd harmonics are even ones of the signal turned by one step: padded with as many
-    zeros, transformed back, and turned again.
+    Differences of neighbouring harmonics are the transform of the signal times a sine, of half
+    the length; dividing by it gives all but the first element, which is a sum.
     """
     half, (batch, at), dtype = grid.meta.shape[-1], _last(grid), real_of(grid.meta.dtype)
     n = 4 * half  # period of the signal
-    own = F.struct(F.col(at).alias("k"), _pair(F.col("v.re"), F.col("v.im")).alias("v"))
-    zero = F.struct((F.col(at) + half).alias("k"), _pair(F.lit(0.0), F.lit(0.0)).alias("v"))
-    padded = grid.df.select(*batch, F.explode(F.array(own, zero)).alias("x")).select(*batch, F.col("x.k").alias(at), F.col("x.v").alias("v"))
-    shape = (*grid.meta.shape[:-1], 2 * half)
-    back = _fft_last(padded, shape, 1, max_lane)  # divides by 2 * half
-    angle = F.col(at) * F.lit(2 * math.pi / n)
-    return back.with_value((F.col("v.re") * F.cos(angle) - F.col("v.im") * F.sin(angle)).cast(spark_type(dtype)), dtype)
+    meta = ArrayMeta((*grid.meta.shape[:-1], 2 * half), dtype)
+    scale = lambda k: 1 / (4 * np.sin(2 * np.pi * k / n))
+    if 2 * half <= max_lane:
+
+        def lane(x, keys):
+            step = 1j * np.diff(x, axis=1)
+            y = np.concatenate((-2 * x[:, :1].imag, step, 2 * x[:, -1:].imag), axis=1)
+            out = np.fft.irfft(y, 2 * half, axis=1)
+            return np.concatenate((x.real.sum(axis=1, keepdims=True) / (2 * half), out[:, 1:] * scale(np.arange(1, 2 * half))), axis=1)
+
+        return Grid(map_lanes(grid.df, batch, at, lane, dtype, real_out=True), meta)
+    wide = grid.with_value(_pair(F.col("v.re"), F.col("v.im")), "complex128")
+    real = wide.with_value(F.col("v.re"), "float64")
+    total = Reduce(real, sum_of("float64"), axes=(-1,)).call(input=real).df.withColumn("v", F.col("v") / (2 * half))
+    step = Difference(wide, sum_of("complex128"), axes=(-1,)).call(input=wide)
+    zero = F.lit(0.0)
+    turned = F.when(F.col(at) == 0, _pair(-2 * F.col("v.im"), zero)).otherwise(_pair(-F.col("v.im"), F.col("v.re")))
+    last = wide.df.where(F.col(at) == half - 1).select(*batch, F.lit(half).cast("bigint").alias(at), _pair(2 * F.col("v.im"), zero).alias("v"))
+    y = Grid(step.df.withColumn("v", turned).unionByName(last), ArrayMeta((*grid.meta.shape[:-1], half + 1), "complex128"))
+    out = irfft(y, max_lane).df.where(F.col(at) > 0)
+    scaled = out.withColumn("v", F.col("v") / (4 * F.sin(F.col(at) * F.lit(2 * math.pi / n))))
+    return Grid(scaled.unionByName(total), meta.with_dtype("float64")).with_value(F.col("v").cast(spark_type(dtype)), dtype)
 
 
 def fftn_by_transposes(grid: Grid, axes: tuple[int, ...] | None = None) -> Grid:
