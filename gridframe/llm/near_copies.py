@@ -8,11 +8,12 @@ with probability (1 - s^5)^32: 3e-6 at 0.8, less above. Every link is verified o
 whole shingle sets, so no pair below the threshold is one.
 
 Texts with equal words are one class. First fingerprint links are verified, and each class
-of a key with the key's head, the class that most others share keys with. Then, in keys
-whose classes are not yet connected, pairs of different components are, but for those
-that cannot be links: two sets share no shingle that only one of all these classes has.
-So a large group of near copies gives links in proportion to its members, and yet the
-components are those of all candidates.
+of a key with the key's head, the class that most others share keys with. Classes of keys
+that are not yet connected then meet by an exact prefix filter: with shingles in the order of
+their frequency among these classes, two sets of similarity 0.8 share one of the first
+n - ceil(0.8 n) + 1 of either, so classes meet under those alone, and boilerplate that many
+texts share brings none together. So a large group of near copies gives links in proportion
+to its members, and yet the components are those of all candidates.
 
 Defined results: null and empty texts are copies of each other; fewer words than a
 shingle give one shingle of all words; repeated rows are copies; very long texts are read
@@ -118,11 +119,35 @@ def sizes_fit(min_similarity: float):
     return F.least("n", "head_n") >= F.lit(min_similarity) * F.greatest("n", "head_n")
 
 
-def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u_node, own): shingles of a class that no other class in ``nodes`` (p) has."""
-    words = sets.join(nodes, F.col("node") == F.col("p"), "left_semi").select("node", F.explode("shingles").alias("s"))
-    alone = words.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("u_node")).where("c = 1")
-    return alone.groupBy("u_node").agg(F.count("*").alias("own"))
+def rarest(nodes: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """(node, n, root, common, place, s) of ``nodes`` (node, n, root): the shingles under which a class has to meet what is similar to it.
+
+    A set of n shingles, ordered by how many of ``nodes`` have them, shares one of its first
+    n - ceil(t n) + 1 with any set of similarity t. Those that only it has come first
+    and meet nobody; ``common`` are the others.
+    """
+    words = sets.join(nodes.select(F.col("node").alias("p")), F.col("node") == F.col("p"), "left_semi").select("node", F.explode("shingles").alias("s"))
+    counts = words.groupBy(F.col("s").alias("c_s")).agg(F.count("*").alias("c")).where("c > 1")
+    met = words.join(counts, F.col("s") == F.col("c_s"))
+    shared = met.groupBy(F.col("node").alias("s_node")).agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("shared"))  # a text's shingles at most
+    least = F.lit(min_similarity) * F.col("n") - F.lit(1e-9)
+    own = F.col("n") - F.size("shared")
+    kept = nodes.join(shared, F.col("node") == F.col("s_node")).where(F.size("shared") >= least)
+    first = F.slice("shared", F.lit(1), (F.col("n") - F.ceil(least) + 1 - own).cast("int"))
+    out = kept.select("node", "n", "root", F.size("shared").alias("common"), own.alias("own"), F.posexplode(first).alias("at", "x"))
+    return out.select("node", "n", "root", "common", (F.col("own") + F.col("at")).alias("place"), F.col("x.s").alias("s"))
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """(a, b): pairs of different roots that may be similar enough, none that is left out."""
+    one = materialize(rarest(nodes, sets, min_similarity), "near-rarest")
+    other = one.select(*[F.col(c).alias(f"head_{c}" if c != "node" else "head") for c in one.columns])
+    # what two sets share: no more than either shares with any other, and than what comes after the first shingle they share
+    needed = F.lit(min_similarity / (1 + min_similarity)) * (F.col("n") + F.col("head_n")) - F.lit(1e-9)
+    after = F.least(F.col("n") - F.col("place"), F.col("head_n") - F.col("head_place"))
+    met = (F.col("s") == F.col("head_s")) & (F.col("head") < F.col("node")) & (F.col("head_root") != F.col("root")) & sizes_fit(min_similarity)
+    pairs = one.join(other, met & (F.least("common", "head_common", after) >= needed))
+    return materialize(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
 
 
 def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -151,19 +176,9 @@ def near_copies(rows: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     mixed = materialize(mixed.select(F.col("key").alias("mixed_key")), "near-mixed")
     left = materialize(apart.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi"), "near-apart")
     if not left.isEmpty():
-        nodes = materialize(left.select(F.col("node").alias("p")).distinct(), "near-left")
-        sets = shingle_sets(nodes, rows, classes)
-        own = materialize(shared_sizes(nodes, sets), "near-own")
-        sized = left.join(own, F.col("node") == F.col("u_node"), "left").select("key", "node", "n", "root", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-        # two sets share no more than what either shares with any other, and similar ones share so much of their sum
-        sized = materialize(sized.where(F.col("common") >= F.lit(min_similarity) * F.col("n")), "near-sized")
-        of_node = sized.groupBy(F.col("node").alias("o_node")).agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
-        sized = materialize(sized.join(of_node, F.col("node") == F.col("o_node")).drop("o_node"), "near-keyed")
-        other = sized.select(F.col("key").alias("head_key"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), F.col("common").alias("head_common"), F.col("keys").alias("head_keys"))
-        once = F.col("key") == F.array_min(F.array_intersect("keys", "head_keys"))  # a pair meets in the smallest key it shares
-        enough = F.least("common", "head_common") * F.lit(1 + min_similarity) >= F.lit(min_similarity) * (F.col("n") + F.col("head_n"))
-        pairs = sized.join(other, (F.col("key") == F.col("head_key")) & (F.col("head") < F.col("node")) & (F.col("head_root") != F.col("root")) & sizes_fit(min_similarity) & enough & once)
-        pairs = materialize(pairs.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+        nodes = materialize(left.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), "near-left")
+        sets = shingle_sets(nodes.select(F.col("node").alias("p")), rows, classes)
+        pairs = prefix_pairs(nodes, sets, min_similarity)
         more = verified(pairs, sets, min_similarity)
         if not more.isEmpty():
             roots = connected_components(links.union(more), "near-roots")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from gridframe.llm import simhash
+from gridframe.llm import near_copies, simhash
 from gridframe.llm.common import read_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
@@ -63,3 +63,27 @@ def test_null_and_repeated_ids(spark, sf_dir):
     docs = docs.union(spark.createDataFrame([(None, f"Before it. {leak} After it.", "en", "s", 9)], SCHEMA))
     left = corpus_pipeline.decontaminate_benchmark(spark, docs, sf_dir).collect()
     assert len(left) == len(rows) and not any(leak in r["text"] for r in left)
+
+
+def test_prefixes_lose_no_pair_and_boilerplate_meets_nobody(spark):
+    rng = random.Random(8)
+    common = rng.sample(range(10**6), 200)  # shingles of passages that many texts share
+    sets = {}
+    for family in range(30):
+        base = set(rng.sample(range(10**6), rng.randint(3, 60))) | set(rng.sample(common, rng.randint(0, 40)))
+        for _ in range(6):
+            one = set(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 7))):
+                one.discard(rng.choice(sorted(one)))
+                one.add(rng.randrange(10**6))
+            sets[len(sets)] = one
+    group = range(1000, 1300)  # 60 shared shingles of 100 each: far from similar
+    for k in group:
+        sets[k] = set(common[:60]) | set(rng.sample(range(10**7, 10**8), 40))
+    rows = [(k, len(v), k if k % 4 else -1, sorted(v)) for k, v in sets.items()]
+    df = spark.createDataFrame(rows, "node long, n int, root long, shingles array<long>")
+    pairs = {(r["a"], r["b"]) for r in near_copies.prefix_pairs(df.select("node", "n", "root"), df.select("node", "shingles"), 0.8).collect()}
+    root = {k: r for k, _, r, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= pairs
+    assert not any(a in group and b in group for a, b in pairs) and len(pairs) < 4 * len(want)

@@ -1,7 +1,9 @@
 """Every stage against brute force on its own input, and the whole run."""
 
+from test_near_copies import brute
+
 import corpus_pipeline
-from gridframe.llm import decontaminate, language, line_dedup, simhash
+from gridframe.llm import decontaminate, language, line_dedup
 from gridframe.llm.common import materialize, read_table
 
 
@@ -32,17 +34,7 @@ def test_stages(spark, sf_dir):
             left = [x for r in after.values() for x in r["text"].split("\n") if len(x) + 1 >= line_dedup.MIN_CHARS]
             assert len(left) == len(set(left)) and all(r["n_chars"] == len(r["text"]) for r in after.values())
         elif name == "near_duplicates":
-            fps = {i: simhash.fingerprint(r["text"]) for i, r in before.items()}
-            root = {}
-            for i in sorted(fps):
-                if i not in root:
-                    root[i], queue = i, [i]
-                    while queue:
-                        a = queue.pop()
-                        near = [b for b in fps if b not in root and (fps[a] ^ fps[b]).bit_count() <= 4]
-                        root.update((b, i) for b in near)
-                        queue += near
-            assert set(after) == {i for i, r in root.items() if i == r}
+            assert set(after) == brute({i: r["text"] for i, r in before.items()})
         else:
             bad = {r["doc_id"] for r in decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark")).collect()}
             assert set(after) == set(before) - bad
