@@ -6,7 +6,9 @@ listed given names in any case, and other words by their capital. A text is
 read up to three times: as it stands; with a capitalised word at a sentence's start as a
 name if it is one elsewhere in the text; and without regard to case, where names are
 plain words, so a copy in other case is found as well. Further readings add only the
-windows that differ.
+windows that differ. In sentences without a capital names cannot be seen; there any word may
+stand where a window of the benchmark has a name (its windows are hashed once for each
+pattern of name places that the benchmark has), and slot consistency decides.
 
 Windows of template words are hashed; windows of documents meet those of benchmark items
 in a hash join. Windows on neighbouring diagonals (place in the document less place in the
@@ -16,17 +18,21 @@ value of the document throughout. Which one is settled by the number of windows
 say so, and the windows that agree count. So a question whose numbers and names were
 exchanged is found, and a text that only shares the template by chance is not.
 
+Items under ``MIN_WORDS`` template words match by the exact run of all their words, in any
+case, without slots; under ``MIN_RUN`` words, only documents that have no other words, as
+such an item is part of any text.
+
 A document is contaminated by an item if the windows of a consistent alignment hold at
 least ``min_coverage`` of the item's template words, so one word put in or exchanged
-costs that word and not all windows around it. Items of the same template and pattern of slots
+costs that word and not all windows around it. One window alone counts only with its own
+values, as many sentences share a short template. Items of the same template and pattern of slots
 are one class, which is reported under its smallest id with the number of its items. A
 benchmark of up to ``BROADCAST_WINDOWS`` windows is broadcast; of a larger one the windows
 of each document, thinned by a bitmap of fixed size, meet it in a shuffle. Documents are
 read once in either case.
 
-Defined results: null and empty texts, on either side, match nothing; items under
-``MIN_WORDS`` template words match nothing, as they would match clean text; items
-shorter than a window are one window of all their words; rows with null ids match
+Defined results: null and empty texts, on either side, and texts without a letter or digit match
+nothing; items shorter than a window are one window of all their words; rows with null ids match
 nothing; repeated items count in their class; repeated rows of a document give one row;
 of tied alignments the one with fewer exchanged slots is reported; very long texts are
 read whole; extra columns of any name are left aside; an empty table gives an empty result.
@@ -49,6 +55,8 @@ from .common import map_batches, materialize, read_table, slices, spread, text_r
 #: Template words of a window, least words of an item, least share of an item's words.
 WINDOW = 8
 MIN_WORDS = 6
+#: Words of an item that are looked for inside of documents.
+MIN_RUN = 3
 MIN_COVERAGE = 0.6
 #: Benchmark windows that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
@@ -112,26 +120,13 @@ class Templates:
         second reading of those texts has them as names. A last one of texts with names has
         all names as plain words. Places count all words of a text.
         """
-        if len(self.known) > MAX_WORDS:
-            self.forget()
-        parts = [t.split() for t in texts]
-        known = self.known
-        for word in set().union(*parts).difference(known):
-            known[word] = self.number(word)
-        sizes = np.array([len(p) for p in parts])
-        entry = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
-        text = np.repeat(np.arange(len(texts)), sizes)
-        text, entry = text[entry > 0], entry[entry > 0]
+        words = self.words(texts)
+        text, entry = words[:2]
         if not len(entry):
             return [(text, np.zeros(0, np.uint64), np.zeros(0, bool), entry, text, np.zeros(0, bool))]
-        raw = np.array(self.kind, np.int8)[entry]
-        ends = np.array(self.ends)[entry]
-        before = np.concatenate(([False], (text[1:] == text[:-1])))  # the text goes on
-        after_end = np.concatenate(([True], ends[:-1])) | ~before
+        _, _, raw, lower, before, after_end, place = words
         first = (raw == CAPITAL) & after_end
         kind = np.where(raw == CAPITAL, np.where(after_end, PLAIN, NAME), raw)
-        lower = np.array(self.hash, np.uint64)[entry]
-        place = np.arange(len(text)) - np.flatnonzero(~before)[text_runs(before)]
         none = np.zeros(len(kind), bool)
 
         def reading(some: np.ndarray, kind: np.ndarray, apart: np.ndarray, other: np.ndarray) -> tuple:
@@ -153,6 +148,31 @@ class Templates:
             out.append(reading(of_texts(named), np.where(named, PLAIN, kind), none, named))
         return out
 
+    def words(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(text number, entry, kind, hash, does its text go on?, does it start a sentence?, place in the text) of each word."""
+        if len(self.known) > MAX_WORDS:
+            self.forget()
+        parts = [t.split() for t in texts]
+        known = self.known
+        for word in set().union(*parts).difference(known):
+            known[word] = self.number(word)
+        sizes = np.array([len(p) for p in parts])
+        entry = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        text, entry = text[entry > 0], entry[entry > 0]
+        before = np.concatenate(([False], text[1:] == text[:-1]))[: len(text)]
+        after_end = np.concatenate(([True], np.array(self.ends)[entry][:-1]))[: len(text)] | ~before
+        place = np.arange(len(text)) - np.flatnonzero(~before)[text_runs(before)]
+        return text, entry, np.array(self.kind, np.int8)[entry], np.array(self.hash, np.uint64)[entry], before, after_end, place
+
+    def case_free(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(text number, hash, kind, entry, place, in a sentence without capitals?) of each template word."""
+        text, entry, raw, lower, before, after_end, place = self.words(texts)
+        sentence = np.cumsum(after_end) - 1
+        free = (np.bincount(sentence, raw == CAPITAL) == 0)[sentence] if len(text) else np.zeros(0, bool)
+        keep, hashes = self.template(raw, lower, before, np.zeros(len(text), bool)) if len(text) else (free, lower)
+        return text[keep], hashes[keep], raw[keep], entry[keep], place[keep], free[keep]
+
     @staticmethod
     def template(kind: np.ndarray, lower: np.ndarray, before: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(kept?, hash) of each word; a word in ``apart`` starts a sentence and does not join the name before."""
@@ -196,12 +216,12 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-#: Windows of a reading: words of each, number of windows, and their places, hashes and slot values.
-READING = "struct<size: int, total: int, places: array<int>, hashes: array<long>, slots: array<array<string>>>"
+#: Windows of a reading: words of each (negative: of words as they are), number of windows, and their places, hashes, slot values and places of names as bits.
+READING = "struct<size: int, total: int, places: array<int>, hashes: array<long>, slots: array<array<string>>, masks: array<int>>"
 
 
 def item_readings(templates: Templates, text: str, window: int) -> list[dict]:
-    """Readings of an item that have enough words."""
+    """Readings of an item that have enough words; the run of its words for an item that has none."""
     out = []
     for _, hashes, slots, entry, places, _ in templates.readings([text]):
         if len(hashes) < MIN_WORDS:
@@ -209,7 +229,13 @@ def item_readings(templates: Templates, text: str, window: int) -> list[dict]:
         size = min(window, len(hashes))
         found = window_hashes(hashes, size)
         values = [[templates.value[e] for e in entry[k : k + size][slots[k : k + size]]] for k in range(len(found))]
-        out.append({"size": size, "total": len(found), "places": places[: len(found)].tolist(), "hashes": found.view(np.int64).tolist(), "slots": values})
+        named = hashes == np.uint64(SLOT[NAME])
+        masks = [sum(1 << j for j in range(size) if named[k + j]) for k in range(len(found))]
+        out.append({"size": size, "total": len(found), "places": places[: len(found)].tolist(), "hashes": found.view(np.int64).tolist(), "slots": values, "masks": masks})
+    if not out:
+        _, entry, _, lower, _, _, _ = templates.words([text])
+        if len(entry):
+            out.append({"size": -len(entry), "total": 1, "places": [0], "hashes": window_hashes(lower, len(entry)).view(np.int64).tolist(), "slots": [[]], "masks": [0]})
     return out
 
 
@@ -248,16 +274,19 @@ class Benchmark:
 
     def __init__(self, rows: list):
         table = defaultdict(lambda: defaultdict(list))
+        self.masks = defaultdict(set)
         self.classes: list[tuple[int, int, int]] = []  # item, items, windows of a reading
         self.window: list[int] = []
         for row in rows:
             for reading in row["readings"]:
                 number = len(self.classes)
                 self.classes.append((row["item_id"], row["n_items"], reading["total"]))
-                self.window.append(reading["size"])
+                self.window.append(abs(reading["size"]))
+                self.masks[reading["size"]].update(m for m in reading["masks"] if m)
                 for k, (place, h, slots) in enumerate(zip(reading["places"], reading["hashes"], reading["slots"])):
                     table[reading["size"]][h & (1 << 64) - 1].append((number, k, place, tuple(slots)))
         self.sizes = {s: (np.array(sorted(t), np.uint64), dict(t)) for s, t in table.items()}
+        self.masks = {s: sorted(m) for s, m in self.masks.items()}
         self.maybe = {}
         for s, (hashes, _) in self.sizes.items():
             self.maybe[s] = np.zeros(1 << 20, bool)
@@ -267,7 +296,7 @@ class Benchmark:
         """(text number, class number, share of words, windows matched, slots exchanged) of best consistent alignments with enough words."""
         hits = defaultdict(list)
         for size, (known, table) in self.sizes.items():
-            for text, p, place, h, mine in text_windows(templates, texts, size, lambda found: self.maybe[size][found >> np.uint64(44)], known):
+            for text, p, place, h, mine in text_windows(templates, texts, size, lambda found: self.maybe[size][found >> np.uint64(44)], known, self.masks[size]):
                 for number, k, item_place, theirs in table[h]:
                     hits[text, number].append((k, item_place, place, theirs, mine))
         for (text, number), found in hits.items():
@@ -276,8 +305,14 @@ class Benchmark:
                 yield text, number, *best
 
 
-def text_windows(templates: Templates, texts: list[str], size: int, maybe, known: np.ndarray | None = None) -> Iterator[tuple]:
-    """(text number, first template word, its place, hash, slot values) of the windows that may be in the benchmark."""
+def text_windows(templates: Templates, texts: list[str], size: int, maybe, known: np.ndarray | None = None, masks: list[int] = ()) -> Iterator[tuple]:
+    """(text number, first template word, its place, hash, slot values) of the windows that may be in the benchmark.
+
+    ``masks`` are the places of names in its windows, at which words of sentences without capitals may be names.
+    """
+    if size < 0:
+        yield from word_runs(templates, texts, -size, maybe, known)
+        return
     for n, (text, hashes, slots, entry, places, other) in enumerate(templates.readings(texts)):
         found = window_hashes(hashes, size)
         if not len(found):
@@ -293,6 +328,46 @@ def text_windows(templates: Templates, texts: list[str], size: int, maybe, known
             yield int(text[p]), p, int(places[p]), int(found[p]), tuple(templates.value[e] for e in entry[p : p + size][slots[p : p + size]])
 
 
+    if not masks:
+        return
+    text, hashes, kind, entry, places, free = templates.case_free(texts)
+    n = len(text) - size + 1
+    if n <= 0:
+        return
+    sums = np.concatenate(([0], np.cumsum(free)))
+    start = np.flatnonzero((sums[size:] - sums[:n] == size) & (text[:n] == text[size - 1 :]))
+    for mask in masks if len(start) else ():
+        found, fits = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+        for k in range(size):
+            if mask >> k & 1:
+                found = found * BASE + np.uint64(SLOT[NAME])
+                fits &= (kind[start + k] == PLAIN) | (kind[start + k] == NAME)
+            else:
+                found = found * BASE + hashes[start + k]
+        found ^= found >> np.uint64(29)
+        at = np.flatnonzero(fits & maybe(found))
+        if known is not None:
+            at = at[np.isin(found[at], known)]
+        for j in at.tolist():
+            p = int(start[j])
+            yield int(text[p]), p, int(places[p]), int(found[j]), tuple(templates.value[entry[p + k]] for k in range(size) if mask >> k & 1 or kind[p + k] in (NUM, NAME))
+
+
+def word_runs(templates: Templates, texts: list[str], size: int, maybe, known: np.ndarray | None) -> Iterator[tuple]:
+    """As ``text_windows``, for runs of ``size`` words as they are; under MIN_RUN words, whole texts only."""
+    text, _, _, lower, before, _, places = templates.words(texts)
+    found = window_hashes(lower, size)
+    own = text[: len(found)] == text[size - 1 :]
+    if size < MIN_RUN:
+        goes_on = np.concatenate((before[1:], [False]))
+        own &= ~before[: len(found)] & ~goes_on[size - 1 :]
+    at = np.flatnonzero(own & maybe(found)) if len(found) else np.zeros(0, np.int64)
+    if known is not None:
+        at = at[np.isin(found[at], known)]
+    for p in at.tolist():
+        yield int(text[p]), p, int(places[p]), int(found[p]), ()
+
+
 def words_in(windows: set[int], size: int) -> int:
     """Words in the union of windows that start at these places."""
     end = count = 0
@@ -320,6 +395,8 @@ def best_alignment(hits: list[tuple], size: int, total: int, min_coverage: float
         near = order[start:end]
         if end > reached and words_in({h[0] for d in near for h in diagonals[d]}, size) >= least:  # not inside the band before
             windows, exchanged = aligned([h for d in near for h in diagonals[d]])
+            if len(windows) < 2 and exchanged:
+                continue
             found = (words_in(windows, size), len(windows), -exchanged)
             best = max(best, found) if best else found
     return (best[0] / n_words, best[1], -best[2]) if best and best[0] >= least else None
@@ -396,9 +473,11 @@ def hash_bitmap(windows: DataFrame) -> np.ndarray:
 def found_by_shuffle(rows: DataFrame, classes: DataFrame, min_coverage: float) -> DataFrame:
     """Alignments where windows meet by their hash."""
     one = classes.select("class", "item_id", "n_items", F.posexplode("readings").alias("reading", "r"))
-    cut = one.select("class", "reading", "item_id", "n_items", F.col("r.size").alias("size"), F.col("r.total").alias("total"), F.posexplode(F.arrays_zip("r.places", "r.hashes", "r.slots")).alias("k", "w"))
-    windows = materialize(cut.select("class", "reading", "item_id", "n_items", "size", "total", "k", F.col("w.places").alias("item_place"), F.col("w.hashes").alias("hash"), F.col("w.slots").alias("theirs")), "leak-items")
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # up to WINDOW different ones
+    cut = one.select("class", "reading", "item_id", "n_items", F.col("r.size").alias("size"), F.col("r.total").alias("total"), F.posexplode(F.arrays_zip("r.places", "r.hashes", "r.slots", "r.masks")).alias("k", "w"))
+    windows = materialize(cut.select("class", "reading", "item_id", "n_items", "size", "total", "k", F.col("w.places").alias("item_place"), F.col("w.hashes").alias("hash"), F.col("w.slots").alias("theirs"), F.col("w.masks").alias("mask")), "leak-items")
+    sizes: dict[int, list[int]] = defaultdict(list)  # up to MIN_WORDS + WINDOW different ones, with 2^WINDOW masks at most
+    for r in windows.groupBy("size", "mask").count().orderBy("size", "mask").collect():
+        sizes[r["size"]] += [r["mask"]] if r["mask"] else []
     sent = rows.sparkSession.sparkContext.broadcast(hash_bitmap(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,13 +490,13 @@ def found_by_shuffle(rows: DataFrame, classes: DataFrame, min_coverage: float) -
         for whole in batches:
             for batch in slices(whole):
                 ids, keys, texts = (batch.column(c).to_pylist() for c in ("id", "key", "text"))
-                for size in sizes:
-                    got = [(ids[d], keys[d], size, place, h - (1 << 64) if h >> 63 else h, mine) for d, _, place, h, mine in text_windows(templates, texts, size, maybe)]
+                for size, masks in sizes.items():
+                    got = [(ids[d], keys[d], size, place, h - (1 << 64) if h >> 63 else h, mine) for d, _, place, h, mine in text_windows(templates, texts, size, maybe, None, masks)]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))], names=["id", "key", "d_size", "place", "d_hash", "mine"])
 
     mine = rows.withColumn("key", F.xxhash64("text")).mapInArrow(run, "id long, key long, d_size int, place int, d_hash long, mine array<string>")
-    met = mine.join(windows, (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
+    met = mine.join(windows.drop("mask"), (F.col("d_hash") == F.col("hash")) & (F.col("d_size") == F.col("size")))
     hit = F.struct("k", "item_place", "place", "theirs", "mine")
     groups = met.groupBy("id", "key", "class", "reading", "item_id", "n_items", "size", "total").agg(F.collect_set(hit).alias("hits"))
 
@@ -425,7 +504,7 @@ def found_by_shuffle(rows: DataFrame, classes: DataFrame, min_coverage: float) -
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                best = best_alignment([(h["k"], h["item_place"], h["place"], tuple(h["theirs"]), tuple(h["mine"])) for h in r["hits"]], r["size"], r["total"], min_coverage)
+                best = best_alignment([(h["k"], h["item_place"], h["place"], tuple(h["theirs"]), tuple(h["mine"])) for h in r["hits"]], abs(r["size"]), r["total"], min_coverage)
                 if best:
                     out.append((r["id"], r["item_id"], r["n_items"], r["total"], *best))
             yield found_rows(out)

@@ -101,9 +101,68 @@ def test_alignment_is_near_the_best():
         assert decontaminate.aligned(plain)[0] == set(range(6))
 
 
+def test_short_items(spark):
+    """Under 6 template words the run of all words counts, under 3 words a whole text."""
+    items = [(1, "Olga bakes 24 muffins."), (2, "Thank you"), (3, "2 + 2 = 4"), (4, "..."), (5, "What is the capital of France?")]
+    docs = [
+        (1, "Some text. Olga bakes 24 muffins. More text."), (2, "OLGA BAKES 24 MUFFINS"), (3, "Olga bakes 25 muffins."), (4, "Olga often bakes 24 muffins."), (5, "Thank you for it"), (6, "thank you!"), (7, "2 + 2 = 4"),
+        (8, "they say 2 2 4 and go"), (9, "What is the capital of Spain?"), (10, "He asked: what is the capital of France? Nobody knew."), (11, "Olga bakes 24"), (12, "..."),
+    ]
+    want = {(1, 1), (2, 1), (6, 2), (7, 3), (8, 3), (10, 5)}
+    got = leaks(spark, docs, items)
+    assert set(got) == want and all(r["coverage"] == 1 and r["n_exchanged"] == 0 for r in got.values())
+    assert leaks(spark, docs, items, broadcast_windows=0) == got
+
+
+def test_names_in_lower_case(spark):
+    item = "Priya has 12 marbles and gives 5 to Ben. Priya buys 8 more. How many marbles does Priya have now?"
+    doc = "ravi has 31 marbles and gives 7 to tom. ravi buys 9 more. how many marbles does ravi have now?"
+    mixed = doc.replace("does ravi", "does omar")  # not the same name throughout
+    docs = [(1, doc), (2, "Some text. " + doc.upper() + " Some more."), (3, "Ravi likes it. " + doc), (4, "the weather has turned and gives way to rain. nobody buys it any more. how many days does it have now?")]
+    got = leaks(spark, [*docs, (5, mixed)], [(7, item)])
+    assert {d for d, _ in got} in ({1, 2, 3}, {1, 2, 3, 5}) and got[1, 7]["coverage"] > 0.9 and got[1, 7]["n_exchanged"] == 5
+    assert leaks(spark, [*docs, (5, mixed)], [(7, item)], broadcast_windows=0) == got
+
+
+FIRST = "Priya Ravi Mei Omar Zoe Ingrid Bjarne Chidi Nkechi Hiro Yuki Fatima Ahmed Svetla Dragan Paloma Xochitl Kwame Aiyana Tariq".split()
+THINGS = "marbles apples stamps ribbons lamps pencils tickets coins shells buttons".split()
+PLOTS = [
+    "{a} has {x} {t} and gives {y} of them to {b}. Then {a} buys {z} more {t} at the shop. How many {t} does {a} have now?",
+    "On Monday {a} and {b} packed {x} boxes with {y} {t} each. If {b} takes {z} {t} home, how many {t} are left for {a}?",
+    "A shop sells {x} {t} for {y} dollars. How much does {a} pay for {z} {t} if {b} pays half of the price?",
+    "After {a} found {x} {t} in the garden, {b} found {y} times as many. Together {a} and {b} sold {z} {t}. How many {t} did they keep?",
+]
+
+
+@pytest.mark.parametrize("broadcast_windows", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_recall_and_precision(spark, broadcast_windows):
+    """240 items with names that no list has, exchanged with the numbers, in normal, lower and upper case; other questions with the same words stay."""
+    rng = random.Random(6)
+    items, docs, want = [], [], set()
+    fill = lambda plot, thing, lo: plot.format(**dict(zip("ab", rng.sample(FIRST, 2))), **dict(zip("xyz", map(str, rng.sample(range(lo, lo + 80), 3)))), t=thing)
+    for n in range(240):
+        plot, thing = PLOTS[n % 4], f"{THINGS[n // 4 % 10]} {n // 40}q{n // 4 % 10}"  # an item of its own each
+        items.append((n, fill(plot, thing, 2)))
+        body = fill(plot, thing, 100)
+        body = [body, body.lower(), body.upper()][n % 3]
+        docs.append((n, f"Before it stands this. {body} And after it this."))
+        want.add((n, n))
+    clean = [
+        "What is the capital of {a}? It is what {b} would ask about {t} of {x} towns.", "{a} counts {t} in the garden every day. Then {b} comes and they talk about the weather for {x} minutes.",
+        "many shops sell {t} at some price. on monday they are closed. nobody knows how much {a} pays there or why {b} is late.", "HOW MANY {t} ARE THERE? THE GARDEN OF {a} HAS SOME. TOGETHER THEY KEEP WHAT {b} LEAVES.",
+    ]
+    docs += [(1000 + n, fill(clean[n % 4], rng.choice(THINGS), 3)) for n in range(240)]
+    got = set(leaks(spark, docs, items, broadcast_windows=broadcast_windows))
+    own = {d for d, i in got if (d, i) in want}
+    by_case = [sum(d % 3 == c for d in own) / 80 for c in range(3)]
+    false = sorted({d for d, _ in got if d >= 1000})
+    print("recall in normal, lower and upper case", by_case, "clean documents found", len(false), "of 240")
+    assert min(by_case) >= 0.9 and not false
+
+
 @pytest.mark.parametrize("broadcast_windows", [decontaminate.BROADCAST_WINDOWS, 0])
 def test_recall(spark, broadcast_windows):
-    """Items with numbers and names, in documents that exchange them, insert words and change case (there, listed names only)."""
+    """Items with numbers and names, in documents that exchange them, insert words and change case."""
     rng = random.Random(6)
     names = ["Alice", "Bob", "Carol", "Priya", "Ravi"]
     items, docs, want = [], [], set()
@@ -112,10 +171,10 @@ def test_recall(spark, broadcast_windows):
         item, doc = [], []
         values = {}
         lower = n % 4 == 1
-        other = ["Frank", "Grace", "Julia", "Oliver", "Emma"] if lower else ["Frank", "Grace", "Mei", "Omar", "Zoe"]
+        other = ["Frank", "Grace", "Mei", "Omar", "Zoe"]
         for k, word in enumerate(text.split()):
             if k % 5 == 3:
-                a = rng.choice([str(rng.randrange(2, 9)), rng.choice(names[: 3 if lower else 5])])
+                a = rng.choice([str(rng.randrange(2, 9)), rng.choice(names)])
                 b = values.setdefault(a, str(rng.randrange(100, 999) * 10 + len(values)) if a.isdigit() else next(x for x in rng.sample(other, 5) if x not in values.values()))
                 item.append(a)
                 doc.append(b)
