@@ -4,7 +4,8 @@ A page is cut into blocks. Markup settles two kinds: what stands in ``article``
 ``main`` is content and stays; what stands in menus, headers, footers, sidebars, adverts,
 forms, comments and the like goes. Everything else is decided by repetition: blocks
 outside of the article, blocks of pages without one, and blocks in the article whose class
-only hints at boilerplate.
+only hints at boilerplate. An ``article`` inside of an element that markup removes (a teaser in a
+sidebar, a reader's comment) goes with it, unless that element is never closed.
 
 The token streams of all that is outside the settled article, on every page, are
 concatenated by host. Prefix doubling names the suffixes by their first 3, 6, 12, ...
@@ -58,6 +59,9 @@ SURE = set("nav navbar navigation menu menubar sidebar footer masthead ad ads ad
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
 #: Words and parts of words of class and id that only hint at it (fixed values).
 HINTS = set("nav navbar navigation menu menubar sidebar footer header masthead ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended widget toolbar pagination pager copyright search skip".split())
+#: Joined and hyphenated names of readers' comments, and parts that make them a state of something else.
+COMMENT = re.compile(r"(?:^|[-_])comments?(?:$|[-_])|^comments?(?:list|box|form|section|area|thread|body|wrap|wrapper|container)|comments$")
+STATES = set("no has with without open closed enabled disabled on off".split())
 BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul option center".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SPACES = {"br", "td", "th", "wbr", "img"}
@@ -89,17 +93,35 @@ def judged(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
     if tag in ("body", "html"):
         return CONTENT, False
     words = f"{names.get('class', '')} {names.get('id', '')}".split()
-    if not SURE.isdisjoint(words):
+    if not SURE.isdisjoint(words) or any("comment" in w and COMMENT.search(w) and STATES.isdisjoint(re.split("[-_]", w)) for w in words):
         return MARKED, False
     if words and tag in BLOCKS and not HINTS.isdisjoint(WORD.findall(" ".join(words))):
         return DOUBTFUL, opens
     return CONTENT, opens
 
 
+def judged_marked(page: str, start: int) -> bool:
+    """Whether the start tag there is removed for what it says itself."""
+    token = TOKEN.match(page, start)
+    return judged(token[2].lower(), token[3], False)[0] == MARKED
+
+
+def is_closed(page: str, at: int, tags: list[str]) -> bool:
+    """Whether the first of the open ``tags`` ends after ``at``."""
+    depth = tags.count(tags[0])
+    for m in re.finditer(rf"<(/?){re.escape(tags[0])}(?=[\s/>])", page[at:], re.I):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(CONTENT, LOOSE or MARKED, text) of each block, in page order."""
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, judged, inside the main text
+    closed: dict[tuple[int, int], bool] = {}  # of elements that markup removes, by depth and start
+    begins: list[int] = []  # where each open element starts
     pieces: list[str] = []
     aside: list[str] = []
     state, inside, opened = CONTENT, False, False
@@ -118,7 +140,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     def pop_to(k: int) -> None:
         nonlocal state, inside
         flush()
-        del stack[k:]
+        del stack[k:], begins[k:]
         state, inside = (stack[-1][1], stack[-1][2]) if stack else (CONTENT, False)
 
     at, size = 0, len(page)
@@ -144,7 +166,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     if tag in BLOCKS or tag in DROPPED and stack[k][1] == MARKED and k and stack[k - 1][1] == MARKED:
                         pop_to(k)
                     elif not any(s[0] in BLOCKS for s in stack[k + 1 :]):
-                        del stack[k:]
+                        del stack[k:], begins[k:]
                         state, inside = (stack[-1][1], stack[-1][2]) if stack else (CONTENT, False)
                     break
             continue
@@ -165,12 +187,20 @@ def blocks(page: str) -> list[tuple[int, str]]:
             at = end.end() if end else size
             continue
         own, opens = judged(tag, token[3], inside)
-        if opens and not opened:  # also inside of an element that was never closed
+        if opens and not opened and state == MARKED:  # only inside of elements that are never closed
+            for k, (_, kind, _) in enumerate(stack):
+                if kind == MARKED and (not k or stack[k - 1][1] != MARKED or judged_marked(page, begins[k])):
+                    key = (k, begins[k])
+                    if key not in closed:
+                        closed[key] = is_closed(page, at, [t for t, _, _ in stack[k:]])
+                    opens = opens and not closed[key]
+        if opens and not opened:
             state, inside, opened = CONTENT, True, True
         else:
             state = MARKED if MARKED in (own, state) else max(own, state)
             inside = (inside or opens) and state != MARKED
         stack.append((tag, state, inside))
+        begins.append(token.start())
     flush()
     settled = any(kind == CONTENT for kind, _ in found)
     return [((MARKED if settled else LOOSE) if kind == DOUBTFUL else kind, text) for kind, text in found]
@@ -223,17 +253,18 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def streams(own: DataFrame) -> DataFrame:
-    """(host, page, text, loose): what is outside the main text, and whether some of it is to be decided."""
+def parsed(own: DataFrame) -> DataFrame:
+    """(page_id, url, host, page, text, loose, kinds, texts): blocks of each page, the stream of what is outside the main text, and whether some of it is to be decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                found = [blocks(p) for p in batch.column("html").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "page": batch.column("page"), "text": pa.array(map(outside, found), pa.string()), "loose": [any(kind == LOOSE for kind, _ in f) for f in found]})
+                found = [blocks(p) if p else [] for p in batch.column("html").to_pylist()]
+                kept = {c: batch.column(c) for c in ("page_id", "url", "host", "page")}
+                lists = {"kinds": pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), "texts": pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict({**kept, "text": pa.array(map(outside, found), pa.string()), "loose": [any(kind == LOOSE for kind, _ in f) for f in found], **lists})
 
-    rows = own.where(F.col("html").isNotNull() & (F.col("html") != "")).select("host", "page", "html")
-    return rows.mapInArrow(run, "host string, page long, text string, loose boolean").where("text <> ''")
+    return own.select("page_id", "url", "host", "page", "html").mapInArrow(run, "page_id long, url string, host string, page long, text string, loose boolean, kinds array<int>, texts array<string>")
 
 
 def shared(suffixes: DataFrame, min_pages: int) -> DataFrame:
@@ -302,8 +333,8 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = M
     if min_tokens % 2 or long_tokens % min_tokens or (long_tokens // min_tokens).bit_count() != 1:
         raise ValueError("min_tokens is even, and long_tokens a doubling of it")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
-    own = spread(own)
-    found = materialize(streams(own), "page-outside")
+    own = materialize(parsed(spread(own)), "page-blocks")
+    found = own.where("text <> ''").select("host", "page", "text", "loose")
     classes = stream_classes(found, host_share)
     covered = covered_ranges(classes, min_tokens, min_pages, long_tokens)
     covered = materialize(classes.join(covered, F.col("stream") == F.col("c_stream")).select(F.col("host").alias("k_host"), F.col("text").alias("k_text"), "covered"), "page-covered")
@@ -312,12 +343,13 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = M
     decided = materialize(decided, "page-decided")
     size = decided.agg(F.coalesce(F.sum(F.size("covered") + 1), F.lit(0))).first()[0]
     decided = F.broadcast(decided) if size <= MAX_BROADCAST else decided.hint("merge")
-    met = own.join(decided, (F.col("host") == F.col("d_host")) & (F.col("page") == F.col("d_page")), "left").select("page_id", "url", "html", "covered")
+    met = own.join(decided, (F.col("host") == F.col("d_host")) & (F.col("page") == F.col("d_page")), "left").select("page_id", "url", "kinds", "texts", "covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                texts = [unique(blocks(page or ""), merged(ranges or [])) for page, ranges in zip(batch.column("html").to_pylist(), batch.column("covered").to_pylist())]
+                rows = zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "covered")))
+                texts = [unique(list(zip(kinds, parts)), merged(ranges or [])) for kinds, parts, ranges in rows]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")

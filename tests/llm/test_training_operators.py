@@ -95,6 +95,16 @@ def test_html_blocks():
         ('<article><p>x</p></article><div class="cookie-note">a</div><div id="sidebar">s</div>', ["x"], []),
         ('<p>one</p><div class="cookie-note">a</div><div class="cookie-notice">b</div>', [], ["one", "a"]),
         ('<div role="main"><p>x</p></div><div role="navigation">n</div>', ["x"], []),
+        ("<aside><article>teaser</article></aside><article>text</article>", ["text"], []),
+        ("<nav><article>menu card</article></nav><main>text</main>", ["text"], []),
+        ('<div id="comments"><article>a comment</article></div><div class="post">text</div>', [], ["text"]),
+        ('<div id="comments"><div><article>a comment</article></div></div><article>text</article>', ["text"], []),
+        ('<article>one</article><div class="reader-comments"><article>nested comment</article></div>', ["one"], []),
+        ('<article>one<ul class="commentlist"><li>c</ul><div class="post-comments">d</div><div class="userComments">e</div></article>', ["one"], []),
+        ('<article>one<div class="no-comments commentary">two</div><p class="has-comments">three</p></article>', ["one"], ["two", "three"]),
+        ("<aside><div><article>teaser</article></div><aside>x</aside></aside><nav><main>text</main>", ["text"], []),
+        ("<header><header><article>a</article></header>", [], []),
+        ("<form><div><main><p>x</p></main></div>", ["x"], []),
     ],
 )
 def test_html_zones(page, content, loose):
