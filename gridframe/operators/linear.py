@@ -2,18 +2,24 @@
 
 Products join on the contracted index and aggregate partially. From ``TILE_FROM``
 multiplications up, both sides are cut in square tiles and the tiles multiplied in
-numpy, which moves each element once for a row of tiles and not for every element.
+numpy, which moves each element once for a row of tiles and not for every element. The
+tiles of one output tile meet sorted by the contracted index and are summed in place, so a
+task holds three tiles, and only sums leave it. Where output tiles are fewer than the
+cluster's cores, the contracted index is cut in segments, whose sums are added up.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import cplx
+from ..chunks import Chunks, blocks_of, div, emitted
 from ..grid import Grid
 from ..meta import COMPLEX_OF, ArrayMeta, array, is_complex, normalize_axes, real_of, spark_type
 from ..plans.computation import Computation, meta_of
@@ -65,7 +71,7 @@ class MatrixMul(Computation):
         shared = self._batch_a == self._batch_b
         group = F.col("ga") if self._batch_a != 1 else F.col("gb")
         if self._tiled:
-            df = self._tiles(a, b, shared, group, m, n)
+            df = self._tiles(a, b, m, n)
         else:
             met = F.col("k") == F.col("kb")
             met = met & (F.col("ga") == F.col("gb")) if shared else met
@@ -83,51 +89,118 @@ class MatrixMul(Computation):
         out = Grid(df.select(F.col("g").alias("i0"), F.col("i").alias("i1"), F.col("j").alias("i2"), "v"), ArrayMeta((batch, m, n), self._dtype))
         return {"output": out.reshape(self._shape)}
 
-    def _tiles(self, a, b, shared, group, m, n):
-        tile, complex_out = self._tile, is_complex(self._dtype)
-        whole = not complex_out and not self._dtype.startswith("float")
-        kind = "complex128" if complex_out else "int64" if whole else "float64"
-        value = lambda name, dtype: F.col(name)["re"] if is_complex(dtype) else F.col(name)
-        imag = lambda name, dtype: F.col(name)["im"] if is_complex(dtype) else F.lit(0.0)
-        part = "bigint" if whole else "double"
-
-        def cut(df, row, col, name, dtype, prefix):
-            cells = F.collect_list(F.struct(F.pmod(row, F.lit(tile)).cast("int").alias("r"), F.pmod(col, F.lit(tile)).cast("int").alias("c"), value(name, dtype).cast(part).alias("x"), imag(name, dtype).cast(part).alias("y")))
-            block = lambda c: F.call_function("div", c, F.lit(tile).cast("bigint"))
-            return df.groupBy(F.col(prefix), block(row).alias(f"{prefix}_r"), block(col).alias(f"{prefix}_c")).agg(cells.alias(f"{prefix}_cells"))
-
-        # a tile goes to every output tile it is part of, so the join has a key for each product of tiles
-        each = lambda size: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-(-size // tile) - 1).cast("bigint")))
-        ta = cut(a, F.col("i"), F.col("k"), "va", self._a.dtype, "ga").select("*", each(n).alias("ga_j"))
-        tb = cut(b, F.col("kb"), F.col("j"), "vb", self._b.dtype, "gb").select("*", each(m).alias("gb_i"))
-        met = (F.col("ga_c") == F.col("gb_r")) & (F.col("ga_r") == F.col("gb_i")) & (F.col("ga_j") == F.col("gb_c"))
-        met = met & (F.col("ga") == F.col("gb")) if shared else met
-        pairs = ta.join(tb, met).select(group.alias("g"), F.col("ga_r").alias("bi"), F.col("gb_c").alias("bj"), "ga_cells", "gb_cells")
-
-        def dense(column):
-            out = np.zeros((len(column), tile, tile), kind)
-            flat, offsets = column.values, column.offsets.to_numpy()
-            start = offsets[0]
-            flat = flat.slice(start, offsets[-1] - start)
-            r, c, x, y = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("r", "c", "x", "y"))
-            at = np.repeat(np.arange(len(column)), np.diff(offsets))
-            out[at, r, c] = x + 1j * y if complex_out else x
-            return out
-
-        def products(batches):
+    def _tiles(self, a, b, m, n):
+        """Elements of the product by tiles."""
+        wide = wide_dtype(self._dtype)
+        sides = []
+        for df, names, batch, shape, dtype in ((a, ("ga", "i", "k", "va"), self._batch_a, (m, self._k), self._a.dtype), (b, ("gb", "kb", "j", "vb"), self._batch_b, (self._k, n), self._b.dtype)):
+            v = cplx.cast(F.col(names[3]), dtype, wide)
+            grid = Grid(df.select(*[F.col(c).alias(f"i{k}") for k, c in enumerate(names[:3])], v.alias("v")), ArrayMeta((batch, *shape), wide))
+            cut = Chunks.from_grid(grid, (1, self._tile, self._tile))
+            whole = [F.lit(0).cast("bigint").alias(f"o{k}") for k in range(3)] + [s.alias(f"s{k}") for k, s in enumerate(cut.sizes())]
+            sides.append(cut.df.select(*cut.names, *whole, "v"))
+        batch = max(self._batch_a, self._batch_b)
+        df = multiplied(*sides, (batch, m, self._k, n), (wide, wide), (self._batch_a, self._batch_b), self._tile, wide)
+        out = Chunks(df.select(F.col("g").alias("c0"), F.col("bi").alias("c1"), F.col("bj").alias("c2"), "v"), ArrayMeta((batch, m, n), wide), (1, self._tile, self._tile)).to_grid()
+        return out.df.select(F.col("i0").alias("g"), F.col("i1").alias("i"), F.col("i2").alias("j"), cplx.cast(F.col("v"), wide, self._dtype).alias("v"))
+
+
+def wide_dtype(dtype: str) -> str:
+    """Kind in which products are summed."""
+    return "complex128" if is_complex(dtype) else "float64" if dtype.startswith("float") else "int64"
+
+
+#: Tiles of the contracted index in a segment at least.
+SEGMENT_TILES = 4
+
+
+def multiplied(a: DataFrame, b: DataFrame, shape: tuple[int, int, int, int], dtypes: tuple[str, str], batches: tuple[int, int], tile: int, dtype: str) -> DataFrame:
+    """(g, bi, bj, v): tiles of products of pieces (c0..2, o0..2, s0..2, v) of tiles (batch, row, column).
+
+    ``shape`` is (batch, m, k, n). Every piece goes to the output tiles that it is part of;
+    there they are sorted by contracted tile and side, and put together as they come.
+    """
+    count, m, k, n = shape
+    n_i, n_k, n_j = (-(-x // tile) for x in (m, k, n))
+    cores = a.sparkSession.sparkContext.defaultParallelism
+    segments = max(1, min(-(-n_k // SEGMENT_TILES), -(-2 * cores // (count * n_i * n_j))))
+    length = -(-n_k // segments)
+    wide = wide_dtype(dtype)
+    each = lambda size: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")))
+    batch = lambda own: F.col("c0") if own == count else each(count)
+    place = [F.col(x) for x in ("o1", "o2", "s1", "s2")]
+    # a select has one generator at most
+    left = a.select("*", batch(batches[0]).alias("g")).select("g", F.col("c1").alias("bi"), each(n_j).alias("bj"), F.col("c2").alias("bk"), F.lit(0).cast("bigint").alias("side"), *place, as_wide("v", dtypes[0], wide))
+    right = b.select("*", batch(batches[1]).alias("g")).select("g", each(n_i).alias("bi"), F.col("c2").alias("bj"), F.col("c1").alias("bk"), F.lit(1).cast("bigint").alias("side"), *place, as_wide("v", dtypes[1], wide))
+    keys = ["g", "bi", "bj", "segment"]
+    dealt = left.unionByName(right).withColumn("segment", div(F.col("bk"), length)).repartition(*keys).sortWithinPartitions(*keys, "bk", "side")
+    names = [*keys, "bk", "side", "o1", "o2", "s1", "s2"]
+    kind = np.dtype(wide)
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            last = total = None
+            at, sides = None, [None, None]
+
+            def add():
+                if sides[0] is not None and sides[1] is not None:
+                    np.add(total, sides[0] @ sides[1], out=total)
+
+            for rows_ in batches_:
+                for (*key, bk, side, o1, o2, s1, s2), values in zip(zip(*(rows_.column(c).to_pylist() for c in names)), blocks_of(rows_.column("v"), wide)):
+                    if (key, bk) != (last, at) and last is not None:
+                        add()
+                        sides = [None, None]
+                        if key != last:
+                            yield tuple(last), total
+                    if key != last:
+                        total = np.zeros((min(tile, m - key[1] * tile), min(tile, n - key[2] * tile)), kind)
+                    last, at = key, bk
+                    if sides[side] is None:
+                        inner = min(tile, k - bk * tile)
+                        sides[side] = np.zeros((total.shape[0], inner) if not side else (inner, total.shape[1]), kind)
+                    sides[side][o1 : o1 + s1, o2 : o2 + s2] = values.reshape(s1, s2)
+            if last is not None:
+                add()
+                yield tuple(last), total
+
+        yield from emitted(rows(), keys, wide)
+
+    schema = ", ".join([*(f"{c} bigint" for c in keys), f"v array<{spark_type(wide)}>"])
+    sums = dealt.mapInArrow(run, schema)
+    if segments > 1:
+        sums = added(sums.drop("segment"), wide)
+    return sums.select("g", "bi", "bj", as_wide("v", wide, dtype))
+
+
+def as_wide(column: str, dtype: str, wide: str):
+    """A list of values in another kind."""
+    if spark_type(dtype) == spark_type(wide):
+        return F.col(column)
+    return F.transform(column, lambda x: cplx.cast(x, dtype, wide)).alias(column)
+
+
+def added(tiles: DataFrame, dtype: str) -> DataFrame:
+    """(g, bi, bj, v): sums of equal tiles, one after the other."""
+    keys = ["g", "bi", "bj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            last = total = None
             for batch in batches:
-                for k in range(batch.num_rows):
-                    row = batch.slice(k, 1)
-                    p = (dense(row.column("ga_cells")) @ dense(row.column("gb_cells")))[0]
-                    bi, bj = row.column("bi")[0].as_py(), row.column("bj")[0].as_py()
-                    rows, cols = min(tile, m - bi * tile), min(tile, n - bj * tile)
-                    i, j = np.indices((rows, cols)).reshape(2, -1)
-                    p = p[:rows, :cols].ravel()
-                    yield pa.RecordBatch.from_pydict({"g": np.full(p.size, row.column("g")[0].as_py()), "i": i + bi * tile, "j": j + bj * tile, "x": np.ascontiguousarray(p.real), "y": np.ascontiguousarray(p.imag) if complex_out else np.zeros(p.size, p.dtype)})
-
-        sums = pairs.mapInArrow(products, f"g long, i long, j long, x {part}, y {part}").groupBy("g", "i", "j").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        v = cplx.make(F.col("x"), F.col("y"), self._dtype) if complex_out else F.col("x").cast(spark_type(self._dtype))
-        return sums.select("g", "i", "j", v.alias("v"))
+                for key, values in zip(zip(*(batch.column(c).to_pylist() for c in keys)), blocks_of(batch.column("v"), dtype)):
+                    if key == last:
+                        total = total + values
+                        continue
+                    if last is not None:
+                        yield last, total
+                    last, total = key, values
+            if last is not None:
+                yield last, total
+
+        yield from emitted(rows(), keys, dtype)
+
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join([*(f"{c} bigint" for c in keys), f"v array<{spark_type(dtype)}>"]))
 
 
 class EntrywiseNorm(Computation):

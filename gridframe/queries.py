@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import Chunks
 from .functions import transforms as T
 from .grid import Grid
 from .meta import ArrayMeta, array
-from .operators.fold import Monoid, Reduce, Scan, max_of, min_max, sum_of
+from .operators.fold import Difference, Monoid, Reduce, Scan, max_of, min_max, sum_of
 from .operators.linear import EntrywiseNorm, MatrixMul
 from .operators.pure import PureParallel
 from .operators.rearrange import FFTShift, Roll, RollInplace, Transpose
@@ -276,6 +277,43 @@ def pureparallel_scatter(spark, d):
     return PureParallel([array("output", (n, 2), "int64", "o"), array("input", (n,), "int64")], code, "input").call(input=grid).df
 
 
+def lanes_of_vectors(spark, d, dtype="float64"):
+    """Vectors as chunks: the table's rows are blocks already."""
+    embeddings = table(spark, d, "embeddings")
+    width = embeddings.select(F.size("embedding")).first()[0]
+    return Chunks.from_lanes(embeddings, ["vec_id"], "embedding", (length(embeddings, "vec_id"), width), dtype)
+
+
+def chunk_reduce(spark, d):
+    """Sums over all vectors, folded in the blocks first."""
+    lanes = lanes_of_vectors(spark, d)
+    return real(lanes.reduce(sum_of("float64"), axes=(0,)))
+
+
+def chunk_transpose(spark, d):
+    """Blocks of 128 x 16 places, permuted inside and moved as blocks."""
+    return real(lanes_of_vectors(spark, d).rechunk((128, 16)).transpose().to_grid())
+
+
+def chunk_fft(spark, d):
+    """Complex vectors, transformed in the blocks that they lie in."""
+    lanes = lanes_of_vectors(spark, d)
+    pairs = lanes.df.select(*lanes.names, F.transform("v", lambda x: F.struct(x.alias("re"), F.lit(0.0).alias("im"))).alias("v"))
+    return complex_rows(Chunks(pairs, lanes.meta.with_dtype("complex128"), lanes.chunk).fft(axis=1).to_grid())
+
+
+def chunk_matmul(spark, d):
+    """E' E from blocks, the places of 128 vectors a tile."""
+    lanes = lanes_of_vectors(spark, d)
+    return real(lanes.transpose().matmul(lanes, tile=128).to_grid())
+
+
+def difference(spark, d):
+    """What each event adds to the one before; blocks of 512 events meet their borders only."""
+    grid = signal(spark, d)
+    return Difference(grid, sum_of("int64"), block=512).call(input=grid).df
+
+
 def matmul_gram(spark, d):
     """Products of all places of the vectors: E' E."""
     grid = vectors(spark, d)
@@ -393,7 +431,7 @@ QUERIES = {
     "scan_inclusive": scan_by_user(False), "scan_exclusive": scan_by_user(True), "scan_global": scan_global(False), "scan_global_exclusive": scan_global(True), "scan_max": scan_max, "scan_axes": scan_axes, "scan_generic": scan_generic,
     "roll": roll, "roll_inplace": roll_inplace, "fftshift": fftshift(0), "fftshift_inverse": fftshift(1), "transpose": transpose, "transpose_axes": transpose_axes,
     "copy": copy, "copy_broadcasted": copy_broadcasted, "cast": cast, "arithmetic": arithmetic, "division": division, "split_complex": split_complex, "combine_complex": combine_complex, "norm_const": norm_const, "norm_param": norm_param, "ignore": ignore, "broadcast_value": broadcast_value,
-    "pureparallel_gather": pureparallel_gather, "pureparallel_scatter": pureparallel_scatter, "matmul_gram": matmul_gram, "matmul_batch": matmul_batch, "entrywise_norm": entrywise_norm,
+    "pureparallel_gather": pureparallel_gather, "pureparallel_scatter": pureparallel_scatter, "chunk_reduce": chunk_reduce, "chunk_transpose": chunk_transpose, "chunk_fft": chunk_fft, "chunk_matmul": chunk_matmul, "difference": difference, "matmul_gram": matmul_gram, "matmul_batch": matmul_batch, "entrywise_norm": entrywise_norm,
     "fft_lanes": fft_lanes(0), "fft_inverse": fft_lanes(1), "fft_four_step": fft_four_step, "fft_real_shifted": fft_real_shifted, "fft_chirp": fft_chirp, "dht_forward": dht_forward, "dht_inverse": dht_inverse,
     "spectro_frames": spectro_frames, "spectrogram": spectrogram, "rfft": rfft, "irfft_round_trip": irfft_round_trip, "aprfft": aprfft, "iaprfft_round_trip": iaprfft_round_trip, "fftn_by_transposes": fftn_by_transposes,
     "cbrng_uniform_integer": cbrng("uniform_integer", "int32", low=-10, high=98), "cbrng_uniform_float": cbrng("uniform_float", "float64", low=-5.0, high=7.7), "cbrng_normal": cbrng("normal_bm", "float64", mean=-2.0, std=10.0), "cbrng_normal_complex": cbrng("normal_bm", "complex128", mean=-3 + 4j, std=7.0), "cbrng_gamma": cbrng("gamma", "float64", shape=3.0, scale=10.0), "cbrng_vonmises": cbrng("vonmises", "float64", mu=1.0, kappa=0.7), "cbrng_threefry": cbrng_threefry,
@@ -552,6 +590,9 @@ ORACLES = {
     "broadcast_value": "SELECT r_regionkey::bigint AS i0, n_nationkey::bigint AS i1, 7::bigint AS fixed, 9::bigint AS given FROM region CROSS JOIN nation",
     "pureparallel_gather": f"WITH {SIGNAL} SELECT a.i0, a.v - b.v AS v FROM n, s a JOIN s b ON b.i0 = n.n - 1 - a.i0",
     "pureparallel_scatter": f"WITH {SIGNAL} SELECT i0, 0::bigint AS i1, v FROM s WHERE v % 2 = 0 UNION ALL SELECT i0, 1, v * v FROM s WHERE v % 2 = 0",
+    "chunk_reduce": f"WITH {MATRIX} SELECT 0::bigint AS i0, i1, {R('sum(v)')} AS v FROM e GROUP BY i1", "chunk_transpose": f"WITH {MATRIX} SELECT i1 AS i0, i0 AS i1, {R('v')} AS v FROM e", "chunk_fft": dft(-1, "1"),
+    "chunk_matmul": f"WITH {MATRIX} SELECT a.i1 AS i0, b.i1 AS i1, {R('sum(a.v * b.v)')} AS v FROM e a JOIN e b ON a.i0 = b.i0 GROUP BY 1, 2",
+    "difference": f"WITH {SIGNAL} SELECT i0, (v - coalesce(lag(v) OVER (ORDER BY i0), 0))::bigint AS v FROM s",
     "matmul_gram": f"WITH {MATRIX} SELECT a.i1 AS i0, b.i1 AS i1, {R('sum(a.v * b.v)')} AS v FROM e a JOIN e b ON a.i0 = b.i0 GROUP BY 1, 2",
     "matmul_batch": f"WITH {MATRIX} SELECT a.i0, a.i1 // 8 AS i1, b.i1 % 8 AS i2, {R('sum(a.v * b.v)')} AS v FROM e a JOIN e b ON a.i0 = b.i0 AND a.i1 % 8 = b.i1 // 8 GROUP BY 1, 2, 3",
     "entrywise_norm": f"WITH {MATRIX} SELECT i0, 0::bigint AS i1, {R('sqrt(sum(v * v))')} AS v FROM e GROUP BY i0",
