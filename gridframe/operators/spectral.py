@@ -9,15 +9,19 @@ length without such a rectangle is carried by a chirp to a power of two.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .. import cplx
+from ..chunks import Chunks, emitted
 from ..grid import Grid
 from ..meta import ArrayMeta, array, is_complex, normalize_axes, scalar, spark_type
 from ..plans.computation import Computation, meta_of
-from .linear import MatrixMul
+from .linear import TILE, MatrixMul, multiplied, wide_dtype
 from .rearrange import Transpose
 
 #: Longest lane of one task (16 MB of complex values).
@@ -276,24 +280,67 @@ class FFT(Computation):
 # ------------------------------------------------------------ harmonic transform
 
 
+#: Where the scaled recurrence is brought back, and by how much.
+LARGE, STEP = 1e150, 1e-150
+
+
+def hermite_rows(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Oscillator eigenfunctions 0, 1, ... at ``x``, by their recurrence; scaled, as exp(-x^2/2) leaves the range of doubles."""
+    last, own = np.zeros(len(x)), np.full(len(x), np.pi**-0.25)
+    power = -(x**2) / 2
+    m = 0
+    while True:
+        yield own * np.exp(power)
+        m += 1
+        last, own = own, np.sqrt(2.0 / m) * x * own - np.sqrt((m - 1) / m) * last
+        large = np.abs(own) > LARGE
+        if large.any():
+            own[large] *= STEP
+            last[large] *= STEP
+            power[large] -= math.log(STEP)
+
+
+def hermite_pair(n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenfunctions n - 1 and n at ``x``, each over the same factor."""
+    last, own = np.zeros(len(x)), np.ones(len(x))
+    for m in range(1, n + 1):
+        last, own = own, np.sqrt(2.0 / m) * x * own - np.sqrt((m - 1) / m) * last
+        large = np.abs(own) > LARGE
+        own[large] *= STEP
+        last[large] *= STEP
+    return last, own
+
+
 def hermite_functions(modes: int, x: np.ndarray) -> np.ndarray:
-    """Oscillator eigenfunctions 0 .. modes-1 at ``x``, one row a mode, by their recurrence."""
-    out = np.zeros((modes, len(x)))
-    if modes:
-        out[0] = np.pi**-0.25 * np.exp(-(x**2) / 2)
-    if modes > 1:
-        out[1] = np.sqrt(2.0) * x * out[0]
-    for m in range(2, modes):
-        out[m] = np.sqrt(2.0 / m) * x * out[m - 1] - np.sqrt((m - 1) / m) * out[m - 2]
-    return out
-
-
-def gauss_hermite(points: int) -> tuple[np.ndarray, np.ndarray]:
-    """Roots, and weights times exp(root squared) (which stay in range for many points)."""
-    off = np.sqrt(np.arange(1, points) / 2.0)
-    roots = np.linalg.eigvalsh(np.diag(off, 1) + np.diag(off, -1))
-    roots = (roots - roots[::-1]) / 2
-    last = hermite_functions(points, roots)[points - 1]
+    """Oscillator eigenfunctions 0 .. modes-1 at ``x``, one row a mode."""
+    return np.array(list(islice(hermite_rows(x), modes))) if modes else np.zeros((0, len(x)))
+
+
+def hermite_roots(n: int, index: np.ndarray) -> np.ndarray:
+    """Roots of the n-th Hermite polynomial by their number, ascending; any of them without the others.
+
+    The i-th largest has the phase (i - 1/4) pi between it and the turning point, which gives
+    starts within a hundredth of the roots' distance; Newton steps on the recurrence follow.
+    """
+    index = np.asarray(index)
+    i = np.minimum(index, n - 1 - index) + 1  # roots are symmetric
+    width = 2 * n + 1
+    phase = (4 * i - 1) * np.pi / width
+    turn = np.minimum(np.cbrt(6 * phase), np.pi)
+    for _ in range(50):
+        turn = np.clip(turn - (turn - np.sin(turn) - phase) / np.maximum(1 - np.cos(turn), 1e-12), 1e-9, np.pi)
+    x = np.sqrt(width) * np.cos(turn / 2)
+    for _ in range(4):
+        below, own = hermite_pair(n, x)
+        x = x - own / (np.sqrt(2.0 * n) * below - x * own)
+    x[2 * i == n + 1] = 0.0
+    return np.where(index < n - 1 - index, -x, x)
+
+
+def gauss_hermite(points: int, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Roots (of these numbers, or all), and weights times exp(root squared) (which stay in range for many points)."""
+    roots = hermite_roots(points, np.arange(points) if index is None else index)
+    last = next(islice(hermite_rows(roots), points - 1, None))
     return roots, 1.0 / (points * last**2)
 
 
@@ -301,9 +348,9 @@ def spatial_points(modes: int, order: int, add_points: int = 0) -> int:
     return ((modes - 1) * (order + 1)) // 2 + 1 + add_points
 
 
-def spatial_grid(modes: int, order: int, add_points: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Points and weights at which the ``order``-th power of a function is transformed exactly."""
-    roots, weights = gauss_hermite(spatial_points(modes, order, add_points))
+def spatial_grid(modes: int, order: int, add_points: int = 0, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights (of these numbers, or all) at which the ``order``-th power of a function is transformed exactly."""
+    roots, weights = gauss_hermite(spatial_points(modes, order, add_points), index)
     scale = math.sqrt(2.0 / (order + 1))
     return roots * scale, weights * scale
 
@@ -315,8 +362,41 @@ def dht_matrix(modes: int, order: int, add_points: int, inverse: bool) -> np.nda
     return p if inverse else (p * w).T
 
 
+#: Elements of a transform's matrix that the driver makes; a larger one comes from tasks, tile by tile.
+SMALL_MATRIX = 1 << 16
+
+
+def dht_tiles(spark, modes: int, order: int, add_points: int, inverse: bool, tile: int):
+    """The transform's matrix as pieces of tiles: a task makes the points of a block, then their functions, mode after mode."""
+    points = spatial_points(modes, order, add_points)
+    names = [f"{p}{k}" for p in "cos" for k in range(3)]
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for block in batch.column("id").to_pylist():
+                    first, end = block * tile, min(points, (block + 1) * tile)
+                    x, w = spatial_grid(modes, order, add_points, np.arange(first, end))
+                    functions = hermite_rows(x)
+                    for number in range(-(-modes // tile)):
+                        size = min(tile, modes - number * tile)
+                        part = np.array(list(islice(functions, size)))
+                        shape = (size, end - first) if inverse else (end - first, size)
+                        at = (0, number, block) if inverse else (0, block, number)
+                        yield (*at, 0, 0, 0, 1, *shape), part if inverse else (part * w).T
+
+        yield from emitted(rows(), names, "float64")
+
+    blocks = -(-points // tile)
+    return spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, ", ".join([*(f"{n} bigint" for n in names), "v array<double>"]))
+
+
 class DHT(Computation):
-    """Gauss-Hermite transform between coordinates and oscillator modes, axis by axis."""
+    """Gauss-Hermite transform between coordinates and oscillator modes, axis by axis.
+
+    A matrix over ``SMALL_MATRIX`` elements is made where its tiles are multiplied; nothing of
+    its size is on the driver.
+    """
 
     def __init__(self, mode_arr, add_points=None, inverse: bool = False, order: int = 1, axes=None):
         meta = meta_of(mode_arr)
@@ -333,14 +413,29 @@ class DHT(Computation):
         grid = arrays["modes" if self._inverse else "coords"]
         real = "float32" if self._modes.dtype in ("float32", "complex64") else "float64"
         for axis in self._axes:
-            matrix = Grid.from_numpy(spark, dht_matrix(self._modes.shape[axis], self._order, self._add[axis], self._inverse), "float64")
-            matrix = matrix.with_value(F.col("v").cast(spark_type(real)), real)
             order = [k for k in range(grid.meta.ndim) if k != axis] + [axis]
             turned = Transpose(grid, order).call(input=grid)
             n = turned.meta.shape[-1]
             rows = turned.reshape((turned.meta.size // n, n))
-            product = MatrixMul(rows, matrix).call(matrix_a=rows, matrix_b=matrix)
+            made = (self._modes.shape[axis], self._order, self._add[axis], self._inverse)
+            width = self._coords.shape[axis] if self._inverse else self._modes.shape[axis]
+            if n * width <= SMALL_MATRIX:
+                matrix = Grid.from_numpy(spark, dht_matrix(*made), "float64")
+                matrix = matrix.with_value(F.col("v").cast(spark_type(real)), real)
+                product = MatrixMul(rows, matrix).call(matrix_a=rows, matrix_b=matrix)
+            else:
+                product = self._by_tiles(rows, dht_tiles(spark, *made, TILE), width)
             product = Grid(product.df.withColumn("v", F.col("v").cast(spark_type(self._modes.dtype))), product.meta.with_dtype(self._modes.dtype))
             shaped = product.reshape((*turned.meta.shape[:-1], product.meta.shape[-1]))
             grid = Transpose(shaped, [order.index(k) for k in range(len(order))]).call(input=shaped)
         return {"coords" if self._inverse else "modes": grid}
+
+    def _by_tiles(self, rows: Grid, tiles, width: int) -> Grid:
+        """``rows`` times a matrix of tiles."""
+        (m, n), dtype = rows.meta.shape, rows.meta.dtype
+        wide = wide_dtype(dtype)
+        cut = Chunks.from_grid(rows.reshape((1, m, n)), (1, TILE, TILE))
+        whole = [F.lit(0).cast("bigint").alias(f"o{k}") for k in range(3)] + [s.alias(f"s{k}") for k, s in enumerate(cut.sizes())]
+        sums = multiplied(cut.df.select(*cut.names, *whole, "v"), tiles, (1, m, n, width), (dtype, "float64"), (1, 1), TILE, wide)
+        out = Chunks(sums.select(F.col("bi").alias("c0"), F.col("bj").alias("c1"), "v"), ArrayMeta((m, width), wide), (TILE, TILE)).to_grid()
+        return out.with_value(cplx.cast(F.col("v"), wide, dtype), dtype)
