@@ -3,24 +3,54 @@
 User code gets a ``Kernel`` and describes one element: it loads values at its own or
 at computed indices and stores values the same way. Loads at the element's own index
 of the guiding array are its value column; other loads become equi-joins on the
-computed coordinates; stores become projections, several of them a union.
+computed coordinates; stores become projections, several of them a union. Loads at an affine
+index (``load_affine``) are inverted: the array's rows are projected to the elements
+that load them, and all such loads and the guiding array meet in one grouping.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import Grid, coords
-from ..meta import ArrayMeta, Parameter
+from ..meta import ArrayMeta, Parameter, spark_type
 
 
 #: Elements of a constant array that is broadcast; a larger one is joined by a shuffle.
 MAX_CONSTANT = 1 << 20
 
 
+@dataclass(frozen=True)
+class Affine:
+    """An index of an array: along its axis j, ``signs[j]`` times the element's index on axis ``axes[j]`` plus ``offsets[j]``.
+
+    With ``wrap`` indices go around the end, else elements that point outside load nothing.
+    """
+
+    axes: tuple[int, ...]
+    signs: tuple[int, ...]
+    offsets: tuple[int, ...]
+    wrap: bool = False
+
+    def check(self, shape: tuple[int, ...], source: tuple[int, ...]) -> None:
+        if sorted(self.axes) != list(range(len(shape))) or not len(source) == len(self.axes) == len(self.signs) == len(self.offsets) or any(s not in (1, -1) for s in self.signs):
+            raise ValueError("the index cannot be inverted")
+        if self.wrap and any(shape[a] != n for a, n in zip(self.axes, source)):
+            raise ValueError("an index that goes around needs axes of the same size")
+
+    def inverse(self, shape: tuple[int, ...]) -> list[Column]:
+        """The element that loads a row of the array, by the row's coordinates."""
+        out: dict[int, Column] = {}
+        for j, (axis, sign, offset) in enumerate(zip(self.axes, self.signs, self.offsets)):
+            k = F.col(f"i{j}") - offset if sign > 0 else F.lit(offset).cast("bigint") - F.col(f"i{j}")
+            out[axis] = F.pmod(k, F.lit(shape[axis]).cast("bigint")) if self.wrap else k
+        return [out[axis] for axis in range(len(shape))]
+
+
 class Accessor:
     """One parameter inside user code."""
 
@@ -34,6 +64,12 @@ class Accessor:
     def load_idx(self, *index: Column) -> Column:
         return self._kernel._load(self._parameter, list(index))
 
+    def load_affine(self, offsets: tuple[int, ...], signs: tuple[int, ...] | None = None, axes: tuple[int, ...] | None = None, wrap: bool = False) -> Column:
+        """The element at ``signs * index + offsets``, axes in the order ``axes``: without a join."""
+        n = len(offsets)
+        affine = Affine(tuple(axes or range(n)), tuple(signs or (1,) * n), tuple(offsets), wrap)
+        return self._kernel._load_affine(self._parameter, affine)
+
     def load_combined_idx(self, slices: tuple[int, ...], *index: Column) -> Column:
         return self.load_idx(*split(self.shape, slices, index))
 
@@ -64,6 +100,7 @@ class Kernel:
         self._spark, self._shape, self._grids = spark, tuple(shape), grids
         self.idxs = [F.col(f"__k{k}") for k in range(len(shape))]
         self._loads: list[tuple[str, list[Column] | None, str]] = []
+        self._affine: list[tuple[str, Affine, str]] = []
         self._stores: dict[str, list[tuple[list[Column], Column, Column | None]]] = {}
         self._constant = {p.name for p in parameters if p.annotation.constant}
         self._same: dict[str, Column] = {}
@@ -89,6 +126,14 @@ class Kernel:
             self._same[name] = F.col(column)
         return F.col(column)
 
+    def _load_affine(self, parameter: Parameter, affine: Affine) -> Column:
+        if parameter.name not in self._grids:
+            raise ValueError(f"'{parameter.name}' cannot be loaded")
+        affine.check(self._shape, parameter.meta.shape)
+        column = f"__w{len(self._affine)}"
+        self._affine.append((parameter.name, affine, column))
+        return F.col(column)
+
     def _store(self, parameter: Parameter, index: list[Column], value: Column, where: Column | None) -> None:
         self._stores.setdefault(parameter.name, []).append((index, value, where))
 
@@ -101,6 +146,8 @@ class Kernel:
         else:
             full = Grid.filled(self._spark, self._shape, "int8", F.lit(0)).df
             df = full.select(*[F.col(c).alias(k) for c, k in zip(coords(len(own)), own)])
+        if self._affine:
+            df = self._met(df, own, base)
         for name, index, column in self._loads:
             if index is not None:
                 df = self._joined(df, name, index, column)
@@ -115,6 +162,26 @@ class Kernel:
             out[name] = Grid(whole, meta)
         return out
 
+    def _met(self, df: DataFrame, own: list[str], base: tuple | None) -> DataFrame:
+        """Elements with what they load at affine indices: rows of all arrays by the element they belong to, in one grouping."""
+        sides = [(base[2], df, self._grids[base[0]].meta.dtype)] if base else [("__v", df.withColumn("__v", F.lit(True)), "bool")]
+        for name, affine, column in self._affine:
+            grid = self._grids[name]
+            rows = grid.df.select(*[c.alias(k) for c, k in zip(affine.inverse(self._shape), own)], F.col("v").alias(column))
+            for k, n in zip(own, self._shape):
+                rows = rows.where((F.col(k) >= 0) & (F.col(k) < n))
+            sides.append((column, rows, grid.meta.dtype))
+        whole = None
+        for column, rows, _ in sides:
+            part = rows.select(*own, *[F.col(c) if c == column else F.lit(None).cast(spark_type(kind)).alias(c) for c, _, kind in sides])
+            whole = part if whole is None else whole.unionByName(part)
+        # one row of each side at most: the greatest is the only one; structs have no hash aggregate for it
+        value = lambda c, kind: (F.first(c, ignorenulls=True) if spark_type(kind).startswith(("struct", "array")) else F.max(c)).alias(c)
+        met = whole.groupBy(*own).agg(*[value(c, kind) for c, _, kind in sides])
+        for c, _, _ in sides:
+            met = met.where(F.col(c).isNotNull())
+        return met if base else met.drop("__v")
+
     def _joined(self, df: DataFrame, name: str, index: list[Column], column: str) -> DataFrame:
         grid = self._grids[name]
         keys = [f"{column}_{k}" for k in range(grid.meta.ndim)]

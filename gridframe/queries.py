@@ -258,7 +258,18 @@ def pureparallel_gather(spark, d):
     (n,) = grid.meta.shape
 
     def code(k):
-        k.output.store_same(k.input.load_same() - k.input.load_idx(F.lit(n - 1) - k.idxs[0]))
+        k.output.store_same(k.input.load_same() - k.input.load_affine((n - 1,), (-1,)))
+
+    return PureParallel([array("output", (n,), "int64", "o"), array("input", (n,), "int64")], code).call(input=grid).df
+
+
+def pureparallel_join(spark, d):
+    """Each event plus the one at half its place, which two events load."""
+    grid = signal(spark, d)
+    (n,) = grid.meta.shape
+
+    def code(k):
+        k.output.store_same(k.input.load_same() + k.input.load_idx(F.call_function("div", k.idxs[0], F.lit(2).cast("bigint"))))
 
     return PureParallel([array("output", (n,), "int64", "o"), array("input", (n,), "int64")], code).call(input=grid).df
 
@@ -431,7 +442,7 @@ QUERIES = {
     "scan_inclusive": scan_by_user(False), "scan_exclusive": scan_by_user(True), "scan_global": scan_global(False), "scan_global_exclusive": scan_global(True), "scan_max": scan_max, "scan_axes": scan_axes, "scan_generic": scan_generic,
     "roll": roll, "roll_inplace": roll_inplace, "fftshift": fftshift(0), "fftshift_inverse": fftshift(1), "transpose": transpose, "transpose_axes": transpose_axes,
     "copy": copy, "copy_broadcasted": copy_broadcasted, "cast": cast, "arithmetic": arithmetic, "division": division, "split_complex": split_complex, "combine_complex": combine_complex, "norm_const": norm_const, "norm_param": norm_param, "ignore": ignore, "broadcast_value": broadcast_value,
-    "pureparallel_gather": pureparallel_gather, "pureparallel_scatter": pureparallel_scatter, "chunk_reduce": chunk_reduce, "chunk_transpose": chunk_transpose, "chunk_fft": chunk_fft, "chunk_matmul": chunk_matmul, "difference": difference, "matmul_gram": matmul_gram, "matmul_batch": matmul_batch, "entrywise_norm": entrywise_norm,
+    "pureparallel_gather": pureparallel_gather, "pureparallel_join": pureparallel_join, "pureparallel_scatter": pureparallel_scatter, "chunk_reduce": chunk_reduce, "chunk_transpose": chunk_transpose, "chunk_fft": chunk_fft, "chunk_matmul": chunk_matmul, "difference": difference, "matmul_gram": matmul_gram, "matmul_batch": matmul_batch, "entrywise_norm": entrywise_norm,
     "fft_lanes": fft_lanes(0), "fft_inverse": fft_lanes(1), "fft_four_step": fft_four_step, "fft_real_shifted": fft_real_shifted, "fft_chirp": fft_chirp, "dht_forward": dht_forward, "dht_inverse": dht_inverse,
     "spectro_frames": spectro_frames, "spectrogram": spectrogram, "rfft": rfft, "irfft_round_trip": irfft_round_trip, "aprfft": aprfft, "iaprfft_round_trip": iaprfft_round_trip, "fftn_by_transposes": fftn_by_transposes,
     "cbrng_uniform_integer": cbrng("uniform_integer", "int32", low=-10, high=98), "cbrng_uniform_float": cbrng("uniform_float", "float64", low=-5.0, high=7.7), "cbrng_normal": cbrng("normal_bm", "float64", mean=-2.0, std=10.0), "cbrng_normal_complex": cbrng("normal_bm", "complex128", mean=-3 + 4j, std=7.0), "cbrng_gamma": cbrng("gamma", "float64", shape=3.0, scale=10.0), "cbrng_vonmises": cbrng("vonmises", "float64", mu=1.0, kappa=0.7), "cbrng_threefry": cbrng_threefry,
@@ -588,6 +599,7 @@ ORACLES = {
     "norm_param": f"WITH {PAIRS} SELECT i0, i1, {R('pow(re * re + im * im, 0.25)')} AS v FROM z",
     "ignore": f"WITH {PAIRS} SELECT i0, i1, {R('re')} AS v FROM z",
     "broadcast_value": "SELECT r_regionkey::bigint AS i0, n_nationkey::bigint AS i1, 7::bigint AS fixed, 9::bigint AS given FROM region CROSS JOIN nation",
+    "pureparallel_join": f"WITH {SIGNAL} SELECT a.i0, (a.v + b.v)::bigint AS v FROM s a JOIN s b ON b.i0 = a.i0 // 2",
     "pureparallel_gather": f"WITH {SIGNAL} SELECT a.i0, a.v - b.v AS v FROM n, s a JOIN s b ON b.i0 = n.n - 1 - a.i0",
     "pureparallel_scatter": f"WITH {SIGNAL} SELECT i0, 0::bigint AS i1, v FROM s WHERE v % 2 = 0 UNION ALL SELECT i0, 1, v * v FROM s WHERE v % 2 = 0",
     "chunk_reduce": f"WITH {MATRIX} SELECT 0::bigint AS i0, i1, {R('sum(v)')} AS v FROM e GROUP BY i1", "chunk_transpose": f"WITH {MATRIX} SELECT i1 AS i0, i0 AS i1, {R('v')} AS v FROM e", "chunk_fft": dft(-1, "1"),
