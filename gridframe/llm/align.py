@@ -10,7 +10,7 @@ The corpus-wide count of an id pair is summed by a shuffle. A second pass over t
 meets these counts: the table of pairs is bounded by the product of the vocabularies, and
 broadcast in blocks of ``MAX_PAIRS`` at most; one block as a rule, more passes beyond it.
 
-Both libraries are asked once for a word. That is exact where neither looks across the
+Both libraries are asked once for a word, many words at once. That is exact where neither looks across the
 white space before a word, which is checked (``word_by_word``); texts with odd white space,
 and all texts of tokenizers that do not allow it, go to the libraries whole.
 
@@ -41,10 +41,10 @@ MAX_PAIRS = 8 << 20
 #: Links that a worker counts before it hands its sums on.
 FLUSH_LINKS = 4 << 20
 #: Words, and token ids of them, that a worker remembers before it starts anew.
-MAX_WORDS, MAX_IDS = 500_000, 8 << 20
-#: White space other than one blank or line end between other signs, or B's sign for a blank.
-ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|▁")
+MAX_WORDS, MAX_IDS = 1_000_000, 16 << 20
 BLANK = "▁"
+#: Words, after their blank or line end, that cannot be encoded apart: none, other white space, or B's sign for a blank.
+ODD = re.compile(r"\n?+(?:\Z|.*[\s▁])", re.S)
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +64,20 @@ class Encoded:
     n_b: np.ndarray
 
 
+class Words(dict):
+    """Entry of each word; unknown ones get the next entry, and wait in ``new`` until they are learnt."""
+
+    def __init__(self):
+        super().__init__()
+        self.next, self.new = 0, []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = self.next
+        self.next += 1
+        return self.next - 1
+
+
 class TokenPair:
     """Two tokenizers, the bytes of their tokens, and the words they have seen."""
 
@@ -84,6 +98,7 @@ class TokenPair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.blank = self.b.piece_to_id(BLANK)
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.heads_a, self.heads_b = (np.array([x[:1] in (b" ", b"\n") for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.words = self.word_by_word(json.loads(self.a.to_str()), pieces)
         signs = [f"{i}{end}" for i in range(size) for end in ",|"] + [f"{i}{end}" for i in range(len(pieces)) for end in ",;"]
         self.signs = pa.array(signs, pa.large_string())
@@ -97,59 +112,84 @@ class TokenPair:
         return bool(plain) and not any(BLANK in p.lstrip(BLANK) or len(p) > 1 and "\n" in p for p in pieces)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Words()
         self.pool_a, self.pool_b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        self.n_a, self.n_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.entries = self.ids = 0
-
-    def learn(self, chunks: list[str], whole: bool) -> list[int]:
-        """Entries of words (a leading line end stands for itself, else a blank comes before), or of whole texts; -1 for one that does not join to its bytes."""
-        heads = ["" if c.startswith("\n") and not whole else " " for c in chunks]
-        found_a = [e.ids for e in self.a.encode_batch_fast([h + c for h, c in zip(heads, chunks)], add_special_tokens=False)]
-        found_b = self.b.encode(chunks, num_threads=1)
-        out, kept_a, kept_b = [], [], []
-        for head, chunk, a, b in zip(heads, chunks, found_a, found_b):
-            if not head:
-                b = b[1:] if b and b[0] == self.blank else []
-            data = (head + chunk).encode("utf-8", "surrogatepass")
-            if b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b)):
-                out.append(self.entries + len(kept_a))
-                kept_a.append(a)
-                kept_b.append(b)
-            else:
-                out.append(-1)
-        if kept_a:
-            for kept, pool, sizes in ((kept_a, self.pool_a, self.n_a), (kept_b, self.pool_b, self.n_b)):
-                pool.append(np.fromiter((i for x in kept for i in x), np.int32))
-                sizes.append(np.fromiter(map(len, kept), np.int64, len(kept)))
-                self.ids += len(pool[-1])
-            self.entries += len(kept_a)
-        return out
+        self.n_a, self.n_b, self.bad = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        self.ids = 0
+
+    def ids_of(self, chunks: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of the chunks, which begin with a blank or a line end, as one text."""
+        text = "".join(chunks)
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text.removeprefix(" "))
+        return a, b if text[0] == " " or b[:1] != [self.blank] else b[1:]  # B puts a blank before
+
+    def fits(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the tokens of either side join to the bytes of ``text``."""
+        return b"".join(map(self.bytes_a.__getitem__, a)) == text.encode("utf-8", "surrogatepass") == b"".join(map(self.bytes_b.__getitem__, b))
+
+    def keep(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, bad: np.ndarray) -> None:
+        for held, new in ((self.pool_a, a), (self.n_a, n_a), (self.pool_b, b), (self.n_b, n_b), (self.bad, bad)):
+            held.append(new)
+        self.ids += len(a) + len(b)
+
+    def learn(self, words: list[str]) -> None:
+        """Entries of words, in their order; those of many at once, cut where a token begins with a blank or line end."""
+        if not self.words:
+            self.keep(*(np.zeros(n, np.int64) for n in (0, len(words), 0, len(words))), np.ones(len(words), bool))
+            return
+        odd = [bool(ODD.match(w)) for w in words]
+        chunks = [" x" if o else w if w.startswith("\n") else " " + w for w, o in zip(words, odd)]
+        a, b = self.ids_of(chunks)
+        sides = []
+        for ids, heads in ((a, self.heads_a), (b, self.heads_b)):
+            ids = np.asarray(ids, np.int32)
+            first = np.flatnonzero(heads[ids])
+            sides += [ids, np.diff(np.append(first, len(ids)))]
+        if len(sides[1]) == len(sides[3]) == len(words) and self.fits("".join(chunks), a, b):
+            self.keep(*sides, np.array(odd))
+        elif len(words) > 1:
+            self.learn(words[: len(words) // 2])
+            self.learn(words[len(words) // 2 :])
+        else:
+            self.keep(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.ones(1, bool))
+
+    def learn_whole(self, text: str) -> int:
+        """Entry of a whole text, without ids if it does not join to its bytes."""
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if not self.fits(" " + text, a, b):
+            a = b = []
+        self.keep(np.array(a, np.int32), np.array([len(a)]), np.array(b, np.int32), np.array([len(b)]), np.zeros(1, bool))
+        self.known.next += 1
+        return self.known.next - 1
 
     def encode(self, texts: list[str | None]) -> Encoded:
         """Ids of both sides; none for texts that have no tokens."""
         if len(self.known) > MAX_WORDS or self.ids > MAX_IDS:
             self.forget()
-        by_word = [bool(t) and self.words and not ODD.search(t) for t in texts]
-        parts = [t.replace("\n", " \n").split(" ") if w else [] for t, w in zip(texts, by_word)]
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        for at in range(0, len(new), 5_000):
-            some = new[at : at + 5_000]
-            self.known.update(zip(some, self.learn(some, False)))
-        entries = [list(map(self.known.__getitem__, p)) for p in parts]
-        rest = [k for k, (t, w) in enumerate(zip(texts, by_word)) if t and (not w or min(entries[k]) < 0)]
-        for k in rest:
-            found = self.learn([texts[k]], True)
-            entries[k] = found if found[0] >= 0 else []
-        flat = np.fromiter((e for x in entries for e in x), np.int64, sum(map(len, entries)))
-        ends = np.cumsum([0, *map(len, entries)])
+        spaced = [t.replace("\n", " \n") if t else "" for t in texts]
+        sizes = np.array([t.count(" ") + 1 if t else 0 for t in spaced], np.int64)
+        words = " ".join(filter(None, spaced)).split(" ") if sizes.any() else []
+        flat = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for at in range(0, len(self.known.new), 5_000):
+            self.learn(self.known.new[at : at + 5_000])
+        self.known.new.clear()
+        for held in (self.pool_a, self.pool_b, self.n_a, self.n_b, self.bad):
+            held[:] = [np.concatenate(held)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        bad = np.concatenate(([0], np.cumsum(self.bad[0][flat], dtype=np.int64)))[ends]
+        whole = np.flatnonzero(np.diff(bad))
+        if len(whole):  # one entry in the place of all their words
+            parts = np.split(flat, ends[1:-1])
+            for k in whole.tolist():
+                parts[k] = np.array([self.learn_whole(texts[k])])
+            flat, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum(list(map(len, parts)))))
         (a, n_a), (b, n_b) = self.gather(self.pool_a, self.n_a, flat, ends), self.gather(self.pool_b, self.n_b, flat, ends)
         return Encoded(a, n_a, b, n_b)
 
     @staticmethod
     def gather(pool: list, sizes: list, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of entries end to end, and their number for each document."""
-        if len(pool) > 1:
+        if len(pool) > 1:  # whole texts came after
             pool[:], sizes[:] = [np.concatenate(pool)], [np.concatenate(sizes)]
         n = sizes[0][flat]
         after = np.cumsum(n)
