@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from ..grid import Grid, coords
 from ..meta import ArrayMeta, array, is_complex, real_of, spark_type
 from ..plans.computation import Computation, meta_of
+from .catalyst import Words, advanced, generator_key, raw32
 from .generators import SAMPLERS, Bijection, Sampler, State, draws, seed_key
 
 COUNTER = "struct<v:array<decimal(20,0)>>"
+#: Draws of a generator that are column expressions; more are drawn in numpy.
+MAX_DRAWS = 4096
+#: Refused draws that are expected of a generator at most. As many words are kept ready for them as leave a chance of 10^-SURE that they do not do, which is an error and no wrong draw.
+FEW_REFUSED, SURE = 1e-3, 30
 #: Generators of an Arrow batch that are drawn side by side.
 LANE = 65_536
 
@@ -36,9 +41,52 @@ class CBRNG(Computation):
         zero = F.struct(F.array(*[F.lit(0).cast("decimal(20,0)")] * self._bijection.words).alias("v"))
         return Grid.filled(spark, self._counters.shape, COUNTER, zero)
 
+    def _as_columns(self, source, lead: ArrayMeta) -> dict | None:
+        """Draws as column expressions, where the bijection and the sampler have them."""
+        meta, bijection, plain = self._meta, self._bijection, self._sampler.plain
+        n = lead.size
+        if bijection.name != "threefry" or plain is None or n > MAX_DRAWS:
+            return None
+        integer = plain[0] == "integer"
+        refused = 1 - plain[3] / (1 << 32) if integer else 0.0
+        if n * refused > FEW_REFUSED:
+            return None
+        spare = math.ceil(SURE / max(0.5, -math.log10(n * refused))) if refused else 0
+        parts = 1 if integer or meta.dtype == "float32" else 2  # 32-bit words of a draw
+        room = bijection.words * bijection.bitness // 32
+        steps = -(-(n * parts + spare) // room)
+        w, own = Words(bijection.bitness), coords(self._dim)
+        counter = [w.from_decimal(F.get(F.col("v.v"), F.lit(j))) for j in range(bijection.words)]
+        number = sum((F.col(c) * s for c, s in zip(own, self._counters.strides)), F.lit(0).cast("bigint"))
+        drawn = source.select(*own, F.array(*counter).alias("c"), generator_key(bijection, self._key.tolist(), number).alias("key"))
+        counter = [F.get("c", F.lit(j)) for j in range(bijection.words)]
+        drawn = drawn.select(*own, "c", raw32(bijection, F.col("key"), counter, steps).alias("raw"))
+        if integer:
+            _, low, part, limit = plain
+            good = F.filter("raw", lambda x: x < F.lit(limit).cast("bigint"))
+            values = F.transform(F.slice(good, 1, n), lambda x: (F.call_function("div", x, F.lit(part).cast("bigint")) + low).cast(spark_type(meta.dtype)))
+            used = F.aggregate("raw", F.struct(F.lit(0).alias("used"), F.lit(0).alias("got")), lambda s, x: F.when(s["got"] == n, s).otherwise(F.struct((s["used"] + 1).alias("used"), (s["got"] + (x < F.lit(limit).cast("bigint")).cast("int")).alias("got"))), lambda s: s["used"])
+            values = F.when(F.size(values) == n, values).otherwise(F.raise_error(F.lit("too many draws were refused")).cast(f"array<{spark_type(meta.dtype)}>"))
+        else:
+            _, low, high, most = plain
+            at = lambda d, j: F.get("raw", d * parts + j)
+            first, second = (0, 1) if bijection.bitness == 32 else (1, 0)  # the high word of a pair
+            unit = (lambda d: at(d, 0).cast("double") / float(1 << 32)) if parts == 1 else (lambda d: (F.shiftleft(at(d, first), 21) + F.shiftright(at(d, second), 11)).cast("double") / float(1 << 53))
+            values = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: F.least(unit(d) * (high - low) + low, F.lit(most)).cast(spark_type(meta.dtype)))
+            used = F.lit(n * parts)
+        draws_ = drawn.select(*own, F.posexplode(values).alias("d", "v"))
+        leading = [F.pmod(F.call_function("div", F.col("d").cast("bigint"), F.lit(s).cast("bigint")), F.lit(size).cast("bigint")) for size, s in zip(lead.shape, lead.strides)]
+        names = coords(meta.ndim)
+        randoms = draws_.select(*[c.alias(k) for c, k in zip([*leading, *map(F.col, own)], names)], "v")
+        after = advanced(bijection, counter, F.call_function("div", used + (room - 1), F.lit(room)))
+        counters = drawn.select(*own, F.struct(F.array(*[w.to_decimal(c) for c in after]).alias("v")).alias("v"))
+        return {"counters": Grid(counters, self._counters), "randoms": Grid(randoms, meta)}
+
     def _build(self, spark, arrays, scalars):
         meta, dim, sampler, bijection, key = self._meta, self._dim, self._sampler, self._bijection, self._key
         lead = ArrayMeta(meta.shape[: meta.ndim - dim], "")
+        if found := self._as_columns(arrays["counters"].df, lead):
+            return found
         n_draws, own = math.prod(lead.shape), coords(dim)
         strides = self._counters.strides
         kind = real_of(meta.dtype)

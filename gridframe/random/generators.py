@@ -228,12 +228,17 @@ class State:
 
 @dataclass(frozen=True)
 class Sampler:
-    """``draw`` gives ``per_call`` values of each of the rows."""
+    """``draw`` gives ``per_call`` values of each of the rows.
+
+    ``plain`` describes a sampler that column expressions can stand for: ("integer", low, width of
+    a value, limit of what is accepted) or ("float", low, high).
+    """
 
     dtype: str
     per_call: int
     draw: object
     deterministic: bool = True
+    plain: tuple | None = None
 
 
 def _unit(state: State, rows: np.ndarray, dtype: str) -> np.ndarray:
@@ -264,14 +269,15 @@ def uniform_integer(dtype: str = "int32", low: int = 0, high: int | None = None)
             left = left[~good]
         return out.reshape(-1, 1)
 
-    return Sampler(dtype, 1, draw, deterministic=(1 << bits) % n == 0)
+    return Sampler(dtype, 1, draw, (1 << bits) % n == 0, ("integer", low, part, limit) if bits == 32 else None)
 
 
 def uniform_float(dtype: str = "float32", low: float = 0.0, high: float = 1.0) -> Sampler:
     """Floats in [low, high)."""
     if not low < high:
         raise ValueError("the range is empty")
-    return Sampler(dtype, 1, lambda state, rows: np.minimum(_unit(state, rows, dtype) * (high - low) + low, np.nextafter(np.dtype(dtype).type(high), np.dtype(dtype).type(low))).reshape(-1, 1))
+    most = np.nextafter(np.dtype(dtype).type(high), np.dtype(dtype).type(low))
+    return Sampler(dtype, 1, lambda state, rows: np.minimum(_unit(state, rows, dtype) * (high - low) + low, most).reshape(-1, 1), plain=("float", low, high, float(most)))
 
 
 def _box_muller(state: State, rows: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
