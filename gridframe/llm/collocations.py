@@ -57,21 +57,27 @@ _TO_GAP = bytes(0xFF if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <=
 # ---------------------------------------------------------------- frequent phrases as bits
 
 
-def phrase_key(lang: bytes, phrase: bytes) -> bytes:
-    return lang + b"\0" + phrase
+def word_key(lang: bytes, word: bytes) -> bytes:
+    return lang + b"\0" + word
+
+
+#: Bits that a phrase's hash is turned by before its next word's comes in.
+TURN = 21
+
+
+def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that go on by one word."""
+    return (hashes << np.uint64(TURN) | hashes >> np.uint64(64 - TURN)) ^ words
 
 
 class BitTable:
-    """Membership of phrases, with a few wrong hits."""
+    """Membership of phrases by their hashes, with a few wrong hits."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
-    def has(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        hashed = np.fromiter((xxhash.xxh64_intdigest(phrase_key(lang, p), 42) for p in phrases), np.uint64, len(phrases))
-        found = np.ones(len(phrases), bool)
+    def has(self, hashed: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashed), bool)
         for k in range(HASHES):
             bit = (hashed >> np.uint64(k * 18)) & np.uint64(FILTER_BITS - 1)
             found &= (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -80,8 +86,10 @@ class BitTable:
 
 def bit_table(frequent: DataFrame) -> BitTable:
     """Bits of ``frequent`` (lang, phrase), or-ed together before they leave the executors: at most FILTER_BITS / 64 rows come back."""
-    hashed = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("phrase").cast("binary")))
-    bits = frequent.select(F.explode(F.array(*[F.shiftrightunsigned(hashed, k * 18).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in range(HASHES)])).alias("bit"))
+    of_word = lambda w: F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), w.cast("binary")))
+    turned = lambda h: F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
+    hashed = F.aggregate(F.split("phrase", " "), F.lit(0).cast("long"), lambda h, w: turned(h).bitwiseXOR(of_word(w)))
+    bits = frequent.select(hashed.alias("h")).select(F.explode(F.array(*[F.shiftrightunsigned("h", k * 18).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in range(HASHES)])).alias("bit"))
     words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("mask")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.uint64)
     out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
@@ -109,8 +117,13 @@ class Shard:
 
     def only(self, table: BitTable) -> None:
         """Leave out the words that are not frequent."""
+        import xxhash
+
         own = np.flatnonzero(self.live)
-        self.live[own] = table.has(self.lang, self.words.take(pa.array(own)).to_pylist())
+        hashed = np.fromiter((xxhash.xxh64_intdigest(word_key(self.lang, w), 42) for w in self.words.take(pa.array(own)).to_pylist()), np.uint64, len(own))
+        self.hashes = np.zeros(len(self.live), np.uint64)
+        self.hashes[own] = hashed
+        self.live[own] = table.has(hashed)
 
     def index(self) -> None:
         """Entries (word, block, mask) of every word, and where each block's begin."""
@@ -161,8 +174,7 @@ def phrase_counts(shard: Shard, length: int, tables: list[BitTable], step: int =
     weights = np.add.reduceat(near[order], at_word) if len(words) else near[:0]
     for a, b in cut_steps(weights, step):
         entries = order[at_word[a] : ends[b - 1]]
-        phrases = shard.words.take(pa.array(words[a:b]))
-        last = words[a:b, None]  # the words of each phrase
+        last, hashes = words[a:b, None], shard.hashes[words[a:b]]  # the words of each phrase, and its hash
         node, block, mask = np.searchsorted(words[a:b], shard.word[entries]), shard.block[entries], shard.mask[entries]
         for depth in range(2, length + 1):
             node, word, block, mask = shard.extend(node, block, mask)
@@ -170,32 +182,26 @@ def phrase_counts(shard: Shard, length: int, tables: list[BitTable], step: int =
             found, place = np.unique(keys, return_inverse=True)
             parents, added = found // len(shard.words), (found % len(shard.words)).astype(np.int32)
             last = np.column_stack((last[parents], added)) if len(found) else np.zeros((0, depth), np.int32)
-            phrases = pc.binary_join_element_wise(phrases.take(pa.array(parents)), shard.words.take(pa.array(added)), b" ")
+            hashes = longer(hashes[parents], shard.hashes[added])
             keep = np.ones(len(found), bool)
             if depth < length:
-                keep = tables[depth - 1].has(shard.lang, phrases.to_pylist())
+                keep = tables[depth - 1].has(hashes)
             elif depth > 2:  # the phrase without its first word
-                tails, of = np.unique(last[:, 1:], axis=0, return_inverse=True) if depth > 3 else pair_tails(last, len(shard.words))
-                texts = shard.words.take(pa.array(tails[:, 0]))
-                for k in range(1, tails.shape[1]):
-                    texts = pc.binary_join_element_wise(texts, shard.words.take(pa.array(tails[:, k])), b" ")
-                keep = tables[depth - 2].has(shard.lang, texts.to_pylist())[of]
+                tail = shard.hashes[last[:, 1]]
+                for k in range(2, depth):
+                    tail = longer(tail, shard.hashes[last[:, k]])
+                keep = tables[depth - 2].has(tail)
             if depth == length:
                 sums = np.bincount(place, weights=np.bitwise_count(mask), minlength=len(found)).astype(np.int64)
                 chosen = np.flatnonzero(keep)
                 if len(chosen):
-                    yield phrases.take(pa.array(chosen)), sums[chosen]
+                    texts = [shard.words.take(pa.array(last[chosen, k])) for k in range(length)]
+                    yield pc.binary_join_element_wise(*texts, b" "), sums[chosen]
                 break
             new = np.cumsum(keep) - 1
             kept = np.flatnonzero(keep[place])
             node, block, mask = new[place[kept]], block[kept], mask[kept]
-            phrases, last = phrases.filter(pa.array(keep)), last[keep]
-
-
-def pair_tails(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct last pairs of words, and each row's."""
-    found, of = np.unique(words[:, 1] * np.int64(size) + words[:, 2], return_inverse=True)
-    return np.column_stack((found // size, found % size)), of
+            last, hashes = last[keep], hashes[keep]
 
 
 # ---------------------------------------------------------------- over all shards

@@ -74,8 +74,8 @@ def test_the_tables(spark, sf_dir, same_as_sql):
 @given(st.lists(st.sampled_from(["a", "b", "c", ".", "a b"]), max_size=80), st.integers(1, 30))
 def test_bitmaps_of_a_shard(tokens, step):
     class Everything:
-        def has(self, lang, phrases):
-            return np.ones(len(phrases), bool)
+        def has(self, hashed):
+            return np.ones(len(hashed), bool)
 
     text = " ".join(tokens)
     want = Counter()
