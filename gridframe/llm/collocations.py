@@ -44,7 +44,7 @@ SHARD_BYTES = 8 << 20
 #: Bits of the table of frequent phrases (16 MB) and hashes for each phrase.
 FILTER_BITS, HASHES = 1 << 27, 3
 #: Entries that phrases are met with at once.
-STEP = 4 << 20
+STEP = 1 << 20
 #: Positions in a block of a bitmap.
 WIDTH = 8
 FULL = (1 << WIDTH) - 1
@@ -57,10 +57,6 @@ _TO_GAP = bytes(0xFF if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <=
 # ---------------------------------------------------------------- frequent phrases as bits
 
 
-def word_key(lang: bytes, word: bytes) -> bytes:
-    return lang + b"\0" + word
-
-
 #: Bits that a phrase's hash is turned by before its next word's comes in.
 TURN = 21
 
@@ -109,6 +105,7 @@ class Shard:
         tokens = data.replace(b"\t", b" ").split(b" ")
         blank = ids[b""]
         at = np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens))
+        del tokens, data
         self.lang, self.ids = lang, at[at != blank]
         self.words = pa.array(list(ids), pa.binary())
         self.counts = np.bincount(self.ids, minlength=len(ids))
@@ -120,21 +117,20 @@ class Shard:
         import xxhash
 
         own = np.flatnonzero(self.live)
-        hashed = np.fromiter((xxhash.xxh64_intdigest(word_key(self.lang, w), 42) for w in self.words.take(pa.array(own)).to_pylist()), np.uint64, len(own))
+        of, lang = xxhash.xxh64_intdigest, self.lang + b"\0"
+        hashed = np.array([of(lang + w, 42) for w in self.words.take(pa.array(own)).to_pylist()], np.uint64)
         self.hashes = np.zeros(len(self.live), np.uint64)
         self.hashes[own] = hashed
         self.live[own] = table.has(hashed)
 
     def index(self) -> None:
-        """Entries (word, block, mask) of every word, and where each block's begin."""
+        """Entries (word, block, mask) of every word, block by block, and where each block's begin."""
         places = np.flatnonzero(self.live[self.ids])
-        words, blocks, masks = self.ids[places], places // WIDTH, (1 << (places % WIDTH)).astype(np.uint8)
-        keys = blocks * np.int64(len(self.words)) + words
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        self.word, self.block = (keys[first] % len(self.words)).astype(np.int32), keys[first] // len(self.words)
-        self.mask = np.bitwise_or.reduceat(masks[order], first) if len(first) else masks
+        word, block, mask = self.ids[places], places // WIDTH, (1 << (places % WIDTH)).astype(np.uint8)
+        # a word's bits of one block are one entry; neighbours in it are met here, others stay apart, as their bits are
+        first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])))) if len(word) else places
+        self.word, self.block = word[first], block[first]
+        self.mask = np.bitwise_or.reduceat(mask, first) if len(first) else mask
         self.starts = np.searchsorted(self.block, np.arange(len(self.ids) // WIDTH + 3))
 
     def extend(self, node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +149,25 @@ class Shard:
         return node[which], self.word[with_[hit]], block[which], both[hit]
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys sorted, and where each stood; equal ones as they came. Sorting numbers is faster than sorting places, so places ride in the low bits."""
+    bits = max(1, len(keys)).bit_length()
+    if len(keys) and int(keys.max()) >> (63 - bits):
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    packed = np.sort(keys.astype(np.int64) << bits | np.arange(len(keys)))
+    return packed >> bits, packed & ((1 << bits) - 1)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the number of each key among them."""
+    ordered, order = in_order(keys)
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
 def cut_steps(block_sizes: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
     """Runs of first words whose entries meet about ``step`` others together."""
     total = np.concatenate(([0], np.cumsum(block_sizes)))
@@ -167,8 +182,9 @@ def phrase_counts(shard: Shard, length: int, tables: list[BitTable], step: int =
     """(phrases, occurrences in the shard) of ``length`` words all of whose shorter parts are in ``tables``."""
     shard.only(tables[0])
     shard.index()
-    order = np.argsort(shard.word, kind="stable")
-    words, at_word = np.unique(shard.word[order], return_index=True)
+    ordered, order = in_order(shard.word)
+    at_word = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), ordered[1:] != ordered[:-1])))
+    words = ordered[at_word]
     ends = np.concatenate((at_word[1:], [len(order)])) if len(words) else at_word
     near = shard.starts[shard.block + 1] - shard.starts[shard.block] + 1
     weights = np.add.reduceat(near[order], at_word) if len(words) else near[:0]
@@ -179,7 +195,7 @@ def phrase_counts(shard: Shard, length: int, tables: list[BitTable], step: int =
         for depth in range(2, length + 1):
             node, word, block, mask = shard.extend(node, block, mask)
             keys = node * np.int64(len(shard.words)) + word
-            found, place = np.unique(keys, return_inverse=True)
+            found, place = distinct(keys)
             parents, added = found // len(shard.words), (found % len(shard.words)).astype(np.int32)
             last = np.column_stack((last[parents], added)) if len(found) else np.zeros((0, depth), np.int32)
             hashes = longer(hashes[parents], shard.hashes[added])
