@@ -27,6 +27,7 @@ from .. import cplx
 from ..grid import Grid
 from ..meta import ArrayMeta, array, is_complex, normalize_axes, real_of, spark_type
 from ..plans.computation import Computation, literal, meta_of
+from ..plans.shelf import shared
 
 #: Elements folded as one array, and the shortest segment of a scan.
 BLOCK = 4096
@@ -220,6 +221,7 @@ def scan(df: DataFrame, batch: list[str], size: int, monoid: Monoid, exclusive:
     streamed = is_plain(monoid)
     if size <= block:
         return (running if streamed else running_lists)(df, batch, monoid, exclusive)
+    df = shared(df)  # read for the totals and for the prefixes
     length = max(block, -(-size // SEGMENTS)) if streamed else block
     cut = df.withColumn("__segment", F.call_function("div", F.col("__at"), F.lit(length).cast("bigint")))
     keys = [*batch, "__segment"]

@@ -1,4 +1,8 @@
-"""Arrays of counter-based random numbers."""
+"""Arrays of counter-based random numbers.
+
+Samplers that refuse words (gamma, von Mises) give draws and counters in one pass, which is kept
+while a ``Shelf`` is open; without one each of the two outputs that is read makes a pass.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from ..grid import Grid, coords
 from ..meta import ArrayMeta, array, is_complex, real_of, spark_type
 from ..plans.computation import Computation, meta_of
+from ..plans.shelf import shared
 from .catalyst import Words, advanced, generator_key, raw32
 from .generators import SAMPLERS, Bijection, Sampler, State, draws, seed_key
 
@@ -95,43 +100,68 @@ class CBRNG(Computation):
         def states(batch):
             index = [batch.column(c).to_numpy() for c in own]
             ids = sum(i * s for i, s in zip(index, strides))
-            flat = batch.column("v").field("v")
+            flat = batch.column("c")
             offsets = flat.offsets.to_numpy()
-            words = np.array([int(x) for x in flat.values.slice(offsets[0], offsets[-1] - offsets[0]).to_pylist()], dtype=np.uint64).reshape(-1, bijection.words)
+            words = flat.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy().view(np.uint64).reshape(-1, bijection.words)
             return index, State(bijection, key, np.asarray(ids, np.int64), words)
 
-        def run(batches):
+        def drawn(state, index):
+            """Columns of each draw of all generators."""
+            for draw, values in draws(state, sampler, n_draws):
+                if is_pair:
+                    v = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values.real).astype(kind)), pa.array(np.ascontiguousarray(values.imag).astype(kind))], names=["re", "im"])
+                elif kind.startswith("uint64"):
+                    v = pa.array([int(x) for x in values], pa.decimal128(20, 0))
+                else:
+                    v = pa.array(values.astype("int64" if kind == "uint32" else kind))
+                leading = [pa.array(np.full(len(values), draw // s % size)) for size, s in zip(lead.shape, lead.strides)]
+                yield [*leading, *map(pa.array, index), v]
+
+        def next_words(state):
+            words = state.next_counters().astype(np.uint64).view(np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, bijection.words), pa.int32()), pa.array(words.ravel()))
+
+        def lanes(batches):
             for whole in batches:
                 for at in range(0, whole.num_rows, LANE):
-                    index, state = states(whole.slice(at, LANE))
-                    for draw, values in draws(state, sampler, n_draws):
-                        if is_pair:
-                            v = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values.real).astype(kind)), pa.array(np.ascontiguousarray(values.imag).astype(kind))], names=["re", "im"])
-                        elif kind.startswith("uint64"):
-                            v = pa.array([int(x) for x in values], pa.decimal128(20, 0))
-                        else:
-                            v = pa.array(values.astype("int64" if kind == "uint32" else kind))
-                        leading = [pa.array(np.full(len(values), draw // s % size)) for size, s in zip(lead.shape, lead.strides)]
-                        yield pa.RecordBatch.from_arrays([*leading, *map(pa.array, index), v], names=[*coords(meta.ndim), "v"])
-
-        steps = counter_steps(bijection, sampler, n_draws) if sampler.deterministic else None
+                    yield states(whole.slice(at, LANE))
+
+        def run(batches):
+            for index, state in lanes(batches):
+                for columns in drawn(state, index):
+                    yield pa.RecordBatch.from_arrays(columns, names=[*coords(meta.ndim), "v"])
 
         def advance(batches):
-            for whole in batches:
-                for at in range(0, whole.num_rows, LANE):
-                    index, state = states(whole.slice(at, LANE))
-                    if steps is None:  # how many words a draw takes is known only by drawing
-                        for _ in draws(state, sampler, n_draws):
-                            pass
-                    else:
-                        state.skip(steps)
-                    words = pa.array([[int(w) for w in row] for row in state.next_counters()], pa.list_(pa.decimal128(20, 0)))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, index), pa.StructArray.from_arrays([words], names=["v"])], names=[*own, "v"])
-
-        fields = lambda names, v: ", ".join([*(f"{c} bigint" for c in names), f"v {v}"])
-        source = arrays["counters"].df
-        randoms = source.mapInArrow(run, fields(coords(meta.ndim), spark_type(meta.dtype)))
-        counters = source.mapInArrow(advance, fields(own, COUNTER))
+            for index, state in lanes(batches):
+                state.skip(steps)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, index), next_words(state)], names=[*own, "c"])
+
+        def both(batches):
+            """Draws, then counters, whose rows have no draw."""
+            names = [*coords(meta.ndim), "v", "c"]
+            for index, state in lanes(batches):
+                n, kinds = len(index[0]), None
+                for columns in drawn(state, index):
+                    kinds = [c.type for c in columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.list_(pa.int64()))], names=names)
+                if kinds:
+                    empty = [pa.nulls(n, t) for t in kinds[: len(lead.shape)]]
+                    yield pa.RecordBatch.from_arrays([*empty, *map(pa.array, index), pa.nulls(n, kinds[-1]), next_words(state)], names=names)
+
+        fields = lambda names, *more: ", ".join([*(f"{c} bigint" for c in names), *more])
+        w, value, counter = Words(bijection.bitness), f"v {spark_type(meta.dtype)}", "c array<bigint>"
+        source = arrays["counters"].df.select(*own, F.transform("v.v", w.from_decimal).alias("c"))
+        after = F.struct(F.transform("c", w.to_decimal).alias("v")).alias("v")
+        places = coords(meta.ndim)
+        if sampler.deterministic:
+            steps = counter_steps(bijection, sampler, n_draws)
+            randoms = source.mapInArrow(run, fields(places, value))
+            counters = source.mapInArrow(advance, fields(own, counter)).select(*own, after)
+        else:  # how many words a draw takes is known only by drawing, so one pass gives both
+            made = shared(source.mapInArrow(both, fields(places, value, counter)))
+            randoms = made.where(F.col("c").isNull()).select(*places, "v")
+            last = [F.col(p).alias(c) for p, c in zip(places[len(lead.shape) :], own)]
+            counters = made.where(F.col("c").isNotNull()).select(*last, after)
         return {"counters": Grid(counters, self._counters), "randoms": Grid(randoms, meta)}
 
 
