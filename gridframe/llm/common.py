@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,30 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shelf import shared_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the dataset folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset on a local
-    master (tests, notebooks on one machine) a folder of our own is set. Elsewhere a
-    folder of one machine would lose rows, so it is refused.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridframe-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 #: Tables written in each open ``scratch``, innermost last.
 _WRITTEN: list[list[str]] = []
 
@@ -57,7 +40,7 @@ def materialize(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
     Cuts lineage so that a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridframe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gridframe/{label}-{uuid.uuid4().hex}"
     scopes = _WRITTEN[:-1] if outlive else _WRITTEN
     if scopes:
         scopes[-1].append(path)

@@ -36,6 +36,10 @@ TEXTS = {
     "agpl-3 preamble": "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
     "lgpl-3 preamble": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
     "lgpl-2.1 preamble": "this is the first released version of the lesser gpl",
+    "lgpl-2 preamble": "this is the first released version of the library gpl",
+    "gpl-1 preamble": "the license agreements of most software companies try to keep users at the mercy of those companies",
+    "gnu safest convey": "it is safest to attach them to the start of each source file to most effectively convey the exclusion of warranty",
+    "gnu safest state": "it is safest to attach them to the start of each source file to most effectively state the exclusion of warranty",
     "mpl-2 header": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl-2 copy": "if a copy of the mpl was not distributed with this file you can obtain one",
     "mpl-1.1 header": "the contents of this file are subject to the mozilla public license version 1 1 the license",
@@ -49,6 +53,12 @@ TEXTS = {
     "unlicense use": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     "cc0 waiver": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law",
+    "cc0 laws": "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights",
+    "cc0 owners": "certain owners wish to permanently relinquish those rights to a work for the purpose of contributing to a commons of creative cultural and scientific works",
+    "psf between": "this license agreement is between the python software foundation",
+    "psf changes": "in the event licensee prepares a derivative work that is based on or incorporates python or any part thereof and wants to make the derivative work available to others as provided herein then licensee hereby agrees to include in any such work a brief summary of the changes made to python",
+    "psf basis": "psf is making python available to licensee on an as is basis",
+    "apache or bsd": "this software is made available under the terms of either of the licenses found in license apache or license bsd",
     "artistic": "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package",
     "ofl header": "this font software is licensed under the sil open font license version 1 1",
     "postgresql": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
@@ -158,11 +168,20 @@ SEQUENCES = [
     ("MIT-0", ("mit-0 grant", "mit warranty")),
     ("ISC", ("isc grant", "isc warranty")),
     ("0BSD", ("0bsd grant", "isc warranty")),
+    ("LGPL-2.1", ("gnu verbatim", "lgpl-2.1 preamble", "gpl-2 preamble")),
+    ("LGPL-2.0", ("gnu verbatim", "lgpl-2 preamble", "gpl-2 preamble")),
+    ("LGPL-2.1", ("lgpl-2.1 preamble", "gpl-2 preamble")),
+    ("LGPL-2.0", ("lgpl-2 preamble", "gpl-2 preamble")),
+    ("GPL-1.0", ("gnu verbatim", "gpl-1 preamble")),
     ("GPL-2.0", ("gnu verbatim", "gpl-2 preamble")),
     ("GPL-3.0", ("gnu verbatim", "gpl-3 preamble")),
     ("AGPL-3.0", ("gnu verbatim", "agpl-3 preamble")),
     ("LGPL-3.0", ("gnu verbatim", "lgpl-3 preamble")),
     ("LGPL-2.1", ("gnu verbatim", "lgpl-2.1 preamble")),
+    ("LGPL-2.0", ("gnu verbatim", "lgpl-2 preamble")),
+    ("CC0-1.0", ("cc0 laws", "cc0 owners")),
+    ("PSF-2.0", ("psf between", "psf changes", "psf basis")),
+    ("PSF-2.0", ("psf between", "psf changes")),
     ("MPL-2.0", ("mpl-2 header", "mpl-2 copy")),
     ("Zlib", ("zlib warranty", "zlib grant", "zlib origin")),
     ("Unlicense", ("unlicense grant", "unlicense use")),
@@ -171,12 +190,19 @@ SEQUENCES = [
 SINGLES = [
     ("MIT", "mit grant"), ("BSL-1.0", "boost grant"), ("Apache-2.0", "apache header"), ("Apache-2.0", "apache patent"), ("ISC", "isc grant"), ("ISC", "isc grant old"), ("HPND", "hpnd grant"),
     ("GPL-2.0", "gpl-2 preamble"), ("GPL-3.0", "gpl-3 preamble"), ("AGPL-3.0", "agpl-3 preamble"), ("LGPL-3.0", "lgpl-3 preamble"), ("LGPL-2.1", "lgpl-2.1 preamble"), ("MPL-2.0", "mpl-2 header"), ("MPL-1.1", "mpl-1.1 header"), ("EPL-1.0", "epl-1 header"), ("EPL-2.0", "epl-2 header"),
-    ("CDDL-1.0", "cddl header"), ("Zlib", "zlib grant"), ("Unlicense", "unlicense grant"), ("WTFPL", "wtfpl"), ("CC0-1.0", "cc0 waiver"), ("Artistic-1.0", "artistic"), ("OFL-1.1", "ofl header"), ("PostgreSQL", "postgresql"),
+    ("CDDL-1.0", "cddl header"), ("Zlib", "zlib grant"), ("Unlicense", "unlicense grant"), ("WTFPL", "wtfpl"), ("CC0-1.0", "cc0 waiver"), ("CC0-1.0", "cc0 owners"), ("PSF-2.0", "psf between"), ("LGPL-2.0", "lgpl-2 preamble"), ("GPL-1.0", "gpl-1 preamble"), ("Apache-2.0 OR BSD-2-Clause", "apache or bsd"), ("Artistic-1.0", "artistic"), ("OFL-1.1", "ofl header"), ("PostgreSQL", "postgresql"),
 ]
 
+
+
+def gnu_appendices() -> list[tuple[str, tuple[str, str]]]:
+    """Headers that a licence's own text shows for others to use; they tell that licence, without "or later"."""
+    return [(key.split("-or-later")[0], (advice, key)) for key in gnu_sentences() if key.endswith(("or-later program", "or-later library")) for advice in ("gnu safest convey", "gnu safest state")]
+
+
 #: Rules in order: licence, identifiers.
 RULES = (
-    [(license_id, tuple(SID[k] for k in keys)) for license_id, keys in SEQUENCES]
+    [(license_id, tuple(SID[k] for k in keys)) for license_id, keys in SEQUENCES + gnu_appendices()]
     + [(license_id, (SID[key],)) for license_id, key in SINGLES]
     + [(key.split(" ")[0], (SID[key],)) for key in gnu_sentences()]
     + [(license_id, (NAME_SID[name],)) for license_id, name in PHRASES]

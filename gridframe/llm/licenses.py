@@ -35,7 +35,7 @@ from .license_rules import ARTICLES, NAME_SID, PHRASES, PREFIXES, RULES, SENTENC
 MAX_GAP = 100
 
 #: Every known sentence holds one of these.
-ANCHORS = r"licen|permission|redistribut|permitted|public domain|provided|misrepresented|warrant|wtfpl|freedom|liable|advertising|terms and conditions|lesser gpl|copy modify publish|endorse|copy of the mpl|artistic control|(?:releas|distribut|publish|avail)\w*\s+under"
+ANCHORS = r"licen|permission|redistribut|permitted|public domain|provided|misrepresented|warrant|wtfpl|freedom|liable|advertising|terms and conditions|(?:lesser|library)\s+gpl|relinquish|jurisdictions|copy modify publish|endorse|copy of the mpl|artistic control|(?:releas|distribut|publish|avail)\w*\s+under"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Patterns of the normal form, in order, and what they become; "|" is a hard cut, a line end a soft one.
 STEPS = [
@@ -143,8 +143,9 @@ def scan(docs: DataFrame, max_gap: int = MAX_GAP, id_col: str = "doc_id", text_c
 
     def match(i: Column) -> Column:
         here = F.get("hits", i)
-        fitting = F.filter(F.filter(sequences, lambda r: F.get(r["ids"], F.lit(0)) == here["sid"]), lambda r: reached(r, i).isNotNull())
-        found = F.transform(F.slice(fitting, 1, 1), lambda r: F.struct(r["rule"].alias("rule"), r["license"].alias("license"), here["at"].alias("at"), reached(r, i).alias("end"), F.size(r["ids"]).alias("n")))
+        begun = F.filter(sequences, lambda r: F.get(r["ids"], F.lit(0)) == here["sid"])
+        tried = F.transform(begun, lambda r: F.struct(r["rule"].alias("rule"), r["license"].alias("license"), here["at"].alias("at"), reached(r, i).alias("end"), F.size(r["ids"]).alias("n")))
+        found = F.filter(tried, lambda m: m["end"].isNotNull())
         rule = F.get(single, here["sid"] - 1)
         own = F.struct(rule.alias("rule"), F.get(licenses, rule - 1).alias("license"), here["at"].alias("at"), (here["at"] + here["words"]).alias("end"), F.lit(1).alias("n"))
         return F.coalesce(F.get(found, F.lit(0)), own)

@@ -58,7 +58,7 @@ def test_empty_tables(spark, folder, tmp_path):
 def test_run_leaves_only_stage_tables(spark, folder, monkeypatch, tmp_path):
     from gridframe.llm import common
 
-    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
     out = corpus_pipeline.run(spark, folder[0])
     assert out.count() > 0
     left = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "gridframe").iterdir())

@@ -98,4 +98,4 @@ def test_local_folder_is_refused_on_a_cluster():
         conf = {}
 
     with pytest.raises(ValueError):
-        common.shared_dir(Session())
+        common.shared_folder(Session())

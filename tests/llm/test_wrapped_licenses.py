@@ -89,3 +89,75 @@ def test_wrapped(spark):
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("id", "first_word").collect():
         got[r["id"]].append((r["license"], r["n_sentences"]))
     assert got == want
+
+
+LGPL = """{title}
+
+Copyright (C) 1991 Free Software Foundation, Inc.
+
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+[This is the first released version of the {kind} GPL. {more}]
+
+Preamble
+
+The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software.
+"""
+#: Parts of texts as they are published, that also hold sentences of other licences, and what they are.
+OTHERS = {
+    "LGPL-2.0": LGPL.format(title="GNU LIBRARY GENERAL PUBLIC LICENSE", kind="library", more="It is numbered 2 because it goes with version 2 of the ordinary GPL."),
+    "LGPL-2.1": LGPL.format(title="GNU LESSER GENERAL PUBLIC LICENSE", kind="Lesser", more="It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    "GPL-1.0": """GNU GENERAL PUBLIC LICENSE
+
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
+
+Preamble
+
+The license agreements of most software companies try to keep users at the mercy of those companies. By contrast, our General Public License is intended to guarantee your freedom to share and change free software.""",
+    "GPL-2.0": """How to Apply These Terms to Your New Programs
+
+To do so, attach the following notices to the program. It is safest to attach them to the start of each source file to most effectively convey the exclusion of warranty; and each file should have at least the "copyright" line and a pointer to where the full notice is found.
+
+<one line to give the program's name and a brief idea of what it does.>
+
+""" + GPL.format(";", ";", 2),
+    "CC0-1.0": """CC0 1.0 Universal
+
+The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").
+
+Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works ("Commons") that the public can reliably and without fear of later claims of infringement build upon.""",
+    "PSF-2.0": """PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2
+
+1. This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation.
+
+3. In the event Licensee prepares a derivative work that is based on or incorporates Python or any part thereof, and wants to make the derivative work available to others as provided herein, then Licensee hereby agrees to include in any such work a brief summary of the changes made to Python.
+
+4. PSF is making Python available to Licensee on an "AS IS" basis.""",
+    "Apache-2.0 OR BSD-2-Clause": "This software is made available under the terms of *either* of the licenses found in LICENSE.APACHE or LICENSE.BSD. Contributions to this software is made under the terms of *both* these licenses.",
+}
+
+
+def wrapped_rows(texts):
+    return [(name, "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))) for name, text in texts.items() for width in (50, 78, 10_000)]
+
+
+def test_texts_that_hold_others(spark):
+    """A whole text is its own licence alone, though it quotes sentences of others."""
+    rows = wrapped_rows(OTHERS)
+    got = sorted(map(tuple, licenses.scan(spark.createDataFrame(rows, "name string, text string"), id_col="name").select("id", "license").collect()))
+    assert got == sorted((name, name) for name, _ in rows)
+
+
+def test_texts_that_hold_others_in_sql(spark, tmp_path):
+    """The rules' other reading, in SQL, gives the same rows on whole texts, apart and one after the other."""
+    import duckdb
+
+    texts = [text for _, text in wrapped_rows(OTHERS | FULL)]
+    rows = [*enumerate(texts), (len(texts), "\n\n".join(texts[::3])), (len(texts) + 1, None), (len(texts) + 2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(docs).select("id", "license", "rule", "first_word", "n_sentences").collect()))
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(f"SELECT doc_id, license, rule, first_word, n_sentences FROM ({licenses.ORACLE})").fetchall()
+    assert got == sorted(map(tuple, want)) and len(got) > len(texts)
