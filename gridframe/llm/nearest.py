@@ -7,9 +7,12 @@ smallest distance, and the triangle inequality over many pivots bounds it:
 ``SAMPLE`` rows, and every row's distances to them are computed once and go with the row.
 
 The k-th best score within the sample is a first threshold for every query. Queries are
-put in groups of like nearest pivot and bounded size; a row goes to the groups that its
-bound over the group's ranges does not exclude, and groups meet parts of the rows by a
-shuffle on both numbers. There blocks of rows are excluded by their own ranges, and the
+put in groups of like nearest pivot (cell) and bounded size, and groups meet parts of the rows by a
+shuffle on both numbers, in two rounds. First a row goes to the groups that hold queries of
+its own cell, and the k-th scores found there become the queries' thresholds. Then it goes to
+those other groups that its bound over the group's ranges does not exclude under these far
+higher thresholds, so few rows move again and parts return few rows. A single group of
+queries takes one round. There blocks of rows are excluded by their own ranges, and the
 candidates left are evaluated in the order of their bound until none can reach the k-th
 score. Scores are exact integers. Neither queries nor rows pass through the driver.
 
@@ -185,7 +188,7 @@ def batch_of(schema: dict, **columns) -> pa.RecordBatch:
 
 
 LISTS = (pa.list_(pa.float64()), pa.list_(pa.float32()))
-QUERIES = {"id": pa.int64(), "v": LISTS[0], "length": pa.int32(), "cell": pa.int32(), "d": LISTS[1], "norm": pa.float64(), "least": pa.int64()}
+QUERIES = {"id": pa.int64(), "hash": pa.int64(), "v": LISTS[0], "length": pa.int32(), "cell": pa.int32(), "d": LISTS[1], "norm": pa.float64(), "least": pa.int64()}
 MEETING = {"grp": pa.int32(), "part": pa.int32(), "kind": pa.int32(), "length": pa.int32(), "cell": pa.int32(), "id": pa.int64(), "v": LISTS[0], "d": LISTS[1], "least": pa.int64()}
 FOUND = {"query_id": pa.int64(), "query_hash": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
 SQL = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", LISTS[0]: "array<double>", LISTS[1]: "array<float>"}
@@ -195,11 +198,8 @@ def ddl(schema: dict) -> str:
     return ", ".join(f"{n} {SQL[t]}" for n, t in schema.items())
 
 
-def pivot_tables(vectors: DataFrame, lengths: list[int], pivots: int) -> dict[int, PivotTable]:
-    """The table of each length that queries have; a length the sample misses has no pivots."""
-    own = vectors.where(F.size("v").isin(lengths))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    lifts = {r["n"]: r["m"] for r in own.groupBy(F.size("v").alias("n")).agg(F.max(norm).alias("m")).collect()}
+def pivot_tables(own: DataFrame, lifts: dict[int, float], pivots: int) -> dict[int, PivotTable]:
+    """The table of each length, from the greatest squared norm of its rows; a length the sample misses has no pivots."""
     sample = own.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow()
     rows = defaultdict(lambda: ([], []))
     for row_id, v in zip(sample.column("id").to_pylist(), sample.column("v").to_pylist()):
@@ -211,10 +211,15 @@ def pivot_tables(vectors: DataFrame, lengths: list[int], pivots: int) -> dict[in
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, group_bytes: int = GROUP_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query row against all rows of ``vectors`` (id, v)."""
     spark = vectors.sparkSession
-    asked = {r["n"]: r["c"] for r in queries.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).collect()}
+    sizes = lambda df, asked: df.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("lift"), F.lit(asked).alias("asked"))
+    known = sizes(queries, True).unionAll(sizes(vectors, False)).collect()
+    asked = sorted(r["n"] for r in known if r["asked"])
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    tables = spark.sparkContext.broadcast(pivot_tables(vectors, list(asked), pivots))
+    own = vectors.where(F.size("v").isin(asked))
+    held = {r["n"]: r for r in known if not r["asked"] and r["n"] in asked}
+    n_rows = sum(r["rows"] for r in held.values())
+    tables = spark.sparkContext.broadcast(pivot_tables(own, {n: held[n]["lift"] if n in held else 0.0 for n in asked}, pivots))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +229,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
                 table = tables.value[length]
                 d = table.distances(own, lifted=False)
                 cell = d.argmin(axis=1) if d.shape[1] else np.zeros(len(ids), int)
-                yield batch_of(QUERIES, id=ids, v=own, length=np.full(len(ids), length), cell=cell, d=d, norm=(own**2).sum(axis=1), least=table.first_thresholds(ids, own, k))
+                yield batch_of(QUERIES, id=ids, hash=vector_hashes(own), v=own, length=np.full(len(ids), length), cell=cell, d=d, norm=(own**2).sum(axis=1), least=table.first_thresholds(ids, own, k))
 
     ready = materialize(queries.dropDuplicates(["id", "v"]).mapInArrow(prepare, ddl(QUERIES)), "queries")
     # groups: queries in the order of length and cell, cut by size; their places in a cell are by hash
@@ -243,45 +248,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     number = (F.col("first") + F.floor((F.col("used") + F.pmod(F.xxhash64("id", "v"), "n")) / F.col("room"))).cast("int")
     grouped = materialize(numbered.withColumn("grp", number).select("grp", *QUERIES), "query-groups")
 
-    ranges = None
-    if n_groups <= MAX_GROUPS:
-        sides = [f(F.get("d", F.lit(i))).alias(f"{name}{i}") for i in range(pivots) for name, f in (("a", F.min), ("b", F.max))]
-        rows = grouped.groupBy("grp", "length").agg(F.max("norm").alias("norm"), F.min("least").alias("least"), *sides).collect()
-        ranges = defaultdict(lambda: ([], [], [], [], []))
-        for r in rows:
-            n = len(tables.value[r["length"]].pivots)
-            for out, value in zip(ranges[r["length"]], (r["grp"], [r[f"a{i}"] for i in range(n)], [r[f"b{i}"] for i in range(n)], r["norm"], r["least"])):
-                out.append(value)
-        ranges = {n: tuple(map(np.array, own)) for n, own in ranges.items()}
     of_length = {n: sorted({g for m, _, c, first, used, room in starts if m == n for g in range(first, first + (used + c - 1) // room + 1)}) for n in asked}
-    known = spark.sparkContext.broadcast((ranges, of_length))
-    own = vectors.where(F.size("v").isin(list(asked)))
-    n_rows = own.count()
+    homes: dict[int, set[tuple[int, int]]] = defaultdict(set)  # the cells of a group's queries
+    for length, cell, c, first, used, room in starts:
+        for g in range(first + used // room, first + (used + c - 1) // room + 1):
+            homes[g].add((length, cell))
     n_parts = max(1, -(-n_rows // part_rows), min(2 * spark.sparkContext.defaultParallelism, n_rows // (ROW_BLOCK // 4)))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, of_length = known.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for length, ids, rows in by_length(batch):
-                table = tables.value[length]
-                d = table.distances(rows, lifted=True)
-                cell = d.argmin(axis=1) if d.shape[1] else np.zeros(len(ids), int)
-                part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_parts
-                for n, group in enumerate(of_length[length] if ranges is None else ranges[length][0].tolist()):
-                    stay = np.arange(len(ids))
-                    if ranges is not None and d.shape[1]:
-                        _, low, high, norm, least = (x[n] for x in ranges[length])
-                        with np.errstate(invalid="ignore"):
-                            gap = np.maximum(low - d, d - high).max(axis=1).astype(float)
-                            scale = max(float(d.max()), float(np.max(high)))
-                            stay = np.flatnonzero(~(most_of(table.lift, np.asarray(norm), gap, scale) < float(least)))
-                    if len(stay):
-                        yield batch_of(MEETING, grp=np.full(len(stay), group), part=part[stay], kind=np.ones(len(stay), int), length=np.full(len(stay), length), cell=cell[stay], id=ids[stay], v=rows[stay], d=d[stay], least=np.zeros(len(stay), int))
-
-    sent = grouped.select("grp", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).alias("kind"), "length", "cell", "id", "v", "d", "least")
-    met = own.mapInArrow(deal, ddl(MEETING)).union(sent).repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cell")
+    def group_ranges(grouped: DataFrame) -> dict | None:
+        """By length: groups with the ranges of their distances, the greatest norm and the least threshold."""
+        if n_groups > MAX_GROUPS:
+            return None
+        sides = [f(F.get("d", F.lit(i))).alias(f"{name}{i}") for i in range(pivots) for name, f in (("a", F.min), ("b", F.max))]
+        out = defaultdict(lambda: ([], [], [], [], []))
+        for r in grouped.groupBy("grp", "length").agg(F.max("norm").alias("norm"), F.min("least").alias("least"), *sides).collect():
+            n = len(tables.value[r["length"]].pivots)
+            for values, value in zip(out[r["length"]], (r["grp"], [r[f"a{i}"] for i in range(n)], [r[f"b{i}"] for i in range(n)], r["norm"], r["least"])):
+                values.append(value)
+        return {n: tuple(map(np.array, values)) for n, values in out.items()}
+
+    def meeting(grouped: DataFrame, home: bool | None = None) -> DataFrame:
+        """Rows with the groups that they go to, and the queries: rows in a cell of the group, or the others (or all) that its ranges leave."""
+        known = spark.sparkContext.broadcast((None if home else group_ranges(grouped), of_length, dict(homes)))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ranges, of_length, homes = known.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for length, ids, rows in by_length(batch):
+                    table = tables.value[length]
+                    d = table.distances(rows, lifted=True)
+                    cell = d.argmin(axis=1) if d.shape[1] else np.zeros(len(ids), int)
+                    part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n_parts
+                    for n, group in enumerate(of_length[length] if ranges is None else ranges[length][0].tolist()):
+                        at_home = np.isin(cell, [c for m, c in homes[group] if m == length])
+                        stay = np.arange(len(ids)) if home is None else np.flatnonzero(at_home == home)
+                        if ranges is not None and d.shape[1] and len(stay):
+                            _, low, high, norm, least = (x[n] for x in ranges[length])
+                            with np.errstate(invalid="ignore"):
+                                gap = np.maximum(low - d[stay], d[stay] - high).max(axis=1).astype(float)
+                                scale = max(float(d.max()), float(np.max(high)))
+                                stay = stay[~(most_of(table.lift, np.asarray(norm), gap, scale) < float(least))]
+                        if len(stay):
+                            yield batch_of(MEETING, grp=np.full(len(stay), group), part=part[stay], kind=np.ones(len(stay), int), length=np.full(len(stay), length), cell=cell[stay], id=ids[stay], v=rows[stay], d=d[stay], least=np.zeros(len(stay), int))
+
+        sent = grouped.select("grp", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.lit(0).alias("kind"), "length", "cell", "id", "v", "d", "least")
+        return own.mapInArrow(deal, ddl(MEETING)).union(sent).repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cell")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, waiting, finder, hashes = None, {0: [], 1: []}, None, None
@@ -320,9 +333,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
         if key is not None:
             yield from result()
 
-    found = met.mapInArrow(search, ddl(FOUND)).dropDuplicates()
-    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
+        return found.dropDuplicates().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if n_groups == 1:  # there are no other groups to keep rows from
+        return best(meeting(grouped).mapInArrow(search, ddl(FOUND))).select("query_id", "rank", "vec_id", "score")
+    # rows at home first: the k-th scores that they give are the thresholds for all others
+    near = materialize(best(meeting(grouped, True).mapInArrow(search, ddl(FOUND))).select(*FOUND, "rank"), "near-rows")
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("query_hash").alias("hash"), F.col("score").alias("kth"))
+    raised = grouped.join(kth, ["id", "hash"], "left").withColumn("least", F.greatest("least", "kth")).select("grp", *QUERIES)
+    far = meeting(materialize(raised, "raised-queries"), False).mapInArrow(search, ddl(FOUND))
+    return best(near.select(*FOUND).union(far)).select("query_id", "rank", "vec_id", "score")
 
 
 def vector_hashes(vectors: np.ndarray) -> np.ndarray:
