@@ -24,6 +24,7 @@ name are left aside; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,15 +41,18 @@ BLANK = "▁"
 NONE = float("-inf")
 #: Characters of a chunk.
 CHUNK_CHARS = 32_768
-#: Stretches a worker remembers before it starts anew.
+#: Stretches a worker remembers at most.
 MAX_STRETCHES = 300_000
-#: And those it keeps when a task ends, first learned and so most common.
+#: And those it keeps when there are more and when a task ends, first learned and so most common.
 KEPT_STRETCHES = 120_000
 #: Pairs of pieces a worker remembers.
 MAX_PAIRS = 100_000
+#: Signs of a text that tell how long a piece may be there, and how many of such places a worker remembers.
+FIRST_SIGNS = 4
+MAX_PLACES = 50_000
 
-#: A stop after a letter at a word's end; no piece holds the two together.
-STOP = re.compile(rf"(?<=[^\W\d_])([.,])(?=[{BLANK}\n]|\Z)")
+#: Letters that may stand before a sign in a piece, so that text is still cut between other letters and that sign.
+FEW_LETTERS = 3
 
 _MODELS: dict[str, "PieceModel"] = {}
 
@@ -106,8 +110,7 @@ class PieceModel:
         self.dummy = model.normalizer_spec.add_dummy_prefix
         #: Whether no piece has a blank after another sign, and none holds a line end
         self.cuts = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.pieces)
-        letter = re.compile(r"[^\W\d_][.,]")
-        self.stops = self.cuts and not any(letter.search(p) for p in self.pieces)
+        self.stop = self.stops() if self.cuts else None
         self.coded = {p: np.asarray([i], self.kind).tobytes() for p, (i, _) in self.pieces.items()}
         #: Score of each id; an unknown character's is on its first byte
         self.scores = np.zeros(len(self.raw))
@@ -118,14 +121,27 @@ class PieceModel:
     def normal(self, text: str) -> str:
         return (BLANK if self.dummy and text else "") + text.replace(" ", BLANK)
 
+    def stops(self) -> re.Pattern | None:
+        """A sign after a letter, where no piece holds the two together."""
+        joined: dict[str, set[str]] = {sign: set() for sign in string.punctuation}
+        for piece in self.pieces:
+            for a, b in zip(piece, piece[1:]):
+                if b in joined and re.match(r"[^\W\d_]", a):
+                    joined[b].add(a)
+        signs = [sign for sign, letters in joined.items() if len(letters) <= FEW_LETTERS]
+        if not signs:
+            return None
+        some, held = re.escape("".join(signs)), re.escape("".join(sorted(set().union(*map(joined.get, signs)))))
+        return re.compile(rf"[{some}](?<=[^\W\d_{held}][{some}])")
+
     def stretches(self, normal: str) -> list[str]:
         """The text cut wherever no piece can cross."""
         if not self.cuts:
             return [normal] if normal else []
         if BLANK + BLANK in normal:
             return re.findall(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n", normal)
-        if self.stops:
-            normal = STOP.sub(r" \1", normal)
+        if self.stop:
+            normal = self.stop.sub(r" \g<0>", normal)
         return [x for x in normal.replace(BLANK, " " + BLANK).replace("\n", " \n ").split(" ") if x]
 
     def code(self, piece: str) -> bytes:
@@ -142,7 +158,7 @@ class PieceModel:
 
     def remember(self, stretches: list[str]) -> None:
         if len(self.found) > MAX_STRETCHES:
-            self.found = {}
+            self.rest()
         for s in set(stretches).difference(self.found):
             self.found[s] = self.solve(s)
 
@@ -300,6 +316,12 @@ class MergeModel(PieceModel):
             parts, pair = self.merged(piece)
             if len(parts) == 1 and pair:
                 self.splits[piece] = pair
+        #: Lengths of the longer ones of these pieces by their first signs, and what can start at a place by the signs there
+        self.longer: dict[str, set[int]] = {}
+        for piece in self.splits:
+            if len(piece) > FIRST_SIGNS:
+                self.longer.setdefault(piece[:FIRST_SIGNS], set()).add(len(piece))
+        self.known: dict[str, list[tuple[int, str]]] = {}
 
     def merged(self, s: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of a short text by the rule itself (best pair first, left of equal ones), and the last pair merged."""
@@ -351,24 +373,43 @@ class MergeModel(PieceModel):
             found = self.pairs[pair] = self.allowed(*pair)
         return found
 
+    def choices(self, signs: str) -> list[tuple[int, str]]:
+        """Lengths of what may start at a place, longest first, and the piece if the first signs there hold it."""
+        if len(self.known) > MAX_PLACES:
+            self.known.clear()
+        short = [(k, signs[:k]) for k in range(len(signs), 0, -1) if k == 1 or signs[:k] in self.splits]
+        self.known[signs] = [(k, "") for k in sorted(self.longer.get(signs, ()), reverse=True)] + short
+        return self.known[signs]
+
     def solve(self, s: str) -> bytes:
         """The allowed path, looked for with long pieces first; a place that led nowhere is not tried again."""
         size, pieces, dead, last = len(s), [], set(), ""
-        splits, allowed, longest = self.splits, self.pair_allowed, self.longest
-        at, upto = 0, longest
+        splits, known, pairs, allowed, coded = self.splits, self.known.get, self.pairs.get, self.pair_allowed, self.coded.get
+        at, upto = 0, size
         while at < size:
-            for k in range(min(size, upto), at, -1):
-                piece = s[at:k]
-                if (piece in splits or k == at + 1) and k not in dead and (not last or allowed((last, piece))):
-                    pieces.append(piece)
-                    last, at, upto = piece, k, k + longest
-                    break
+            signs = s[at : at + FIRST_SIGNS]
+            for length, piece in known(signs) or self.choices(signs):
+                k = at + length
+                if k > upto or k in dead:
+                    continue
+                if not piece:
+                    piece = s[at:k]
+                    if piece not in splits:
+                        continue
+                if last:
+                    pair = last, piece
+                    fits = pairs(pair)
+                    if not (allowed(pair) if fits is None else fits):
+                        continue
+                pieces.append(piece)
+                last, at, upto = piece, k, size
+                break
             else:
                 dead.add(at)
                 upto = at - 1
                 at -= len(pieces.pop())
                 last = pieces[-1] if pieces else ""
-        return b"".join(map(self.code, pieces))
+        return b"".join([coded(p) or self.code(p) for p in pieces])
 
     def ahead_of(self, text: str, at: int) -> list[int]:
         """Ends of the pieces that start at a place."""
