@@ -38,7 +38,7 @@ from .common import held_out, map_batches, materialize, read_table, scratch, spr
 
 #: Training rows of a block.
 BLOCK_ROWS = 16_384
-#: Results that are merged in one group, and those that reach the driver at most.
+#: Results that are merged in one group, until one is left.
 FAN = 8
 KNOTS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.97)
 #: Weight of the squared norm, halved, beside the mean loss of a pair.
@@ -322,7 +322,7 @@ def folding(blocks: DataFrame, n_blocks: int) -> Fold:
             return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "made": pa.array([pickle.dumps(merged(parts))], pa.binary())})
 
         made, left = blocks.mapInArrow(run, "cell long, made binary"), n_blocks
-        while left > FAN:
+        while left > 1:
             made, left = made.groupBy(F.floor(F.col("cell") / FAN).alias("above")).applyInArrow(meet, "cell long, made binary"), -(-left // FAN)
         return merged(made.toArrow())
 
