@@ -64,8 +64,8 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to columns."""
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]], schema: str, max_bytes: int | None = None) -> DataFrame:
+    """``mapInArrow`` with a function from one batch to columns; with ``max_bytes`` from one of its ``slices``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -73,8 +73,8 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(rows(batch), schema=arrow)
+            for part in slices(batch, max_bytes) if max_bytes else [batch] * (batch.num_rows > 0):
+                yield pa.RecordBatch.from_pydict(rows(part), schema=arrow)
 
     return df.mapInArrow(run, schema)
 

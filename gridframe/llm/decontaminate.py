@@ -41,6 +41,7 @@ read whole; extra columns of any name are left aside; an empty table gives an em
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -62,7 +63,9 @@ MIN_COVERAGE = 0.6
 BROADCAST_WINDOWS = 500_000
 #: Leading bits of a window's hash in the bitmap that thins documents before the shuffle.
 BITMAP_BITS = 26
-MAX_WORDS = 300_000
+#: Words that a worker remembers before it starts anew, and bytes of text that it reads at once (a single text may hold more).
+MAX_WORDS = 100_000
+READ_BYTES = 1 << 20
 
 #: Words for numbers, units and common given names (fixed values).
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())
@@ -77,14 +80,14 @@ SLOT = {NUM: 0x1B873593CC9E2D51, UNIT: 0x85EBCA6BC2B2AE35, NAME: 0x27D4EB2F16566
 
 
 class Templates:
-    """Template words of texts; remembers what it has seen of each word."""
+    """Template words of texts; remembers what it has seen of each word, packed."""
 
     def __init__(self):
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.kind, self.hash, self.ends, self.value = [PLAIN], [0], [False], [""]
+        self.kind, self.hash, self.ends, self.value = array("b", [PLAIN]), array("Q", [0]), bytearray(1), [""]
 
     def number(self, word: str) -> int:
         """Entry of a word; 0 if it has no letter or digit."""
@@ -109,7 +112,7 @@ class Templates:
         self.kind.append(kind)
         self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
         self.ends.append(word.rstrip("\"'”’»)]}*#&%$|")[-1:] in (".", "!", "?", "…", ":", "|"))
-        self.value.append(value)
+        self.value.append(word if value == word else value)  # one string where both are the same
         return len(self.kind) - 1
 
     def readings(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -150,20 +153,23 @@ class Templates:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(text number, entry, kind, hash, does its text go on?, does it start a sentence?, place in the text) of each word."""
-        if len(self.known) > MAX_WORDS:
-            self.forget()
         parts = [t.split() for t in texts]
+        all_words = set().union(*parts)
+        new = all_words.difference(self.known)
+        if new and len(self.known) > MAX_WORDS:  # texts that are read again bring none
+            self.forget()
+            new = all_words
         known = self.known
-        for word in set().union(*parts).difference(known):
+        for word in new:
             known[word] = self.number(word)
         sizes = np.array([len(p) for p in parts])
         entry = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
         text = np.repeat(np.arange(len(texts)), sizes)
         text, entry = text[entry > 0], entry[entry > 0]
         before = np.concatenate(([False], text[1:] == text[:-1]))[: len(text)]
-        after_end = np.concatenate(([True], np.array(self.ends)[entry][:-1]))[: len(text)] | ~before
+        after_end = np.concatenate(([True], np.frombuffer(self.ends, bool)[entry][:-1]))[: len(text)] | ~before
         place = np.arange(len(text)) - np.flatnonzero(~before)[text_runs(before)]
-        return text, entry, np.array(self.kind, np.int8)[entry], np.array(self.hash, np.uint64)[entry], before, after_end, place
+        return text, entry, np.frombuffer(self.kind, np.int8)[entry], np.frombuffer(self.hash, np.uint64)[entry], before, after_end, place
 
     def case_free(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(text number, hash, kind, entry, place, in a sentence without capitals?) of each template word."""
@@ -450,7 +456,7 @@ def found_by_broadcast(rows: DataFrame, classes: DataFrame, min_coverage: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, bench = Templates(), sent.value
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, READ_BYTES):
                 ids = batch.column("id").to_pylist()
                 got = [(ids[d], *bench.classes[c], *best) for d, c, *best in bench.matches(templates, batch.column("text").to_pylist(), min_coverage)]
                 if got:
@@ -488,7 +494,7 @@ def found_by_shuffle(rows: DataFrame, classes: DataFrame, min_coverage: float) -
             return (bits[(lead >> np.uint64(3)).astype(np.int64)] >> (lead & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, READ_BYTES):
                 ids, keys, texts = (batch.column(c).to_pylist() for c in ("id", "key", "text"))
                 for size, masks in sizes.items():
                     got = [(ids[d], keys[d], size, place, h - (1 << 64) if h >> 63 else h, mine) for d, _, place, h, mine in text_windows(templates, texts, size, maybe, None, masks)]

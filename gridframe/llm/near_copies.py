@@ -43,6 +43,8 @@ MAX_BROADCAST = 500_000
 SALTS, FACTORS = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 FACTORS |= np.uint64(1)
 CHUNK = 1024
+#: Bytes of text that a worker reads at once (a single text may hold more).
+READ_BYTES = 1 << 20
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -72,7 +74,7 @@ def sketches(rows: DataFrame) -> DataFrame:
             keys.append(band_keys(hashes))
         return {"row": batch.column("row"), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return map_batches(rows, run, "row long, node long, n int, fp long, keys array<long>")
+    return map_batches(rows, run, "row long, node long, n int, fp long, keys array<long>", READ_BYTES)
 
 
 def shingle_sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def shingle_sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataF
     if firsts.count() <= MAX_BROADCAST:
         firsts = F.broadcast(firsts)
     texts = rows.join(firsts, F.col("row") == F.col("first_row")).select("node", "text")
-    return materialize(map_batches(texts, run, "node long, shingles array<long>"), "near-sets")
+    return materialize(map_batches(texts, run, "node long, shingles array<long>", READ_BYTES), "near-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:

@@ -28,6 +28,7 @@ import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -488,6 +489,17 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+class Opened:
+    """A model by its path, to be broadcast: a worker opens it once and drops it, and what it remembers, when it gets other work."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def model(self) -> PieceModel:
+        return open_model(self.path)
+
+
 CODED = "doc_id long, n_tokens long, ids binary, score double, n_chunks int, text string"
 
 
@@ -513,10 +525,11 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     document.
     """
     rows = spread(text_rows(docs, id_col, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(Opened(path))
     size = F.length("text")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = sent.value.model
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column("text").to_pylist()
@@ -527,7 +540,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     small = rows.where(size < chunk_chars).mapInArrow(short, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = sent.value.model
         for batch in batches:
             for doc_id, row, text in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 parts, at = m.cut(m.normal(text), chunk_chars), 0
@@ -537,7 +550,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
                     at += len(part)
 
     def transfers(batch: pa.RecordBatch) -> dict:
-        m = model(path)
+        m = sent.value.model
         mats = [dumped(m.transfer(*x)) for x in zip(*[batch.column(c).to_pylist() for c in ("behind", "body", "ahead")])]
         return {k: batch.column(k) for k in ("row", "id", "chunk", "behind", "body", "ahead")} | {"matrix": mats}
 
@@ -557,7 +570,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     states = by_doc.mapInArrow(scan, "s_row string, s_chunk int, first int, last int")
 
     def traced(batch: pa.RecordBatch) -> dict:
-        m = model(path)
+        m = sent.value.model
         cols = [batch.column(c).to_pylist() for c in ("behind", "body", "ahead", "first", "last")]
         return {"row": batch.column("row"), "id": batch.column("id"), "chunk": batch.column("chunk"), "body": batch.column("body"), "ids": [m.backtrace(*x) for x in zip(*cols)]}
 
@@ -566,7 +579,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     whole = parts.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("chunk", "ids", "body"))).alias("parts"))
 
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = sent.value.model
         for whole in batches:
             for batch in slices(whole):
                 parts = batch.column("parts").to_pylist()
@@ -581,9 +594,10 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``, and drops nothing."""
     schema = coded.schema
+    sent = coded.sparkSession.sparkContext.broadcast(Opened(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = sent.value.model
         for whole in batches:
             for batch in slices(whole):
                 texts = [m.decode(x or b"") for x in batch.column("ids").to_pylist()]
